@@ -172,18 +172,33 @@ def route_state(cells: DataFrame, tick_seconds: int, horizon: Column | None = No
     )
 
 
-def bank_route_state(cells: DataFrame, baselines: DataFrame, prior_default: Column) -> DataFrame:
-    """W8 per active (bank, route_id, tick): shrunk 15-tick success rate."""
+def bank_route_state(cells: DataFrame, baselines: DataFrame, prior_default: Column,
+                     probes: DataFrame | None = None) -> DataFrame:
+    """W8 per (bank, route_id, tick): shrunk 15-tick success rate.
+
+    Also the as-of form of W12 (J11): ticks since the last tick of the pair
+    with a success, strictly before the current tick.  ``probes`` adds
+    (bank, route_id, tick) points without traffic (candidate routes); a pair
+    never seen gets its route prior (D11).
+    """
     br = _scope(cells, "bank_route", "bank", "route_id")
+    if probes is not None:
+        z = probes.select("bank", "route_id", "tick",
+                          *[F.lit(0).cast(br.schema[c].dataType).alias(c) for c in COUNTS])
+        br = br.unionByName(z).groupBy("bank", "route_id", "tick").agg(*[F.sum(c).alias(c) for c in COUNTS])
     k = ["bank", "route_id"]
     s15 = prior_rolling_sum("success_count", k, C.WINDOW_15)
     a15 = prior_rolling_sum("request_count", k, C.WINDOW_15)
-    x = br.select("bank", "route_id", "tick", s15.alias("s15"), a15.alias("a15"))
+    last_succ = last_before(F.when(F.col("success_count") > 0, F.col("tick")), k)
+    x = br.select("bank", "route_id", "tick", s15.alias("s15"), a15.alias("a15"),
+                  F.coalesce((F.col("tick") - last_succ).cast("double"), F.lit(C.NO_EVENT_SENTINEL))
+                  .alias("asof_time_since_last_bank_route_success"))
     x = x.join(F.broadcast(baselines.select("route_id", "route_base_success_rate")), "route_id", "left")
     prior = F.coalesce(F.col("route_base_success_rate"), prior_default)
     return x.select("bank", "route_id", "tick",
                     ((F.col("s15") + C.BANK_ROUTE_SHRINK_K * prior) / (F.col("a15") + C.BANK_ROUTE_SHRINK_K))
-                    .alias("bank_route_success_rate_15m"))
+                    .alias("bank_route_success_rate_15m"),
+                    "asof_time_since_last_bank_route_success")
 
 
 def active_failure_rate(cells: DataFrame, scope: str, key: str, out: str,
@@ -255,7 +270,7 @@ class FeatureState:
 
 
 def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600,
-                block_size: int = DEFAULT_BLOCK_SIZE, probes: DataFrame | None = None,
+                block_size: int = DEFAULT_BLOCK_SIZE, probes: bool = False,
                 rate_mode: str = "active", materialize: bool = True,
                 max_cells: int = MAX_BROADCAST_ROWS // 8) -> FeatureState:
     """Scan the fact table once into scope cells and derive every state table.
@@ -265,6 +280,9 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
     (semi-dense spine) plus the probes (<= routes x ticks), so a measured
     cell count under ``max_cells`` is a proven size bound for broadcasting
     them; beyond it the planner's shuffle joins are used.
+
+    ``probes=True`` also evaluates every route (and bank x route) at every
+    tick with traffic, for candidate-route lookups (<= 4x the cells).
     """
     cells = scope_cells(attempts, block_size)
     small = False
@@ -277,8 +295,15 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
     total, train = b.select("total_ticks").scalar(), b.select("train_ticks").scalar()
     baselines = baselines_from_cells(cells, train, routes)
     prior_default = overall_baseline(baselines)
-    route = route_state(cells, tick_seconds, total, probes)
-    bank_route = bank_route_state(cells, baselines, prior_default)
+    rprobe = brprobe = None
+    if probes:
+        rids = F.array(*[F.lit(r) for r in C.ROUTE_IDS])
+        rprobe = (cells.where(F.col("scope") == "global")
+                  .select(F.explode(rids).alias("route_id"), "tick"))
+        brprobe = (cells.where(F.col("scope") == "bank")
+                   .select("bank", F.explode(rids).alias("route_id"), "tick"))
+    route = route_state(cells, tick_seconds, total, rprobe)
+    bank_route = bank_route_state(cells, baselines, prior_default, brprobe)
     bank_rate = active_failure_rate(cells, "bank", "bank", "bank_failure_rate_5m", mode=rate_mode)
     net_rate = active_failure_rate(cells, "network", "network", "network_failure_rate_5m", mode=rate_mode)
     br_prev, b_prev = block_prefix_tables(cells)
@@ -301,7 +326,8 @@ def feature_table(attempts: DataFrame, state: FeatureState, tick_seconds: int =
         a = txn_order_features(a, state.cells, block_size, (state.br_prefix, state.b_prefix))
     a = (a.join(state.route.select("route_id", "tick", *ROUTE_LIVE, "route_failure_rate_1m"),
                 ["route_id", "tick"], "left")
-         .join(state.bank_route, ["bank", "route_id", "tick"], "left")
+         .join(state.bank_route.select("bank", "route_id", "tick", "bank_route_success_rate_15m"),
+               ["bank", "route_id", "tick"], "left")
          .join(F.broadcast(state.baselines), "route_id", "left"))
     if engineered:
         a = (a.join(state.bank_rate, ["bank", "tick"], "left")

@@ -192,7 +192,7 @@ def q_time_since_any_failure(c: Ctx) -> DataFrame:
 @register("bank_route_success_rate_15m", "SELECT bank, route_id, tick, bank_route_success_rate_15m FROM brfeat")
 def q_bank_route_rate(c: Ctx) -> DataFrame:
     """Shrunk 15-tick bank x route success rate."""
-    return c.state.bank_route
+    return c.state.bank_route.select("bank", "route_id", "tick", "bank_route_success_rate_15m")
 
 
 @register("bank_failure_rate_5m", "SELECT bank, tick, bank_failure_rate_5m FROM bfeat")
@@ -384,3 +384,173 @@ def q_load_response(c: Ctx) -> DataFrame:
     return cells.select("route_id", "tick", u.alias("what_if_utilization"),
                         load_success_multiplier(u).alias("success_multiplier"),
                         load_latency_multiplier(u).alias("latency_multiplier"))
+
+
+# --------------------------------------------------- candidates and policies
+from routewise.operators import candidates as CD  # noqa: E402
+from routewise.operators import policy as PL  # noqa: E402
+from routewise.plans.context import candidates  # noqa: E402
+from routewise.plans.oracle import with_cands  # noqa: E402
+
+
+def register_c(key: str, sql: str | None = None):
+    """Register a query whose oracle needs the candidate CTEs."""
+    def deco(fn):
+        register(key)(fn)
+        if sql is not None:
+            ORACLE[key] = with_cands(sql)
+        return fn
+    return deco
+
+
+@register_c("expand_candidates", """
+SELECT t.txn_id, r.route_id, t.actual_route_id, t.actual_success
+FROM (SELECT DISTINCT txn_id, actual_route_id, actual_success FROM cand) t CROSS JOIN routes r""")
+def q_expand_candidates(c: Ctx) -> DataFrame:
+    """Every test transaction x all routes, actual route/outcome kept."""
+    from routewise.operators.candidates import test_transactions
+    txns = test_transactions(c.features(True))
+    return CD.expand_candidates(txns).select("txn_id", "route_id", "actual_route_id", "actual_success")
+
+
+@register_c("eligible_routes", "SELECT txn_id, route_id, network FROM cand")
+def q_eligible_routes(c: Ctx) -> DataFrame:
+    """Candidate routes supporting both payment method and network."""
+    from routewise.operators.candidates import test_transactions
+    txns = test_transactions(c.features(True))
+    return CD.eligible_routes(txns, c.eligibility).select("txn_id", "route_id", "network")
+
+
+@register("no_eligible_route", """
+SELECT txn_id, payment_method, network FROM attempts a
+WHERE NOT EXISTS (SELECT 1 FROM elig e WHERE e.payment_method = a.payment_method AND e.network = a.network)""")
+def q_no_eligible_route(c: Ctx) -> DataFrame:
+    """Transactions with zero eligible routes (422 online, skipped offline)."""
+    return CD.no_eligible_route(c.attempts, c.eligibility).select("txn_id", "payment_method", "network")
+
+
+CAND_FEATURE_COLS = ("txn_id", "route_id", *C.NUMERIC_FEATURES)
+
+
+@register_c("candidate_feature_lookup", "SELECT " + ", ".join(CAND_FEATURE_COLS) + " FROM cands")
+def q_candidate_feature_lookup(c: Ctx) -> DataFrame:
+    """Per-route features looked up for every candidate, engineered columns recomputed."""
+    return candidates(c).select(*CAND_FEATURE_COLS)
+
+
+@register("lookup_first_in_tick", """
+SELECT bank, route_id, tick, arg_min(t.time_since_last_bank_route_success, a.txn_id) AS time_since_last_bank_route_success
+FROM attempts a JOIN txnf t USING (txn_id) GROUP BY bank, route_id, tick""")
+def q_lookup_first_in_tick(c: Ctx) -> DataFrame:
+    """First row per (bank, route, tick) in txn order (order-aware dedup)."""
+    f = FT.txn_order_features(c.attempts, c.state.cells, c.block_size, (c.state.br_prefix, c.state.b_prefix))
+    return CD.lookup_first_in_tick(f, ["bank", "route_id"], "time_since_last_bank_route_success")
+
+
+@register_c("asof_group_state",
+            "SELECT txn_id, route_id, route_failure_rate_1m, time_since_last_bank_route_success FROM cands")
+def q_asof_group_state(c: Ctx) -> DataFrame:
+    """Latest group state strictly before the tick, for candidate keys with or without a row there."""
+    return candidates(c).select("txn_id", "route_id", "route_failure_rate_1m", "time_since_last_bank_route_success")
+
+
+@register_c("policy_rows", "SELECT c.txn_id, c.route_id, c.p, c.outcome_proxy FROM argmax JOIN cands c USING (txn_id, route_id)")
+def q_policy_rows(c: Ctx) -> DataFrame:
+    """Candidate rows where route = the policy's choice (argmax policy)."""
+    cands = candidates(c)
+    return CD.policy_rows(cands, PL.policy_argmax(cands)).select("txn_id", "route_id", "p", "outcome_proxy")
+
+
+@register_c("policy_argmax", "SELECT txn_id, route_id, p FROM argmax")
+def q_policy_argmax(c: Ctx) -> DataFrame:
+    """Best-score route per transaction (p desc, then route order)."""
+    return PL.policy_argmax(candidates(c))
+
+
+@register_c("policy_round_robin", "SELECT txn_id, route_id FROM rr")
+def q_policy_round_robin(c: Ctx) -> DataFrame:
+    """R1..R4 rotation carried across transactions, skipping ineligible routes."""
+    return PL.policy_round_robin(c.spark, candidates(c))
+
+
+@register_c("weighted_split", "SELECT txn_id, route_id FROM wsplit")
+def q_weighted_split(c: Ctx) -> DataFrame:
+    """Deterministic weighted assignment among eligible routes."""
+    from routewise.operators.candidates import test_transactions
+    txns = test_transactions(c.features(True))
+    return PL.policy_weighted_split(txns, c.eligibility)
+
+
+@register_c("outcome_proxy", "SELECT txn_id, route_id, outcome_proxy FROM cands")
+def q_outcome_proxy(c: Ctx) -> DataFrame:
+    """Candidate outcome := route_success_rate_5m."""
+    return candidates(c).select("txn_id", "route_id", "outcome_proxy")
+
+
+@register_c("eligible_by_network", "SELECT network, route_id, count(*) AS n FROM cand GROUP BY network, route_id")
+def q_eligible_by_network(c: Ctx) -> DataFrame:
+    """Candidate rows per (network, route)."""
+    from routewise.operators.candidates import test_transactions
+    txns = test_transactions(c.features(True))
+    return CD.eligible_routes(txns, c.eligibility).groupBy("network", "route_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register_c("eligible_set", """
+SELECT txn_id, string_agg(route_id, ',' ORDER BY route_id) AS eligible_routes, count(*) AS n_eligible,
+  count(*) OVER () AS n_txn FROM cand GROUP BY txn_id""")
+def q_eligible_set(c: Ctx) -> DataFrame:
+    """Eligible route list per transaction and the distinct transaction count."""
+    from routewise.operators.candidates import test_transactions
+    from pyspark.sql import Window
+    txns = test_transactions(c.features(True))
+    e = CD.eligible_routes(txns, c.eligibility)
+    g = e.groupBy("txn_id").agg(F.concat_ws(",", F.sort_array(F.collect_list("route_id"))).alias("eligible_routes"),
+                                F.count(F.lit(1)).alias("n_eligible"))
+    # distinct txn count as a scalar sub-query (no single-partition window)
+    n = g.agg(F.count(F.lit(1))).scalar()
+    return g.withColumn("n_txn", n)
+
+
+def _policy_table(c: Ctx, cands: DataFrame) -> DataFrame:
+    from routewise.operators.candidates import test_transactions
+    tx = cands.groupBy("txn_id").agg(F.first("actual_success").alias("actual_success"),
+                                     F.first("payment_method").alias("payment_method"),
+                                     F.first("network").alias("network"))
+    rows = []
+    rows.append(tx.agg(F.lit("actual").alias("policy"), F.avg("actual_success").alias("success_rate"),
+                       F.count(F.lit(1)).alias("n_txn")))
+    for name, choice in (("round_robin", PL.policy_round_robin(c.spark, cands)),
+                         ("model_argmax", PL.policy_argmax(cands)),
+                         ("weighted_split", PL.policy_weighted_split(tx, c.eligibility))):
+        rows.append(CD.policy_rows(cands, choice).agg(F.lit(name).alias("policy"),
+                                                     F.avg("outcome_proxy").alias("success_rate"),
+                                                     F.count(F.lit(1)).alias("n_txn")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@register_c("policy_success_rate", "SELECT policy, success_rate, n_txn FROM pol")
+def q_policy_success_rate(c: Ctx) -> DataFrame:
+    """Actual mean success; policy mean outcome proxy (nulls skipped)."""
+    return _policy_table(c, candidates(c))
+
+
+@register_c("policy_report", """
+SELECT policy, success_rate, n_txn, success_rate - (SELECT success_rate FROM pol WHERE policy = 'round_robin')
+  AS delta_vs_round_robin, (SELECT count(*) FROM cands) AS candidate_rows FROM pol""")
+def q_policy_report(c: Ctx) -> DataFrame:
+    """Actual / round-robin / argmax / weighted split with delta vs round robin."""
+    cands = checkpointed_cands(candidates(c))
+    pol = _policy_table(c, cands)
+    rr = pol.where(F.col("policy") == "round_robin").select("success_rate").scalar()
+    n = cands.agg(F.count(F.lit(1))).scalar()
+    return pol.select("policy", "success_rate", "n_txn", (F.col("success_rate") - rr).alias("delta_vs_round_robin"),
+                      n.alias("candidate_rows"))
+
+
+def checkpointed_cands(df: DataFrame) -> DataFrame:
+    """Candidates feed four policies: materialise once in the checkpoint folder."""
+    from routewise.plans.materialize import checkpointed
+    return checkpointed(df)

@@ -19,9 +19,9 @@ from routewise.sources.tables import read_table
 
 class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str, tick_seconds: int = 3600,
-                 block_size: int = DEFAULT_BLOCK_SIZE):
+                 block_size: int = DEFAULT_BLOCK_SIZE, probes: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
-        self.tick_seconds, self.block_size = tick_seconds, block_size
+        self.tick_seconds, self.block_size, self.probes = tick_seconds, block_size, probes
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -40,7 +40,7 @@ class Ctx:
 
     @cached_property
     def state(self) -> FeatureState:
-        return build_state(self.attempts, self.routes, self.tick_seconds, self.block_size)
+        return build_state(self.attempts, self.routes, self.tick_seconds, self.block_size, probes=self.probes)
 
     def features(self, engineered: bool = True) -> DataFrame:
         return feature_table(self.attempts, self.state, self.tick_seconds, self.block_size, engineered)
@@ -51,3 +51,17 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f.name), places).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
+
+
+def candidates(c: Ctx, score: str = "bank_route_success_rate_15m") -> DataFrame:
+    """Eligible candidates of test transactions with looked-up features and score ``p``.
+
+    ``p`` defaults to the SQL-expressible ``bank_route_success_rate_15m``;
+    the trained model's calibrated probability replaces it in the model
+    policy report.  ``outcome_proxy`` (M12) = candidate route_success_rate_5m.
+    """
+    from routewise.operators.candidates import candidate_features, eligible_routes, test_transactions
+    c.probes = True
+    txns = test_transactions(c.features(True))
+    cands = candidate_features(eligible_routes(txns, c.eligibility), c.state)
+    return cands.withColumn("p", F.col(score)).withColumn("outcome_proxy", F.col("route_success_rate_5m"))

@@ -108,3 +108,62 @@ fe AS (SELECT ft.*,
 
 def with_base(body: str) -> str:
     return "WITH " + BASE_CTES.strip() + "\n" + body.strip()
+
+
+CAND_CTES = """
+, cand AS (SELECT f.txn_id, f.tick, f.day_in_week, f.hour_of_day, f.amount, f.bank, f.network, f.payment_method,
+  f.merchant, f.device, f.risk, f.bank_failure_rate_5m, f.network_failure_rate_5m, f.amount_to_bank_avg_ratio,
+  f.route_id AS actual_route_id, f.success AS actual_success, el.route_id, el.route_order
+  FROM fe f JOIN elig el USING (payment_method, network) WHERE f.dataset_split = 'test'),
+cbr AS (SELECT x.txn_id, x.route_id,
+  (coalesce(sum(c.k) FILTER (WHERE c.tick >= x.tick - 15), 0) + 10 * coalesce(b.route_base_success_rate, o.prior))
+  / (coalesce(sum(c.n) FILTER (WHERE c.tick >= x.tick - 15), 0) + 10) AS bank_route_success_rate_15m,
+  coalesce(CAST(x.tick - max(c.tick) FILTER (WHERE c.k > 0) AS DOUBLE), 9999.0) AS time_since_last_bank_route_success
+  FROM cand x LEFT JOIN brcell c ON c.bank = x.bank AND c.route_id = x.route_id AND c.tick < x.tick
+  LEFT JOIN base b ON b.route_id = x.route_id CROSS JOIN overall o
+  GROUP BY x.txn_id, x.route_id, x.tick, b.route_base_success_rate, o.prior),
+c1m AS (SELECT x.txn_id, x.route_id, arg_max(c.failure_count / c.request_count, c.tick) AS route_failure_rate_1m
+  FROM cand x LEFT JOIN rcell c ON c.route_id = x.route_id AND c.tick < x.tick GROUP BY x.txn_id, x.route_id),
+candf AS (SELECT x.*, base.route_base_success_rate, base.route_base_latency_ms, ro.route_cost_percent,
+  l.route_success_rate_5m, l.route_success_rate_15m, l.route_avg_latency_5m, l.route_current_load, l.route_requests_1m,
+  l.time_since_last_failure, l.route_flagged_down, l.route_utilization, l.route_effective_capacity_tps, l.system_tps,
+  cbr.bank_route_success_rate_15m, c1m.route_failure_rate_1m, cbr.time_since_last_bank_route_success
+  FROM cand x JOIN rlive l USING (route_id, tick) LEFT JOIN cbr USING (txn_id, route_id)
+  LEFT JOIN c1m USING (txn_id, route_id) LEFT JOIN base USING (route_id) JOIN routes ro USING (route_id)),
+cands AS (SELECT *, 1.0 - route_success_rate_5m AS route_failure_rate_5m, 1.0 - route_success_rate_15m AS route_failure_rate_15m,
+  route_base_success_rate - route_success_rate_5m AS route_success_drop_5m,
+  route_base_success_rate - route_success_rate_15m AS route_success_drop_15m,
+  route_avg_latency_5m / (route_base_latency_ms + 1e-6) AS route_latency_ratio,
+  bank_route_success_rate_15m - route_success_rate_15m AS bank_route_gap,
+  route_utilization * (1.0 - route_success_rate_15m) AS route_stress,
+  bank_route_success_rate_15m AS p, route_success_rate_5m AS outcome_proxy FROM candf),
+argmax AS (SELECT txn_id, route_id, p FROM (SELECT txn_id, route_id, p,
+  row_number() OVER (PARTITION BY txn_id ORDER BY p DESC, route_order) AS rn FROM cands) WHERE rn = 1),
+rr_in AS (SELECT txn_id, CAST(sum(1 << route_order) AS INT) AS mask, row_number() OVER (ORDER BY txn_id) AS i
+  FROM cands GROUP BY txn_id),
+rr AS (WITH RECURSIVE walk(i, txn_id, pick, rot) AS (
+    SELECT 0::BIGINT, NULL::BIGINT, NULL::INT, 0::INT
+    UNION ALL
+    SELECT x.i, x.txn_id, CASE WHEN (x.mask >> ((w.rot + 0) % 4)) & 1 = 1 THEN (w.rot + 0) % 4 WHEN (x.mask >> ((w.rot + 1) % 4)) & 1 = 1 THEN (w.rot + 1) % 4 WHEN (x.mask >> ((w.rot + 2) % 4)) & 1 = 1 THEN (w.rot + 2) % 4 WHEN (x.mask >> ((w.rot + 3) % 4)) & 1 = 1 THEN (w.rot + 3) % 4 END, CASE WHEN CASE WHEN (x.mask >> ((w.rot + 0) % 4)) & 1 = 1 THEN (w.rot + 0) % 4 WHEN (x.mask >> ((w.rot + 1) % 4)) & 1 = 1 THEN (w.rot + 1) % 4 WHEN (x.mask >> ((w.rot + 2) % 4)) & 1 = 1 THEN (w.rot + 2) % 4 WHEN (x.mask >> ((w.rot + 3) % 4)) & 1 = 1 THEN (w.rot + 3) % 4 END IS NULL THEN w.rot ELSE (CASE WHEN (x.mask >> ((w.rot + 0) % 4)) & 1 = 1 THEN (w.rot + 0) % 4 WHEN (x.mask >> ((w.rot + 1) % 4)) & 1 = 1 THEN (w.rot + 1) % 4 WHEN (x.mask >> ((w.rot + 2) % 4)) & 1 = 1 THEN (w.rot + 2) % 4 WHEN (x.mask >> ((w.rot + 3) % 4)) & 1 = 1 THEN (w.rot + 3) % 4 END + 1) % 4 END
+    FROM walk w JOIN rr_in x ON x.i = w.i + 1)
+  SELECT txn_id, (['R1','R2','R3','R4'])[pick + 1] AS route_id FROM walk WHERE i > 0 AND pick IS NOT NULL),
+wsplit_dim AS (SELECT payment_method, network, route_id, route_order,
+  (sum(w) OVER (PARTITION BY payment_method, network ORDER BY route_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - w)
+   / sum(w) OVER (PARTITION BY payment_method, network) AS lo,
+  sum(w) OVER (PARTITION BY payment_method, network ORDER BY route_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+   / sum(w) OVER (PARTITION BY payment_method, network) AS hi
+  FROM (SELECT el.*, ro.route_weight AS w FROM elig el JOIN routes ro USING (route_id))),
+tx AS (SELECT DISTINCT txn_id, payment_method, network, actual_success FROM cand),
+wsplit AS (SELECT t.txn_id, d.route_id FROM tx t JOIN wsplit_dim d USING (payment_method, network)
+  WHERE ((t.txn_id * 104729 + 12345) % 10007) / 10007.0 >= d.lo
+    AND (((t.txn_id * 104729 + 12345) % 10007) / 10007.0 < d.hi OR d.hi >= 1.0 - 1e-12)),
+pol AS (
+  SELECT 'actual' AS policy, avg(actual_success) AS success_rate, count(*) AS n_txn FROM tx
+  UNION ALL SELECT 'round_robin', avg(c.outcome_proxy), count(*) FROM rr JOIN cands c USING (txn_id, route_id)
+  UNION ALL SELECT 'model_argmax', avg(c.outcome_proxy), count(*) FROM argmax JOIN cands c USING (txn_id, route_id)
+  UNION ALL SELECT 'weighted_split', avg(c.outcome_proxy), count(*) FROM wsplit JOIN cands c USING (txn_id, route_id))
+"""
+
+
+def with_cands(body: str) -> str:
+    return "WITH " + BASE_CTES.strip() + "\n" + CAND_CTES.strip() + "\n" + body.strip()
