@@ -43,3 +43,52 @@ def block_prefix(blocks: DataFrame, keys: Sequence[str], sums: Sequence[str] = (
 def in_block_window(keys: Sequence[str], order_col: str = "txn_id") -> Window:
     return (Window.partitionBy(*keys, "block").orderBy(order_col)
             .rowsBetween(Window.unboundedPreceding, -1))
+
+
+def ordered_prefix(df: DataFrame, score: str, sums: Sequence[str], descending: bool = False,
+                   buckets: int = 1 << 16, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+    """Inclusive running sums over distinct values of ``score`` in a global order.
+
+    Global order without one task: rows are aggregated per distinct score,
+    distinct scores are bucketed into ``buckets`` ordered value ranges,
+    bucket totals get an exclusive prefix (a table of <= ``buckets`` rows),
+    and inside each bucket a window runs over that bucket's distinct scores
+    only.  Returns one row per distinct score with ``cum_<col>``.
+    """
+    g = df.groupBy(score).agg(*[F.sum(c).alias(c) for c in sums])
+    s = F.col(score)
+    pos = (s - lo) / (hi - lo) * buckets
+    b = F.least(F.greatest(F.floor(pos), F.lit(0)), F.lit(buckets - 1)).cast("long")
+    if descending:
+        b = F.lit(buckets - 1) - b
+    g = g.withColumn("_b", b)
+    tot = g.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_p_{c}") for c in sums])
+    order = s.desc() if descending else s.asc()
+    wi = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.select("*", *[F.sum(c).over(wi).alias(f"_i_{c}") for c in sums])
+    out = g.join(tot, "_b", "left")
+    return out.select(score, *sums, *[(F.col(f"_i_{c}") + F.coalesce(F.col(f"_p_{c}"), F.lit(0))).alias(f"cum_{c}")
+                                      for c in sums])
+
+
+def global_position(df: DataFrame, major: str, minor: str, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
+    """0-based position of each row in the total order (major, minor), minor unique.
+
+    Offsets: rows in earlier ``major`` values (prefix over a table of one
+    row per major value) + rows in earlier minor-blocks of the same major
+    value + rank inside the (major, block) -- no single-task sort of rows.
+    """
+    d = df.withColumn("_blk", block_of(minor, block_size))
+    cnt = d.groupBy(major, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    per_major = cnt.groupBy(major).agg(F.sum("_n").alias("_nm"))
+    wm = Window.orderBy(major).rowsBetween(Window.unboundedPreceding, -1)
+    per_major = per_major.select(major, F.coalesce(F.sum("_nm").over(wm), F.lit(0)).alias("_om"))
+    wb = Window.partitionBy(major).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.select(major, "_blk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_ob"))
+    offsets = cnt.join(per_major, major)
+    rn = F.row_number().over(Window.partitionBy(major, "_blk").orderBy(minor)) - 1
+    d = d.select("*", rn.alias("_rn"))
+    return (d.join(offsets, [major, "_blk"], "left")
+            .select(*df.columns, (F.col("_om") + F.col("_ob") + F.col("_rn")).alias("position")))

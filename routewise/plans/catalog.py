@@ -22,6 +22,25 @@ from routewise.plans.oracle import with_base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+TABLES_FOR_ORACLE = ("region nation customer supplier part orders lineitem events documents embeddings "
+                     "pages benchmark labels conversations").split()
+
+
+def oracle_sql_rounded() -> dict[str, str]:
+    """Oracle SQL with every DOUBLE output rounded to 6 dp (as the Spark side)."""
+    try:
+        from routewise.plans.oracle_doubles import DOUBLE_COLUMNS
+    except ImportError:  # pragma: no cover
+        DOUBLE_COLUMNS = {}
+    out = {}
+    for k, sql in ORACLE.items():
+        cols = DOUBLE_COLUMNS.get(k, [])
+        if cols:
+            rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+            out[k] = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS oracle_result"
+        else:
+            out[k] = sql
+    return out
 
 
 def register(key: str, sql: str | None = None):
@@ -554,3 +573,298 @@ def checkpointed_cands(df: DataFrame) -> DataFrame:
     """Candidates feed four policies: materialise once in the checkpoint folder."""
     from routewise.plans.materialize import checkpointed
     return checkpointed(df)
+
+
+# ---------------------------------------------------------------- evaluation
+from routewise.operators import evaluate as EV  # noqa: E402
+from routewise.plans.oracle import with_eval  # noqa: E402
+
+EVAL_THRESHOLD = 0.16   # documented decision threshold
+
+
+def register_e(key: str, sql: str | None = None):
+    def deco(fn):
+        register(key)(fn)
+        if sql is not None:
+            ORACLE[key] = with_eval(sql)
+        return fn
+    return deco
+
+
+def scored(c: Ctx) -> DataFrame:
+    """Feature rows with the 3-way split and the SQL-expressible score p."""
+    f = EV.split_three(c.features(True), c.block_size)
+    return f.withColumn("p", F.col("bank_route_success_rate_15m"))
+
+
+def _part(c: Ctx, name: str) -> DataFrame:
+    return scored(c).where(F.col("split3") == name)
+
+
+@register_e("train_validation_cut", "SELECT txn_id, split3 FROM split")
+def q_train_validation_cut(c: Ctx) -> DataFrame:
+    """Last 20 % of training rows by (tick, txn_id) become validation."""
+    return scored(c).select("txn_id", "split3")
+
+
+@register_e("read_features", """
+SELECT split3, count(*) AS n, min(tick) AS min_tick, max(tick) AS max_tick FROM split GROUP BY split3""")
+def q_read_features(c: Ctx) -> DataFrame:
+    """SRC3: feature table read and split in three (train / validation / test)."""
+    return scored(c).groupBy("split3").agg(F.count(F.lit(1)).alias("n"), F.min("tick").alias("min_tick"),
+                                           F.max("tick").alias("max_tick"))
+
+
+@register_e("class_balance", """
+SELECT count_if(success = 0) AS failures, count_if(success = 1) AS successes,
+  count_if(success = 0) / count(*) AS failure_ratio, count_if(success = 1) / count_if(success = 0) AS base_weight FROM trn""")
+def q_class_balance(c: Ctx) -> DataFrame:
+    """Failures, successes, ratio and base weight on the training part."""
+    return EV.class_balance(_part(c, "train"))
+
+
+@register_e("class_weights", """
+SELECT txn_id, CASE WHEN success = 0 THEN (SELECT count_if(success = 1) / count_if(success = 0) FROM trn) ELSE 1.0 END AS weight
+FROM trn""")
+def q_class_weights(c: Ctx) -> DataFrame:
+    """M6: per-row training weight, failures weigh succ/fail."""
+    return EV.class_weights(_part(c, "train")).select("txn_id", "weight")
+
+
+@register_e("predict_failure", f"""
+SELECT txn_id, CAST(1.0 - p >= {EVAL_THRESHOLD} AS INT) AS predicted_failure FROM tst""")
+def q_predict_failure(c: Ctx) -> DataFrame:
+    """1 - p >= threshold -> failure predicted."""
+    from routewise.functions.exprs import predicted_failure
+    return _part(c, "test").select("txn_id", predicted_failure(F.col("p"), EVAL_THRESHOLD).alias("predicted_failure"))
+
+
+@register_e("calibration_bins", "SELECT bin, bin_label, n, mean_predicted_prob, actual_success_rate, gap FROM (" + """
+SELECT b AS bin, '[' || printf('%.1f', b / 10.0) || '-' || printf('%.1f', (b + 1) / 10.0) || ')' AS bin_label,
+  count(*) AS n, round(avg(p), 4) AS mean_predicted_prob, round(avg(success), 4) AS actual_success_rate,
+  round(avg(p) - avg(success), 4) AS gap
+FROM (SELECT least(""" + " + ".join(f"CAST(p >= {e!r}::DOUBLE AS INT)" for e in EV.calibration_edges()[1:]) + """, 9) AS b, p, success FROM tst)
+GROUP BY b)""")
+def q_calibration_bins(c: Ctx) -> DataFrame:
+    """10 bins of p on the test part; empty bins omitted."""
+    return EV.calibration_bins(_part(c, "test"))
+
+
+@register_e("confusion_matrix", f"""
+SELECT a.actual, a.predicted, count(t.txn_id) AS n FROM (VALUES (0,0),(0,1),(1,0),(1,1)) a(actual, predicted)
+LEFT JOIN tst t ON t.success = a.actual AND CAST(NOT (1.0 - t.p >= {EVAL_THRESHOLD}) AS INT) = a.predicted
+GROUP BY a.actual, a.predicted""")
+def q_confusion_matrix(c: Ctx) -> DataFrame:
+    """2x2 counts at the decision threshold."""
+    return EV.confusion_matrix(_part(c, "test"), EVAL_THRESHOLD)
+
+
+@register_e("classification_report", f"""
+SELECT label, precision, recall, f1_score, support FROM (
+ WITH cc AS (SELECT count_if(success=0 AND 1.0-p >= {EVAL_THRESHOLD}) tp, count_if(success=1 AND 1.0-p >= {EVAL_THRESHOLD}) fp,
+   count_if(success=1 AND NOT 1.0-p >= {EVAL_THRESHOLD}) tn, count_if(success=0 AND NOT 1.0-p >= {EVAL_THRESHOLD}) fn FROM tst),
+ m AS (SELECT *, CASE WHEN tp+fp>0 THEN tp/(tp+fp) ELSE 0.0 END p0, CASE WHEN tp+fn>0 THEN tp/(tp+fn) ELSE 0.0 END r0,
+   CASE WHEN tn+fn>0 THEN tn/(tn+fn) ELSE 0.0 END p1, CASE WHEN tn+fp>0 THEN tn/(tn+fp) ELSE 0.0 END r1,
+   tp+fn s0, tn+fp s1, tp+fp+tn+fn n FROM cc),
+ f AS (SELECT *, CASE WHEN p0+r0>0 THEN 2*p0*r0/(p0+r0) ELSE 0.0 END f0, CASE WHEN p1+r1>0 THEN 2*p1*r1/(p1+r1) ELSE 0.0 END f1 FROM m)
+ SELECT '0' AS label, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM f
+ UNION ALL SELECT '1', p1, r1, f1, s1 FROM f
+ UNION ALL SELECT 'accuracy', NULL::DOUBLE, NULL::DOUBLE, (tp+tn)/n, n FROM f
+ UNION ALL SELECT 'macro avg', (p0+p1)/2, (r0+r1)/2, (f0+f1)/2, n FROM f
+ UNION ALL SELECT 'weighted avg', (p0*s0+p1*s1)/n, (r0*s0+r1*s1)/n, (f0*s0+f1*s1)/n, n FROM f)""")
+def q_classification_report(c: Ctx) -> DataFrame:
+    """precision/recall/F1/support per class, macro/weighted averages, accuracy."""
+    return EV.classification_report(_part(c, "test"), EVAL_THRESHOLD)
+
+
+@register_e("threshold_metrics", """
+SELECT t.threshold,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS failure_precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS failure_recall,
+  (tp + tn) / (tp + fp + tn + fn) AS accuracy, tp + fp AS predicted_failures
+FROM (SELECT t.threshold, count_if(success=0 AND 1.0-p >= t.threshold) tp, count_if(success=1 AND 1.0-p >= t.threshold) fp,
+  count_if(success=1 AND NOT 1.0-p >= t.threshold) tn, count_if(success=0 AND NOT 1.0-p >= t.threshold) fn
+  FROM val CROSS JOIN thr13 t GROUP BY t.threshold) t""")
+def q_threshold_metrics(c: Ctx) -> DataFrame:
+    """Failure precision/recall, accuracy, predicted failures at 13 thresholds (validation)."""
+    return EV.sweep(_part(c, "validation"), C.ANALYSIS_THRESHOLDS).select(
+        "threshold", "failure_precision", "failure_recall", "accuracy", "predicted_failures")
+
+
+@register_e("cost_at_threshold", f"""
+SELECT {EVAL_THRESHOLD}::DOUBLE AS threshold, sum(cost) AS total_cost, sum(cost) / count(*) AS cost_per_txn FROM (
+SELECT CASE WHEN success = 0 AND NOT (1.0 - p >= {EVAL_THRESHOLD}) THEN 50.0 + amount * 0.02
+  WHEN success = 1 AND 1.0 - p >= {EVAL_THRESHOLD} THEN amount * route_cost_percent / 100.0
+  WHEN success = 1 THEN -(amount * route_cost_percent / 100.0) ELSE 0.0 END AS cost FROM tst)""")
+def q_cost_at_threshold(c: Ctx) -> DataFrame:
+    """Business cost at the decision threshold on the test part."""
+    return EV.cost_at_threshold(_part(c, "test"), EVAL_THRESHOLD)
+
+
+SWEEP_COLS = ("threshold", "total_cost", "cost_per_txn", "failure_precision", "failure_recall", "failure_f1",
+              "accuracy", "predicted_failures")
+
+
+@register_e("cost_sweep", "SELECT " + ", ".join(SWEEP_COLS) + " FROM swf WHERE mult = 1.0")
+def q_cost_sweep(c: Ctx) -> DataFrame:
+    """Cost and metrics at 0.02..0.54 (27 thresholds), one scan of validation."""
+    return EV.sweep(_part(c, "validation"), EV.cost_sweep_thresholds()).select(*SWEEP_COLS)
+
+
+@register_e("cost_sensitivity", """
+SELECT mult, arg_min(threshold, (cost_per_txn, threshold)) AS threshold, min(cost_per_txn) AS cost_per_txn,
+  arg_min(failure_precision, (cost_per_txn, threshold)) AS failure_precision,
+  arg_min(failure_recall, (cost_per_txn, threshold)) AS failure_recall FROM swf GROUP BY mult""")
+def q_cost_sensitivity(c: Ctx) -> DataFrame:
+    """Best threshold per cost multiplier 0.5..10, one scan."""
+    sw = EV.sweep(_part(c, "validation"), EV.cost_sweep_thresholds(), multipliers=C.COST_MULTIPLIERS)
+    return EV.best_by_cost(sw).select("mult", "threshold", "cost_per_txn", "failure_precision", "failure_recall")
+
+
+@register_e("ranked_thresholds", """
+SELECT threshold, round(cost_per_txn, 4) AS cost_per_txn, round(total_cost, 2) AS total_cost,
+  row_number() OVER (ORDER BY round(cost_per_txn, 4), threshold) AS cost_rank FROM swf WHERE mult = 1.0""")
+def q_ranked_thresholds(c: Ctx) -> DataFrame:
+    """K3: sweep ranked by cost rounded to 4 dp (27 rows)."""
+    from pyspark.sql import Window
+    sw = EV.sweep(_part(c, "validation"), EV.cost_sweep_thresholds())
+    r = sw.select("threshold", F.round("cost_per_txn", 4).alias("cost_per_txn"), F.round("total_cost", 2).alias("total_cost"))
+    return r.withColumn("cost_rank", F.row_number().over(Window.orderBy("cost_per_txn", "threshold")))
+
+
+@register_e("constrained_cost_threshold", """
+SELECT arg_min(threshold, (cost_per_txn, threshold)) AS threshold, min(cost_per_txn) AS cost_per_txn,
+  arg_min(failure_recall, (cost_per_txn, threshold)) AS failure_recall
+FROM swf WHERE mult = 1.0 AND failure_recall >= 0.5 HAVING count(*) > 0""")
+def q_constrained_cost_threshold(c: Ctx) -> DataFrame:
+    """Cheapest threshold with failure recall >= 0.50 (no row if none)."""
+    sw = EV.sweep(_part(c, "validation"), EV.cost_sweep_thresholds())
+    return EV.constrained_cost_threshold(sw).select("threshold", "cost_per_txn", "failure_recall")
+
+
+@register_e("pr_curve", "SELECT threshold, precision, recall FROM pr")
+def q_pr_curve(c: Ctx) -> DataFrame:
+    """Failure-class precision/recall at every distinct failure score (validation)."""
+    return EV.pr_curve(_part(c, "validation"))
+
+
+@register_e("best_f1_threshold", """
+SELECT arg_max(threshold, (2*precision*recall/(precision+recall+1e-12), -threshold)) AS threshold,
+  arg_max(precision, (2*precision*recall/(precision+recall+1e-12), -threshold)) AS precision,
+  arg_max(recall, (2*precision*recall/(precision+recall+1e-12), -threshold)) AS recall,
+  max(2*precision*recall/(precision+recall+1e-12)) AS f1 FROM pr""")
+def q_best_f1_threshold(c: Ctx) -> DataFrame:
+    """Argmax F1 on the PR curve, ties -> lowest threshold."""
+    return EV.best_f1_threshold(EV.pr_curve(_part(c, "validation")))
+
+
+@register_e("target_recall_threshold", """
+SELECT arg_max(threshold, (precision, threshold)) AS threshold, max(precision) AS precision,
+  arg_max(recall, (precision, threshold)) AS recall FROM pr WHERE recall >= 0.5 HAVING count(*) > 0""")
+def q_target_recall_threshold(c: Ctx) -> DataFrame:
+    """Recall >= 0.50 -> max precision, ties -> higher threshold."""
+    return EV.target_recall_threshold(EV.pr_curve(_part(c, "validation")))
+
+
+@register_e("roc_auc", """
+SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) / count(*) AS roc_auc
+FROM tst a JOIN tst b ON a.success = 1 AND b.success = 0""")
+def q_roc_auc(c: Ctx) -> DataFrame:
+    """Rank AUC (ties half) of p on the test part."""
+    return EV.roc_auc(_part(c, "test"))
+
+
+@register_e("average_precision", """
+SELECT sum(pos * tps / (tps + fps)) / sum(pos) AS average_precision FROM (
+ SELECT pos, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps FROM
+ (SELECT p, count_if(success = 1) AS pos, count_if(success = 0) AS neg FROM tst GROUP BY p)
+ WINDOW w AS (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+def q_average_precision(c: Ctx) -> DataFrame:
+    """Step-wise average precision (README's PR-AUC)."""
+    return EV.average_precision(_part(c, "test"))
+
+
+@register_e("brier", f"""
+SELECT avg(pow(p - success, 2)) AS brier,
+  avg(-(success * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+      + (1 - success) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))) AS log_loss,
+  avg(CAST(CAST(NOT (1.0 - p >= 0.5) AS INT) = success AS DOUBLE)) AS accuracy FROM tst""")
+def q_brier(c: Ctx) -> DataFrame:
+    """Brier score, clipped log loss and accuracy at 0.5."""
+    return EV.proper_scores(_part(c, "test"))
+
+
+@register_e("evaluate", None)
+def q_evaluate(c: Ctx) -> DataFrame:
+    """ROC-AUC, AP, log loss, Brier, accuracy and failure P/R/F1 on one cached scored frame."""
+    from routewise.plans.materialize import checkpointed
+    t = checkpointed(_part(c, "test").select("txn_id", "p", "success", "amount", "route_cost_percent"))
+    auc = EV.roc_auc(t).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+    ap = EV.average_precision(t).select(F.lit("average_precision").alias("metric"), F.col("average_precision").alias("value"))
+    ps = EV.proper_scores(t, EVAL_THRESHOLD)
+    rep = EV.classification_report(t, EVAL_THRESHOLD).where(F.col("label") == "0")
+    parts = [auc, ap,
+             ps.select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")),
+             ps.select(F.lit("brier").alias("metric"), F.col("brier").alias("value")),
+             ps.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+             rep.select(F.lit("failure_precision").alias("metric"), F.col("precision").alias("value")),
+             rep.select(F.lit("failure_recall").alias("metric"), F.col("recall").alias("value")),
+             rep.select(F.lit("failure_f1").alias("metric"), F.col("f1_score").alias("value"))]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+ORACLE["evaluate"] = with_eval(f"""
+SELECT 'roc_auc' AS metric, (SELECT sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END) / count(*)
+  FROM tst a JOIN tst b ON a.success = 1 AND b.success = 0) AS value
+UNION ALL SELECT 'average_precision', (SELECT sum(pos * tps / (tps + fps)) / sum(pos) FROM (
+ SELECT pos, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps FROM
+ (SELECT p, count_if(success = 1) AS pos, count_if(success = 0) AS neg FROM tst GROUP BY p)
+ WINDOW w AS (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
+UNION ALL SELECT 'log_loss', (SELECT avg(-(success * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+      + (1 - success) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))) FROM tst)
+UNION ALL SELECT 'brier', (SELECT avg(pow(p - success, 2)) FROM tst)
+UNION ALL SELECT 'accuracy', (SELECT avg(CAST(CAST(NOT (1.0 - p >= {EVAL_THRESHOLD}) AS INT) = success AS DOUBLE)) FROM tst)
+UNION ALL SELECT 'failure_precision', (SELECT CASE WHEN count_if(1.0-p >= {EVAL_THRESHOLD}) > 0
+  THEN count_if(success=0 AND 1.0-p >= {EVAL_THRESHOLD}) / count_if(1.0-p >= {EVAL_THRESHOLD}) ELSE 0.0 END FROM tst)
+UNION ALL SELECT 'failure_recall', (SELECT CASE WHEN count_if(success=0) > 0
+  THEN count_if(success=0 AND 1.0-p >= {EVAL_THRESHOLD}) / count_if(success=0) ELSE 0.0 END FROM tst)
+UNION ALL SELECT 'failure_f1', (SELECT CASE WHEN tp > 0 THEN 2.0 * tp / (2.0 * tp + fp + fn) ELSE 0.0 END FROM
+  (SELECT count_if(success=0 AND 1.0-p >= {EVAL_THRESHOLD}) tp, count_if(success=1 AND 1.0-p >= {EVAL_THRESHOLD}) fp,
+          count_if(success=0 AND NOT 1.0-p >= {EVAL_THRESHOLD}) fn FROM tst))""")
+
+
+@register("incident_episodes", """
+SELECT route_id, min(tick) AS start_tick, max(tick) AS end_tick, count(*) AS duration FROM
+ (SELECT route_id, tick, tick - row_number() OVER (PARTITION BY route_id ORDER BY tick) AS g FROM rlive WHERE route_flagged_down = 1.0)
+GROUP BY route_id, g""")
+def q_incident_episodes(c: Ctx) -> DataFrame:
+    """Contiguous flagged ticks per route (semi-dense spine vs dense oracle)."""
+    return EV.incident_episodes(c.state.route)
+
+
+@register("order_features", "SELECT txn_id, row_number() OVER (ORDER BY tick, txn_id) - 1 AS position FROM attempts")
+def q_order_features(c: Ctx) -> DataFrame:
+    """K1: position in the total order (tick, txn_id) without a single-task sort."""
+    from routewise.operators.prefix import global_position
+    return global_position(c.attempts.select("txn_id", "tick"), "tick", "txn_id", c.block_size).select(
+        "txn_id", "position")
+
+
+@register("concat_groups", "SELECT route_id, tick, route_success_rate_5m FROM rlive WHERE active")
+def q_concat_groups(c: Ctx) -> DataFrame:
+    """Row union of per-route frames (the reference's loop-then-concat), by name."""
+    st = c.state.route.where("is_active")
+    frames = [st.where(F.col("route_id") == r).select("route_id", "tick", "route_success_rate_5m") for r in C.ROUTE_IDS]
+    out = frames[0]
+    for fr in frames[1:]:
+        out = out.unionByName(fr)
+    return out
+
+
+@register("dedup_first", "SELECT route_id, tick, arg_min(amount, txn_id) AS amount FROM attempts GROUP BY route_id, tick")
+def q_dedup_first(c: Ctx) -> DataFrame:
+    """Drop duplicate keys keeping the first row in txn order (order-aware)."""
+    return CD.lookup_first_in_tick(c.attempts, ["route_id"], "amount")

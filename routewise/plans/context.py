@@ -47,7 +47,7 @@ class Ctx:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (window sums differ in the last bits)."""
+    """Round every double column half-up, like the oracle's round(x, 6)."""
     return df.select(*[F.round(F.col(f.name), places).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])

@@ -167,3 +167,49 @@ pol AS (
 
 def with_cands(body: str) -> str:
     return "WITH " + BASE_CTES.strip() + "\n" + CAND_CTES.strip() + "\n" + body.strip()
+
+
+def _thr_values(ts) -> str:
+    return ", ".join(f"({j}, {float(t)!r}::DOUBLE)" for j, t in enumerate(sorted(ts)))
+
+
+def eval_ctes() -> str:
+    from routewise.operators.evaluate import cost_sweep_thresholds
+    mults = ", ".join(f"({float(m)!r}::DOUBLE)" for m in C.COST_MULTIPLIERS)
+    return f"""
+, pos AS (SELECT txn_id, row_number() OVER (ORDER BY tick, txn_id) - 1 AS position FROM fe WHERE dataset_split = 'train'),
+split AS (SELECT fe.*, CASE WHEN fe.dataset_split = 'test' THEN 'test'
+    WHEN pos.position < CAST(floor((SELECT count(*) FROM pos) * 0.8) AS BIGINT) THEN 'train' ELSE 'validation' END AS split3,
+  bank_route_success_rate_15m AS p FROM fe LEFT JOIN pos USING (txn_id)),
+trn AS (SELECT * FROM split WHERE split3 = 'train'),
+val AS (SELECT * FROM split WHERE split3 = 'validation'),
+tst AS (SELECT * FROM split WHERE split3 = 'test'),
+thr13(j, threshold) AS (VALUES {_thr_values(C.ANALYSIS_THRESHOLDS)}),
+thr27(j, threshold) AS (VALUES {_thr_values(cost_sweep_thresholds())}),
+mults(mult) AS (VALUES {mults}),
+sw AS (SELECT m.mult, t.threshold,
+  sum(CASE WHEN success = 0 AND 1.0 - p >= t.threshold THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN success = 1 AND 1.0 - p >= t.threshold THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN success = 1 AND NOT (1.0 - p >= t.threshold) THEN 1 ELSE 0 END) AS tn,
+  sum(CASE WHEN success = 0 AND NOT (1.0 - p >= t.threshold) THEN 1 ELSE 0 END) AS fn,
+  sum(CASE WHEN success = 0 AND NOT (1.0 - p >= t.threshold) THEN 50.0 * m.mult + amount * 0.02 * m.mult
+           WHEN success = 1 AND 1.0 - p >= t.threshold THEN amount * route_cost_percent / 100.0
+           WHEN success = 1 THEN -(amount * route_cost_percent / 100.0) ELSE 0.0 END) AS total_cost
+  FROM val CROSS JOIN thr27 t CROSS JOIN mults m GROUP BY m.mult, t.threshold),
+swm AS (SELECT mult, threshold, total_cost, total_cost / (tp + fp + tn + fn) AS cost_per_txn,
+  CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS failure_precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS failure_recall,
+  (tp + tn) / (tp + fp + tn + fn) AS accuracy, tp + fp AS predicted_failures FROM sw),
+swf AS (SELECT *, CASE WHEN failure_precision + failure_recall > 0
+  THEN 2 * failure_precision * failure_recall / (failure_precision + failure_recall) ELSE 0.0 END AS failure_f1 FROM swm),
+prc AS (SELECT threshold, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps FROM
+  (SELECT 1.0 - p AS threshold, sum(CASE WHEN success = 0 THEN 1 ELSE 0 END) AS pos,
+          sum(CASE WHEN success = 1 THEN 1 ELSE 0 END) AS neg FROM val GROUP BY 1)
+  WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pr AS (SELECT threshold, CASE WHEN tps + fps > 0 THEN tps / (tps + fps) ELSE 0.0 END AS precision,
+  tps / (SELECT sum(CASE WHEN success = 0 THEN 1 ELSE 0 END) FROM val) AS recall FROM prc)
+"""
+
+
+def with_eval(body: str) -> str:
+    return "WITH " + BASE_CTES.strip() + "\n" + eval_ctes().strip() + "\n" + body.strip()
