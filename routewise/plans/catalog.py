@@ -868,3 +868,44 @@ def q_concat_groups(c: Ctx) -> DataFrame:
 def q_dedup_first(c: Ctx) -> DataFrame:
     """Drop duplicate keys keeping the first row in txn order (order-aware)."""
     return CD.lookup_first_in_tick(c.attempts, ["route_id"], "amount")
+
+
+# ------------------------------------------------------------ data quality
+from routewise.operators import quality as QA  # noqa: E402
+
+HORIZON_TICKS = 30 * 24   # 30 days of hourly ticks
+
+
+@register("validate_attempts", f"""
+SELECT rule, violations FROM (SELECT
+  count_if(a.route_id NOT IN (SELECT route_id FROM routes)) AS unknown_route_id,
+  count_if(a.tick < 0) AS negative_tick,
+  count_if(a.tick >= {HORIZON_TICKS}) AS tick_beyond_horizon,
+  count_if(a.network NOT IN (SELECT DISTINCT network FROM elig)) AS unsupported_network FROM attempts a)
+UNPIVOT (violations FOR rule IN (unknown_route_id, negative_tick, tick_beyond_horizon, unsupported_network))""")
+def q_validate_attempts(c: Ctx) -> DataFrame:
+    """Q1: unknown route, negative tick, tick beyond horizon, unsupported network."""
+    return QA.validate_attempts(c.attempts, c.routes, HORIZON_TICKS)
+
+
+@register("null_profile", "SELECT column_name, n_null FROM (SELECT " + ", ".join(
+    f"count_if({x} IS NULL) AS {x}" for x in C.FEATURE_TABLE_COLUMNS) + " FROM ft) UNPIVOT (n_null FOR column_name IN ("
+    + ", ".join(C.FEATURE_TABLE_COLUMNS) + "))")
+def q_null_profile(c: Ctx) -> DataFrame:
+    """Q2: nulls per column of the 28-column feature table."""
+    return QA.null_profile(c.features(False))
+
+
+@register("split_counts", "SELECT dataset_split, count(*) AS n FROM ft GROUP BY dataset_split")
+def q_split_counts(c: Ctx) -> DataFrame:
+    """Q3: rows per dataset_split."""
+    return QA.split_counts(c.features(False))
+
+
+@register("write_features", "SELECT " + ", ".join(C.FEATURE_TABLE_COLUMNS) + " FROM ft")
+def q_write_features(c: Ctx) -> DataFrame:
+    """SNK1: write sorted + split-partitioned parquet, read it back."""
+    from routewise.sources.sinks import read_features, shared_path, write_features
+    path = shared_path(c.spark, "features")
+    write_features(c.features(False), path)
+    return read_features(c.spark, path).select(*C.FEATURE_TABLE_COLUMNS)

@@ -45,6 +45,7 @@ DOUBLE_COLUMNS = {
     'network_failure_rate_5m': ['network_failure_rate_5m'],
     'network_minute': [],
     'no_eligible_route': [],
+    'null_profile': [],
     'order_features': [],
     'outcome_proxy': ['outcome_proxy'],
     'overall_baseline': ['overall_baseline'],
@@ -74,6 +75,7 @@ DOUBLE_COLUMNS = {
     'route_success_drop_5m': ['route_success_drop_5m', 'route_success_drop_15m'],
     'route_success_rate_5m': ['route_success_rate_5m', 'route_success_rate_15m'],
     'spine_fill': [],
+    'split_counts': [],
     'target_recall_threshold': ['threshold', 'precision', 'recall'],
     'threshold_metrics': ['threshold', 'failure_precision', 'failure_recall', 'accuracy'],
     'time_features': [],
@@ -83,5 +85,7 @@ DOUBLE_COLUMNS = {
     'timeline_bounds': [],
     'train_validation_cut': [],
     'training_baselines': ['route_base_success_rate', 'route_base_latency_ms'],
+    'validate_attempts': [],
     'weighted_split': [],
+    'write_features': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m'],
 }
