@@ -29,15 +29,54 @@ def calibration_edges() -> list[float]:
 
 
 # ------------------------------------------------------------- data split
-def split_three(features: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
-    """Train rows ordered by (tick, txn_id); the last 20 % become validation."""
-    train = features.where(F.col("dataset_split") == "train")
-    n = train.agg(F.count(F.lit(1))).scalar()
-    cut = (n * F.lit(1.0 - C.VALIDATION_FRACTION)).cast("long")
-    pos = global_position(train.select("txn_id", "tick"), "tick", "txn_id", block_size)
-    lab = pos.select("txn_id", F.when(F.col("position") < cut, "train").otherwise("validation").alias("split3"))
-    out = features.join(lab, "txn_id", "left")
-    return out.withColumn("split3", F.coalesce(F.col("split3"), F.col("dataset_split")))
+def split_boundary(attempts: DataFrame, train_ticks: Column, block_size: int = DEFAULT_BLOCK_SIZE):
+    """W16 boundary: (tick, txn_id) of the first validation row, or None.
+
+    Train rows are ordered by (tick, txn_id); the first int(0.8 n) stay in
+    train.  The boundary row is located from per-tick counts, then per-block
+    counts inside that tick, then a rank inside one block -- only small
+    tables and at most ``block_size`` rows are ever ordered; each step
+    fetches one row.
+    """
+    tr = attempts.where(F.col("tick") < train_ticks).select("tick", "txn_id")
+    n = tr.count()
+    cut = int(n * (1.0 - C.VALIDATION_FRACTION))
+    if cut >= n:
+        return None
+    per_tick = tr.groupBy("tick").agg(F.count(F.lit(1)).alias("n_t"))
+    w = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    hit = (per_tick.select("tick", "n_t", F.sum("n_t").over(w).alias("cum"))
+           .where((F.col("cum") > cut) & (F.col("cum") - F.col("n_t") <= cut))
+           .select("tick", (F.lit(cut) - (F.col("cum") - F.col("n_t"))).alias("k")).first())
+    tick_star, k = hit["tick"], hit["k"]
+    rows = tr.where(F.col("tick") == tick_star).withColumn("block", F.expr(f"txn_id div {int(block_size)}"))
+    blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_b"))
+    wb = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    bhit = (blocks.select("block", "n_b", F.sum("n_b").over(wb).alias("cum"))
+            .where((F.col("cum") > k) & (F.col("cum") - F.col("n_b") <= k))
+            .select("block", (F.lit(k) - (F.col("cum") - F.col("n_b"))).alias("kb")).first())
+    inner = rows.where(F.col("block") == bhit["block"]).select(
+        "txn_id", (F.row_number().over(Window.partitionBy("block").orderBy("txn_id")) - 1).alias("r"))
+    return tick_star, inner.where(F.col("r") == bhit["kb"]).first()["txn_id"]
+
+
+def split_three(features: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
+                attempts: DataFrame | None = None, train_ticks: Column | None = None) -> DataFrame:
+    """Train rows ordered by (tick, txn_id); the last 20 % become validation.
+
+    Applied as a comparison with the boundary key, so the feature table is
+    never joined or sorted for it.
+    """
+    if attempts is None:
+        attempts = features.select("txn_id", "tick", "dataset_split")
+        train_ticks = F.lit(attempts.where(F.col("dataset_split") == "test").agg(F.min("tick")).first()[0])
+    bd = split_boundary(attempts, train_ticks, block_size)
+    if bd is None:
+        return features.withColumn("split3", F.when(F.col("dataset_split") == "test", "test").otherwise("train"))
+    bt, bx = bd
+    before = (F.col("tick") < bt) | ((F.col("tick") == bt) & (F.col("txn_id") < bx))
+    label = F.when(F.col("dataset_split") == "test", "test").when(before, "train").otherwise("validation")
+    return features.withColumn("split3", label)
 
 
 def class_balance(train: DataFrame) -> DataFrame:

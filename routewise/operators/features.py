@@ -289,12 +289,17 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
     if materialize:
         cells = checkpointed(cells)
         small = cells.count() <= max_cells
-    glob = cells.where(F.col("scope") == "global")
-    b = glob.agg((F.max("tick") + 1).cast("long").alias("total_ticks"))
-    b = b.select("total_ticks", (F.col("total_ticks") * F.lit(C.TRAIN_FRACTION)).cast("long").alias("train_ticks"))
-    total, train = b.select("total_ticks").scalar(), b.select("train_ticks").scalar()
+    # Scalars (timeline bounds, fallback prior) are aggregated on the small
+    # cell table and fetched once, so later plans carry literals instead of
+    # nested sub-queries.
+    total_n = cells.where(F.col("scope") == "global").agg((F.max("tick") + 1).cast("long")).first()[0] or 0
+    train_n = int(total_n * C.TRAIN_FRACTION)
+    total, train = F.lit(total_n).cast("long"), F.lit(train_n).cast("long")
     baselines = baselines_from_cells(cells, train, routes)
-    prior_default = overall_baseline(baselines)
+    if materialize:
+        baselines = F.broadcast(checkpointed(baselines))     # <= 4 rows (route dimension)
+    prior = baselines.agg(F.avg("route_base_success_rate")).first()[0]
+    prior_default = F.lit(prior).cast("double")
     rprobe = brprobe = None
     if probes:
         rids = F.array(*[F.lit(r) for r in C.ROUTE_IDS])

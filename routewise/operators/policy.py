@@ -177,3 +177,17 @@ def policy_weighted_split(txns: DataFrame, eligibility: DataFrame) -> DataFrame:
     return (txns.join(dim, ["payment_method", "network"])
             .where((u >= F.col("lo")) & ((u < F.col("hi")) | last))
             .select("txn_id", "route_id"))
+
+
+def _ship_by_value() -> None:
+    """Executors may not have this package installed: pickle the Arrow-batch
+    helpers of this module by value so mapInPandas tasks are self-contained."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # pragma: no cover - older cloudpickle
+        pass
+
+
+_ship_by_value()

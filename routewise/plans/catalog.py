@@ -593,12 +593,19 @@ def register_e(key: str, sql: str | None = None):
 
 def scored(c: Ctx) -> DataFrame:
     """Feature rows with the 3-way split and the SQL-expressible score p."""
-    f = EV.split_three(c.features(True), c.block_size)
+    f = EV.split_three(c.features(True), c.block_size, c.attempts, c.state.train_ticks)
     return f.withColumn("p", F.col("bank_route_success_rate_15m"))
 
 
+EVAL_COLS = ("txn_id", "tick", "split3", "p", "success", "amount", "route_cost_percent")
+
+
 def _part(c: Ctx, name: str) -> DataFrame:
-    return scored(c).where(F.col("split3") == name)
+    """One materialised, narrow scored frame per query; every metric reads it."""
+    from routewise.plans.materialize import checkpointed
+    if not hasattr(c, "_scored_narrow"):
+        c._scored_narrow = checkpointed(scored(c).select(*EVAL_COLS))
+    return c._scored_narrow.where(F.col("split3") == name)
 
 
 @register_e("train_validation_cut", "SELECT txn_id, split3 FROM split")
@@ -909,3 +916,194 @@ def q_write_features(c: Ctx) -> DataFrame:
     path = shared_path(c.spark, "features")
     write_features(c.features(False), path)
     return read_features(c.spark, path).select(*C.FEATURE_TABLE_COLUMNS)
+
+
+# ------------------------------------------------------------------ Spark ML
+from routewise.operators import learn as LN  # noqa: E402
+
+
+def _prep(c: Ctx) -> "LN.Prepared":
+    if not hasattr(c, "_prep"):
+        c._prep = LN.Prepared(scored(c))
+    return c._prep
+
+
+def _model(c: Ctx):
+    if not hasattr(c, "_model"):
+        c._model = LN.fit(_prep(c))
+    return c._model
+
+
+def _calibrated(c: Ctx):
+    if not hasattr(c, "_cal"):
+        c._cal = LN.calibrate(_model(c), _prep(c))
+    return c._cal
+
+
+@register_e("impute_median", "SELECT feature, median FROM (SELECT " + ", ".join(
+    f"median({x}) AS {x}" for x in C.NUMERIC_FEATURES) + " FROM trn) UNPIVOT (median FOR feature IN ("
+    + ", ".join(C.NUMERIC_FEATURES) + "))")
+def q_impute_median(c: Ctx) -> DataFrame:
+    """M1: exact (interpolated) training medians of the 26 numeric inputs, distributed."""
+    tr = scored(c).where(F.col("split3") == "train")
+    return LN.exact_median(tr, C.NUMERIC_FEATURES)
+
+
+@register_e("impute_mode", "SELECT feature, arg_min(value, (-n, value)) AS mode FROM (SELECT feature, value, count(*) AS n FROM ("
+            + " UNION ALL ".join(f"SELECT '{x}' AS feature, CAST({x} AS VARCHAR) AS value FROM trn" for x in C.CATEGORICAL_FEATURES)
+            + ") GROUP BY feature, value) GROUP BY feature")
+def q_impute_mode(c: Ctx) -> DataFrame:
+    """M2: most frequent training value per categorical input, ties -> smallest."""
+    tr = scored(c).where(F.col("split3") == "train")
+    return LN.mode_values(tr, C.CATEGORICAL_FEATURES)
+
+
+@register("one_hot")
+def q_one_hot(c: Ctx) -> DataFrame:
+    """M3: StringIndexer(keep) + OneHotEncoder(dropLast): unseen category -> all-zero block."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    prep = _prep(c)
+    cats = list(C.CATEGORICAL_FEATURES)
+    idx = StringIndexer(inputCols=cats, outputCols=[f"{x}__idx" for x in cats], handleInvalid="keep",
+                        stringOrderType="alphabetAsc").fit(prep.train)
+    ohe = OneHotEncoder(inputCols=[f"{x}__idx" for x in cats], outputCols=[f"{x}__vec" for x in cats],
+                        dropLast=True, handleInvalid="keep").fit(idx.transform(prep.train))
+    out = ohe.transform(idx.transform(prep.all))
+    from pyspark.ml.functions import vector_to_array
+    return out.select("txn_id", *[F.array_position(vector_to_array(f"{x}__vec"), 1.0).alias(f"{x}_slot") for x in cats])
+
+
+@register("assemble")
+def q_assemble(c: Ctx) -> DataFrame:
+    """M4: numeric + one-hot blocks assembled into one vector (size and non-zeros per row)."""
+    from pyspark.ml.functions import vector_to_array
+    m = _model(c)
+    prep = _prep(c)
+    x = m.stages[0].transform(prep.all)
+    for st in m.stages[1:-1]:
+        x = st.transform(x)
+    arr = vector_to_array("features")
+    return x.select("txn_id", F.size(arr).alias("vector_size"),
+                    F.size(F.filter(arr, lambda v: v != 0)).alias("non_zeros"))
+
+
+@register("train_baseline")
+def q_train_baseline(c: Ctx) -> DataFrame:
+    """M5: fixed-parameter boosted trees; P(success) for every test row."""
+    m = LN.fit(_prep(c), early_stop=False)
+    return LN.raw_scores(m, _prep(c).test).select("txn_id", "raw_p")
+
+
+@register("train_candidate")
+def q_train_candidate(c: Ctx) -> DataFrame:
+    """M7: weighted boosted trees with validation early stopping, scored by validation cost."""
+    m = _model(c)
+    cost = LN.validation_cost(m, _prep(c))
+    gbt = m.stages[-1]
+    return c.spark.createDataFrame([(gbt.getNumTrees, cost)], "num_trees int, best_validation_cost_per_txn double")
+
+
+@register("tune")
+def q_tune(c: Ctx) -> DataFrame:
+    """M8: 20 seeded random draws, fitted concurrently; sorted by validation cost."""
+    rows = LN.tune(_prep(c), n_iter=20)
+    cols = sorted(LN.SEARCH_SPACE)
+    data = [tuple([r["candidate"], r["validation_cost"]] + [str(r[k]) for k in cols]) for r in rows]
+    schema = "candidate int, validation_cost double, " + ", ".join(f"{k} string" for k in cols)
+    return c.spark.createDataFrame(data, schema)
+
+
+@register("feature_importance")
+def q_feature_importance(c: Ctx) -> DataFrame:
+    """M9: model importances with assembled-vector names."""
+    return LN.feature_importance(c.spark, _model(c), _prep(c).train)
+
+
+@register("importance_share")
+def q_importance_share(c: Ctx) -> DataFrame:
+    """Importance summed by feature and percent of total."""
+    return LN.importance_share(LN.feature_importance(c.spark, _model(c), _prep(c).train))
+
+
+@register("top_importance")
+def q_top_importance(c: Ctx) -> DataFrame:
+    """K2: top 30 features by importance."""
+    return LN.top_importance(LN.feature_importance(c.spark, _model(c), _prep(c).train), 30)
+
+
+@register("calibrate_isotonic")
+def q_calibrate_isotonic(c: Ctx) -> DataFrame:
+    """Isotonic fit on validation raw scores, applied to test (clipped at the ends)."""
+    return LN.score(_model(c), _calibrated(c), _prep(c).test).select("txn_id", "raw_p", "p", "success")
+
+
+@register("calibration_gain")
+def q_calibration_gain(c: Ctx) -> DataFrame:
+    """Brier before vs after calibration, one aggregate."""
+    s = LN.score(_model(c), _calibrated(c), _prep(c).test)
+    y = F.col("success").cast("double")
+    return s.agg(F.avg(F.pow(F.col("raw_p") - y, 2)).alias("brier_before"),
+                 F.avg(F.pow(F.col("p") - y, 2)).alias("brier_after"))
+
+
+@register("model_evaluate")
+def q_model_evaluate(c: Ctx) -> DataFrame:
+    """M13 with the trained, calibrated model: AUC, AP, log loss, Brier, failure P/R/F1."""
+    s = LN.score(_model(c), _calibrated(c), _prep(c).test).select("p", "success", "amount", "route_cost_percent")
+    from routewise.plans.materialize import checkpointed
+    s = checkpointed(s)
+    rep = EV.classification_report(s, EVAL_THRESHOLD).where(F.col("label") == "0")
+    ps = EV.proper_scores(s, EVAL_THRESHOLD)
+    return (EV.roc_auc(s).join(EV.average_precision(s)).join(ps)
+            .join(rep.select(F.col("precision").alias("failure_precision"), F.col("recall").alias("failure_recall"),
+                             F.col("f1_score").alias("failure_f1"))))
+
+
+@register("score_candidates")
+def q_score_candidates(c: Ctx) -> DataFrame:
+    """Calibrated P(success) for every (test transaction x eligible route)."""
+    cands = candidates(c)
+    return LN.score(_model(c), _calibrated(c), cands).select("txn_id", "route_id", "raw_p", "p")
+
+
+@register("policy_report_model")
+def q_policy_report_model(c: Ctx) -> DataFrame:
+    """M15 with the model: argmax over calibrated scores (ties: raw p, route order)."""
+    from routewise.plans.materialize import checkpointed
+    cands = candidates(c)
+    scored_c = checkpointed(LN.score(_model(c), _calibrated(c), cands))
+    tx = scored_c.groupBy("txn_id").agg(F.first("actual_success").alias("actual_success"),
+                                         F.first("payment_method").alias("payment_method"),
+                                         F.first("network").alias("network"))
+    parts = [tx.agg(F.lit("actual").alias("policy"), F.avg("actual_success").alias("success_rate"),
+                    F.count(F.lit(1)).alias("n_txn"))]
+    for name, choice in (("round_robin", PL.policy_round_robin(c.spark, scored_c)),
+                         ("model_argmax", PL.policy_argmax(scored_c, "p", "raw_p")),
+                         ("weighted_split", PL.policy_weighted_split(tx, c.eligibility))):
+        parts.append(CD.policy_rows(scored_c, choice).agg(F.lit(name).alias("policy"),
+                                                          F.avg("outcome_proxy").alias("success_rate"),
+                                                          F.count(F.lit(1)).alias("n_txn")))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+@register("write_importance")
+def q_write_importance(c: Ctx) -> DataFrame:
+    """SNK2: importance table written as CSV (header) and read back."""
+    from routewise.sources.sinks import shared_path, write_csv
+    path = shared_path(c.spark, "importance")
+    write_csv(LN.importance_share(LN.feature_importance(c.spark, _model(c), _prep(c).train)), path)
+    return c.spark.read.option("header", True).schema("feature string, importance double, importance_pct double").csv(path)
+
+
+@register("save_pipeline")
+def q_save_pipeline(c: Ctx) -> DataFrame:
+    """SNK3: persist pipeline + calibrator + threshold metadata, reload, score test rows."""
+    from routewise.sources.sinks import shared_path
+    path = shared_path(c.spark, "pipeline")
+    LN.save_pipeline(_model(c), _calibrated(c), path, EVAL_THRESHOLD)
+    model, cal, meta = LN.load_pipeline(c.spark, path)
+    s = LN.score(model, cal, _prep(c).test)
+    return s.select("txn_id", "raw_p", "p", F.lit(meta["threshold"]).alias("threshold"))

@@ -35,6 +35,8 @@ DOUBLE_COLUMNS = {
     'expand_candidates': [],
     'feature_projection': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m'],
     'feature_table': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m', 'route_failure_rate_5m', 'route_failure_rate_15m', 'route_success_drop_5m', 'route_success_drop_15m', 'route_latency_ratio', 'bank_route_gap', 'route_stress', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
+    'impute_median': ['median'],
+    'impute_mode': [],
     'incident_episodes': [],
     'inf_to_null': ['amount_per_latency'],
     'label_split': [],
