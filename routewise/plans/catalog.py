@@ -1107,3 +1107,161 @@ def q_save_pipeline(c: Ctx) -> DataFrame:
     model, cal, meta = LN.load_pipeline(c.spark, path)
     s = LN.score(model, cal, _prep(c).test)
     return s.select("txn_id", "raw_p", "p", F.lit(meta["threshold"]).alias("threshold"))
+
+
+# ----------------------------------------------------------------- streaming
+from routewise.streaming import features as SF  # noqa: E402
+from routewise.streaming import sources as SS  # noqa: E402
+from routewise.streaming.runner import dropped_by_watermark, run_available_now, state_rows  # noqa: E402
+
+TICK = 3600
+
+
+def _streams(c: Ctx):
+    if not hasattr(c, "_streams"):
+        from routewise.sources.bindings import read_attempts
+        a = read_attempts(c.spark, c.sf_dir, c.tick_seconds, with_ts=True)
+        dpath, opath = SS.materialise_streams(c.spark, a)
+        c._streams = (SS.read_decisions(c.spark, dpath), SS.read_outcomes(c.spark, opath))
+    return c._streams
+
+
+STREAM_CTES = """
+, dec AS (SELECT txn_id, ts AS decision_ts, tick, route_id FROM attempts WHERE txn_id % 50 <> 1),
+outc AS (SELECT txn_id, ts AS attempt_ts, ts + to_minutes(CAST(latency_ms AS INT)) AS outcome_ts, tick, bank, route_id, success
+  FROM attempts WHERE txn_id % 50 <> 0)
+"""
+
+
+def register_s(key: str, sql: str | None = None):
+    def deco(fn):
+        register(key)(fn)
+        if sql is not None:
+            from routewise.plans.oracle import BASE_CTES
+            ORACLE[key] = "WITH " + BASE_CTES.strip() + "\n" + STREAM_CTES.strip() + "\n" + sql.strip()
+        return fn
+    return deco
+
+
+@register_s("decision_outcome_join", """
+SELECT d.txn_id, d.route_id, o.success FROM dec d JOIN outc o ON o.txn_id = d.txn_id
+ AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR""")
+def q_decision_outcome_join(c: Ctx) -> DataFrame:
+    """Pending decision joined with its (deduplicated) outcome within the 1 h TTL (batch form)."""
+    from routewise.sources.bindings import attempts_from_events
+    at = attempts_from_events(c.table("events"), c.tick_seconds)
+    d, o = SS.decisions(at), SS.outcomes(at).dropDuplicates(["txn_id"])
+    j = d.alias("d").join(o.alias("o"), (F.col("d.txn_id") == F.col("o.txn_id"))
+                          & (F.col("o.outcome_ts") >= F.col("d.decision_ts"))
+                          & (F.col("o.outcome_ts") <= F.col("d.decision_ts") + F.expr("INTERVAL 1 HOUR")))
+    return j.select(F.col("d.txn_id").alias("txn_id"), F.col("d.route_id").alias("route_id"), F.col("o.success"))
+
+
+@register_s("orphan_outcomes", """
+SELECT DISTINCT o.txn_id FROM outc o WHERE NOT EXISTS (SELECT 1 FROM dec d WHERE d.txn_id = o.txn_id)""")
+def q_orphan_outcomes(c: Ctx) -> DataFrame:
+    """Outcomes with no pending decision (HTTP 404 online) -- left anti-join."""
+    from routewise.sources.bindings import attempts_from_events
+    at = attempts_from_events(c.table("events"), c.tick_seconds)
+    return SS.outcomes(at).join(SS.decisions(at), "txn_id", "left_anti").select("txn_id").distinct()
+
+
+@register_c("cold_start_fill", """
+SELECT txn_id, route_id, coalesce(route_success_rate_5m, ro.base_success_rate) AS route_success_rate_5m,
+  coalesce(route_success_rate_15m, ro.base_success_rate) AS route_success_rate_15m,
+  coalesce(route_avg_latency_5m, CAST(ro.base_latency_ms AS DOUBLE)) AS route_avg_latency_5m,
+  coalesce(route_failure_rate_1m, 1.0 - ro.base_success_rate) AS route_failure_rate_1m,
+  coalesce(bank_failure_rate_5m, 0.0) AS bank_failure_rate_5m, coalesce(network_failure_rate_5m, 0.0) AS network_failure_rate_5m,
+  coalesce(amount_to_bank_avg_ratio, 1.0) AS amount_to_bank_avg_ratio FROM cands JOIN routes ro USING (route_id)""")
+def q_cold_start_fill(c: Ctx) -> DataFrame:
+    """ST13: online cold-start fallbacks from static route config (optional mode)."""
+    x = candidates(c).join(F.broadcast(c.routes.select("route_id", "base_success_rate", "base_latency_ms")), "route_id")
+    return x.select("txn_id", "route_id",
+                    F.coalesce("route_success_rate_5m", "base_success_rate").alias("route_success_rate_5m"),
+                    F.coalesce("route_success_rate_15m", "base_success_rate").alias("route_success_rate_15m"),
+                    F.coalesce("route_avg_latency_5m", F.col("base_latency_ms").cast("double")).alias("route_avg_latency_5m"),
+                    F.coalesce("route_failure_rate_1m", 1.0 - F.col("base_success_rate")).alias("route_failure_rate_1m"),
+                    F.coalesce("bank_failure_rate_5m", F.lit(0.0)).alias("bank_failure_rate_5m"),
+                    F.coalesce("network_failure_rate_5m", F.lit(0.0)).alias("network_failure_rate_5m"),
+                    F.coalesce("amount_to_bank_avg_ratio", F.lit(1.0)).alias("amount_to_bank_avg_ratio"))
+
+
+@register("stream_minute_buckets")
+def q_stream_minute_buckets(c: Ctx) -> DataFrame:
+    """ST1: five-scope tick buckets from the live streams (update mode, latest per key)."""
+    d, o = _streams(c)
+    res, _ = run_available_now(c.spark, SF.minute_buckets(d, o, c.tick_seconds), "st1",
+                               keys=["scope", "bank", "route_id", "network", "tick"])
+    return res
+
+
+@register("stream_bucket_ttl")
+def q_stream_bucket_ttl(c: Ctx) -> DataFrame:
+    """ST2: bucket state size and evictions per micro-batch (watermark = expiry)."""
+    d, o = _streams(c)
+    _, prog = run_available_now(c.spark, SF.minute_buckets(d, o, c.tick_seconds), "st2")
+    return c.spark.createDataFrame(state_rows(prog), "batch_id long, state_rows long, rows_removed long")
+
+
+@register("stream_rolling_rates")
+def q_stream_rolling_rates(c: Ctx) -> DataFrame:
+    """ST3: trailing 5-tick route rate / latency from sliding windows (window end = feature tick)."""
+    _, o = _streams(c)
+    res, _ = run_available_now(c.spark, SF.rolling_rates(o, c.tick_seconds), "st3", keys=["route_id", "tick"])
+    return res
+
+
+@register("stream_last_flagged")
+def q_stream_last_flagged(c: Ctx) -> DataFrame:
+    """ST4: per-route incident state machine, one transition per closed tick."""
+    _, o = _streams(c)
+    res, _ = run_available_now(c.spark, SF.incident_state(o, c.tick_seconds), "st4", output_mode="append")
+    return res
+
+
+@register("stream_last_success")
+def q_stream_last_success(c: Ctx) -> DataFrame:
+    """ST5: last success tick per (bank, route)."""
+    _, o = _streams(c)
+    res, _ = run_available_now(c.spark, SF.last_success(o), "st5", keys=["bank", "route_id"])
+    return res
+
+
+@register("stream_decision_outcome")
+def q_stream_decision_outcome(c: Ctx) -> DataFrame:
+    """ST6: stream-stream join of decisions and outcomes within 1 h (both watermarked)."""
+    d, o = _streams(c)
+    res, _ = run_available_now(c.spark, SF.decision_outcome_join(d, o), "st6", output_mode="append")
+    return res.select("txn_id", "route_id", "success")
+
+
+@register("stream_dedup_outcomes")
+def q_stream_dedup_outcomes(c: Ctx) -> DataFrame:
+    """ST7: idempotent outcomes (dropDuplicatesWithinWatermark on the attempt id)."""
+    _, o = _streams(c)
+    res, _ = run_available_now(c.spark, SF.dedup_outcomes(o).select("txn_id", "success"), "st7", output_mode="append")
+    return res
+
+
+@register("stream_late_credit")
+def q_stream_late_credit(c: Ctx) -> DataFrame:
+    """ST8: outcomes credited to the attempt tick; late rows past the watermark dropped and counted."""
+    _, o = _streams(c)
+    res, prog = run_available_now(c.spark, SF.late_credit(o, c.tick_seconds), "st8", keys=["tick"])
+    return res.withColumn("rows_dropped_by_watermark", F.lit(dropped_by_watermark(prog)).cast("long"))
+
+
+@register("stream_bank_amount")
+def q_stream_bank_amount(c: Ctx) -> DataFrame:
+    """ST9: running per-bank amount state, ratio read before add (applyInPandasWithState)."""
+    d, _ = _streams(c)
+    res, _ = run_available_now(c.spark, SF.bank_amount_ratio(d), "st9", output_mode="append")
+    return res
+
+
+@register("stream_system_tps")
+def q_stream_system_tps(c: Ctx) -> DataFrame:
+    """ST10: requests in the previous tick / tick length."""
+    d, _ = _streams(c)
+    res, _ = run_available_now(c.spark, SF.system_tps(d, c.tick_seconds), "st10", keys=["tick"])
+    return res

@@ -20,12 +20,14 @@ DOUBLE_COLUMNS = {
     'class_balance': ['failure_ratio', 'base_weight'],
     'class_weights': ['weight'],
     'classification_report': ['precision', 'recall', 'f1_score'],
+    'cold_start_fill': ['route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_failure_rate_1m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'amount_to_bank_avg_ratio'],
     'concat_groups': ['route_success_rate_5m'],
     'confusion_matrix': [],
     'constrained_cost_threshold': ['threshold', 'cost_per_txn', 'failure_recall'],
     'cost_at_threshold': ['threshold', 'total_cost', 'cost_per_txn'],
     'cost_sensitivity': ['mult', 'threshold', 'cost_per_txn', 'failure_precision', 'failure_recall'],
     'cost_sweep': ['threshold', 'total_cost', 'cost_per_txn', 'failure_precision', 'failure_recall', 'failure_f1', 'accuracy'],
+    'decision_outcome_join': [],
     'dedup_first': ['amount'],
     'effective_capacity': ['route_effective_capacity_tps'],
     'eligible_by_network': [],
@@ -49,6 +51,7 @@ DOUBLE_COLUMNS = {
     'no_eligible_route': [],
     'null_profile': [],
     'order_features': [],
+    'orphan_outcomes': [],
     'outcome_proxy': ['outcome_proxy'],
     'overall_baseline': ['overall_baseline'],
     'policy_argmax': ['p'],
