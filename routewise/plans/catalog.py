@@ -1265,3 +1265,37 @@ def q_stream_system_tps(c: Ctx) -> DataFrame:
     d, _ = _streams(c)
     res, _ = run_available_now(c.spark, SF.system_tps(d, c.tick_seconds), "st10", keys=["tick"])
     return res
+
+
+def _serve(c: Ctx, decide: bool) -> DataFrame:
+    from routewise.sources.sinks import shared_path
+    from routewise.streaming import serving as SV
+    c.probes = True
+    st = c.state
+    bank_avg = SV.bank_amount_asof(st)
+    d, _ = _streams(c)
+    out = shared_path(c.spark, "serve")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        snap = SV.feature_snapshot(batch, st, c.eligibility, bank_avg)
+        res = SV.route_decisions(snap) if decide else snap
+        res.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    ckpt = shared_path(c.spark, "serve-checkpoint")
+    q = (d.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return c.spark.read.parquet(out).drop("_batch")
+
+
+@register("stream_feature_snapshot")
+def q_stream_feature_snapshot(c: Ctx) -> DataFrame:
+    """ST11: full 33-column vector per (request x eligible route), per micro-batch."""
+    return _serve(c, decide=False)
+
+
+@register("stream_route")
+def q_stream_route(c: Ctx) -> DataFrame:
+    """ST12: score candidates, argmax, emit decision + candidate array."""
+    r = _serve(c, decide=True)
+    return r.select("txn_id", "chosen_route_id", "chosen_p", F.size("candidates").alias("n_candidates"))
