@@ -6,9 +6,9 @@
   them map-side and the shuffle carries one row per transaction.
 * round robin (W15): a sequential rotation whose state is a counter mod 4.
   Each transaction is a map {0..3} -> {0..3}; maps compose, so the scan is
-  (1) per range partition, compose the maps (Arrow batches, numpy);
-  (2) the driver chains P 4-int maps (P = partitions, not rows);
-  (3) each partition replays with its known start state.
+  (1) per block of consecutive txn_ids, compose the maps (numpy doubling);
+  (2) the driver chains one 4-int map per block (blocks, not rows);
+  (3) each block replays with its known start state.
 * weighted split (M16): deterministic weighted choice among eligible routes;
   the cumulative weights live in the 28-row eligibility table, so the choice
   is a filter after the broadcast join -- no shuffle.
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from routewise import constants as C
-from routewise.plans.materialize import checkpointed
 
 N_ROUTES = len(C.ROUTE_IDS)
 
@@ -107,46 +106,40 @@ def round_robin_reference(masks: list[int]) -> list[int]:
     return out
 
 
-def policy_round_robin(spark: SparkSession, cands: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(txn_id, route_id) under R1..R4 rotation skipping ineligible routes."""
+def policy_round_robin(spark: SparkSession, cands: DataFrame, block_size: int = 1 << 20) -> DataFrame:
+    """(txn_id, route_id) under R1..R4 rotation skipping ineligible routes.
+
+    Blocks of consecutive txn_ids (``txn_id div block_size``) are the scan
+    units: pass 1 composes each block's rotation maps (one 4-int map per
+    block), the driver chains the block maps in block order (blocks, not
+    rows), pass 2 replays every block from its start state.  Each block is
+    one pandas group of at most ``block_size`` transactions.
+    """
     table = _choice_table()
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    masks = eligibility_mask(cands)
-    ordered = checkpointed(masks.repartitionByRange(partitions, "txn_id").sortWithinPartitions("txn_id")
-                           .select(F.spark_partition_id().alias("pid"), "txn_id", "mask"))
-
-    def compose(it):
-        fmap, pid = np.arange(N_ROUTES), None
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            pid = int(pdf["pid"].iloc[0])
-            q = _scan(pdf["mask"].to_numpy(), table)
-            fmap = q[-1][fmap]                                  # earlier batches, then this one
-        if pid is not None:
-            yield pd.DataFrame({"pid": [pid], "f0": [fmap[0]], "f1": [fmap[1]],
-                                "f2": [fmap[2]], "f3": [fmap[3]]})
-
-    summaries = ordered.mapInPandas(compose, "pid int, f0 long, f1 long, f2 long, f3 long").collect()
-    fmap = {r.pid: (r.f0, r.f1, r.f2, r.f3) for r in summaries}
+    masks = eligibility_mask(cands).withColumn("block", F.expr(f"txn_id div {int(block_size)}"))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("txn_id", kind="stable")
+        q = _scan(pdf["mask"].to_numpy(), table)
+        f = q[-1] if len(q) else np.arange(N_ROUTES)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "f0": [int(f[0])], "f1": [int(f[1])],
+                             "f2": [int(f[2])], "f3": [int(f[3])]})
+
+    summaries = (masks.groupBy("block")
+                 .applyInPandas(compose, "block long, f0 long, f1 long, f2 long, f3 long").collect())
     start, s = {}, 0
-    for pid in range(partitions):
-        start[pid] = s
-        if pid in fmap:
-            s = int(fmap[pid][s])
+    for r in sorted(summaries, key=lambda r: r.block):
+        start[int(r.block)] = s
+        s = int((r.f0, r.f1, r.f2, r.f3)[s])
     start_bc = spark.sparkContext.broadcast(start)
 
-    def replay(it):
-        st = None
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            if st is None:
-                st = start_bc.value[int(pdf["pid"].iloc[0])]
-            out, st = _choices(pdf["mask"].to_numpy(), table, st)
-            yield pd.DataFrame({"txn_id": pdf["txn_id"].to_numpy(), "route_order": out})
-
-    chosen = ordered.mapInPandas(replay, "txn_id long, route_order long")
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("txn_id", kind="stable")
+        s0 = start_bc.value[int(pdf["block"].iloc[0])]
+        out, _ = _choices(pdf["mask"].to_numpy(), table, s0)
+        return pd.DataFrame({"txn_id": pdf["txn_id"].to_numpy(), "route_order": out})
+
+    chosen = masks.groupBy("block").applyInPandas(replay, "txn_id long, route_order long")
     rid = F.element_at(F.array(*[F.lit(r) for r in C.ROUTE_IDS]), (F.col("route_order") + 1).cast("int"))
     return chosen.where(F.col("route_order") >= 0).select("txn_id", rid.alias("route_id"))
 
