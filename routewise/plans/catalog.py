@@ -29,15 +29,15 @@ TABLES_FOR_ORACLE = ("region nation customer supplier part orders lineitem event
 def oracle_sql_rounded() -> dict[str, str]:
     """Oracle SQL with every DOUBLE output rounded to 6 dp (as the Spark side)."""
     try:
-        from routewise.plans.oracle_doubles import DOUBLE_COLUMNS
+        from routewise.plans.oracle_doubles import DOUBLE_COLUMNS, WIDE_COLUMNS
     except ImportError:  # pragma: no cover
-        DOUBLE_COLUMNS = {}
+        DOUBLE_COLUMNS, WIDE_COLUMNS = {}, {}
     out = {}
     for k, sql in ORACLE.items():
-        cols = DOUBLE_COLUMNS.get(k, [])
-        if cols:
-            rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
-            out[k] = f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS oracle_result"
+        rep = [f"round({c}, 6) AS {c}" for c in DOUBLE_COLUMNS.get(k, [])]
+        rep += [f"CAST({c} AS BIGINT) AS {c}" for c in WIDE_COLUMNS.get(k, [])]
+        if rep:
+            out[k] = f"SELECT * REPLACE ({', '.join(rep)}) FROM (\n{sql}\n) AS oracle_result"
         else:
             out[k] = sql
     return out
@@ -1127,12 +1127,28 @@ def _streams(c: Ctx):
 
 
 STREAM_CTES = """
-, dec AS (SELECT txn_id, ts AS decision_ts, tick, route_id FROM attempts WHERE txn_id % 50 <> 1),
-outc AS (SELECT txn_id, ts AS attempt_ts, ts + to_minutes(CAST(latency_ms AS INT)) AS outcome_ts, tick, bank, route_id, success
-  FROM attempts WHERE txn_id % 50 <> 0)
+, dec AS (SELECT txn_id, ts AS decision_ts, tick, bank, network, route_id FROM attempts WHERE txn_id % 50 <> 1),
+outc AS (SELECT txn_id, ts AS attempt_ts, ts + to_minutes(CAST(latency_ms AS INT)) AS outcome_ts, tick, bank, network,
+  route_id, success, latency_ms FROM attempts WHERE txn_id % 50 <> 0),
+sev AS (SELECT tick, bank, network, route_id, 1 AS req, 0 AS att, 0 AS succ, 0.0::DOUBLE AS lat FROM dec
+  UNION ALL SELECT tick, bank, network, route_id, 0, 1, success, latency_ms FROM outc)
 """
 
 
+def _bucket_sql() -> str:
+    aggs = ("CAST(sum(req) AS BIGINT) AS requests, CAST(sum(att) AS BIGINT) AS attempts, "
+            "CAST(sum(succ) AS BIGINT) AS successes, sum(lat) AS latency_sum")
+    parts = [("route", "NULL", "route_id", "NULL", "route_id"), ("bank", "bank", "NULL", "NULL", "bank"),
+             ("network", "NULL", "NULL", "network", "network"), ("bank_route", "bank", "route_id", "NULL", "bank, route_id"),
+             ("global", "NULL", "NULL", "NULL", None)]
+    sel = []
+    for name, b, r, n, g in parts:
+        grp = f"GROUP BY {g}, tick" if g else "GROUP BY tick"
+        sel.append(f"SELECT '{name}' AS scope, CAST({b} AS VARCHAR) AS bank, CAST({r} AS VARCHAR) AS route_id, "
+                   f"CAST({n} AS VARCHAR) AS network, tick, {aggs} FROM sev {grp}")
+    return " UNION ALL ".join(sel)
+
+
 def register_s(key: str, sql: str | None = None):
     def deco(fn):
         register(key)(fn)
@@ -1186,7 +1202,7 @@ def q_cold_start_fill(c: Ctx) -> DataFrame:
                     F.coalesce("amount_to_bank_avg_ratio", F.lit(1.0)).alias("amount_to_bank_avg_ratio"))
 
 
-@register("stream_minute_buckets")
+@register_s("stream_minute_buckets", _bucket_sql())
 def q_stream_minute_buckets(c: Ctx) -> DataFrame:
     """ST1: five-scope tick buckets from the live streams (update mode, latest per key)."""
     d, o = _streams(c)
@@ -1203,7 +1219,12 @@ def q_stream_bucket_ttl(c: Ctx) -> DataFrame:
     return c.spark.createDataFrame(state_rows(prog), "batch_id long, state_rows long, rows_removed long")
 
 
-@register("stream_rolling_rates")
+@register_s("stream_rolling_rates", """
+SELECT route_id, m AS tick, sum(k) / sum(n) AS route_success_rate_5m, sum(lat) / sum(n) AS route_avg_latency_5m
+FROM (SELECT c.route_id, c.tick + d.off AS m, c.n, c.k, c.lat FROM
+  (SELECT route_id, tick, count(*) AS n, sum(success) AS k, sum(latency_ms) AS lat FROM outc GROUP BY route_id, tick) c
+  CROSS JOIN (SELECT unnest(range(1, 6)) AS off) d)
+GROUP BY route_id, m""")
 def q_stream_rolling_rates(c: Ctx) -> DataFrame:
     """ST3: trailing 5-tick route rate / latency from sliding windows (window end = feature tick)."""
     _, o = _streams(c)
@@ -1219,7 +1240,8 @@ def q_stream_last_flagged(c: Ctx) -> DataFrame:
     return res
 
 
-@register("stream_last_success")
+@register_s("stream_last_success",
+            "SELECT bank, route_id, max(tick) AS last_success_tick FROM outc WHERE success = 1 GROUP BY bank, route_id")
 def q_stream_last_success(c: Ctx) -> DataFrame:
     """ST5: last success tick per (bank, route)."""
     _, o = _streams(c)
@@ -1227,7 +1249,9 @@ def q_stream_last_success(c: Ctx) -> DataFrame:
     return res
 
 
-@register("stream_decision_outcome")
+@register_s("stream_decision_outcome", """
+SELECT d.txn_id, d.route_id, o.success FROM dec d JOIN outc o ON o.txn_id = d.txn_id
+ AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR""")
 def q_stream_decision_outcome(c: Ctx) -> DataFrame:
     """ST6: stream-stream join of decisions and outcomes within 1 h (both watermarked)."""
     d, o = _streams(c)
@@ -1235,7 +1259,7 @@ def q_stream_decision_outcome(c: Ctx) -> DataFrame:
     return res.select("txn_id", "route_id", "success")
 
 
-@register("stream_dedup_outcomes")
+@register_s("stream_dedup_outcomes", "SELECT txn_id, success FROM outc")
 def q_stream_dedup_outcomes(c: Ctx) -> DataFrame:
     """ST7: idempotent outcomes (dropDuplicatesWithinWatermark on the attempt id)."""
     _, o = _streams(c)
@@ -1259,7 +1283,7 @@ def q_stream_bank_amount(c: Ctx) -> DataFrame:
     return res
 
 
-@register("stream_system_tps")
+@register_s("stream_system_tps", "SELECT tick + 1 AS tick, count(*) / 3600.0 AS system_tps FROM dec GROUP BY tick")
 def q_stream_system_tps(c: Ctx) -> DataFrame:
     """ST10: requests in the previous tick / tick length."""
     d, _ = _streams(c)
@@ -1299,3 +1323,70 @@ def q_stream_route(c: Ctx) -> DataFrame:
     """ST12: score candidates, argmax, emit decision + candidate array."""
     r = _serve(c, decide=True)
     return r.select("txn_id", "chosen_route_id", "chosen_p", F.size("candidates").alias("n_candidates"))
+
+
+# ------------------------------------------- G19 split keys, second binding
+@register_e("log_loss", """
+SELECT avg(-(success * ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+      + (1 - success) * ln(1 - least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))) AS log_loss FROM tst""")
+def q_log_loss(c: Ctx) -> DataFrame:
+    """Log loss with p clipped to [eps, 1 - eps]."""
+    return EV.proper_scores(_part(c, "test")).select("log_loss")
+
+
+@register_e("accuracy", "SELECT avg(CAST(CAST(NOT (1.0 - p >= 0.5) AS INT) = success AS DOUBLE)) AS accuracy FROM tst")
+def q_accuracy(c: Ctx) -> DataFrame:
+    """Accuracy of the 0.5 decision."""
+    return EV.proper_scores(_part(c, "test")).select("accuracy")
+
+
+ORDERS_ATTEMPTS = """
+WITH oa AS (SELECT o.o_orderkey AS txn_id, CAST(floor(epoch(o.o_orderdate) / 86400) AS BIGINT) AS tick,
+  o.o_totalprice AS amount, c.c_mktsegment AS bank, 'R' || CAST(1 + o.o_custkey % 4 AS VARCHAR) AS route_id,
+  CAST(o.o_orderstatus <> 'F' AS INT) AS success
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey)
+"""
+
+
+def _orders_attempts(c: Ctx) -> DataFrame:
+    from routewise.sources.bindings import attempts_from_orders
+    return attempts_from_orders(c.table("orders"), c.table("customer"))
+
+
+QUERIES_SQL_ORDERS = ORDERS_ATTEMPTS + """
+SELECT txn_id,
+  coalesce(CAST(tick - last_value(CASE WHEN success = 1 THEN tick END IGNORE NULLS) OVER
+    (PARTITION BY bank, route_id ORDER BY txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 9999.0)
+    AS time_since_last_bank_route_success,
+  CASE WHEN count(*) OVER wb > 0 THEN amount / (sum(amount) OVER wb / count(*) OVER wb) END AS amount_to_bank_avg_ratio
+FROM oa WINDOW wb AS (PARTITION BY bank ORDER BY txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+@register("orders_txn_order_features")
+def q_orders_txn_order_features(c: Ctx) -> DataFrame:
+    """W12/W13 on the second binding (orders x customer), where txn order differs from time order."""
+    from routewise.operators.features import scope_cells, txn_order_features
+    a = _orders_attempts(c)
+    return txn_order_features(a, scope_cells(a, c.block_size), c.block_size).select(
+        "txn_id", "time_since_last_bank_route_success", "amount_to_bank_avg_ratio")
+
+
+ORACLE["orders_txn_order_features"] = QUERIES_SQL_ORDERS
+
+
+@register("orders_route_rates")
+def q_orders_route_rates(c: Ctx) -> DataFrame:
+    """W2 on the second binding: 5/15-day route success rates at every active (route, day)."""
+    from routewise.operators.features import build_state
+    a = _orders_attempts(c)
+    st = build_state(a, c.routes, 86400, c.block_size)
+    return st.route.where("is_active").select("route_id", "tick", "route_success_rate_5m", "route_success_rate_15m")
+
+
+ORACLE["orders_route_rates"] = ORDERS_ATTEMPTS + """
+, rc AS (SELECT route_id, tick, count(*) AS n, sum(success) AS k FROM oa GROUP BY route_id, tick)
+SELECT route_id, tick,
+  CASE WHEN sum(n) OVER w5 > 0 THEN sum(k) OVER w5 / sum(n) OVER w5 END AS route_success_rate_5m,
+  CASE WHEN sum(n) OVER w15 > 0 THEN sum(k) OVER w15 / sum(n) OVER w15 END AS route_success_rate_15m
+FROM rc WINDOW w5 AS (PARTITION BY route_id ORDER BY tick RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING),
+  w15 AS (PARTITION BY route_id ORDER BY tick RANGE BETWEEN 15 PRECEDING AND 1 PRECEDING)"""

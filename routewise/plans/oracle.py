@@ -92,7 +92,7 @@ ft AS (SELECT a.txn_id, a.tick, (a.tick*60 // 1440) % 7 AS day_in_week, (a.tick*
   CASE WHEN a.tick < (SELECT train_ticks FROM bounds) THEN 'train' ELSE 'test' END AS dataset_split
   FROM attempts a LEFT JOIN rlive l USING (route_id, tick) LEFT JOIN brfeat br USING (bank, route_id, tick)
   LEFT JOIN base USING (route_id) LEFT JOIN routes ro USING (route_id)),
-fe AS (SELECT ft.*,
+fe AS MATERIALIZED (SELECT ft.*,
   1.0 - route_success_rate_5m AS route_failure_rate_5m, 1.0 - route_success_rate_15m AS route_failure_rate_15m,
   route_base_success_rate - route_success_rate_5m AS route_success_drop_5m,
   route_base_success_rate - route_success_rate_15m AS route_success_drop_15m,
@@ -130,7 +130,7 @@ candf AS (SELECT x.*, base.route_base_success_rate, base.route_base_latency_ms,
   cbr.bank_route_success_rate_15m, c1m.route_failure_rate_1m, cbr.time_since_last_bank_route_success
   FROM cand x JOIN rlive l USING (route_id, tick) LEFT JOIN cbr USING (txn_id, route_id)
   LEFT JOIN c1m USING (txn_id, route_id) LEFT JOIN base USING (route_id) JOIN routes ro USING (route_id)),
-cands AS (SELECT *, 1.0 - route_success_rate_5m AS route_failure_rate_5m, 1.0 - route_success_rate_15m AS route_failure_rate_15m,
+cands AS MATERIALIZED (SELECT *, 1.0 - route_success_rate_5m AS route_failure_rate_5m, 1.0 - route_success_rate_15m AS route_failure_rate_15m,
   route_base_success_rate - route_success_rate_5m AS route_success_drop_5m,
   route_base_success_rate - route_success_rate_15m AS route_success_drop_15m,
   route_avg_latency_5m / (route_base_latency_ms + 1e-6) AS route_latency_ratio,
@@ -139,7 +139,7 @@ cands AS (SELECT *, 1.0 - route_success_rate_5m AS route_failure_rate_5m, 1.0 -
   bank_route_success_rate_15m AS p, route_success_rate_5m AS outcome_proxy FROM candf),
 argmax AS (SELECT txn_id, route_id, p FROM (SELECT txn_id, route_id, p,
   row_number() OVER (PARTITION BY txn_id ORDER BY p DESC, route_order) AS rn FROM cands) WHERE rn = 1),
-rr_in AS (SELECT txn_id, CAST(sum(1 << route_order) AS INT) AS mask, row_number() OVER (ORDER BY txn_id) AS i
+rr_in AS MATERIALIZED (SELECT txn_id, CAST(sum(1 << route_order) AS INT) AS mask, row_number() OVER (ORDER BY txn_id) AS i
   FROM cands GROUP BY txn_id),
 rr AS (WITH RECURSIVE walk(i, txn_id, pick, rot) AS (
     SELECT 0::BIGINT, NULL::BIGINT, NULL::INT, 0::INT

@@ -1,6 +1,7 @@
 """Generated by tools/gen_oracle_doubles.py: DOUBLE output columns per oracle query."""
 
 DOUBLE_COLUMNS = {
+    'accuracy': ['accuracy'],
     'amount_bands': ['amount_penalty', 'clamped_amount'],
     'amount_to_bank_avg_ratio': ['amount_to_bank_avg_ratio'],
     'asof_group_state': ['route_failure_rate_1m', 'time_since_last_bank_route_success'],
@@ -43,6 +44,7 @@ DOUBLE_COLUMNS = {
     'inf_to_null': ['amount_per_latency'],
     'label_split': [],
     'load_response': ['what_if_utilization', 'success_multiplier', 'latency_multiplier'],
+    'log_loss': ['log_loss'],
     'lookup_first_in_tick': ['time_since_last_bank_route_success'],
     'minute_table': ['latency_sum'],
     'model_inputs': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_utilization', 'system_tps', 'time_since_last_failure', 'route_flagged_down', 'bank_route_success_rate_15m', 'route_failure_rate_5m', 'route_failure_rate_15m', 'route_success_drop_5m', 'route_success_drop_15m', 'route_latency_ratio', 'bank_route_gap', 'route_stress', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
@@ -51,6 +53,8 @@ DOUBLE_COLUMNS = {
     'no_eligible_route': [],
     'null_profile': [],
     'order_features': [],
+    'orders_route_rates': ['route_success_rate_5m', 'route_success_rate_15m'],
+    'orders_txn_order_features': ['time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
     'orphan_outcomes': [],
     'outcome_proxy': ['outcome_proxy'],
     'overall_baseline': ['overall_baseline'],
@@ -81,6 +85,12 @@ DOUBLE_COLUMNS = {
     'route_success_rate_5m': ['route_success_rate_5m', 'route_success_rate_15m'],
     'spine_fill': [],
     'split_counts': [],
+    'stream_decision_outcome': [],
+    'stream_dedup_outcomes': [],
+    'stream_last_success': [],
+    'stream_minute_buckets': ['latency_sum'],
+    'stream_rolling_rates': ['route_success_rate_5m', 'route_avg_latency_5m'],
+    'stream_system_tps': ['system_tps'],
     'target_recall_threshold': ['threshold', 'precision', 'recall'],
     'threshold_metrics': ['threshold', 'failure_precision', 'failure_recall', 'accuracy'],
     'time_features': [],
@@ -94,3 +104,17 @@ DOUBLE_COLUMNS = {
     'weighted_split': [],
     'write_features': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m'],
 }
+
+# integer-valued columns DuckDB widens (HUGEINT) or makes DECIMAL: cast to BIGINT / DOUBLE
+WIDE_COLUMNS = {
+    'bank_minute': ['failure_count'],
+    'class_balance': ['failures', 'successes'],
+    'classification_report': ['support'],
+    'cost_sweep': ['predicted_failures'],
+    'network_minute': ['failure_count'],
+    'null_profile': ['n_null'],
+    'prior_rolling_sum': ['requests_5m', 'successes_5m', 'requests_15m', 'successes_15m'],
+    'route_minute': ['failure_count'],
+    'threshold_metrics': ['predicted_failures'],
+    'validate_attempts': ['violations'],
+}
