@@ -267,10 +267,25 @@ class FeatureState:
     b_prefix: DataFrame
     total_ticks: Column
     train_ticks: Column
+    block_size: int = DEFAULT_BLOCK_SIZE
+
+
+def adaptive_block_size(attempts: DataFrame, target_blocks: int = 1 << 14, floor: int = 1 << 10) -> int:
+    """Transaction-block width so that each (bank, route) has <= ``target_blocks`` blocks.
+
+    One min/max aggregate over the id column (cheap, column-pruned).  Block
+    tables are then bounded by pairs x target_blocks rows (broadcastable),
+    and each in-block window partition holds at most range / target_blocks
+    rows.
+    """
+    lo, hi = attempts.agg(F.min("txn_id"), F.max("txn_id")).first()
+    if lo is None:
+        return floor
+    return max(floor, -(-(int(hi) - int(lo) + 1) // target_blocks))
 
 
 def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600,
-                block_size: int = DEFAULT_BLOCK_SIZE, probes: bool = False,
+                block_size: int | None = DEFAULT_BLOCK_SIZE, probes: bool = False,
                 rate_mode: str = "active", materialize: bool = True,
                 max_cells: int = MAX_BROADCAST_ROWS // 8) -> FeatureState:
     """Scan the fact table once into scope cells and derive every state table.
@@ -283,12 +298,18 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
 
     ``probes=True`` also evaluates every route (and bank x route) at every
     tick with traffic, for candidate-route lookups (<= 4x the cells).
+    ``block_size=None`` sizes transaction blocks from the id range so the
+    block tables stay bounded (see :func:`adaptive_block_size`).
     """
+    if block_size is None:
+        block_size = adaptive_block_size(attempts)
     cells = scope_cells(attempts, block_size)
-    small = False
+    small = small_blocks = False
     if materialize:
-        cells = checkpointed(cells)
-        small = cells.count() <= max_cells
+        cells = checkpointed(cells, "scope_cells")
+        sizes = dict(cells.groupBy(F.col("scope") == "block").count().collect())
+        small = sizes.get(False, 0) <= max_cells          # tick scopes: keys x ticks
+        small_blocks = sizes.get(True, 0) <= max_cells    # block scope: pairs x blocks
     # Scalars (timeline bounds, fallback prior) are aggregated on the small
     # cell table and fetched once, so later plans carry literals instead of
     # nested sub-queries.
@@ -297,7 +318,7 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
     total, train = F.lit(total_n).cast("long"), F.lit(train_n).cast("long")
     baselines = baselines_from_cells(cells, train, routes)
     if materialize:
-        baselines = F.broadcast(checkpointed(baselines))     # <= 4 rows (route dimension)
+        baselines = F.broadcast(checkpointed(baselines, "baselines"))   # <= 4 rows (route dimension)
     prior = baselines.agg(F.avg("route_base_success_rate")).first()[0]
     prior_default = F.lit(prior).cast("double")
     rprobe = brprobe = None
@@ -313,9 +334,11 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
     net_rate = active_failure_rate(cells, "network", "network", "network_failure_rate_5m", mode=rate_mode)
     br_prev, b_prev = block_prefix_tables(cells)
     if small:
-        route, bank_route, bank_rate, net_rate, br_prev, b_prev = (
-            F.broadcast(t) for t in (route, bank_route, bank_rate, net_rate, br_prev, b_prev))
-    return FeatureState(cells, route, bank_route, bank_rate, net_rate, baselines, br_prev, b_prev, total, train)
+        route, bank_route, bank_rate, net_rate = (F.broadcast(t) for t in (route, bank_route, bank_rate, net_rate))
+    if small_blocks:
+        br_prev, b_prev = F.broadcast(br_prev), F.broadcast(b_prev)
+    return FeatureState(cells, route, bank_route, bank_rate, net_rate, baselines, br_prev, b_prev, total, train,
+                        block_size)
 
 
 ROUTE_LIVE = ("route_success_rate_5m", "route_success_rate_15m", "route_avg_latency_5m",
@@ -328,7 +351,7 @@ def feature_table(attempts: DataFrame, state: FeatureState, tick_seconds: int =
     """The 28-column feature table (v2), optionally with the engineered inputs."""
     a = attempts
     if engineered:
-        a = txn_order_features(a, state.cells, block_size, (state.br_prefix, state.b_prefix))
+        a = txn_order_features(a, state.cells, state.block_size, (state.br_prefix, state.b_prefix))
     a = (a.join(state.route.select("route_id", "tick", *ROUTE_LIVE, "route_failure_rate_1m"),
                 ["route_id", "tick"], "left")
          .join(state.bank_route.select("bank", "route_id", "tick", "bank_route_success_rate_15m"),

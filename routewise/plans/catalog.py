@@ -235,7 +235,7 @@ def q_route_failure_rate_1m(c: Ctx) -> DataFrame:
 @register("time_since_last_bank_route_success", "SELECT txn_id, time_since_last_bank_route_success FROM txnf")
 def q_tslbrs(c: Ctx) -> DataFrame:
     """Ticks since the last prior success of (bank, route) in txn order."""
-    return FT.txn_order_features(c.attempts, c.state.cells, c.block_size,
+    return FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size,
                                  (c.state.br_prefix, c.state.b_prefix)).select(
         "txn_id", "time_since_last_bank_route_success")
 
@@ -243,7 +243,7 @@ def q_tslbrs(c: Ctx) -> DataFrame:
 @register("amount_to_bank_avg_ratio", "SELECT txn_id, amount_to_bank_avg_ratio FROM txnf")
 def q_amount_ratio(c: Ctx) -> DataFrame:
     """Amount / mean of all prior amounts of the bank in txn order."""
-    return FT.txn_order_features(c.attempts, c.state.cells, c.block_size,
+    return FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size,
                                  (c.state.br_prefix, c.state.b_prefix)).select("txn_id", "amount_to_bank_avg_ratio")
 
 
@@ -462,7 +462,7 @@ SELECT bank, route_id, tick, arg_min(t.time_since_last_bank_route_success, a.txn
 FROM attempts a JOIN txnf t USING (txn_id) GROUP BY bank, route_id, tick""")
 def q_lookup_first_in_tick(c: Ctx) -> DataFrame:
     """First row per (bank, route, tick) in txn order (order-aware dedup)."""
-    f = FT.txn_order_features(c.attempts, c.state.cells, c.block_size, (c.state.br_prefix, c.state.b_prefix))
+    f = FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size, (c.state.br_prefix, c.state.b_prefix))
     return CD.lookup_first_in_tick(f, ["bank", "route_id"], "time_since_last_bank_route_success")
 
 
@@ -1367,7 +1367,9 @@ def q_orders_txn_order_features(c: Ctx) -> DataFrame:
     """W12/W13 on the second binding (orders x customer), where txn order differs from time order."""
     from routewise.operators.features import scope_cells, txn_order_features
     a = _orders_attempts(c)
-    return txn_order_features(a, scope_cells(a, c.block_size), c.block_size).select(
+    from routewise.operators.features import adaptive_block_size
+    bs = adaptive_block_size(a)
+    return txn_order_features(a, scope_cells(a, bs), bs).select(
         "txn_id", "time_since_last_bank_route_success", "amount_to_bank_avg_ratio")
 
 
@@ -1379,7 +1381,7 @@ def q_orders_route_rates(c: Ctx) -> DataFrame:
     """W2 on the second binding: 5/15-day route success rates at every active (route, day)."""
     from routewise.operators.features import build_state
     a = _orders_attempts(c)
-    st = build_state(a, c.routes, 86400, c.block_size)
+    st = build_state(a, c.routes, 86400, None)
     return st.route.where("is_active").select("route_id", "tick", "route_success_rate_5m", "route_success_rate_15m")
 
 

@@ -19,9 +19,17 @@ from routewise.sources.tables import read_table
 
 class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str, tick_seconds: int = 3600,
-                 block_size: int = DEFAULT_BLOCK_SIZE, probes: bool = False):
+                 block_size: int | None = None, probes: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
-        self.tick_seconds, self.block_size, self.probes = tick_seconds, block_size, probes
+        self.tick_seconds, self._block_size, self.probes = tick_seconds, block_size, probes
+
+    @property
+    def block_size(self) -> int:
+        """Transaction-block width: explicit, or sized from the id range (bounded block tables)."""
+        if self._block_size is None:
+            from routewise.operators.features import adaptive_block_size
+            self._block_size = adaptive_block_size(self.attempts)
+        return self._block_size
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -43,7 +51,7 @@ class Ctx:
         return build_state(self.attempts, self.routes, self.tick_seconds, self.block_size, probes=self.probes)
 
     def features(self, engineered: bool = True) -> DataFrame:
-        return feature_table(self.attempts, self.state, self.tick_seconds, self.block_size, engineered)
+        return feature_table(self.attempts, self.state, self.tick_seconds, self.state.block_size, engineered)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:

@@ -163,10 +163,14 @@ def _incident_fn(tick_seconds: int, w: int, threshold: float, sentinel: float):
         else:
             counts, last_flagged, next_eval = {}, None, None
         for pdf in pdfs:
-            for t, s in zip(pdf["tick"].to_numpy(), pdf["success"].to_numpy()):
+            if len(pdf) == 0:
+                continue
+            # vectorised: a hot route's batch collapses to one row per tick
+            g = pdf.groupby("tick")["success"].agg(["size", "sum"])
+            for t, (a, b) in zip(g.index.to_numpy(), g.to_numpy()):
                 c = counts.setdefault(int(t), [0, 0])
-                c[0] += 1
-                c[1] += int(s)
+                c[0] += int(a)
+                c[1] += int(b)
         if next_eval is None and counts:
             next_eval = min(counts)
         wm = state.getCurrentWatermarkMs()

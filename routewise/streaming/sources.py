@@ -49,12 +49,14 @@ def outcomes(attempts_ts: DataFrame) -> DataFrame:
     return base.unionByName(base.where(F.col("txn_id") % 10 == 0))
 
 
-def write_time_ordered(df: DataFrame, path: str, ts_col: str, files: int = 4) -> str:
-    """Write ``files`` parquet parts, each a consecutive time range, oldest first.
-
-    The range index comes from the min/max event time (two scalars), so no
-    global sort; parts are written one after another so file modification
-    times follow event time (the file source replays them in that order).
+def write_time_ordered(df: DataFrame, path: str, ts_col: str, files: int = 8) -> str:
+    """Write ``files`` parquet files, each one consecutive time range, oldest first.
+
+    This is a replay source for tests and benchmarks (a live deployment reads
+    the event bus instead).  The range index comes from the min/max event
+    time (two scalars), so there is no global sort; each range is written as
+    one file, one range after another, so file modification times follow
+    event time and the file source replays one range per micro-batch.
     """
     secs = F.unix_micros(F.col(ts_col))
     lo, hi = df.agg(F.min(secs), F.max(secs)).first()
@@ -65,11 +67,11 @@ def write_time_ordered(df: DataFrame, path: str, ts_col: str, files: int = 4) ->
     part = F.least(F.floor((secs - F.lit(lo)) / F.lit(span) * files), F.lit(files - 1))
     tagged = df.withColumn("_part", part)
     for i in range(files):
-        tagged.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(path)
+        tagged.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def materialise_streams(spark: SparkSession, attempts_ts: DataFrame, files: int = 4) -> tuple[str, str]:
+def materialise_streams(spark: SparkSession, attempts_ts: DataFrame, files: int = 8) -> tuple[str, str]:
     root = shared_path(spark, "streams")
     d = write_time_ordered(decisions(attempts_ts), os.path.join(root, "decisions"), "decision_ts", files)
     o = write_time_ordered(outcomes(attempts_ts), os.path.join(root, "outcomes"), "outcome_ts", files)
@@ -77,8 +79,8 @@ def materialise_streams(spark: SparkSession, attempts_ts: DataFrame, files: int
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(DECISION_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(DECISION_SCHEMA).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(OUTCOME_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(OUTCOME_SCHEMA).option("maxFilesPerTrigger", 2).parquet(path)

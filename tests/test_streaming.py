@@ -35,8 +35,9 @@ def test_rolling_rates_equal_batch(spark):
     s = {(r.route_id, r.tick): r.route_success_rate_5m for r in QUERIES["stream_rolling_rates"](spark, SF_TINY).collect()}
     a = read_attempts(spark, SF_TINY).where(F.col("txn_id") % 50 != 0)
     cells = minute_table(a, ["route_id"])
-    b = cells.select("route_id", "tick", (prior_rolling_sum("success_count", ["route_id"], 5)
-                                          / prior_rolling_sum("request_count", ["route_id"], 5)).alias("r"))
+    from routewise.functions.exprs import ratio
+    b = cells.select("route_id", "tick", ratio(prior_rolling_sum("success_count", ["route_id"], 5),
+                                               prior_rolling_sum("request_count", ["route_id"], 5)).alias("r"))
     checked = 0
     for r in b.collect():
         if r.r is not None and (r.route_id, r.tick) in s:
