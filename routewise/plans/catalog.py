@@ -591,9 +591,13 @@ def register_e(key: str, sql: str | None = None):
     return deco
 
 
-def scored(c: Ctx) -> DataFrame:
-    """Feature rows with the 3-way split and the SQL-expressible score p."""
-    f = EV.split_three(c.features(True), c.block_size, c.attempts, c.state.train_ticks)
+def scored(c: Ctx, engineered: bool = False) -> DataFrame:
+    """Feature rows with the 3-way split and the SQL-expressible score p.
+
+    Score-only consumers use the 28-column table (no transaction-order
+    windows, so no shuffle of the fact table); the model uses all inputs.
+    """
+    f = EV.split_three(c.features(engineered), c.block_size, c.attempts, c.state.train_ticks)
     return f.withColumn("p", F.col("bank_route_success_rate_15m"))
 
 
@@ -924,7 +928,7 @@ from routewise.operators import learn as LN  # noqa: E402
 
 def _prep(c: Ctx) -> "LN.Prepared":
     if not hasattr(c, "_prep"):
-        c._prep = LN.Prepared(scored(c))
+        c._prep = LN.Prepared(scored(c, engineered=True))
     return c._prep
 
 
@@ -945,7 +949,7 @@ def _calibrated(c: Ctx):
     + ", ".join(C.NUMERIC_FEATURES) + "))")
 def q_impute_median(c: Ctx) -> DataFrame:
     """M1: exact (interpolated) training medians of the 26 numeric inputs, distributed."""
-    tr = scored(c).where(F.col("split3") == "train")
+    tr = scored(c, engineered=True).where(F.col("split3") == "train")
     return LN.exact_median(tr, C.NUMERIC_FEATURES)
 
 
