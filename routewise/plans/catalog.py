@@ -740,7 +740,7 @@ def q_ranked_thresholds(c: Ctx) -> DataFrame:
     from pyspark.sql import Window
     sw = EV.sweep(_part(c, "validation"), EV.cost_sweep_thresholds())
     r = sw.select("threshold", F.round("cost_per_txn", 4).alias("cost_per_txn"), F.round("total_cost", 2).alias("total_cost"))
-    return r.withColumn("cost_rank", F.row_number().over(Window.orderBy("cost_per_txn", "threshold")))
+    return r.withColumn("cost_rank", F.row_number().over(Window.orderBy("cost_per_txn", "threshold")).cast("long"))
 
 
 @register_e("constrained_cost_threshold", """

@@ -26,3 +26,17 @@ def test_argmax_is_one_partial_aggregate(spark):
     c = Ctx(spark, SF_TINY)
     plan = _plan(policy_argmax(candidates(c)))
     assert "partial_max_by" in plan
+
+
+def test_fact_table_scanned_and_shuffled_once(spark):
+    """The final feature plan reads `events` once and shuffles it once (bank, block);
+    every state table arrives by broadcast."""
+    import re
+    c = Ctx(spark, SF_TINY)
+    f = c.features(True)
+    f.write.format("noop").mode("overwrite").save()
+    plan = _plan(f)
+    assert plan.count("events.parquet") == 1
+    assert "SortMergeJoin" not in plan
+    fact_shuffles = re.findall(r"Exchange hashpartitioning\(bank#\d+, block#\d+", plan)
+    assert len(fact_shuffles) == 1
