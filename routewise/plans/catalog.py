@@ -807,24 +807,8 @@ def q_brier(c: Ctx) -> DataFrame:
 
 @register_e("evaluate", None)
 def q_evaluate(c: Ctx) -> DataFrame:
-    """ROC-AUC, AP, log loss, Brier, accuracy and failure P/R/F1 on one cached scored frame."""
-    from routewise.plans.materialize import checkpointed
-    t = checkpointed(_part(c, "test").select("txn_id", "p", "success", "amount", "route_cost_percent"))
-    auc = EV.roc_auc(t).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-    ap = EV.average_precision(t).select(F.lit("average_precision").alias("metric"), F.col("average_precision").alias("value"))
-    ps = EV.proper_scores(t, EVAL_THRESHOLD)
-    rep = EV.classification_report(t, EVAL_THRESHOLD).where(F.col("label") == "0")
-    parts = [auc, ap,
-             ps.select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")),
-             ps.select(F.lit("brier").alias("metric"), F.col("brier").alias("value")),
-             ps.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-             rep.select(F.lit("failure_precision").alias("metric"), F.col("precision").alias("value")),
-             rep.select(F.lit("failure_recall").alias("metric"), F.col("recall").alias("value")),
-             rep.select(F.lit("failure_f1").alias("metric"), F.col("f1_score").alias("value"))]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    """ROC-AUC, AP, log loss, Brier, accuracy and failure P/R/F1 on one materialised scored frame."""
+    return _metric_rows(_part(c, "test").select("p", "success", "amount", "route_cost_percent"))
 
 
 ORACLE["evaluate"] = with_eval(f"""
@@ -1052,15 +1036,31 @@ def q_calibration_gain(c: Ctx) -> DataFrame:
 
 @register("model_evaluate")
 def q_model_evaluate(c: Ctx) -> DataFrame:
-    """M13 with the trained, calibrated model: AUC, AP, log loss, Brier, failure P/R/F1."""
-    s = LN.score(_model(c), _calibrated(c), _prep(c).test).select("p", "success", "amount", "route_cost_percent")
+    """M13 with the trained, calibrated model: AUC, AP, log loss, Brier, accuracy, failure P/R/F1."""
     from routewise.plans.materialize import checkpointed
-    s = checkpointed(s)
-    rep = EV.classification_report(s, EVAL_THRESHOLD).where(F.col("label") == "0")
-    ps = EV.proper_scores(s, EVAL_THRESHOLD)
-    return (EV.roc_auc(s).join(EV.average_precision(s)).join(ps)
-            .join(rep.select(F.col("precision").alias("failure_precision"), F.col("recall").alias("failure_recall"),
-                             F.col("f1_score").alias("failure_f1"))))
+    s = checkpointed(LN.score(_model(c), _calibrated(c), _prep(c).test)
+                     .select("p", "success", "amount", "route_cost_percent"), "model_scores")
+    return _metric_rows(s)
+
+
+def _metric_rows(t: DataFrame) -> DataFrame:
+    """(metric, value) rows over one materialised scored frame -- a union, no joins."""
+    auc = EV.roc_auc(t).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
+    ap = EV.average_precision(t).select(F.lit("average_precision").alias("metric"),
+                                        F.col("average_precision").alias("value"))
+    ps = EV.proper_scores(t, EVAL_THRESHOLD)
+    rep = EV.classification_report(t, EVAL_THRESHOLD).where(F.col("label") == "0")
+    parts = [auc, ap,
+             ps.select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")),
+             ps.select(F.lit("brier").alias("metric"), F.col("brier").alias("value")),
+             ps.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+             rep.select(F.lit("failure_precision").alias("metric"), F.col("precision").alias("value")),
+             rep.select(F.lit("failure_recall").alias("metric"), F.col("recall").alias("value")),
+             rep.select(F.lit("failure_f1").alias("metric"), F.col("f1_score").alias("value"))]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 @register("score_candidates")
