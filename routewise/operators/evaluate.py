@@ -39,15 +39,15 @@ def split_boundary(attempts: DataFrame, train_ticks: Column, block_size: int = D
     fetches one row.
     """
     tr = attempts.where(F.col("tick") < train_ticks).select("tick", "txn_id")
-    n = tr.count()
-    cut = int(n * (1.0 - C.VALIDATION_FRACTION))
-    if cut >= n:
-        return None
     per_tick = tr.groupBy("tick").agg(F.count(F.lit(1)).alias("n_t"))
     w = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (per_tick.select("tick", "n_t", F.sum("n_t").over(w).alias("cum"))
-           .where((F.col("cum") > cut) & (F.col("cum") - F.col("n_t") <= cut))
-           .select("tick", (F.lit(cut) - (F.col("cum") - F.col("n_t"))).alias("k")).first())
+    every = Window.partitionBy()          # the per-tick table: one row per tick
+    x = per_tick.select("tick", "n_t", F.sum("n_t").over(w).alias("cum"), F.sum("n_t").over(every).alias("n"))
+    x = x.withColumn("cut", (F.col("n") * F.lit(1.0 - C.VALIDATION_FRACTION)).cast("long"))
+    hit = (x.where((F.col("cum") > F.col("cut")) & (F.col("cum") - F.col("n_t") <= F.col("cut")))
+           .select("tick", (F.col("cut") - (F.col("cum") - F.col("n_t"))).alias("k")).first())
+    if hit is None:                       # no training rows, or nothing left for validation
+        return None
     tick_star, k = hit["tick"], hit["k"]
     rows = tr.where(F.col("tick") == tick_star).withColumn("block", F.expr(f"txn_id div {int(block_size)}"))
     blocks = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n_b"))

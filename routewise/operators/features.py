@@ -307,20 +307,28 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
     small = small_blocks = False
     if materialize:
         cells = checkpointed(cells, "scope_cells")
-        sizes = dict(cells.groupBy(F.col("scope") == "block").count().collect())
-        small = sizes.get(False, 0) <= max_cells          # tick scopes: keys x ticks
-        small_blocks = sizes.get(True, 0) <= max_cells    # block scope: pairs x blocks
-    # Scalars (timeline bounds, fallback prior) are aggregated on the small
-    # cell table and fetched once, so later plans carry literals instead of
-    # nested sub-queries.
-    total_n = cells.where(F.col("scope") == "global").agg((F.max("tick") + 1).cast("long")).first()[0] or 0
+    # One aggregate over the (small) cell table: sizes for the broadcast
+    # decision and the timeline length; scalars come back as literals so later
+    # plans carry no nested sub-queries.
+    is_block = F.col("scope") == "block"
+    n_tick, n_block, total_n = cells.agg(
+        F.count_if(~is_block), F.count_if(is_block),
+        F.max(F.when(F.col("scope") == "global", F.col("tick") + 1))).first()
+    total_n = int(total_n or 0)
+    if materialize:
+        small = n_tick <= max_cells            # tick scopes: keys x ticks
+        small_blocks = n_block <= max_cells    # block scope: pairs x blocks
     train_n = int(total_n * C.TRAIN_FRACTION)
     total, train = F.lit(total_n).cast("long"), F.lit(train_n).cast("long")
-    baselines = baselines_from_cells(cells, train, routes)
-    if materialize:
-        baselines = F.broadcast(checkpointed(baselines, "baselines"))   # <= 4 rows (route dimension)
-    prior = baselines.agg(F.avg("route_base_success_rate")).first()[0]
-    prior_default = F.lit(prior).cast("double")
+    # Route baselines: at most one row per route of the 4-row dimension, so
+    # the fitted values are fetched and re-served as a tiny broadcast table.
+    base_rows = baselines_from_cells(cells, train, routes).collect()
+    spark = attempts.sparkSession
+    baselines = F.broadcast(spark.createDataFrame(
+        [tuple(r) for r in base_rows],
+        "route_id string, route_base_success_rate double, route_base_latency_ms double"))
+    rates = [r["route_base_success_rate"] for r in base_rows if r["route_base_success_rate"] is not None]
+    prior_default = F.lit(sum(rates) / len(rates) if rates else None).cast("double")
     rprobe = brprobe = None
     if probes:
         rids = F.array(*[F.lit(r) for r in C.ROUTE_IDS])
