@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routewise import constants as C
 from routewise.sources.tables import read_table
@@ -27,6 +28,18 @@ ATTEMPT_COLUMNS = ("txn_id", "tick", "amount", "bank", "network", "payment_metho
                    "merchant", "device", "risk", "route_id", "success", "latency_ms")
 
 
+def utc_instant(df: DataFrame, col: str) -> Column:
+    """Timestamp column as a UTC instant, independent of the session time zone.
+
+    The driver tables store wall-clock TIMESTAMP_NTZ values meaning UTC; a
+    plain cast to TIMESTAMP would read them in the session time zone.
+    """
+    if isinstance(df.schema[col].dataType, T.TimestampNTZType):
+        micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(col))
+        return F.timestamp_micros(micros)
+    return F.col(col).cast("timestamp")
+
+
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -55,11 +68,11 @@ def attempts_from_events(events: DataFrame, tick_seconds: int = 3600) -> DataFra
     """Primary binding: the `events` table becomes payment attempts."""
     eid = F.col("event_id")
     uid = F.col("user_id")
-    ts = F.col("ts").cast("timestamp")
+    ts = utc_instant(events, "ts")
     e = events.select(
         eid.alias("txn_id"),
         ts.alias("ts"),
-        F.floor((F.unix_timestamp(ts) - F.lit(EPOCH_2024)) / F.lit(tick_seconds)).cast("long").alias("tick"),
+        F.floor((F.unix_micros(ts) / F.lit(1_000_000) - F.lit(EPOCH_2024)) / F.lit(tick_seconds)).cast("long").alias("tick"),
         F.greatest(F.lit(C.AMOUNT_MIN), F.least(F.round(F.col("value") * 20, 2), F.lit(C.AMOUNT_MAX))).alias("amount"),
         _pick(BANKS, uid % 6).alias("bank"),
         F.when(eid % 2 == 0, "CARD").otherwise("UPI").alias("payment_method"),
@@ -89,11 +102,11 @@ def attempts_from_orders(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """
     o = orders.join(customer.select("c_custkey", "c_mktsegment"),
                     orders.o_custkey == customer.c_custkey, "left")
-    ts = F.col("o_orderdate").cast("timestamp")
+    ts = utc_instant(orders, "o_orderdate")
     return o.select(
         F.col("o_orderkey").alias("txn_id"),
         ts.alias("ts"),
-        F.floor(F.unix_timestamp(ts) / F.lit(86400)).cast("long").alias("tick"),
+        F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("long").alias("tick"),
         F.col("o_totalprice").alias("amount"),
         F.col("c_mktsegment").alias("bank"),
         F.col("o_orderpriority").alias("network"),
