@@ -91,3 +91,16 @@ def test_split_boundary_block_invariance(spark, attempts):
     train = sorted((r.tick, r.txn_id) for r in f.where("dataset_split = 'train'").collect())
     cut = int(len(train) * 0.8)
     assert all(a[x] == ("train" if i < cut else "validation") for i, (_, x) in enumerate(train))
+
+
+def test_binding_is_time_zone_independent(spark):
+    """Ticks come from the UTC wall clock whatever the session time zone is."""
+    from conftest import SF_TINY as sf
+    utc = {r.txn_id: r.tick for r in read_attempts(spark, sf).select("txn_id", "tick").collect()}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        ist = {r.txn_id: r.tick for r in read_attempts(spark, sf).select("txn_id", "tick").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == ist and min(utc.values()) == 0
