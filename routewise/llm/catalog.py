@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from routewise.llm.quality_classifier import op4_quality_classifier
 from routewise.llm.quality_rules import op5_quality_rules
+from routewise.llm.sharding import op1_sharding
 from routewise.llm.toxicity import op9_toxicity
 
 QUERIES = {q.__name__: q for q in (
-    op4_quality_classifier, op5_quality_rules, op9_toxicity,
+    op1_sharding, op4_quality_classifier, op5_quality_rules, op9_toxicity,
 )}
 
 ORACLE_SQL: dict[str, str] = {}
