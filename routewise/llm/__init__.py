@@ -1 +1,8 @@
 """Operators of a training-data pipeline; nothing else in the package imports them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel to the executors with their code, so that these need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

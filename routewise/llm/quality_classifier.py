@@ -159,11 +159,11 @@ def scorer(model: Model):
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """The score of a text column, as a column to select or filter by."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.weight, model.bias))  # one number per bucket, 1 MB
 
     @F.arrow_udf("double")
     def quality(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        score = scorer(shared.value)
+        score = scorer(Model(*shared.value))
         for part in parts:
             batch = pa.RecordBatch.from_arrays([part], ["text"])
             found = [score(texts) for _, texts in chunks(batch)]
