@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from routewise.llm.line_dedup import OP6_SQL, op6_line_dedup
+from routewise.llm.minhash_dedup import op2_minhash_dedup
 from routewise.llm.packing import op7_packing
 from routewise.llm.pii import op3_pii
 from routewise.llm.quality_classifier import op4_quality_classifier
@@ -11,7 +12,7 @@ from routewise.llm.sharding import op1_sharding
 from routewise.llm.toxicity import op9_toxicity
 
 QUERIES = {q.__name__: q for q in (
-    op1_sharding, op3_pii, op4_quality_classifier, op5_quality_rules, op6_line_dedup, op7_packing,
+    op1_sharding, op2_minhash_dedup, op3_pii, op4_quality_classifier, op5_quality_rules, op6_line_dedup, op7_packing,
     op9_toxicity,
 )}
 
