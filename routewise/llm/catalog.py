@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from routewise.llm.embedding_dedup import op10_embedding_dedup
 from routewise.llm.line_dedup import OP6_SQL, op6_line_dedup
 from routewise.llm.minhash_dedup import op2_minhash_dedup
 from routewise.llm.packing import op7_packing
@@ -13,7 +14,7 @@ from routewise.llm.toxicity import op9_toxicity
 
 QUERIES = {q.__name__: q for q in (
     op1_sharding, op2_minhash_dedup, op3_pii, op4_quality_classifier, op5_quality_rules, op6_line_dedup, op7_packing,
-    op9_toxicity,
+    op9_toxicity, op10_embedding_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
