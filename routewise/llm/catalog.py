@@ -6,6 +6,7 @@ from routewise.llm.embedding_dedup import op10_embedding_dedup
 from routewise.llm.line_dedup import OP6_SQL, op6_line_dedup
 from routewise.llm.minhash_dedup import op2_minhash_dedup
 from routewise.llm.packing import op7_packing
+from routewise.llm.pieces import op8_sentencepiece
 from routewise.llm.pii import op3_pii
 from routewise.llm.quality_classifier import op4_quality_classifier
 from routewise.llm.quality_rules import op5_quality_rules
@@ -14,7 +15,7 @@ from routewise.llm.toxicity import op9_toxicity
 
 QUERIES = {q.__name__: q for q in (
     op1_sharding, op2_minhash_dedup, op3_pii, op4_quality_classifier, op5_quality_rules, op6_line_dedup, op7_packing,
-    op9_toxicity, op10_embedding_dedup,
+    op8_sentencepiece, op9_toxicity, op10_embedding_dedup,
 )}
 
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}

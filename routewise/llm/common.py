@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routewise.session import ensure_checkpoint_dir
 
 #: Text handled at a time inside a task; a longer single text is handled alone, never cut.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: Distinct words that a worker remembers between chunks.
 WORD_CAP = 300_000
 #: Stands for a null id where an id is a join or grouping key.
@@ -78,22 +81,45 @@ def _running(key: str):
     return Window.partitionBy(key).orderBy("order_", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
 
 
+def worker_kept(name: str, key, make: Callable):
+    """What ``make`` gives, kept for later tasks of the same Python worker as long as they ask by the same key."""
+    kept = sys.modules.setdefault("_llm_kept_by_worker", types.ModuleType("_llm_kept_by_worker"))
+    if getattr(kept, name, (None,))[0] != (key,):
+        setattr(kept, name, ((key,), make()))
+    return getattr(kept, name)[1]
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         return n
 
 
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of some texts, each word's number among them, and the number of words of each text."""
+    try:
+        parts = pa.compute.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+    except pa.ArrowInvalid:  # not UTF-8
+        parts = pa.array([t.split() for t in texts], pa.list_(pa.binary()))
+    counts, words = np.diff(parts.offsets.to_numpy()).astype(np.int64), parts.values
+    real = pa.compute.greater(pa.compute.binary_length(words), 0)
+    if pa.compute.any(pa.compute.invert(real)).as_py():  # white space at an end of a text gives an empty part
+        counts = per_text_sum(np.asarray(real.to_numpy(zero_copy_only=False)), counts).astype(np.int64)
+        words = words.filter(real)
+    coded = words.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False), counts
+
+
 class WordTable:
     """Numbers distinct words, and keeps what ``derive`` makes of each new one.
 
-    Words are maximal runs without the bytes 0x20 and 0x09-0x0D.  The table is emptied between chunks
+    Words are maximal runs without the bytes 0x20 and 0x09-0x0D, or what ``split`` gives.  The table is emptied between chunks
     once it holds more than ``cap`` words, so memory stays bounded by the cap and one chunk.
     """
 
     def __init__(self, derive: Callable[[list[bytes]], None] | None = None,
-                 reset: Callable[[], None] | None = None, cap: int = WORD_CAP):
-        self.ids, self.derive, self.reset, self.cap = _Ids(), derive, reset, cap
+                 reset: Callable[[], None] | None = None, cap: int = WORD_CAP, split: Callable = split_words):
+        self.ids, self.derive, self.reset, self.cap, self.split = _Ids(), derive, reset, cap, split
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and the number of words of each text."""
@@ -102,9 +128,8 @@ class WordTable:
             if self.reset:
                 self.reset()
         before = len(self.ids)
-        words = [t.split() for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        words, number, counts = self.split(texts)
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))[number]
         if self.derive and len(self.ids) > before:
             self.derive(list(islice(self.ids, before, None)))
         return ids, counts
