@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewise.llm.common import WordTable, chunks, per_text_sum, text_bytes, written
+from routewise.llm.common import WordTable, chunks, per_text_sum, text_bytes, worker_kept, written
 from routewise.sources.tables import read_table
 
 LENGTH = 4096
 END = 1
 GROUP = 8192
 TOKENIZER = "word_bpe_49k.json"
+#: Units of words whose ids a worker remembers.
+UNIT_CAP, WORD_CAP = 800_000, 1_200_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -38,33 +41,88 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Rows:
+    """Arrays of token ids, one after another."""
+
+    def __init__(self):
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, length: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the given rows, and how many each has."""
+        n = self.length[rows]
+        return self.flat[np.repeat(self.start[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+
+
 class Encoder:
-    """Token ids of whole texts, word by word: this tokenizer drops white space and no token spans it."""
+    """Token ids of whole texts, word by word: this tokenizer drops white space and no token spans it.
+
+    It also ignores case and never joins letters with other signs, so words are remembered in small
+    letters, and a word of Latin letters with a point or comma behind it as its two units.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
+        self.ends = np.zeros(1 + max(self.model.get_vocab().values()), bool)  # tokens that end a word
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
         self.reset()
-        self.table = WordTable(self.derive, self.reset)
+        self.reset_units()
+        self.table = WordTable(self.derive, self.reset, WORD_CAP)
 
     def reset(self) -> None:
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words = _Rows()
+
+    def reset_units(self) -> None:
+        self.unit, self.units = {}, _Rows()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add units that are not known yet: all words of Latin letters in one call, the others one by one."""
+        texts = [u.decode("utf-8", "replace") for u in new]
+        plain = [t.isalpha() and max(t) < "\u0100" for t in texts]
+        letters = [t for t, p in zip(texts, plain) if p]
+        order = [u for u, p in zip(new, plain) if p]
+        if letters:
+            ids = np.array(self.model.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(letters):
+                self.units.add(ids, np.diff(last, prepend=-1))
+            else:
+                order, plain = [], [False] * len(new)
+        rest = [i for i, p in enumerate(plain) if not p]
+        order += [new[i] for i in rest]
+        rows = [e.ids for e in self.model.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.units.add(np.fromiter(chain.from_iterable(rows), np.uint32, int(n.sum())), n)
+        self.unit |= {u: len(self.unit) + i for i, u in enumerate(order)}
 
     def derive(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words],
-                                                             add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(n.sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
-        self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, n])
+        if len(self.unit) > UNIT_CAP:
+            self.reset_units()
+        parts: list[bytes] = []
+        count = np.ones(len(words), np.int64)
+        for i, w in enumerate(words):
+            core = w[:-1]
+            if w[-1] in b".," and core and (core.isalpha() or core.decode("utf-8", "replace").isalpha() and max(core.decode("utf-8", "replace")) < "\u0100"):
+                parts += (core, w[-1:])
+                count[i] = 2
+            else:
+                parts.append(w)
+        new = list(dict.fromkeys(p for p in parts if p not in self.unit))
+        if new:
+            self._learn(new)
+        flat, n = self.units.take(np.fromiter(map(self.unit.__getitem__, parts), np.int64, len(parts)))
+        self.words.add(flat, per_text_sum(n, count).astype(np.int64))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, without an end mark."""
-        ids, counts = self.table.encode(texts)
-        n = self.length[ids]
-        before = np.cumsum(n) - n
-        tokens = self.flat[np.repeat(self.start[ids] - before, n) + np.arange(int(n.sum()))]
+        # capitals could hide a special token's string
+        ids, counts = self.table.encode([t if b"<|" in t else t.lower() for t in texts])
+        tokens, n = self.words.take(ids)
         return np.split(tokens, np.cumsum(per_text_sum(n, counts))[:-1])
 
 
@@ -74,7 +132,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
     rows = documents.select("doc_id", text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_kept("encoder", path, lambda: Encoder(path))
         for batch in batches:
             for part, texts in chunks(batch):
                 at, cut, payload = [], [], []
