@@ -147,7 +147,6 @@ def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * inter >= PERCENT * (a + b - inter)
 
 
-@F.arrow_udf("boolean")
 def is_link(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether two full sets are as similar as asked."""
     out = []
@@ -169,8 +168,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     size = F.octet_length
     near = (100 * size("set_a") >= PERCENT * size("set_b")) & (100 * size("set_b") >= PERCENT * size("set_a"))
+    linked = F.arrow_udf(is_link, "boolean")
     return (pairs.join(one, "a").join(two, "b").where(near)
-            .where(is_link("set_a", "set_b")).select("a", "b"))
+            .where(linked("set_a", "set_b")).select("a", "b"))
 
 
 def block_links(rows: pd.DataFrame) -> pd.DataFrame:

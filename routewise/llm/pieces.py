@@ -144,6 +144,8 @@ class Edges:
 def relax(edges: Edges, start: np.ndarray, unit: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The starts of the symbols left when no edge joins two neighbours; all units step together."""
     done = []
+    if not len(start):
+        return start
     size = np.append(start[1:], 0) - start
     last = np.append(unit[1:] != unit[:-1], True)
     size[last] = ends[unit[last]] - start[last]

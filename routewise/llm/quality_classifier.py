@@ -34,6 +34,8 @@ ECHO = 0
 #: Bound of the training sample: documents and bytes of whole text per class.
 PER_CLASS, CLASS_BYTES = 2500, 12 << 20
 EPOCHS, RATE, BATCH = 6, 40.0, 32
+#: Small samples are gone over more often, up to so many steps.
+LEAST_STEPS = 900
 FOLDS, HELD_OUT = 4, 2
 KEEP_FROM = 0.7
 #: Longer words give n-grams of their first and last characters only; the word's own bucket covers the rest.
@@ -91,8 +93,9 @@ def train(samples: list[tuple[int, str]], share: float, seed: int = 7) -> Model:
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, 2), np.float32)
     bias = np.array([-prior / 2, prior / 2], np.float32)
-    steps, done = EPOCHS * math.ceil(len(rows) / BATCH), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, math.ceil(LEAST_STEPS / math.ceil(len(rows) / BATCH)))
+    steps, done = epochs * math.ceil(len(rows) / BATCH), 0
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             part = [rows[i] for i in order[at:at + BATCH]]

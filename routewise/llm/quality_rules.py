@@ -122,7 +122,8 @@ def limits(measured: DataFrame) -> DataFrame:
 
     def cut(df: DataFrame, mark: str) -> DataFrame:
         for m, slack in METRICS.items():
-            q = [F.kll_sketch_get_quantile_double(F.col(m), F.lit(r)) for r in QUARTILES]
+            some = F.kll_sketch_get_n_double(F.col(m)) > 0  # an empty sketch has no quantile
+            q = [F.when(some, F.kll_sketch_get_quantile_double(F.col(m), F.lit(r))) for r in QUARTILES]
             wide = SPREAD * (q[2] - q[0]) + slack
             df = df.withColumns({f"{m}_{mark}max": q[1] + wide, f"{m}_{mark}min": q[1] - wide})
         return df.drop(*METRICS).withColumnRenamed("n", f"{mark}n")
