@@ -48,23 +48,16 @@ ROUTES = (
 )
 ROUTE_IDS = tuple(r[0] for r in ROUTES)
 
-# Health multipliers (success, capacity, latency) by observed health label.
-HEALTH_SUCCESS_MULTIPLIER = {"HEALTHY": 1.00, "DEGRADED": 0.92, "OUTAGE": 0.00}
+# Capacity multiplier by observed health label.
 HEALTH_CAPACITY_MULTIPLIER = {"HEALTHY": 1.00, "DEGRADED": 0.60, "OUTAGE": 0.00}
-HEALTH_LATENCY_MULTIPLIER = {"HEALTHY": 1.00, "DEGRADED": 1.50, "OUTAGE": 3.00}
 
-# Load response curves: knees at utilization 0.70 and 1.00.
-LOAD_KNEE_LOW = 0.70
-LOAD_KNEE_HIGH = 1.00
-
-# Amount clamp and amount bands.
+# Amount clamp.
 AMOUNT_MIN = 10.0
 AMOUNT_MAX = 50000.0
-AMOUNT_BAND_EDGES = (1000.0, 5000.0, 20000.0)
-AMOUNT_PENALTY = (0.00, 0.01, 0.02, 0.04)
+# Amounts from which risk is medium and high.
+RISK_BAND_EDGES = (1000.0, 5000.0)
 
-# Streaming state lifetimes (seconds).
-BUCKET_TTL_SECONDS = 1800
+# How long a decision waits for its outcome (seconds).
 PENDING_TTL_SECONDS = 3600
 
 # Calibration bins.

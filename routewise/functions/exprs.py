@@ -14,9 +14,7 @@ from routewise import constants as C
 
 __all__ = [
     "ratio", "minute_index", "day_in_week", "hour_of_day", "flagged_down",
-    "load_success_multiplier", "load_latency_multiplier", "amount_band",
-    "amount_penalty", "clamp_amount", "predicted_failure", "r6", "inf_to_null",
-    "health_label", "capacity_multiplier",
+    "amount_band", "predicted_failure", "health_label", "capacity_multiplier",
 ]
 
 
@@ -27,17 +25,6 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.when(den != 0, num.cast("double") / den)
 
 
-def inf_to_null(c: Column) -> Column:
-    """Map ±inf and NaN to NULL."""
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
-
-
-def r6(c: Column | str) -> Column:
-    """Round to 6 dp: window sums of doubles differ in the last bits."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), 6)
-
-
 def minute_index(tick: Column, tick_seconds: int) -> Column:
     return tick * F.lit(tick_seconds // 60)
 
@@ -59,36 +46,9 @@ def flagged_down(rate_5: Column) -> Column:
     return F.coalesce(rate_5 < C.FLAG_DOWN_THRESHOLD, F.lit(False)).cast("double")
 
 
-def load_success_multiplier(u: Column) -> Column:
-    """Success penalty of utilization, knees at 0.70 and 1.00."""
-    lo, hi = C.LOAD_KNEE_LOW, C.LOAD_KNEE_HIGH
-    return (F.when(u <= lo, F.lit(1.0))
-            .when(u <= hi, 1.0 - 0.25 * ((u - lo) / (hi - lo)))
-            .otherwise(F.greatest(F.lit(0.05), 0.75 - 0.65 * F.least((u - hi) / 0.40, F.lit(1.0)))))
-
-
-def load_latency_multiplier(u: Column) -> Column:
-    """Latency growth of utilization."""
-    lo, hi = C.LOAD_KNEE_LOW, C.LOAD_KNEE_HIGH
-    return (F.when(u <= lo, F.lit(1.0))
-            .when(u <= hi, 1.0 + 2.50 * F.pow((u - lo) / (hi - lo), 2))
-            .otherwise(3.50 + 6.00 * F.least(u - hi, F.lit(1.0))))
-
-
-def clamp_amount(a: Column) -> Column:
-    return F.greatest(F.lit(C.AMOUNT_MIN), F.least(a, F.lit(C.AMOUNT_MAX)))
-
-
 def amount_band(a: Column) -> Column:
-    """Band index 0..3 with edges 1000 / 5000 / 20000."""
-    e1, e2, e3 = C.AMOUNT_BAND_EDGES
-    return F.when(a < e1, 0).when(a < e2, 1).when(a < e3, 2).otherwise(3)
-
-
-def amount_penalty(a: Column) -> Column:
-    p0, p1, p2, p3 = C.AMOUNT_PENALTY
-    e1, e2, e3 = C.AMOUNT_BAND_EDGES
-    return F.when(a < e1, p0).when(a < e2, p1).when(a < e3, p2).otherwise(p3)
+    """How many of 100, 1,000 and 10,000 an amount reaches."""
+    return sum((F.when(a >= edge, 1).otherwise(0) for edge in (100.0, 1000.0, 10000.0)), F.lit(0))
 
 
 def predicted_failure(p: Column, threshold: Column | float) -> Column:

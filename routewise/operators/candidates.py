@@ -3,19 +3,19 @@
 Expansion is an equi-join of the transactions with the 28-row eligibility
 dimension on (payment_method, network) -- a broadcast hash join, no
 nested loop and no cross join.  Per-route features for candidate routes are
-looked up at (route, tick) and (bank, route, tick) points that were
-evaluated with the feature state (``build_state(probes=True)``): clock
+looked up in the wide state at the (bank, route, network, tick) points that
+were evaluated with the feature state (``build_state(probes=True)``): clock
 windows are exact (dense semantics); last-event features are as-of the
 start of the tick (J11).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routewise import constants as C
-from routewise.operators.features import FeatureState, ROUTE_LIVE, add_engineered, route_fee
+from routewise.operators.features import FeatureState, ROUTE_LIVE, WIDE_KEYS, add_engineered, route_fee
 
 TXN_LEVEL = ("txn_id", "tick", "day_in_week", "hour_of_day", "amount", "bank", "network", "payment_method",
              "merchant", "device", "risk", "bank_failure_rate_5m", "network_failure_rate_5m",
@@ -29,6 +29,13 @@ def test_transactions(features: DataFrame) -> DataFrame:
                     F.col("success").alias("actual_success")))
 
 
+def test_attempts(attempts: DataFrame, train_ticks) -> DataFrame:
+    """The test transactions straight from the attempts, where no feature is asked for."""
+    return (attempts.where(F.col("tick") >= train_ticks)
+            .select("txn_id", "tick", "amount", "bank", "network", "payment_method", "merchant", "device", "risk",
+                    F.col("route_id").alias("actual_route_id"), F.col("success").alias("actual_success")))
+
+
 def expand_candidates(txns: DataFrame) -> DataFrame:
     """Every transaction x all routes (generator, no join)."""
     rids = F.array(*[F.lit(r) for r in C.ROUTE_IDS])
@@ -48,12 +55,9 @@ def no_eligible_route(txns: DataFrame, eligibility: DataFrame) -> DataFrame:
 
 def candidate_features(cands: DataFrame, state: FeatureState) -> DataFrame:
     """J9 (+J11): look up per-route state for each candidate, then P2-P6."""
-    r = state.route.select("route_id", "tick", *ROUTE_LIVE, "route_failure_rate_1m")
-    br = state.bank_route.select("bank", "route_id", "tick", "bank_route_success_rate_15m",
-                                 F.col("asof_time_since_last_bank_route_success")
-                                 .alias("time_since_last_bank_route_success"))
-    x = (cands.join(r, ["route_id", "tick"], "left")
-         .join(br, ["bank", "route_id", "tick"], "left")
+    live = state.wide.select(*WIDE_KEYS, *ROUTE_LIVE, "route_failure_rate_1m", "bank_route_success_rate_15m",
+                             F.col("asof_time_since_last_bank_route_success").alias("time_since_last_bank_route_success"))
+    x = (cands.join(live, list(WIDE_KEYS), "left")
          .join(F.broadcast(state.baselines), "route_id", "left")
          .withColumn("route_cost_percent", route_fee(F.col("route_id"))))
     return add_engineered(x)
@@ -67,12 +71,3 @@ def lookup_first_in_tick(attempts_with_feature: DataFrame, keys: list[str], valu
     """
     return (attempts_with_feature.groupBy(*keys, "tick")
             .agg(F.min_by(value, "txn_id").alias(value)))
-
-
-def policy_rows(cands: DataFrame, choice: DataFrame, choice_col: str = "route_id") -> DataFrame:
-    """Candidate rows whose route is the policy's choice."""
-    return cands.join(choice.select("txn_id", F.col(choice_col).alias("route_id")), ["txn_id", "route_id"])
-
-
-def rank_window() -> Window:
-    return Window.partitionBy("txn_id").orderBy(F.col("p").desc(), F.col("route_id"))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewise import constants as C
-from routewise.operators.prefix import DEFAULT_BLOCK_SIZE, global_position, ordered_prefix
+from routewise.operators.prefix import DEFAULT_BLOCK_SIZE, ordered_prefix
+from routewise.plans.materialize import checkpointed
 
 def failure_prob(p: str = "p") -> Column:
     return F.lit(1.0) - F.col(p)
@@ -264,15 +265,48 @@ def average_precision(df: DataFrame, p: str = "p") -> DataFrame:
     return cum.agg((F.sum(F.col("pos") * prec) / total).alias("average_precision"))
 
 
-def proper_scores(df: DataFrame, threshold: float = 0.5, p: str = "p") -> DataFrame:
-    """Brier, log loss (p clipped to [eps, 1-eps]) and accuracy at a threshold."""
+def metric_bundle(df: DataFrame, threshold: float, p: str = "p") -> DataFrame:
+    """(metric, value) rows from two reads of the frame.
+
+    One gives the ordered prefix over distinct scores, from which rank AUC and average precision both
+    follow (sums from above are totals less sums from below); one aggregate gives all the others.
+    """
+    x = df.select(F.col(p).alias("s"), (F.col("success") == 1).cast("long").alias("pos"),
+                  (F.col("success") == 0).cast("long").alias("neg"))
+    cum = checkpointed(ordered_prefix(x, "s", ["pos", "neg"]), "score_ranks")
+    total = cum.agg(F.sum("pos").alias("tp_all"), F.sum("neg").alias("tn_all"))   # one row
+    above_pos = F.col("tp_all") - F.col("cum_pos") + F.col("pos")
+    above_neg = F.col("tn_all") - F.col("cum_neg") + F.col("neg")
+    ranks = cum.join(F.broadcast(total)).agg(
+        (F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg")))
+         / F.max(F.col("tp_all").cast("double") * F.col("tn_all"))).alias("roc_auc"),
+        (F.sum(F.col("pos") * above_pos / (above_pos + above_neg)) / F.max("tp_all")).alias("average_precision"))
+    pred = failure_prob(p) >= F.lit(threshold)
+    fail = F.col("success") == 0
+    one = df.agg(*_proper(threshold, p), F.count_if(fail & pred).alias("tp"), F.count_if(~fail & pred).alias("fp"),
+                 F.count_if(fail & ~pred).alias("fn"))
+    prec, rec, f1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    one = one.select("log_loss", "brier", "accuracy", prec.alias("failure_precision"), rec.alias("failure_recall"),
+                     f1.alias("failure_f1"))
+    both = ranks.join(F.broadcast(one))   # one row each
+    names = [*ranks.columns, *one.columns]
+    return both.select(F.expr("stack({}, {}) as (metric, value)".format(
+        len(names), ", ".join(f"'{n}', cast({n} as double)" for n in names))))
+
+
+def _proper(threshold: float, p: str) -> list[Column]:
     eps = 2.220446049250313e-16
     pc = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps))
     y = F.col("success").cast("double")
     ll = -(y * F.log(pc) + (1 - y) * F.log(1 - pc))
     pred = (~(failure_prob(p) >= F.lit(threshold))).cast("int")
-    return df.agg(F.avg(F.pow(F.col(p) - y, 2)).alias("brier"), F.avg(ll).alias("log_loss"),
-                  F.avg((pred == F.col("success")).cast("double")).alias("accuracy"))
+    return [F.avg(F.pow(F.col(p) - y, 2)).alias("brier"), F.avg(ll).alias("log_loss"),
+            F.avg((pred == F.col("success")).cast("double")).alias("accuracy")]
+
+
+def proper_scores(df: DataFrame, threshold: float = 0.5, p: str = "p") -> DataFrame:
+    """Brier, log loss (p clipped to [eps, 1-eps]) and accuracy at a threshold."""
+    return df.agg(*_proper(threshold, p))
 
 
 def calibration_bins(df: DataFrame, p: str = "p", parity: bool = False) -> DataFrame:

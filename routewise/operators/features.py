@@ -6,15 +6,19 @@ Plan shape for the feature table at scale:
   network, bank x route, global) x tick counters plus per (bank, route,
   txn-block) partial sums -- partial aggregation map-side, one shuffle,
   result bounded by keys x ticks (+ keys x blocks);
-* small window plans over those cells give every rolling feature;
-* a second scan of ``attempts`` joins the (size-checked, broadcast) state
-  tables and runs the in-block running windows -- the only shuffle of the
-  fact table.
+* small window plans over those cells give every rolling feature, and one
+  wide state table keyed by (bank, route, network, tick) carries them all;
+* a second scan of ``attempts`` meets two tables, whatever their size: the
+  block prefixes by (bank, txn-block), in the exchange that the in-block
+  windows need anyway, and the wide state by its key, which no hot bank,
+  route or network dominates.  That makes two exchanges of the fact table;
+  the planner may turn either join into a broadcast on a measured size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +29,7 @@ from routewise.functions.exprs import (capacity_multiplier, day_in_week, flagged
 from routewise.operators.prefix import DEFAULT_BLOCK_SIZE, block_of, block_prefix, in_block_window
 from routewise.operators.timeline import (active_rows_window, clock_window, last_before,
                                           prior_rolling_sum, semi_dense_cells, timeline_bounds)
-from routewise.plans.materialize import MAX_BROADCAST_ROWS, checkpointed
+from routewise.plans.materialize import checkpointed
 
 def _const_map(pairs) -> Column:
     return F.create_map(*[x for k, v in pairs for x in (F.lit(k), F.lit(v))])
@@ -56,10 +60,10 @@ def bounds(attempts: DataFrame, train_fraction: float = C.TRAIN_FRACTION) -> tup
 
 # ------------------------------------------------------------ scope cells
 def scope_cells(attempts: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
-    """One pass, five scopes + transaction blocks.
+    """One pass, six scopes + transaction blocks.
 
-    scope in {route, bank, network, bank_route, global, block}; unused key
-    columns are NULL.  For scope 'block' the grouping is (bank, route_id,
+    scope in {route, bank, network, bank_route, wide, global, block}; unused
+    key columns are NULL.  For scope 'block' the grouping is (bank, route_id,
     block) and ``tick`` is NULL.
     """
     nul = F.lit(None).cast("string")
@@ -75,6 +79,7 @@ def scope_cells(attempts: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> Da
         sc("bank", bank, nul, nul, tick, nl),
         sc("network", nul, nul, net, tick, nl),
         sc("bank_route", bank, route, nul, tick, nl),
+        sc("wide", bank, route, net, tick, nl),
         sc("global", nul, nul, nul, tick, nl),
         sc("block", bank, route, nul, nl, block_of("txn_id", block_size)),
     )
@@ -211,17 +216,20 @@ def active_failure_rate(cells: DataFrame, scope: str, key: str, out: str,
 
 # ---------------------------------------------------- transaction order
 def txn_order_features(attempts: DataFrame, cells: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
-                       prefix_tables: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+                       prefix: DataFrame | None = None) -> DataFrame:
     """W12 + W13 for every attempt, via blocked prefix scans.
 
     W12 time_since_last_bank_route_success: tick - tick of the last success
     of the same (bank, route) among rows with smaller txn_id; else 9999.
     W13 amount_to_bank_avg_ratio: amount / mean amount of all prior rows of
     the bank in txn_id order; NULL on the first.
+
+    The prefixes have one row per (bank, block), the routes' last successes
+    as a map (at most one entry per route), so windows and join share one
+    exchange on (bank, block).
     """
-    if prefix_tables is None:
-        prefix_tables = block_prefix_tables(cells)
-    br_prev, b_prev = prefix_tables
+    if prefix is None:
+        prefix = block_prefixes(cells)
     a = attempts.withColumn("block", block_of("txn_id", block_size))
     w_br = in_block_window(["bank", "route_id"])
     w_b = in_block_window(["bank"])
@@ -231,8 +239,8 @@ def txn_order_features(attempts: DataFrame, cells: DataFrame, block_size: int =
         F.sum("amount").over(w_b).alias("_in_sum"),
         F.count(F.lit(1)).over(w_b).alias("_in_cnt"),
     )
-    a = a.join(br_prev, ["bank", "route_id", "block"], "left").join(b_prev, ["bank", "block"], "left")
-    last_succ = F.coalesce(F.col("_in_last"), F.col("prev_last_success_tick"))
+    a = a.join(prefix, ["bank", "block"], "left")
+    last_succ = F.coalesce(F.col("_in_last"), F.col("prev_last_success")[F.col("route_id")])
     tot = F.coalesce(F.col("_in_sum"), F.lit(0.0)) + F.coalesce(F.col("prev_amount_sum"), F.lit(0.0))
     cnt = F.coalesce(F.col("_in_cnt"), F.lit(0)) + F.coalesce(F.col("prev_request_count"), F.lit(0))
     return a.select(
@@ -243,40 +251,63 @@ def txn_order_features(attempts: DataFrame, cells: DataFrame, block_size: int =
     )
 
 
-def block_prefix_tables(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def block_prefixes(cells: DataFrame) -> DataFrame:
+    """(bank, block): amount sum and count of all earlier blocks, and each route's last success tick in them."""
     blocks = cells.where(F.col("scope") == "block")
-    br_prev = block_prefix(blocks.select("bank", "route_id", "block", "last_success_tick"),
-                           ["bank", "route_id"], lasts=["last_success_tick"])
-    b_blocks = blocks.groupBy("bank", "block").agg(F.sum("amount_sum").alias("amount_sum"),
-                                                   F.sum("request_count").alias("request_count"))
-    b_prev = block_prefix(b_blocks, ["bank"], sums=["amount_sum", "request_count"])
-    return br_prev, b_prev
+    sums = blocks.groupBy("bank", "block").agg(
+        F.sum("amount_sum").alias("amount_sum"), F.sum("request_count").alias("request_count"),
+        *[F.max(F.when(F.col("route_id") == r, F.col("last_success_tick"))).alias(f"last_{r}") for r in C.ROUTE_IDS])
+    lasts = [f"last_{r}" for r in C.ROUTE_IDS]
+    pre = block_prefix(sums, ["bank"], sums=["amount_sum", "request_count"], lasts=lasts)
+    routes = F.create_map(*[x for r in C.ROUTE_IDS for x in (F.lit(r), F.col(f"prev_last_{r}"))])
+    return pre.select("bank", "block", "prev_amount_sum", "prev_request_count", routes.alias("prev_last_success"))
 
 
 # ---------------------------------------------------------- feature table
 @dataclass
 class FeatureState:
-    """Materialised, size-checked state tables shared by one feature build."""
+    """State tables of one feature build; all bounded by keys x ticks (or keys x blocks)."""
     cells: DataFrame
     route: DataFrame
     bank_route: DataFrame
     bank_rate: DataFrame
     network_rate: DataFrame
     baselines: DataFrame
-    br_prefix: DataFrame
-    b_prefix: DataFrame
+    prefix: DataFrame
     total_ticks: Column
     train_ticks: Column
+    probes: bool = False
     block_size: int = DEFAULT_BLOCK_SIZE
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """All live columns per (bank, route_id, network, tick), written once.
+
+        With probes, every route at every (bank, network, tick) with traffic.
+        """
+        keys = self.cells.where(F.col("scope") == "wide")
+        if self.probes:
+            rids = F.array(*[F.lit(r) for r in C.ROUTE_IDS])
+            seen = keys.select("bank", "network", "tick").distinct().select("bank", F.explode(rids).alias("route_id"),
+                                                                            "network", "tick")
+            keys = keys.select("bank", "route_id", "network", "tick").unionByName(seen).distinct()
+        keys = keys.select("bank", "route_id", "network", "tick")
+        wide = (keys.join(self.route.select("route_id", "tick", *ROUTE_LIVE, "route_failure_rate_1m"), ["route_id", "tick"], "left")
+                .join(self.bank_route, ["bank", "route_id", "tick"], "left")
+                .join(self.bank_rate, ["bank", "tick"], "left")
+                .join(self.network_rate, ["network", "tick"], "left"))
+        return checkpointed(wide, "wide_state")
+
+
+WIDE_KEYS = ("bank", "route_id", "network", "tick")
+
 
 def adaptive_block_size(attempts: DataFrame, target_blocks: int = 1 << 14, floor: int = 1 << 10) -> int:
     """Transaction-block width so that each (bank, route) has <= ``target_blocks`` blocks.
 
     One min/max aggregate over the id column (cheap, column-pruned).  Block
-    tables are then bounded by pairs x target_blocks rows (broadcastable),
-    and each in-block window partition holds at most range / target_blocks
-    rows.
+    tables are then bounded by banks x target_blocks rows, and each in-block
+    window partition holds at most range / target_blocks rows.
     """
     lo, hi = attempts.agg(F.min("txn_id"), F.max("txn_id")).first()
     if lo is None:
@@ -286,38 +317,25 @@ def adaptive_block_size(attempts: DataFrame, target_blocks: int = 1 << 14, floor
 
 def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600,
                 block_size: int | None = DEFAULT_BLOCK_SIZE, probes: bool = False,
-                rate_mode: str = "active", materialize: bool = True,
-                max_cells: int = MAX_BROADCAST_ROWS // 8) -> FeatureState:
+                rate_mode: str = "active") -> FeatureState:
     """Scan the fact table once into scope cells and derive every state table.
 
-    The cells are checkpointed (reliable, shared folder) and counted.  All
-    state tables are functions of the cells with at most 6x as many rows
-    (semi-dense spine) plus the probes (<= routes x ticks), so a measured
-    cell count under ``max_cells`` is a proven size bound for broadcasting
-    them; beyond it the planner's shuffle joins are used.
+    The cells are written (shared folder); all state tables are functions of
+    them.  The plan is the same at every size.
 
     ``probes=True`` also evaluates every route (and bank x route) at every
     tick with traffic, for candidate-route lookups (<= 4x the cells).
     ``block_size=None`` sizes transaction blocks from the id range so the
     block tables stay bounded (see :func:`adaptive_block_size`).
+
+    Runs Spark jobs: the cell table is written, and the timeline length and
+    at most one baseline per route are fetched.
     """
     if block_size is None:
         block_size = adaptive_block_size(attempts)
-    cells = scope_cells(attempts, block_size)
-    small = small_blocks = False
-    if materialize:
-        cells = checkpointed(cells, "scope_cells")
-    # One aggregate over the (small) cell table: sizes for the broadcast
-    # decision and the timeline length; scalars come back as literals so later
-    # plans carry no nested sub-queries.
-    is_block = F.col("scope") == "block"
-    n_tick, n_block, total_n = cells.agg(
-        F.count_if(~is_block), F.count_if(is_block),
-        F.max(F.when(F.col("scope") == "global", F.col("tick") + 1))).first()
-    total_n = int(total_n or 0)
-    if materialize:
-        small = n_tick <= max_cells            # tick scopes: keys x ticks
-        small_blocks = n_block <= max_cells    # block scope: pairs x blocks
+    cells = checkpointed(scope_cells(attempts, block_size), "scope_cells")
+    # The timeline length comes back as a literal, so later plans carry no nested sub-queries.
+    total_n = int(cells.where(F.col("scope") == "global").agg(F.max(F.col("tick") + 1)).first()[0] or 0)
     train_n = int(total_n * C.TRAIN_FRACTION)
     total, train = F.lit(total_n).cast("long"), F.lit(train_n).cast("long")
     # Route baselines: at most one row per route of the 4-row dimension, so
@@ -340,13 +358,8 @@ def build_state(attempts: DataFrame, routes: DataFrame, tick_seconds: int = 3600
     bank_route = bank_route_state(cells, baselines, prior_default, brprobe)
     bank_rate = active_failure_rate(cells, "bank", "bank", "bank_failure_rate_5m", mode=rate_mode)
     net_rate = active_failure_rate(cells, "network", "network", "network_failure_rate_5m", mode=rate_mode)
-    br_prev, b_prev = block_prefix_tables(cells)
-    if small:
-        route, bank_route, bank_rate, net_rate = (F.broadcast(t) for t in (route, bank_route, bank_rate, net_rate))
-    if small_blocks:
-        br_prev, b_prev = F.broadcast(br_prev), F.broadcast(b_prev)
-    return FeatureState(cells, route, bank_route, bank_rate, net_rate, baselines, br_prev, b_prev, total, train,
-                        block_size)
+    return FeatureState(cells, route, bank_route, bank_rate, net_rate, baselines, block_prefixes(cells), total, train,
+                        probes, block_size)
 
 
 ROUTE_LIVE = ("route_success_rate_5m", "route_success_rate_15m", "route_avg_latency_5m",
@@ -359,15 +372,12 @@ def feature_table(attempts: DataFrame, state: FeatureState, tick_seconds: int =
     """The 28-column feature table (v2), optionally with the engineered inputs."""
     a = attempts
     if engineered:
-        a = txn_order_features(a, state.cells, state.block_size, (state.br_prefix, state.b_prefix))
-    a = (a.join(state.route.select("route_id", "tick", *ROUTE_LIVE, "route_failure_rate_1m"),
-                ["route_id", "tick"], "left")
-         .join(state.bank_route.select("bank", "route_id", "tick", "bank_route_success_rate_15m"),
-               ["bank", "route_id", "tick"], "left")
-         .join(F.broadcast(state.baselines), "route_id", "left"))
+        a = txn_order_features(a, state.cells, state.block_size, state.prefix)
+    live = [*ROUTE_LIVE, "bank_route_success_rate_15m"]
     if engineered:
-        a = (a.join(state.bank_rate, ["bank", "tick"], "left")
-             .join(state.network_rate, ["network", "tick"], "left"))
+        live += ["route_failure_rate_1m", "bank_failure_rate_5m", "network_failure_rate_5m"]
+    a = (a.join(state.wide.select(*WIDE_KEYS, *live), list(WIDE_KEYS), "left")
+         .join(F.broadcast(state.baselines), "route_id", "left"))
     a = a.select(
         "*",
         day_in_week(F.col("tick"), tick_seconds).alias("day_in_week"),

@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from routewise import constants as C
 from routewise.operators import evaluate as EV
+from routewise.operators.prefix import RANGES
 from routewise.plans.materialize import checkpointed
 
-# Random-search space (driver-side seeded sampler), mapped onto GBT parameters.
+# The random-search space, mapped onto GBT parameters, and the published number of rounds.
 SEARCH_SPACE = {
     "maxDepth": [3, 4, 5, 6, 8],
     "stepSize": [0.05, 0.08, 0.10],
@@ -36,7 +37,7 @@ SEARCH_SPACE = {
     "minInfoGain": [0.0, 0.001, 0.01],
     "class_weight_multiplier": [0.5, 0.75, 1.0, 1.5, 2.0, 3.0],
 }
-BASE_PARAMS = {"maxDepth": 5, "stepSize": 0.1, "maxIter": 40, "minInstancesPerNode": 20,
+BASE_PARAMS = {"maxDepth": 5, "stepSize": 0.1, "maxIter": 500, "minInstancesPerNode": 20,
                "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInfoGain": 0.0,
                "class_weight_multiplier": 1.0}
 
@@ -47,15 +48,17 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
     return df.select(F.explode(arr).alias("x")).select("x.*").where(F.col("value").isNotNull())
 
 
-def exact_median(df: DataFrame, cols: Sequence[str], buckets: int = 1 << 12) -> DataFrame:
-    """M1 statistics: (feature, median) -- exact, interpolated for even counts."""
+def exact_median(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """M1 statistics: (feature, median) -- exact, interpolated for even counts.
+
+    Distinct values are written in ranges of (feature, value) cut at sampled quantiles; ranks follow from
+    the ranges' counts and a window inside each range.  Runs a Spark job (the write).
+    """
     counts = _long(df, cols, "double").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.groupBy("feature").agg(F.sum("n").alias("total_n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    x = counts.join(F.broadcast(stats), "feature")
-    span = F.col("hi") - F.col("lo")
-    b = F.when(span > 0, F.least(F.floor((F.col("value") - F.col("lo")) / span * buckets), F.lit(buckets - 1))) \
-        .otherwise(F.lit(0)).cast("long")
-    x = x.withColumn("b", b)
+    counts = checkpointed(counts.repartitionByRange(ranges, "feature", "value")
+                          .withColumn("b", F.spark_partition_id().cast("long")), "median_ranges")
+    stats = counts.groupBy("feature").agg(F.sum("n").alias("total_n"))
+    x = counts.join(F.broadcast(stats), "feature")   # one row per feature asked for
     tot = x.groupBy("feature", "b").agg(F.sum("n").alias("bn"))
     wb = Window.partitionBy("feature").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select("feature", "b", F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("before_b"))
@@ -89,6 +92,10 @@ def apply_fill(df: DataFrame, stats: DataFrame, value_col: str, cols: Sequence[s
 
 
 # --------------------------------------------------------------- pipeline
+#: Boosting rounds of the registered queries, which fit up to 20 models; the library's default is BASE_PARAMS.
+QUERY_ROUNDS = {"maxIter": 40}
+
+
 def build_pipeline(numeric: Sequence[str] = C.NUMERIC_FEATURES,
                    categorical: Sequence[str] = C.CATEGORICAL_FEATURES,
                    params: dict | None = None, weight_col: str | None = "weight",
@@ -170,13 +177,13 @@ def sample_params(n_iter: int, seed: int = 42) -> list[dict]:
     return [{k: rng.choice(SEARCH_SPACE[k]) for k in keys} for _ in range(n_iter)]
 
 
-def tune(prep: Prepared, n_iter: int = 20, seed: int = 42, parallelism: int = 4) -> list[dict]:
+def tune(prep: Prepared, n_iter: int = 20, seed: int = 42, parallelism: int = 4, params: dict | None = None) -> list[dict]:
     """M8: fit candidates concurrently over the cached, imputed frames; keep min validation cost."""
     draws = sample_params(n_iter, seed)
 
     def one(i_p):
         i, p = i_p
-        m = fit(prep, p)
+        m = fit(prep, dict(p, **(params or {})))
         return dict(p, candidate=i, validation_cost=validation_cost(m, prep))
 
     with ThreadPoolExecutor(max_workers=parallelism) as ex:

@@ -7,8 +7,11 @@
 * round robin (W15): a sequential rotation whose state is a counter mod 4.
   Each transaction is a map {0..3} -> {0..3}; maps compose, so the scan is
   (1) per block of consecutive txn_ids, compose the maps (numpy doubling);
-  (2) the driver chains one 4-int map per block (blocks, not rows);
+  (2) per group of consecutive blocks, compose the block maps, and over the
+  few groups the group maps -- all in Spark, nothing on the driver;
   (3) each block replays with its known start state.
+* all policies of a report come from one aggregate per transaction, which
+  carries each choice's outcome, so candidates are never joined to choices.
 * weighted split (M16): deterministic weighted choice among eligible routes;
   the cumulative weights live in the 28-row eligibility table, so the choice
   is a filter after the broadcast join -- no shuffle.
@@ -18,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from routewise import constants as C
+from routewise.plans.materialize import checkpointed
 
 N_ROUTES = len(C.ROUTE_IDS)
 
@@ -91,57 +94,114 @@ def _choices(masks: np.ndarray, table: np.ndarray, s0: int) -> tuple[np.ndarray,
     return table[masks, before], int(q[-1, s0])
 
 
-def round_robin_reference(masks: list[int]) -> list[int]:
-    """Plain sequential rotation (used by tests as the brute-force check)."""
-    rot, out = 0, []
-    for mask in masks:
-        pick = -1
-        for _ in range(N_ROUTES):
-            r = rot % N_ROUTES
-            rot += 1
-            if mask >> r & 1:
-                pick = r
-                break
-        out.append(pick)
-    return out
-
-
-def policy_round_robin(spark: SparkSession, cands: DataFrame, block_size: int = 1 << 20) -> DataFrame:
-    """(txn_id, route_id) under R1..R4 rotation skipping ineligible routes.
-
-    Blocks of consecutive txn_ids (``txn_id div block_size``) are the scan
-    units: pass 1 composes each block's rotation maps (one 4-int map per
-    block), the driver chains the block maps in block order (blocks, not
-    rows), pass 2 replays every block from its start state.  Each block is
-    one pandas group of at most ``block_size`` transactions.
+BLOCK_SIZE, GROUP_BLOCKS = 1 << 16, 1 << 12
+_MAP = ", ".join(f"f{i} int" for i in range(N_ROUTES))
+_F = [f"f{i}" for i in range(N_ROUTES)]
+
+
+def _compose_rows(maps: np.ndarray) -> np.ndarray:
+    """Inclusive prefix composition of maps, one per row."""
+    q, d = maps.copy(), 1
+    while d < len(q):
+        nq = q.copy()
+        nq[d:] = np.take_along_axis(q[d:], q[:-d], axis=1)
+        q, d = nq, d * 2
+    return q
+
+
+def block_starts(masks: DataFrame, block_size: int, group_blocks: int) -> DataFrame:
+    """(block, start): the rotation's state before each block of transactions.
+
+    Level 1 composes a block's transactions, level 2 the blocks of a group, level 3 the groups, of
+    which there is one per ``block_size * group_blocks`` ids (2^28 by default).
     """
     table = _choice_table()
-    masks = eligibility_mask(cands).withColumn("block", F.expr(f"txn_id div {int(block_size)}"))
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("txn_id", kind="stable")
-        q = _scan(pdf["mask"].to_numpy(), table)
-        f = q[-1] if len(q) else np.arange(N_ROUTES)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "f0": [int(f[0])], "f1": [int(f[1])],
-                             "f2": [int(f[2])], "f3": [int(f[3])]})
-
-    summaries = (masks.groupBy("block")
-                 .applyInPandas(compose, "block long, f0 long, f1 long, f2 long, f3 long").collect())
-    start, s = {}, 0
-    for r in sorted(summaries, key=lambda r: r.block):
-        start[int(r.block)] = s
-        s = int((r.f0, r.f1, r.f2, r.f3)[s])
-    start_bc = spark.sparkContext.broadcast(start)
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = _scan(pdf.sort_values("txn_id", kind="stable")["mask"].to_numpy(), table)
+        return pd.DataFrame([[int(pdf["block"].iloc[0]), *map(int, q[-1])]], columns=["block", *_F])
+
+    def before_each(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        q = _compose_rows(pdf[_F].to_numpy(np.int64))
+        out = pd.DataFrame(np.concatenate([np.arange(N_ROUTES)[None, :], q[:-1]]), columns=[f"b{i}" for i in range(N_ROUTES)])
+        out.insert(0, key, pdf[key].to_numpy())
+        return out
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = _compose_rows(pdf.sort_values("block", kind="stable")[_F].to_numpy(np.int64))
+        return pd.DataFrame([[int(pdf["grp"].iloc[0]), *map(int, q[-1])]], columns=["grp", *_F])
+
+    blocks = checkpointed(masks.select("txn_id", "mask", "block").groupBy("block")
+                          .applyInPandas(of_block, f"block long, {_MAP}")
+                          .withColumn("grp", F.expr(f"block div {int(group_blocks)}")), "rr_blocks")
+    before = ", ".join(f"b{i} int" for i in range(N_ROUTES))
+    in_group = blocks.groupBy("grp").applyInPandas(lambda p: before_each(p, "block").assign(grp=p["grp"].iloc[0]),
+                                                   f"block long, {before}, grp long")
+    groups = (blocks.groupBy("grp").applyInPandas(of_group, f"grp long, {_MAP}")
+              .withColumn("one", F.lit(True)).groupBy("one")
+              .applyInPandas(lambda p: before_each(p, "grp").rename(columns={"b0": "state"})[["grp", "state"]],
+                             "grp long, state int"))
+    at = F.array(*[F.col(f"b{i}") for i in range(N_ROUTES)])
+    return in_group.join(groups, "grp").select("block", at[F.col("state")].alias("start"))
+
+
+def round_robin(masks: DataFrame, block_size: int = BLOCK_SIZE, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
+    """Adds ``rr_order``, the route's index or -1, to rows with txn_id and mask; other columns are carried along."""
+    table = _choice_table()
+    rows = masks.withColumn("block", F.expr(f"txn_id div {int(block_size)}"))
+    rows = rows.join(block_starts(rows, block_size, group_blocks), "block")
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("txn_id", kind="stable")
-        s0 = start_bc.value[int(pdf["block"].iloc[0])]
-        out, _ = _choices(pdf["mask"].to_numpy(), table, s0)
-        return pd.DataFrame({"txn_id": pdf["txn_id"].to_numpy(), "route_order": out})
+        out, _ = _choices(pdf["mask"].to_numpy(), table, int(pdf["start"].iloc[0]))
+        return pdf.drop(columns=["block", "start"]).assign(rr_order=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in masks.schema)
+    return rows.groupBy("block").applyInPandas(replay, f"{schema}, rr_order int")
+
+
+def route_of(order) -> Column:
+    return F.element_at(F.array(*[F.lit(r) for r in C.ROUTE_IDS]), (order + 1).cast("int"))
 
-    chosen = masks.groupBy("block").applyInPandas(replay, "txn_id long, route_order long")
-    rid = F.element_at(F.array(*[F.lit(r) for r in C.ROUTE_IDS]), (F.col("route_order") + 1).cast("int"))
-    return chosen.where(F.col("route_order") >= 0).select("txn_id", rid.alias("route_id"))
+
+def policy_round_robin(cands: DataFrame, block_size: int = BLOCK_SIZE, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
+    """(txn_id, route_id) under R1..R4 rotation skipping ineligible routes."""
+    masks = checkpointed(eligibility_mask(cands), "rr_masks")
+    return (round_robin(masks, block_size, group_blocks).where(F.col("rr_order") >= 0)
+            .select("txn_id", route_of(F.col("rr_order")).alias("route_id")))
+
+
+# ------------------------------------------------------- all policies at once
+def policy_choices(cands: DataFrame, eligibility: DataFrame, score: str = "p", tiebreak: str | None = None) -> DataFrame:
+    """One row per transaction: actual outcome, eligible routes, each route's outcome, argmax and weighted choice."""
+    dim = F.broadcast(weighted_split_dim(eligibility).select("payment_method", "network", "route_id", "lo", "hi"))
+    u = uniform_of()
+    hit = (u >= F.col("lo")) & ((u < F.col("hi")) | (F.col("hi") >= 1.0 - 1e-12))
+    key = F.struct(F.col(score), *([F.col(tiebreak)] if tiebreak else []), (-F.col("route_order")).alias("neg_order"))
+    of_route = [F.max(F.when(F.col("route_order") == i, F.col("outcome_proxy"))).alias(f"outcome{i}") for i in range(N_ROUTES)]
+    return (cands.join(dim, ["payment_method", "network", "route_id"], "left").groupBy("txn_id")
+            .agg(F.first("actual_success").alias("actual_success"),
+                 F.sum(F.expr("shiftleft(1, route_order)")).cast("int").alias("mask"), *of_route,
+                 F.max_by(F.struct("route_id", F.col(score).alias("p"), "outcome_proxy"), key).alias("best"),
+                 F.max(F.when(hit, F.col("route_order"))).cast("int").alias("split_order")))
+
+
+def policy_summary(cands: DataFrame, eligibility: DataFrame, score: str = "p", tiebreak: str | None = None,
+                   block_size: int = BLOCK_SIZE, group_blocks: int = GROUP_BLOCKS) -> DataFrame:
+    """(policy, success_rate, n_txn) of actual, round robin, argmax and weighted split, and candidate_rows."""
+    rows = policy_choices(cands, eligibility, score, tiebreak).withColumn("best_outcome", F.col("best.outcome_proxy")).drop("best")
+    rows = round_robin(checkpointed(rows, "choices"), block_size, group_blocks)
+    outcome = F.array(*[F.col(f"outcome{i}") for i in range(N_ROUTES)])
+    one = rows.agg(
+        F.avg("actual_success").alias("s0"), F.count(F.lit(1)).alias("n0"),
+        F.avg(F.when(F.col("rr_order") >= 0, F.get(outcome, F.col("rr_order")))).alias("s1"), F.count_if(F.col("rr_order") >= 0).alias("n1"),
+        F.avg("best_outcome").alias("s2"), F.count(F.lit(1)).alias("n2"),
+        F.avg(F.get(outcome, F.col("split_order"))).alias("s3"), F.count("split_order").alias("n3"),
+        F.sum(F.bit_count("mask")).cast("long").alias("candidate_rows"))
+    return one.select("candidate_rows", F.expr(
+        "stack(4, 'actual', s0, n0, 'round_robin', s1, n1, 'model_argmax', s2, n2, 'weighted_split', s3, n3)")
+        .alias("policy", "success_rate", "n_txn"))
 
 
 # --------------------------------------------------------- weighted split

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routewise.plans.materialize import checkpointed
+
 DEFAULT_BLOCK_SIZE = 1 << 20
 
 
@@ -45,30 +47,30 @@ def in_block_window(keys: Sequence[str], order_col: str = "txn_id") -> Window:
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
+RANGES = 256
+
+
 def ordered_prefix(df: DataFrame, score: str, sums: Sequence[str], descending: bool = False,
-                   buckets: int = 1 << 16, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
+                   ranges: int = RANGES) -> DataFrame:
     """Inclusive running sums over distinct values of ``score`` in a global order.
 
-    Global order without one task: rows are aggregated per distinct score,
-    distinct scores are bucketed into ``buckets`` ordered value ranges,
-    bucket totals get an exclusive prefix (a table of <= ``buckets`` rows),
-    and inside each bucket a window runs over that bucket's distinct scores
-    only.  Returns one row per distinct score with ``cum_<col>``.
+    Global order without one task: rows are aggregated per distinct score
+    and the distinct scores are written in ``ranges`` ranges cut at sampled
+    quantiles, so ranges hold about equally many however the scores crowd.
+    Range totals get an exclusive prefix (a table of ``ranges`` rows), and
+    inside a range a window runs over its distinct scores only.  Returns one
+    row per distinct score with ``cum_<col>``.  Runs a Spark job (the write).
     """
-    g = df.groupBy(score).agg(*[F.sum(c).alias(c) for c in sums])
     s = F.col(score)
-    pos = (s - lo) / (hi - lo) * buckets
-    b = F.least(F.greatest(F.floor(pos), F.lit(0)), F.lit(buckets - 1)).cast("long")
-    if descending:
-        b = F.lit(buckets - 1) - b
-    g = g.withColumn("_b", b)
+    order = s.desc() if descending else s.asc()
+    g = df.groupBy(score).agg(*[F.sum(c).alias(c) for c in sums])
+    g = checkpointed(g.repartitionByRange(ranges, order).withColumn("_b", F.spark_partition_id()), "ranges")
     tot = g.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_p_{c}") for c in sums])
-    order = s.desc() if descending else s.asc()
     wi = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     g = g.select("*", *[F.sum(c).over(wi).alias(f"_i_{c}") for c in sums])
-    out = g.join(tot, "_b", "left")
+    out = g.join(F.broadcast(tot), "_b", "left")  # at most ``ranges`` rows
     return out.select(score, *sums, *[(F.col(f"_i_{c}") + F.coalesce(F.col(f"_p_{c}"), F.lit(0))).alias(f"cum_{c}")
                                       for c in sums])
 

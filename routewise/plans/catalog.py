@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routewise import constants as C
-from routewise.functions.exprs import day_in_week, hour_of_day, load_latency_multiplier, load_success_multiplier
+from routewise.functions.exprs import amount_band, day_in_week, hour_of_day
 from routewise.operators import features as FT
 from routewise.operators.timeline import minute_table, semi_dense_cells
 from routewise.plans.context import Ctx, rounded
@@ -43,10 +43,15 @@ def oracle_sql_rounded() -> dict[str, str]:
     return out
 
 
+def queries_rounded() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries as the correctness check compares them: doubles rounded to 6 dp, as in the oracle."""
+    return {k: lambda spark, sf_dir, q=q: rounded(q(spark, sf_dir)) for k, q in QUERIES.items()}
+
+
 def register(key: str, sql: str | None = None):
     def deco(fn: Callable[[Ctx], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(Ctx(spark, sf_dir)))
+            return fn(Ctx(spark, sf_dir))
         run.__name__ = f"q_{key}"
         run.__doc__ = fn.__doc__
         QUERIES[key] = run
@@ -75,7 +80,7 @@ def q_read_route_metrics(c: Ctx) -> DataFrame:
     grid = c.routes.select("route_id", F.explode(F.sequence(F.lit(0).cast("long"), total - 1)).alias("tick"))
     r = c.state.route.select("route_id", "tick", "request_count", "success_count", "latency_sum")
     glob = (c.state.cells.where(F.col("scope") == "global")
-            .select((F.col("tick") + 1).alias("tick"), (F.col("request_count") / F.lit(3600.0)).alias("system_tps")))
+            .select((F.col("tick") + 1).alias("tick"), (F.col("request_count") / F.lit(float(c.tick_seconds))).alias("system_tps")))
     out = (grid.join(r, ["route_id", "tick"], "left").join(glob, "tick", "left")
            .select("route_id", "tick",
                    F.coalesce("request_count", F.lit(0)).cast("long").alias("request_count"),
@@ -235,16 +240,15 @@ def q_route_failure_rate_1m(c: Ctx) -> DataFrame:
 @register("time_since_last_bank_route_success", "SELECT txn_id, time_since_last_bank_route_success FROM txnf")
 def q_tslbrs(c: Ctx) -> DataFrame:
     """Ticks since the last prior success of (bank, route) in txn order."""
-    return FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size,
-                                 (c.state.br_prefix, c.state.b_prefix)).select(
+    return FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size, c.state.prefix).select(
         "txn_id", "time_since_last_bank_route_success")
 
 
 @register("amount_to_bank_avg_ratio", "SELECT txn_id, amount_to_bank_avg_ratio FROM txnf")
 def q_amount_ratio(c: Ctx) -> DataFrame:
     """Amount / mean of all prior amounts of the bank in txn order."""
-    return FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size,
-                                 (c.state.br_prefix, c.state.b_prefix)).select("txn_id", "amount_to_bank_avg_ratio")
+    return FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size, c.state.prefix).select(
+        "txn_id", "amount_to_bank_avg_ratio")
 
 
 # -------------------------------------------------------------------- joins
@@ -373,36 +377,41 @@ def q_feature_table(c: Ctx) -> DataFrame:
     return c.features(True)
 
 
-@register("amount_bands", """
-SELECT txn_id, CASE WHEN amount < 1000 THEN 0 WHEN amount < 5000 THEN 1 WHEN amount < 20000 THEN 2 ELSE 3 END AS amount_band,
-  CASE WHEN amount < 1000 THEN 0.0 WHEN amount < 5000 THEN 0.01 WHEN amount < 20000 THEN 0.02 ELSE 0.04 END::DOUBLE AS amount_penalty,
-  greatest(10.0::DOUBLE, least(amount, 50000.0::DOUBLE)) AS clamped_amount FROM attempts""")
-def q_amount_bands(c: Ctx) -> DataFrame:
-    """Amount band index and penalty, amount clamp [10, 50000]."""
-    from routewise.functions.exprs import amount_band, amount_penalty, clamp_amount
-    a = F.col("amount")
-    return c.attempts.select("txn_id", amount_band(a).alias("amount_band"),
-                             amount_penalty(a).cast("double").alias("amount_penalty"),
-                             clamp_amount(a).alias("clamped_amount"))
+@register("feature_table_minute", "SELECT txn_id, tick, route_success_rate_5m, route_success_rate_15m, "
+          "bank_route_success_rate_15m, bank_failure_rate_5m, network_failure_rate_5m, route_failure_rate_1m, "
+          "time_since_last_bank_route_success, amount_to_bank_avg_ratio FROM fe")
+def q_feature_table_minute(c: Ctx) -> DataFrame:
+    """L1 at the minute grain of the reference: the same plan over 60 times as many ticks."""
+    m = Ctx(c.spark, c.sf_dir, tick_seconds=60)
+    return m.features(True).select("txn_id", "tick", "route_success_rate_5m", "route_success_rate_15m",
+                                   "bank_route_success_rate_15m", "bank_failure_rate_5m", "network_failure_rate_5m",
+                                   "route_failure_rate_1m", "time_since_last_bank_route_success",
+                                   "amount_to_bank_avg_ratio")
 
 
-WHAT_IF_CAPACITY_PER_TICK = 8.0
+ORACLE["feature_table_minute"] = ORACLE["feature_table_minute"].replace("/3600)", "/60)")
 
 
-@register("load_response", f"""
-SELECT route_id, tick, u AS what_if_utilization,
-  CASE WHEN u <= 0.7 THEN 1.0 WHEN u <= 1.0 THEN 1.0 - 0.25*((u-0.7)/0.3)
-       ELSE greatest(0.05, 0.75 - 0.65*least((u-1.0)/0.4, 1.0)) END AS success_multiplier,
-  CASE WHEN u <= 0.7 THEN 1.0 WHEN u <= 1.0 THEN 1.0 + 2.5*pow((u-0.7)/0.3, 2)
-       ELSE 3.5 + 6.0*least(u-1.0, 1.0) END AS latency_multiplier
-FROM (SELECT route_id, tick, request_count / {WHAT_IF_CAPACITY_PER_TICK} AS u FROM rcell)""")
+@register("amount_bands", """
+SELECT payment_method, CAST(amount >= 100 AS INT) + CAST(amount >= 1000 AS INT) + CAST(amount >= 10000 AS INT) AS amount_band,
+  count(*) AS attempts, CAST(sum(success) AS BIGINT) AS successes, avg(amount) AS mean_amount
+FROM attempts GROUP BY ALL""")
+def q_amount_bands(c: Ctx) -> DataFrame:
+    """P13 (re-aimed from a simulator part): attempts and successes by payment method and size of amount."""
+    return c.attempts.groupBy("payment_method", amount_band(F.col("amount")).alias("amount_band")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.sum("success").cast("long").alias("successes"),
+        F.avg("amount").alias("mean_amount"))
+
+
+@register("load_response", """
+SELECT route_id, route_current_load, count(*) AS ticks, CAST(sum(n) AS BIGINT) AS attempts, sum(k) / sum(n) AS success_rate,
+  sum(lat) / sum(n) AS mean_latency FROM rlive WHERE active GROUP BY route_id, route_current_load""")
 def q_load_response(c: Ctx) -> DataFrame:
-    """P14 (re-aimed): load multipliers if each route could take 8 requests per tick."""
-    cells = minute_table(c.attempts, ["route_id"])
-    u = F.col("request_count") / F.lit(WHAT_IF_CAPACITY_PER_TICK)
-    return cells.select("route_id", "tick", u.alias("what_if_utilization"),
-                        load_success_multiplier(u).alias("success_multiplier"),
-                        load_latency_multiplier(u).alias("latency_multiplier"))
+    """P14 (re-aimed from a simulator part): observed success and latency of a route by its recent load."""
+    n = F.sum("request_count")
+    return (c.state.route.where("is_active").groupBy("route_id", "route_current_load")
+            .agg(F.count(F.lit(1)).alias("ticks"), n.alias("attempts"), (F.sum("success_count") / n).alias("success_rate"),
+                 (F.sum("latency_sum") / n).alias("mean_latency")))
 
 
 # --------------------------------------------------- candidates and policies
@@ -427,16 +436,14 @@ SELECT t.txn_id, r.route_id, t.actual_route_id, t.actual_success
 FROM (SELECT DISTINCT txn_id, actual_route_id, actual_success FROM cand) t CROSS JOIN routes r""")
 def q_expand_candidates(c: Ctx) -> DataFrame:
     """Every test transaction x all routes, actual route/outcome kept."""
-    from routewise.operators.candidates import test_transactions
-    txns = test_transactions(c.features(True))
+    txns = CD.test_attempts(c.attempts, FT.bounds(c.attempts)[1])
     return CD.expand_candidates(txns).select("txn_id", "route_id", "actual_route_id", "actual_success")
 
 
 @register_c("eligible_routes", "SELECT txn_id, route_id, network FROM cand")
 def q_eligible_routes(c: Ctx) -> DataFrame:
     """Candidate routes supporting both payment method and network."""
-    from routewise.operators.candidates import test_transactions
-    txns = test_transactions(c.features(True))
+    txns = CD.test_attempts(c.attempts, FT.bounds(c.attempts)[1])
     return CD.eligible_routes(txns, c.eligibility).select("txn_id", "route_id", "network")
 
 
@@ -462,7 +469,7 @@ SELECT bank, route_id, tick, arg_min(t.time_since_last_bank_route_success, a.txn
 FROM attempts a JOIN txnf t USING (txn_id) GROUP BY bank, route_id, tick""")
 def q_lookup_first_in_tick(c: Ctx) -> DataFrame:
     """First row per (bank, route, tick) in txn order (order-aware dedup)."""
-    f = FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size, (c.state.br_prefix, c.state.b_prefix))
+    f = FT.txn_order_features(c.attempts, c.state.cells, c.state.block_size, c.state.prefix)
     return CD.lookup_first_in_tick(f, ["bank", "route_id"], "time_since_last_bank_route_success")
 
 
@@ -476,8 +483,7 @@ def q_asof_group_state(c: Ctx) -> DataFrame:
 @register_c("policy_rows", "SELECT c.txn_id, c.route_id, c.p, c.outcome_proxy FROM argmax JOIN cands c USING (txn_id, route_id)")
 def q_policy_rows(c: Ctx) -> DataFrame:
     """Candidate rows where route = the policy's choice (argmax policy)."""
-    cands = candidates(c)
-    return CD.policy_rows(cands, PL.policy_argmax(cands)).select("txn_id", "route_id", "p", "outcome_proxy")
+    return PL.policy_choices(candidates(c), c.eligibility).select("txn_id", "best.*")
 
 
 @register_c("policy_argmax", "SELECT txn_id, route_id, p FROM argmax")
@@ -489,14 +495,13 @@ def q_policy_argmax(c: Ctx) -> DataFrame:
 @register_c("policy_round_robin", "SELECT txn_id, route_id FROM rr")
 def q_policy_round_robin(c: Ctx) -> DataFrame:
     """R1..R4 rotation carried across transactions, skipping ineligible routes."""
-    return PL.policy_round_robin(c.spark, candidates(c))
+    return PL.policy_round_robin(candidates(c))
 
 
 @register_c("weighted_split", "SELECT txn_id, route_id FROM wsplit")
 def q_weighted_split(c: Ctx) -> DataFrame:
     """Deterministic weighted assignment among eligible routes."""
-    from routewise.operators.candidates import test_transactions
-    txns = test_transactions(c.features(True))
+    txns = CD.test_attempts(c.attempts, FT.bounds(c.attempts)[1])
     return PL.policy_weighted_split(txns, c.eligibility)
 
 
@@ -509,8 +514,7 @@ def q_outcome_proxy(c: Ctx) -> DataFrame:
 @register_c("eligible_by_network", "SELECT network, route_id, count(*) AS n FROM cand GROUP BY network, route_id")
 def q_eligible_by_network(c: Ctx) -> DataFrame:
     """Candidate rows per (network, route)."""
-    from routewise.operators.candidates import test_transactions
-    txns = test_transactions(c.features(True))
+    txns = CD.test_attempts(c.attempts, FT.bounds(c.attempts)[1])
     return CD.eligible_routes(txns, c.eligibility).groupBy("network", "route_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -519,9 +523,7 @@ SELECT txn_id, string_agg(route_id, ',' ORDER BY route_id) AS eligible_routes, c
   count(*) OVER () AS n_txn FROM cand GROUP BY txn_id""")
 def q_eligible_set(c: Ctx) -> DataFrame:
     """Eligible route list per transaction and the distinct transaction count."""
-    from routewise.operators.candidates import test_transactions
-    from pyspark.sql import Window
-    txns = test_transactions(c.features(True))
+    txns = CD.test_attempts(c.attempts, FT.bounds(c.attempts)[1])
     e = CD.eligible_routes(txns, c.eligibility)
     g = e.groupBy("txn_id").agg(F.concat_ws(",", F.sort_array(F.collect_list("route_id"))).alias("eligible_routes"),
                                 F.count(F.lit(1)).alias("n_eligible"))
@@ -530,30 +532,10 @@ def q_eligible_set(c: Ctx) -> DataFrame:
     return g.withColumn("n_txn", n)
 
 
-def _policy_table(c: Ctx, cands: DataFrame) -> DataFrame:
-    from routewise.operators.candidates import test_transactions
-    tx = cands.groupBy("txn_id").agg(F.first("actual_success").alias("actual_success"),
-                                     F.first("payment_method").alias("payment_method"),
-                                     F.first("network").alias("network"))
-    rows = []
-    rows.append(tx.agg(F.lit("actual").alias("policy"), F.avg("actual_success").alias("success_rate"),
-                       F.count(F.lit(1)).alias("n_txn")))
-    for name, choice in (("round_robin", PL.policy_round_robin(c.spark, cands)),
-                         ("model_argmax", PL.policy_argmax(cands)),
-                         ("weighted_split", PL.policy_weighted_split(tx, c.eligibility))):
-        rows.append(CD.policy_rows(cands, choice).agg(F.lit(name).alias("policy"),
-                                                     F.avg("outcome_proxy").alias("success_rate"),
-                                                     F.count(F.lit(1)).alias("n_txn")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
-
-
 @register_c("policy_success_rate", "SELECT policy, success_rate, n_txn FROM pol")
 def q_policy_success_rate(c: Ctx) -> DataFrame:
     """Actual mean success; policy mean outcome proxy (nulls skipped)."""
-    return _policy_table(c, candidates(c))
+    return PL.policy_summary(candidates(c), c.eligibility).drop("candidate_rows")
 
 
 @register_c("policy_report", """
@@ -561,18 +543,11 @@ SELECT policy, success_rate, n_txn, success_rate - (SELECT success_rate FROM pol
   AS delta_vs_round_robin, (SELECT count(*) FROM cands) AS candidate_rows FROM pol""")
 def q_policy_report(c: Ctx) -> DataFrame:
     """Actual / round-robin / argmax / weighted split with delta vs round robin."""
-    cands = checkpointed_cands(candidates(c))
-    pol = _policy_table(c, cands)
-    rr = pol.where(F.col("policy") == "round_robin").select("success_rate").scalar()
-    n = cands.agg(F.count(F.lit(1))).scalar()
+    pol = PL.policy_summary(candidates(c), c.eligibility)
+    # four rows
+    rr = F.max(F.when(F.col("policy") == "round_robin", F.col("success_rate"))).over(Window.partitionBy())
     return pol.select("policy", "success_rate", "n_txn", (F.col("success_rate") - rr).alias("delta_vs_round_robin"),
-                      n.alias("candidate_rows"))
-
-
-def checkpointed_cands(df: DataFrame) -> DataFrame:
-    """Candidates feed four policies: materialise once in the checkpoint folder."""
-    from routewise.plans.materialize import checkpointed
-    return checkpointed(df)
+                      "candidate_rows")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -692,14 +667,15 @@ def q_classification_report(c: Ctx) -> DataFrame:
 SELECT t.threshold,
   CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS failure_precision,
   CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS failure_recall,
+  CASE WHEN tp > 0 THEN 2.0 * tp / (2.0 * tp + fp + fn) ELSE 0.0 END AS failure_f1,
   (tp + tn) / (tp + fp + tn + fn) AS accuracy, tp + fp AS predicted_failures
 FROM (SELECT t.threshold, count_if(success=0 AND 1.0-p >= t.threshold) tp, count_if(success=1 AND 1.0-p >= t.threshold) fp,
   count_if(success=1 AND NOT 1.0-p >= t.threshold) tn, count_if(success=0 AND NOT 1.0-p >= t.threshold) fn
   FROM val CROSS JOIN thr13 t GROUP BY t.threshold) t""")
 def q_threshold_metrics(c: Ctx) -> DataFrame:
-    """Failure precision/recall, accuracy, predicted failures at 13 thresholds (validation)."""
+    """Failure precision/recall/F1, accuracy, predicted failures at 13 thresholds (validation)."""
     return EV.sweep(_part(c, "validation"), C.ANALYSIS_THRESHOLDS).select(
-        "threshold", "failure_precision", "failure_recall", "accuracy", "predicted_failures")
+        "threshold", "failure_precision", "failure_recall", "failure_f1", "accuracy", "predicted_failures")
 
 
 @register_e("cost_at_threshold", f"""
@@ -808,7 +784,7 @@ def q_brier(c: Ctx) -> DataFrame:
 @register_e("evaluate", None)
 def q_evaluate(c: Ctx) -> DataFrame:
     """ROC-AUC, AP, log loss, Brier, accuracy and failure P/R/F1 on one materialised scored frame."""
-    return _metric_rows(_part(c, "test").select("p", "success", "amount", "route_cost_percent"))
+    return EV.metric_bundle(_part(c, "test"), EVAL_THRESHOLD)
 
 
 ORACLE["evaluate"] = with_eval(f"""
@@ -850,13 +826,8 @@ def q_order_features(c: Ctx) -> DataFrame:
 
 @register("concat_groups", "SELECT route_id, tick, route_success_rate_5m FROM rlive WHERE active")
 def q_concat_groups(c: Ctx) -> DataFrame:
-    """Row union of per-route frames (the reference's loop-then-concat), by name."""
-    st = c.state.route.where("is_active")
-    frames = [st.where(F.col("route_id") == r).select("route_id", "tick", "route_success_rate_5m") for r in C.ROUTE_IDS]
-    out = frames[0]
-    for fr in frames[1:]:
-        out = out.unionByName(fr)
-    return out
+    """The union of all per-route frames, as one plan grouped by route."""
+    return _route_cols(c, "route_success_rate_5m")
 
 
 @register("dedup_first", "SELECT route_id, tick, arg_min(amount, txn_id) AS amount FROM attempts GROUP BY route_id, tick")
@@ -918,7 +889,7 @@ def _prep(c: Ctx) -> "LN.Prepared":
 
 def _model(c: Ctx):
     if not hasattr(c, "_model"):
-        c._model = LN.fit(_prep(c))
+        c._model = LN.fit(_prep(c), LN.QUERY_ROUNDS)
     return c._model
 
 
@@ -946,7 +917,13 @@ def q_impute_mode(c: Ctx) -> DataFrame:
     return LN.mode_values(tr, C.CATEGORICAL_FEATURES)
 
 
-@register("one_hot")
+def _slots() -> str:
+    return ", ".join(f"{x}_s AS (SELECT {x}, row_number() OVER (ORDER BY {x}) AS {x}_slot FROM (SELECT DISTINCT {x} FROM trn))"
+                     for x in C.CATEGORICAL_FEATURES)
+
+
+@register_e("one_hot", "SELECT txn_id, " + ", ".join(f"{x}_slot" for x in C.CATEGORICAL_FEATURES) + " FROM (WITH " + _slots()
+            + " SELECT * FROM fe " + " ".join(f"LEFT JOIN {x}_s USING ({x})" for x in C.CATEGORICAL_FEATURES) + ")")
 def q_one_hot(c: Ctx) -> DataFrame:
     """M3: StringIndexer(keep) + OneHotEncoder(dropLast): unseen category -> all-zero block."""
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
@@ -961,7 +938,10 @@ def q_one_hot(c: Ctx) -> DataFrame:
     return out.select("txn_id", *[F.array_position(vector_to_array(f"{x}__vec"), 1.0).alias(f"{x}_slot") for x in cats])
 
 
-@register("assemble")
+@register_e("assemble", "SELECT txn_id, (" + " + ".join(
+    ["26", *(f"(SELECT count(DISTINCT {x}) + 1 FROM trn)" for x in C.CATEGORICAL_FEATURES)]) + ")::INT AS vector_size, ("
+    + " + ".join(["7", *(f"CAST(coalesce({x}, (SELECT median({x}) FROM trn)) <> 0 AS INT)" for x in C.NUMERIC_FEATURES)])
+    + ")::INT AS non_zeros FROM fe")
 def q_assemble(c: Ctx) -> DataFrame:
     """M4: numeric + one-hot blocks assembled into one vector (size and non-zeros per row)."""
     from pyspark.ml.functions import vector_to_array
@@ -978,7 +958,7 @@ def q_assemble(c: Ctx) -> DataFrame:
 @register("train_baseline")
 def q_train_baseline(c: Ctx) -> DataFrame:
     """M5: fixed-parameter boosted trees; P(success) for every test row."""
-    m = LN.fit(_prep(c), early_stop=False)
+    m = LN.fit(_prep(c), LN.QUERY_ROUNDS, early_stop=False)
     return LN.raw_scores(m, _prep(c).test).select("txn_id", "raw_p")
 
 
@@ -994,7 +974,7 @@ def q_train_candidate(c: Ctx) -> DataFrame:
 @register("tune")
 def q_tune(c: Ctx) -> DataFrame:
     """M8: 20 seeded random draws, fitted concurrently; sorted by validation cost."""
-    rows = LN.tune(_prep(c), n_iter=20)
+    rows = LN.tune(_prep(c), n_iter=20, params=LN.QUERY_ROUNDS)
     cols = sorted(LN.SEARCH_SPACE)
     data = [tuple([r["candidate"], r["validation_cost"]] + [str(r[k]) for k in cols]) for r in rows]
     schema = "candidate int, validation_cost double, " + ", ".join(f"{k} string" for k in cols)
@@ -1040,27 +1020,7 @@ def q_model_evaluate(c: Ctx) -> DataFrame:
     from routewise.plans.materialize import checkpointed
     s = checkpointed(LN.score(_model(c), _calibrated(c), _prep(c).test)
                      .select("p", "success", "amount", "route_cost_percent"), "model_scores")
-    return _metric_rows(s)
-
-
-def _metric_rows(t: DataFrame) -> DataFrame:
-    """(metric, value) rows over one materialised scored frame -- a union, no joins."""
-    auc = EV.roc_auc(t).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-    ap = EV.average_precision(t).select(F.lit("average_precision").alias("metric"),
-                                        F.col("average_precision").alias("value"))
-    ps = EV.proper_scores(t, EVAL_THRESHOLD)
-    rep = EV.classification_report(t, EVAL_THRESHOLD).where(F.col("label") == "0")
-    parts = [auc, ap,
-             ps.select(F.lit("log_loss").alias("metric"), F.col("log_loss").alias("value")),
-             ps.select(F.lit("brier").alias("metric"), F.col("brier").alias("value")),
-             ps.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-             rep.select(F.lit("failure_precision").alias("metric"), F.col("precision").alias("value")),
-             rep.select(F.lit("failure_recall").alias("metric"), F.col("recall").alias("value")),
-             rep.select(F.lit("failure_f1").alias("metric"), F.col("f1_score").alias("value"))]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    return EV.metric_bundle(s, EVAL_THRESHOLD)
 
 
 @register("score_candidates")
@@ -1073,24 +1033,8 @@ def q_score_candidates(c: Ctx) -> DataFrame:
 @register("policy_report_model")
 def q_policy_report_model(c: Ctx) -> DataFrame:
     """M15 with the model: argmax over calibrated scores (ties: raw p, route order)."""
-    from routewise.plans.materialize import checkpointed
-    cands = candidates(c)
-    scored_c = checkpointed(LN.score(_model(c), _calibrated(c), cands))
-    tx = scored_c.groupBy("txn_id").agg(F.first("actual_success").alias("actual_success"),
-                                         F.first("payment_method").alias("payment_method"),
-                                         F.first("network").alias("network"))
-    parts = [tx.agg(F.lit("actual").alias("policy"), F.avg("actual_success").alias("success_rate"),
-                    F.count(F.lit(1)).alias("n_txn"))]
-    for name, choice in (("round_robin", PL.policy_round_robin(c.spark, scored_c)),
-                         ("model_argmax", PL.policy_argmax(scored_c, "p", "raw_p")),
-                         ("weighted_split", PL.policy_weighted_split(tx, c.eligibility))):
-        parts.append(CD.policy_rows(scored_c, choice).agg(F.lit(name).alias("policy"),
-                                                          F.avg("outcome_proxy").alias("success_rate"),
-                                                          F.count(F.lit(1)).alias("n_txn")))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    scored_c = LN.score(_model(c), _calibrated(c), candidates(c))
+    return PL.policy_summary(scored_c, c.eligibility, "p", "raw_p").drop("candidate_rows")
 
 
 @register("write_importance")
@@ -1116,24 +1060,27 @@ def q_save_pipeline(c: Ctx) -> DataFrame:
 # ----------------------------------------------------------------- streaming
 from routewise.streaming import features as SF  # noqa: E402
 from routewise.streaming import sources as SS  # noqa: E402
-from routewise.streaming.runner import dropped_by_watermark, run_available_now, state_rows  # noqa: E402
+from routewise.streaming.runner import drain, dropped_by_watermark, run_available_now, state_rows  # noqa: E402
 
 TICK = 3600
 
 
-def _streams(c: Ctx):
-    if not hasattr(c, "_streams"):
+def _streams(c: Ctx, gaps: bool = False):
+    key = f"_streams_{gaps}"
+    if not hasattr(c, key):
         from routewise.sources.bindings import read_attempts
         a = read_attempts(c.spark, c.sf_dir, c.tick_seconds, with_ts=True)
-        dpath, opath = SS.materialise_streams(c.spark, a)
-        c._streams = (SS.read_decisions(c.spark, dpath), SS.read_outcomes(c.spark, opath))
-    return c._streams
+        dpath, opath = SS.materialise_streams(c.spark, a, gaps)
+        setattr(c, key, (SS.read_decisions(c.spark, dpath), SS.read_outcomes(c.spark, opath)))
+    return getattr(c, key)
 
 
-STREAM_CTES = """
-, dec AS (SELECT txn_id, ts AS decision_ts, tick, bank, network, route_id FROM attempts WHERE txn_id % 50 <> 1),
+def _stream_ctes(gaps: bool) -> str:
+    no_decision, no_outcome = ("WHERE txn_id % 50 <> 1", "WHERE txn_id % 50 <> 0") if gaps else ("", "")
+    return f"""
+, dec AS (SELECT txn_id, ts AS decision_ts, tick, bank, network, route_id FROM attempts {no_decision}),
 outc AS (SELECT txn_id, ts AS attempt_ts, ts + to_minutes(CAST(latency_ms AS INT)) AS outcome_ts, tick, bank, network,
-  route_id, success, latency_ms FROM attempts WHERE txn_id % 50 <> 0),
+  route_id, success, latency_ms FROM attempts {no_outcome}),
 sev AS (SELECT tick, bank, network, route_id, 1 AS req, 0 AS att, 0 AS succ, 0.0::DOUBLE AS lat FROM dec
   UNION ALL SELECT tick, bank, network, route_id, 0, 1, success, latency_ms FROM outc)
 """
@@ -1153,24 +1100,25 @@ def _bucket_sql() -> str:
     return " UNION ALL ".join(sel)
 
 
-def register_s(key: str, sql: str | None = None):
+def register_s(key: str, sql: str | None = None, gaps: bool = False):
+    """Register a query on the streams; with ``gaps`` some decisions and outcomes never arrive."""
     def deco(fn):
         register(key)(fn)
         if sql is not None:
             from routewise.plans.oracle import BASE_CTES
-            ORACLE[key] = "WITH " + BASE_CTES.strip() + "\n" + STREAM_CTES.strip() + "\n" + sql.strip()
+            ORACLE[key] = "WITH " + BASE_CTES.strip() + "\n" + _stream_ctes(gaps).strip() + "\n" + sql.strip()
         return fn
     return deco
 
 
 @register_s("decision_outcome_join", """
 SELECT d.txn_id, d.route_id, o.success FROM dec d JOIN outc o ON o.txn_id = d.txn_id
- AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR""")
+ AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR""", gaps=True)
 def q_decision_outcome_join(c: Ctx) -> DataFrame:
     """Pending decision joined with its (deduplicated) outcome within the 1 h TTL (batch form)."""
     from routewise.sources.bindings import attempts_from_events
     at = attempts_from_events(c.table("events"), c.tick_seconds)
-    d, o = SS.decisions(at), SS.outcomes(at).dropDuplicates(["txn_id"])
+    d, o = SS.decisions(at, True), SS.outcomes(at, True).dropDuplicates(["txn_id"])
     j = d.alias("d").join(o.alias("o"), (F.col("d.txn_id") == F.col("o.txn_id"))
                           & (F.col("o.outcome_ts") >= F.col("d.decision_ts"))
                           & (F.col("o.outcome_ts") <= F.col("d.decision_ts") + F.expr("INTERVAL 1 HOUR")))
@@ -1178,32 +1126,44 @@ def q_decision_outcome_join(c: Ctx) -> DataFrame:
 
 
 @register_s("orphan_outcomes", """
-SELECT DISTINCT o.txn_id FROM outc o WHERE NOT EXISTS (SELECT 1 FROM dec d WHERE d.txn_id = o.txn_id)""")
+SELECT DISTINCT o.txn_id FROM outc o WHERE NOT EXISTS (SELECT 1 FROM dec d WHERE d.txn_id = o.txn_id)""", gaps=True)
 def q_orphan_outcomes(c: Ctx) -> DataFrame:
     """Outcomes with no pending decision (HTTP 404 online) -- left anti-join."""
     from routewise.sources.bindings import attempts_from_events
     at = attempts_from_events(c.table("events"), c.tick_seconds)
-    return SS.outcomes(at).join(SS.decisions(at), "txn_id", "left_anti").select("txn_id").distinct()
+    return SS.outcomes(at, True).join(SS.decisions(at, True), "txn_id", "left_anti").select("txn_id").distinct()
+
+
+COLD = ("route_success_rate_5m", "route_success_rate_15m", "route_avg_latency_5m", "route_failure_rate_1m",
+        "bank_failure_rate_5m", "network_failure_rate_5m", "amount_to_bank_avg_ratio")
+DERIVED = ("route_failure_rate_5m", "route_failure_rate_15m", "route_success_drop_5m", "route_success_drop_15m",
+           "route_latency_ratio", "bank_route_gap", "route_stress")
 
 
 @register_c("cold_start_fill", """
-SELECT txn_id, route_id, coalesce(route_success_rate_5m, ro.base_success_rate) AS route_success_rate_5m,
-  coalesce(route_success_rate_15m, ro.base_success_rate) AS route_success_rate_15m,
-  coalesce(route_avg_latency_5m, CAST(ro.base_latency_ms AS DOUBLE)) AS route_avg_latency_5m,
-  coalesce(route_failure_rate_1m, 1.0 - ro.base_success_rate) AS route_failure_rate_1m,
-  coalesce(bank_failure_rate_5m, 0.0) AS bank_failure_rate_5m, coalesce(network_failure_rate_5m, 0.0) AS network_failure_rate_5m,
-  coalesce(amount_to_bank_avg_ratio, 1.0) AS amount_to_bank_avg_ratio FROM cands JOIN routes ro USING (route_id)""")
+SELECT txn_id, route_id, s5 AS route_success_rate_5m, s15 AS route_success_rate_15m, l5 AS route_avg_latency_5m,
+  f1 AS route_failure_rate_1m, b5 AS bank_failure_rate_5m, n5 AS network_failure_rate_5m, ar AS amount_to_bank_avg_ratio,
+  1.0 - s5 AS route_failure_rate_5m, 1.0 - s15 AS route_failure_rate_15m,
+  route_base_success_rate - s5 AS route_success_drop_5m, route_base_success_rate - s15 AS route_success_drop_15m,
+  l5 / (route_base_latency_ms + 0.000001) AS route_latency_ratio, bank_route_success_rate_15m - s15 AS bank_route_gap,
+  route_utilization * (1.0 - s15) AS route_stress
+FROM (SELECT c.*, coalesce(route_success_rate_5m, ro.base_success_rate) AS s5,
+  coalesce(route_success_rate_15m, ro.base_success_rate) AS s15,
+  coalesce(route_avg_latency_5m, CAST(ro.base_latency_ms AS DOUBLE)) AS l5,
+  coalesce(route_failure_rate_1m, 1.0 - ro.base_success_rate) AS f1, coalesce(bank_failure_rate_5m, 0.0) AS b5,
+  coalesce(network_failure_rate_5m, 0.0) AS n5, coalesce(amount_to_bank_avg_ratio, 1.0) AS ar
+  FROM cands c JOIN routes ro USING (route_id))""")
 def q_cold_start_fill(c: Ctx) -> DataFrame:
-    """ST13: online cold-start fallbacks from static route config (optional mode)."""
-    x = candidates(c).join(F.broadcast(c.routes.select("route_id", "base_success_rate", "base_latency_ms")), "route_id")
-    return x.select("txn_id", "route_id",
-                    F.coalesce("route_success_rate_5m", "base_success_rate").alias("route_success_rate_5m"),
-                    F.coalesce("route_success_rate_15m", "base_success_rate").alias("route_success_rate_15m"),
-                    F.coalesce("route_avg_latency_5m", F.col("base_latency_ms").cast("double")).alias("route_avg_latency_5m"),
-                    F.coalesce("route_failure_rate_1m", 1.0 - F.col("base_success_rate")).alias("route_failure_rate_1m"),
-                    F.coalesce("bank_failure_rate_5m", F.lit(0.0)).alias("bank_failure_rate_5m"),
-                    F.coalesce("network_failure_rate_5m", F.lit(0.0)).alias("network_failure_rate_5m"),
-                    F.coalesce("amount_to_bank_avg_ratio", F.lit(1.0)).alias("amount_to_bank_avg_ratio"))
+    """ST13: online cold-start fallbacks from static route config, and the engineered columns that follow from them."""
+    x = candidates(c).drop(*DERIVED).join(
+        F.broadcast(c.routes.select("route_id", "base_success_rate", "base_latency_ms")), "route_id")
+    x = x.withColumns(dict(zip(COLD, (
+        F.coalesce("route_success_rate_5m", "base_success_rate"), F.coalesce("route_success_rate_15m", "base_success_rate"),
+        F.coalesce("route_avg_latency_5m", F.col("base_latency_ms").cast("double")),
+        F.coalesce("route_failure_rate_1m", 1.0 - F.col("base_success_rate")),
+        F.coalesce("bank_failure_rate_5m", F.lit(0.0)), F.coalesce("network_failure_rate_5m", F.lit(0.0)),
+        F.coalesce("amount_to_bank_avg_ratio", F.lit(1.0))))))
+    return FT.add_engineered(x).select("txn_id", "route_id", *COLD, *DERIVED)
 
 
 @register_s("stream_minute_buckets", _bucket_sql())
@@ -1224,24 +1184,29 @@ def q_stream_bucket_ttl(c: Ctx) -> DataFrame:
 
 
 @register_s("stream_rolling_rates", """
-SELECT route_id, m AS tick, sum(k) / sum(n) AS route_success_rate_5m, sum(lat) / sum(n) AS route_avg_latency_5m
-FROM (SELECT c.route_id, c.tick + d.off AS m, c.n, c.k, c.lat FROM
+SELECT route_id, m AS tick, sum(CASE WHEN off <= 5 THEN k END) / sum(CASE WHEN off <= 5 THEN n END) AS route_success_rate_5m,
+  sum(k) / sum(n) AS route_success_rate_15m,
+  sum(CASE WHEN off <= 5 THEN lat END) / sum(CASE WHEN off <= 5 THEN n END) AS route_avg_latency_5m,
+  CAST(sum(CASE WHEN off = 1 THEN n ELSE 0 END) AS DOUBLE) AS route_requests_1m
+FROM (SELECT c.route_id, c.tick + d.off AS m, d.off, c.n, c.k, c.lat FROM
   (SELECT route_id, tick, count(*) AS n, sum(success) AS k, sum(latency_ms) AS lat FROM outc GROUP BY route_id, tick) c
-  CROSS JOIN (SELECT unnest(range(1, 6)) AS off) d)
+  CROSS JOIN (SELECT unnest(range(1, 16)) AS off) d)
 GROUP BY route_id, m""")
 def q_stream_rolling_rates(c: Ctx) -> DataFrame:
-    """ST3: trailing 5-tick route rate / latency from sliding windows (window end = feature tick)."""
+    """ST3: trailing 15-, 5- and 1-tick route rates from one sliding window (window end = feature tick)."""
     _, o = _streams(c)
     res, _ = run_available_now(c.spark, SF.rolling_rates(o, c.tick_seconds), "st3", keys=["route_id", "tick"])
     return res
 
 
-@register("stream_last_flagged")
+@register("stream_last_flagged", """
+SELECT r.route_id, r.tick, r.route_success_rate_5m, r.route_flagged_down, r.time_since_last_failure FROM rlive r
+JOIN (SELECT route_id, min(tick) AS lo, max(tick) AS hi FROM rcell GROUP BY route_id) b
+  ON r.route_id = b.route_id AND r.tick BETWEEN b.lo AND b.hi""")
 def q_stream_last_flagged(c: Ctx) -> DataFrame:
-    """ST4: per-route incident state machine, one transition per closed tick."""
+    """ST4: per-route incident state machine, one transition per closed tick, first to last active tick."""
     _, o = _streams(c)
-    res, _ = run_available_now(c.spark, SF.incident_state(o, c.tick_seconds), "st4", output_mode="append")
-    return res
+    return SF.run_incident_state(c.spark, o, c.tick_seconds)
 
 
 @register_s("stream_last_success",
@@ -1255,14 +1220,24 @@ def q_stream_last_success(c: Ctx) -> DataFrame:
 
 @register_s("stream_decision_outcome", """
 SELECT d.txn_id, d.route_id, o.success FROM dec d JOIN outc o ON o.txn_id = d.txn_id
- AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR""")
+ AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR""", gaps=True)
 def q_stream_decision_outcome(c: Ctx) -> DataFrame:
     """ST6: stream-stream join of decisions and outcomes within 1 h (both watermarked)."""
-    d, o = _streams(c)
+    d, o = _streams(c, gaps=True)
     res, _ = run_available_now(c.spark, SF.decision_outcome_join(d, o), "st6", output_mode="append")
     return res.select("txn_id", "route_id", "success")
 
 
+@register_s("stream_expired_decisions", """
+SELECT d.txn_id, d.route_id FROM dec d WHERE NOT EXISTS (SELECT 1 FROM outc o WHERE o.txn_id = d.txn_id
+ AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR)""", gaps=True)
+def q_stream_expired_decisions(c: Ctx) -> DataFrame:
+    """ST6, left outer form: decisions whose outcome did not come within 1 h."""
+    d, o = _streams(c, gaps=True)
+    res, _ = run_available_now(c.spark, SF.decision_outcome_join(d, o, how="left_outer"), "st6x", output_mode="append")
+    return res.where(F.col("outcome_ts").isNull()).select("txn_id", "route_id")
+
+
 @register_s("stream_dedup_outcomes", "SELECT txn_id, success FROM outc")
 def q_stream_dedup_outcomes(c: Ctx) -> DataFrame:
     """ST7: idempotent outcomes (dropDuplicatesWithinWatermark on the attempt id)."""
@@ -1271,20 +1246,20 @@ def q_stream_dedup_outcomes(c: Ctx) -> DataFrame:
     return res
 
 
-@register("stream_late_credit")
+@register_s("stream_late_credit", """
+SELECT tick, count(*) AS outcomes, CAST(sum(success) AS BIGINT) AS successes, CAST(0 AS BIGINT) AS rows_dropped_by_watermark FROM outc GROUP BY tick""")
 def q_stream_late_credit(c: Ctx) -> DataFrame:
-    """ST8: outcomes credited to the attempt tick; late rows past the watermark dropped and counted."""
+    """ST8: outcomes credited to the attempt tick; no callback within the TTL is dropped, later ones are counted."""
     _, o = _streams(c)
     res, prog = run_available_now(c.spark, SF.late_credit(o, c.tick_seconds), "st8", keys=["tick"])
     return res.withColumn("rows_dropped_by_watermark", F.lit(dropped_by_watermark(prog)).cast("long"))
 
 
-@register("stream_bank_amount")
+@register("stream_bank_amount", "SELECT a.txn_id, a.bank, t.amount_to_bank_avg_ratio FROM attempts a JOIN txnf t USING (txn_id)")
 def q_stream_bank_amount(c: Ctx) -> DataFrame:
-    """ST9: running per-bank amount state, ratio read before add (applyInPandasWithState)."""
+    """ST9: running per-bank amount totals carried from micro-batch to micro-batch, ratio read before add."""
     d, _ = _streams(c)
-    res, _ = run_available_now(c.spark, SF.bank_amount_ratio(d), "st9", output_mode="append")
-    return res
+    return SF.run_bank_amount(c.spark, d, c.block_size)
 
 
 @register_s("stream_system_tps", "SELECT tick + 1 AS tick, count(*) / 3600.0 AS system_tps FROM dec GROUP BY tick")
@@ -1296,24 +1271,19 @@ def q_stream_system_tps(c: Ctx) -> DataFrame:
 
 
 def _serve(c: Ctx, decide: bool) -> DataFrame:
-    from routewise.sources.sinks import shared_path
     from routewise.streaming import serving as SV
     c.probes = True
     st = c.state
     bank_avg = SV.bank_amount_asof(st)
     d, _ = _streams(c)
-    out = shared_path(c.spark, "serve")
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
-        snap = SV.feature_snapshot(batch, st, c.eligibility, bank_avg)
-        res = SV.route_decisions(snap) if decide else snap
-        res.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+    def serve(requests: DataFrame) -> DataFrame:
+        snap = SV.feature_snapshot(requests.where(F.col("txn_id").isNotNull()), st, c.eligibility, bank_avg,
+                                   c.tick_seconds)
+        return SV.route_decisions(snap) if decide else snap
 
-    ckpt = shared_path(c.spark, "serve-checkpoint")
-    q = (d.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return c.spark.read.parquet(out).drop("_batch")
+    schema = serve(c.spark.createDataFrame([], d.schema)).schema
+    return drain(c.spark, d, "serve", schema, per_batch=lambda batch, *_: serve(batch))[0].drop("batch_id")
 
 
 @register("stream_feature_snapshot")
@@ -1396,3 +1366,30 @@ SELECT route_id, tick,
   CASE WHEN sum(n) OVER w15 > 0 THEN sum(k) OVER w15 / sum(n) OVER w15 END AS route_success_rate_15m
 FROM rc WINDOW w5 AS (PARTITION BY route_id ORDER BY tick RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING),
   w15 AS (PARTITION BY route_id ORDER BY tick RANGE BETWEEN 15 PRECEDING AND 1 PRECEDING)"""
+
+
+@register("validate_orders")
+def q_validate_orders(c: Ctx) -> DataFrame:
+    """Q1 on the second binding, whose days reach beyond the horizon and whose networks no route supports."""
+    return QA.validate_attempts(_orders_attempts(c), c.routes, 9500)
+
+
+ORACLE["validate_orders"] = ORDERS_ATTEMPTS + """
+SELECT unnest(['unknown_route_id', 'negative_tick', 'tick_beyond_horizon', 'unsupported_network']) AS rule,
+  unnest([count_if(route_id NOT IN ('R1', 'R2', 'R3', 'R4')), count_if(tick < 0), count_if(tick >= 9500), count(*)]) AS violations
+FROM oa"""
+
+
+@register("quarantine_orders", None)
+def q_quarantine_orders(c: Ctx) -> DataFrame:
+    """Q1, the rows themselves: attempts over a route that is not (here: no longer) in the dimension."""
+    return QA.quarantine(_orders_attempts(c), c.routes.where(F.col("route_id") != "R4")).select("txn_id", "route_id")
+
+
+ORACLE["quarantine_orders"] = ORDERS_ATTEMPTS + "SELECT txn_id, route_id FROM oa WHERE route_id = 'R4'"
+
+
+@register("no_eligible_route_orders", "SELECT o_orderkey AS txn_id, 'CARD' AS payment_method, o_orderpriority AS network FROM orders")
+def q_no_eligible_route_orders(c: Ctx) -> DataFrame:
+    """J8 on the second binding, whose networks no route accepts."""
+    return CD.no_eligible_route(_orders_attempts(c), c.eligibility).select("txn_id", "payment_method", "network")

@@ -1,43 +1,19 @@
-"""Materialisation points and size-checked broadcasts.
+"""Materialisation points.
 
-Derived state tables (per route/bank/network x tick cells) are bounded by
-keys x ticks, not by the size of the fact table.  They are written once as
-parquet into the cluster's shared checkpoint folder (survives executor
-loss, cuts lineage, one job) and read back; the read-back relation carries
-real file-size statistics, so the optimizer's broadcast decision is made on
-the measured size, with a shuffle join beyond the threshold.
+Derived state tables (per route / bank / network x tick cells) are bounded by keys x ticks, not by the
+fact table.  They are written once as parquet into the shared folder (survives executor loss, cuts
+lineage) and read back; the read-back relation carries real file sizes, so the optimizer's choice between
+a broadcast and a shuffle join rests on a measured size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from routewise.session import ensure_checkpoint_dir
 
-# Largest derived table we are willing to broadcast (rows).  At ~100 bytes a
-# row this keeps broadcasts well under the executor-side broadcast budget.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
-def materialized(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as parquet into the shared folder and return the read-back table."""
+def checkpointed(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage with a written table in the shared folder (never a local checkpoint)."""
     from routewise.sources.sinks import shared_path
     path = shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def checkpointed(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut lineage with a written table in the shared folder (never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return materialized(df, name)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      materialize: bool = True) -> DataFrame:
-    """Broadcast ``df`` only if its measured row count is <= ``max_rows``."""
-    if materialize:
-        df = checkpointed(df)
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 DOUBLE_COLUMNS = {
     'accuracy': ['accuracy'],
-    'amount_bands': ['amount_penalty', 'clamped_amount'],
+    'amount_bands': ['mean_amount'],
     'amount_to_bank_avg_ratio': ['amount_to_bank_avg_ratio'],
     'asof_group_state': ['route_failure_rate_1m', 'time_since_last_bank_route_success'],
     'attach_bank_route': ['bank_route_success_rate_15m'],
@@ -21,7 +21,7 @@ DOUBLE_COLUMNS = {
     'class_balance': ['failure_ratio', 'base_weight'],
     'class_weights': ['weight'],
     'classification_report': ['precision', 'recall', 'f1_score'],
-    'cold_start_fill': ['route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_failure_rate_1m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'amount_to_bank_avg_ratio'],
+    'cold_start_fill': ['route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_failure_rate_1m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'amount_to_bank_avg_ratio', 'route_failure_rate_5m', 'route_failure_rate_15m', 'route_success_drop_5m', 'route_success_drop_15m', 'route_latency_ratio', 'bank_route_gap', 'route_stress'],
     'concat_groups': ['route_success_rate_5m'],
     'confusion_matrix': [],
     'constrained_cost_threshold': ['threshold', 'cost_per_txn', 'failure_recall'],
@@ -43,7 +43,7 @@ DOUBLE_COLUMNS = {
     'incident_episodes': [],
     'inf_to_null': ['amount_per_latency'],
     'label_split': [],
-    'load_response': ['what_if_utilization', 'success_multiplier', 'latency_multiplier'],
+    'load_response': ['route_current_load', 'success_rate', 'mean_latency'],
     'log_loss': ['log_loss'],
     'lookup_first_in_tick': ['time_since_last_bank_route_success'],
     'minute_table': ['latency_sum'],
@@ -89,10 +89,13 @@ DOUBLE_COLUMNS = {
     'stream_dedup_outcomes': [],
     'stream_last_success': [],
     'stream_minute_buckets': ['latency_sum'],
-    'stream_rolling_rates': ['route_success_rate_5m', 'route_avg_latency_5m'],
+    'stream_rolling_rates': ['route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_requests_1m'],
+    'stream_last_flagged': ['route_success_rate_5m', 'route_flagged_down', 'time_since_last_failure'],
+    'feature_table_minute': ['route_success_rate_5m', 'route_success_rate_15m', 'bank_route_success_rate_15m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
+    'stream_bank_amount': ['amount_to_bank_avg_ratio'],
     'stream_system_tps': ['system_tps'],
     'target_recall_threshold': ['threshold', 'precision', 'recall'],
-    'threshold_metrics': ['threshold', 'failure_precision', 'failure_recall', 'accuracy'],
+    'threshold_metrics': ['threshold', 'failure_precision', 'failure_recall', 'failure_f1', 'accuracy'],
     'time_features': [],
     'time_since_any_failure': ['time_since_any_failure'],
     'time_since_last_bank_route_success': ['time_since_last_bank_route_success'],

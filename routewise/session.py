@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -12,13 +15,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "routewise") -> SparkSession:
     """Return a session configured for the engine.
 
-    On a cluster the existing session (and its ``spark.checkpoint.dir``) is
-    reused untouched; the local defaults below only apply when no session
-    exists yet (tests, bench).
+    An existing session is used as it is; the local defaults below apply only
+    when there is none yet (tests, bench).
     """
     active = SparkSession.getActiveSession()
     if active is not None:
-        ensure_checkpoint_dir(active)
         return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
@@ -38,24 +39,37 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
+_LOCAL: dict[str, str] = {}   # application id -> scratch folder of a local session
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only if unset.
+    """The folder for written tables: ``spark.checkpoint.dir``, or a scratch folder of a local session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (local tests) a fresh temporary
-    folder is made.
+    The session's configuration is never changed.  Without the setting, a session on ``local[...]`` gets
+    one scratch folder, removed when the process ends; any other master raises, because its executors
+    would each write to a disk of their own.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
-    path = tempfile.mkdtemp(prefix="routewise-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir() or path
+        return current
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
+    if sc.applicationId not in _LOCAL:
+        path = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="routewise-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return _LOCAL[sc.applicationId]
+
+
+def written_root(spark: SparkSession) -> str:
+    """Where this application's written tables lie."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/routewise-{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> bool:
+    """Delete this application's written tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(written_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

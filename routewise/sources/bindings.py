@@ -45,7 +45,7 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
 
 
 def risk_band(amount: Column) -> Column:
-    lo, hi, _ = C.AMOUNT_BAND_EDGES
+    lo, hi = C.RISK_BAND_EDGES
     return (F.when(amount < lo, "LOW").when(amount < hi, "MEDIUM").otherwise("HIGH"))
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routewise.session import ensure_checkpoint_dir
+from routewise.session import written_root
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "routewise-out", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder for a written table of this application, in the shared folder."""
+    return f"{written_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def write_features(features: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -1,34 +1,48 @@
 """Streaming feature maintenance (ST1-ST10) on decision / outcome streams.
 
-Event time is the attempt time (late callbacks are credited to the attempt
-tick); watermarks bound state.  Ticks are ``tick_seconds`` long and aligned
-to 2024-01-01 00:00 UTC, so a tumbling window of one tick starts exactly at
-the batch tick boundary.
+Event time is the attempt time (late callbacks are credited to the attempt tick).  Every watermark waits
+``CALLBACK_TTL`` seconds, the longest time a callback may take, whatever the tick: state lives as long as
+a row for it may still come.  Ticks are ``tick_seconds`` long and aligned to 2024-01-01 00:00 UTC, so a
+tumbling window of one tick starts exactly at the batch tick boundary.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from routewise import constants as C
+from routewise.operators.prefix import block_of, block_prefix, in_block_window
 from routewise.sources.bindings import EPOCH_2024
+from routewise.sources.sinks import shared_path
+from routewise.streaming.runner import drain
 
 
 def tick_of(ts: Column, tick_seconds: int) -> Column:
     return F.floor((F.unix_seconds(ts) - F.lit(EPOCH_2024)) / F.lit(tick_seconds)).cast("long")
 
 
-def dedup_outcomes(outcomes: DataFrame, delay: str = "1 hour", event_col: str = "outcome_ts") -> DataFrame:
+#: Seconds after its attempt within which a callback counts.
+CALLBACK_TTL = 7200
+
+
+def watermarked(events: DataFrame, event_col: str, delay: int = CALLBACK_TTL) -> DataFrame:
+    """The events with a watermark; rows without txn_id only move the clock and go after it.
+
+    (The condition names the event time, so that it is not pushed below the watermark.)
+    """
+    return (events.withWatermark(event_col, f"{delay} seconds")
+            .where(F.col("txn_id").isNotNull() | F.col(event_col).isNull()))
+
+
+def dedup_outcomes(outcomes: DataFrame, delay: int = CALLBACK_TTL, event_col: str = "outcome_ts") -> DataFrame:
     """ST7: idempotent outcomes -- one per attempt id within the watermark.
 
     The watermark is defined here once, on ``event_col``; downstream
     stateful operators reuse it (a stream carries a single watermark).
     """
-    return outcomes.withWatermark(event_col, delay).dropDuplicatesWithinWatermark(["txn_id"])
+    return watermarked(outcomes, event_col, delay).dropDuplicatesWithinWatermark(["txn_id"])
 
 
 def minute_buckets(decisions: DataFrame, outcomes: DataFrame, tick_seconds: int, ttl_ticks: int = 30) -> DataFrame:
@@ -39,8 +53,8 @@ def minute_buckets(decisions: DataFrame, outcomes: DataFrame, tick_seconds: int,
     bucket state, as the key expiry does online.
     """
     nul = F.lit(None).cast("string")
-    delay = f"{ttl_ticks * tick_seconds} seconds"
-    d = decisions.withWatermark("decision_ts", delay).select(
+    delay = max(ttl_ticks * tick_seconds, CALLBACK_TTL)
+    d = watermarked(decisions, "decision_ts", delay).select(
         F.col("decision_ts").alias("event_ts"), "bank", "network", "route_id",
         F.lit(1).alias("req"), F.lit(0).alias("att"), F.lit(0).alias("succ"), F.lit(0.0).alias("lat"))
     o = dedup_outcomes(outcomes, delay, "attempt_ts").select(F.col("attempt_ts").alias("event_ts"), "bank", "network", "route_id",
@@ -62,18 +76,31 @@ def minute_buckets(decisions: DataFrame, outcomes: DataFrame, tick_seconds: int,
                     "requests", "attempts", "successes", "latency_sum")
 
 
-def rolling_rates(outcomes: DataFrame, tick_seconds: int, w: int = C.WINDOW_5) -> DataFrame:
-    """ST3: trailing w-tick success rate and latency, current tick excluded.
+def rolling_rates(outcomes: DataFrame, tick_seconds: int, delay: int = CALLBACK_TTL) -> DataFrame:
+    """ST3: trailing 15-, 5- and 1-tick rates of a route, current tick excluded.
 
-    A sliding window [m-w, m) with slide one tick; the row whose window ends
-    at m is the feature at m.
+    One sliding window [m-15, m) with slide one tick; the row whose window ends at m is the feature at m.
+    The shorter windows are conditional sums in the same aggregate.
     """
-    o = dedup_outcomes(outcomes, f"{(w + 1) * tick_seconds} seconds", "attempt_ts")
-    g = (o.groupBy("route_id", F.window("attempt_ts", f"{w * tick_seconds} seconds", f"{tick_seconds} seconds"))
-         .agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("k"), F.sum("latency_ms").alias("lat")))
-    return g.select("route_id", tick_of(F.col("window.end"), tick_seconds).alias("tick"),
-                    (F.col("k") / F.col("n")).alias("route_success_rate_5m"),
-                    (F.col("lat") / F.col("n")).alias("route_avg_latency_5m"))
+    o = dedup_outcomes(outcomes, delay, "attempt_ts")
+    w = F.window("attempt_ts", f"{C.WINDOW_15 * tick_seconds} seconds", f"{tick_seconds} seconds")
+    o = o.select("route_id", "attempt_ts", "success", "latency_ms", w.alias("w"))
+
+    def last(ticks: int) -> Column:
+        return F.col("attempt_ts") >= F.col("w.end") - F.make_dt_interval(secs=F.lit(ticks * tick_seconds))
+
+    def within(ticks: int, value: Column) -> Column:
+        return F.sum(F.when(last(ticks), value))
+
+    g = o.groupBy("route_id", "w").agg(
+        F.count(F.lit(1)).alias("n15"), F.sum("success").alias("k15"),
+        F.count_if(last(C.WINDOW_5)).alias("n5"), within(C.WINDOW_5, F.col("success")).alias("k5"),
+        within(C.WINDOW_5, F.col("latency_ms")).alias("lat5"), F.count_if(last(C.WINDOW_1)).alias("n1"))
+    return g.select("route_id", tick_of(F.col("w.end"), tick_seconds).alias("tick"),
+                    F.when(F.col("n5") > 0, F.col("k5") / F.col("n5")).alias("route_success_rate_5m"),
+                    (F.col("k15") / F.col("n15")).alias("route_success_rate_15m"),
+                    F.when(F.col("n5") > 0, F.col("lat5") / F.col("n5")).alias("route_avg_latency_5m"),
+                    F.col("n1").cast("double").alias("route_requests_1m"))
 
 
 def last_success(outcomes: DataFrame) -> DataFrame:
@@ -83,144 +110,160 @@ def last_success(outcomes: DataFrame) -> DataFrame:
             .agg(F.max("tick").alias("last_success_tick")))
 
 
-def decision_outcome_join(decisions: DataFrame, outcomes: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """ST6: pending decision matched with its outcome within the TTL (stream-stream join)."""
-    d = decisions.withWatermark("decision_ts", ttl).alias("d")
+def decision_outcome_join(decisions: DataFrame, outcomes: DataFrame, ttl: int = C.PENDING_TTL_SECONDS,
+                          how: str = "inner") -> DataFrame:
+    """ST6: pending decision matched with its outcome within the TTL (stream-stream join).
+
+    ``left_outer`` also gives the expired decisions, once the watermarks say that no outcome can come.
+    """
+    d = watermarked(decisions, "decision_ts", ttl).alias("d")
     o = dedup_outcomes(outcomes, ttl, "outcome_ts").alias("o")
     cond = ((F.col("d.txn_id") == F.col("o.txn_id")) & (F.col("o.outcome_ts") >= F.col("d.decision_ts"))
-            & (F.col("o.outcome_ts") <= F.col("d.decision_ts") + F.expr(f"INTERVAL {ttl}")))
-    return d.join(o, cond, "inner").select(F.col("d.txn_id").alias("txn_id"), F.col("d.route_id").alias("route_id"),
-                                           "d.decision_ts", "o.outcome_ts", "o.success")
+            & (F.col("o.outcome_ts") <= F.col("d.decision_ts") + F.expr(f"INTERVAL {ttl} SECONDS")))
+    return d.join(o, cond, how).select(F.col("d.txn_id").alias("txn_id"), F.col("d.route_id").alias("route_id"),
+                                       "d.decision_ts", "o.outcome_ts", "o.success")
 
 
-def late_credit(outcomes: DataFrame, tick_seconds: int, delay_ticks: int = 1) -> DataFrame:
+def late_credit(outcomes: DataFrame, tick_seconds: int, delay: int = CALLBACK_TTL) -> DataFrame:
     """ST8: outcomes credited to their attempt tick; rows later than the watermark are dropped (and counted)."""
-    g = (outcomes.withWatermark("attempt_ts", f"{delay_ticks * tick_seconds} seconds")
-         .dropDuplicates(["txn_id", "attempt_ts"])
+    g = (dedup_outcomes(outcomes, delay, "attempt_ts")
          .groupBy(F.window("attempt_ts", f"{tick_seconds} seconds"))
          .agg(F.count(F.lit(1)).alias("outcomes"), F.sum("success").alias("successes")))
     return g.select(tick_of(F.col("window.start"), tick_seconds).alias("tick"), "outcomes", "successes")
 
 
-def system_tps(decisions: DataFrame, tick_seconds: int) -> DataFrame:
+def system_tps(decisions: DataFrame, tick_seconds: int, delay: int = CALLBACK_TTL) -> DataFrame:
     """ST10: requests in the previous completed tick / tick length, keyed by the tick they serve."""
-    g = (decisions.withWatermark("decision_ts", f"{tick_seconds} seconds")
+    g = (watermarked(decisions, "decision_ts", delay)
          .groupBy(F.window("decision_ts", f"{tick_seconds} seconds")).agg(F.count(F.lit(1)).alias("n")))
     return g.select((tick_of(F.col("window.start"), tick_seconds) + 1).alias("tick"),
                     (F.col("n") / F.lit(float(tick_seconds))).alias("system_tps"))
 
 
-# ------------------------------------------------------ custom state (pandas)
-BANK_STATE = T.StructType([T.StructField("amount_sum", T.DoubleType()), T.StructField("amount_count", T.LongType())])
+# ------------------------------------------------------------- running amounts
 BANK_OUT = T.StructType([T.StructField("txn_id", T.LongType()), T.StructField("bank", T.StringType()),
                          T.StructField("amount_to_bank_avg_ratio", T.DoubleType())])
 
 
-def _bank_amount(key, pdfs, state):
-    """Per bank: ratio of each amount to the mean of all earlier amounts, read before add."""
-    s, n = (state.get if state.exists else (0.0, 0))
-    parts = [p for p in pdfs if len(p)]
-    if not parts:
-        return
-    pdf = pd.concat(parts).sort_values("txn_id", kind="stable")
-    amt = pdf["amount"].to_numpy(dtype=float)
-    prev_sum = s + np.concatenate(([0.0], np.cumsum(amt)[:-1]))
-    prev_cnt = n + np.arange(len(amt))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = np.where(prev_cnt > 0, amt / (prev_sum / np.maximum(prev_cnt, 1)), np.nan)
-    state.update((float(s + amt.sum()), int(n + len(amt))))
-    yield pd.DataFrame({"txn_id": pdf["txn_id"].to_numpy(), "bank": key[0],
-                        "amount_to_bank_avg_ratio": pd.Series(ratio).where(~np.isnan(ratio), None)})
-
-
-def bank_amount_ratio(decisions: DataFrame) -> DataFrame:
-    """ST9: cumulative per-bank amount state; per-event ratio read before the add.
-
-    Exact in transaction order when events arrive in order (the reference
-    contract: the amount accumulator is updated after the prediction).
+def bank_amount_batch(batch: DataFrame, before: DataFrame | None, block_size: int) -> tuple[DataFrame, DataFrame]:
+    """ST9, one micro-batch: (ratio per transaction, totals per bank after it).
+
+    ``before`` holds each bank's sum and count over all earlier micro-batches.  Inside the batch, sums per
+    (bank, block of transactions) and running sums inside a block replace a running sum over a whole bank,
+    so a bank with most of the traffic is spread over its blocks.
+    """
+    a = (batch.where(F.col("txn_id").isNotNull()).select("txn_id", "bank", "amount").dropDuplicates(["txn_id"])
+         .withColumn("block", block_of("txn_id", block_size)))
+    blocks = a.groupBy("bank", "block").agg(F.sum("amount").alias("amount_sum"), F.count(F.lit(1)).alias("amount_count"))
+    prefix = block_prefix(blocks, ["bank"], sums=["amount_sum", "amount_count"])
+    totals = blocks.groupBy("bank").agg(F.sum("amount_sum").alias("amount_sum"), F.sum("amount_count").alias("amount_count"))
+    w = in_block_window(["bank"])
+    x = a.select("*", F.sum("amount").over(w).alias("s"), F.count(F.lit(1)).over(w).alias("n")).join(prefix, ["bank", "block"])
+    s = F.coalesce("s", F.lit(0.0)) + F.col("prev_amount_sum")
+    n = F.col("n") + F.col("prev_amount_count")
+    if before is not None:
+        old = before.select("bank", F.col("amount_sum").alias("s0"), F.col("amount_count").alias("n0"))
+        x = x.join(old, "bank", "left")
+        s, n = s + F.coalesce("s0", F.lit(0.0)), n + F.coalesce("n0", F.lit(0))
+        totals = (totals.unionByName(before.select("bank", "amount_sum", "amount_count"))
+                  .groupBy("bank").agg(F.sum("amount_sum").alias("amount_sum"), F.sum("amount_count").alias("amount_count")))
+    ratio = F.when(n > 0, F.col("amount") / (s / n))
+    return x.select("txn_id", "bank", ratio.alias("amount_to_bank_avg_ratio")), totals
+
+
+def run_bank_amount(spark: SparkSession, decisions: DataFrame, block_size: int, path: str | None = None) -> DataFrame:
+    """ST9: per bank, the ratio of each amount to the mean of all earlier ones, read before it is added.
+
+    Transactions count in the order of micro-batches, and by id inside one (the reference contract: the
+    accumulator is updated after the prediction).  Each micro-batch writes the totals after it beside its
+    result, in a folder named by its id, and starts from those of the micro-batch before.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    return (decisions.select("txn_id", "bank", "amount").groupBy("bank")
-            .applyInPandasWithState(_bank_amount, BANK_OUT, BANK_STATE, "append", GroupStateTimeout.NoTimeout))
+    root = path or shared_path(spark, "st9")
+
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        before = None
+        if batch_id:
+            before = spark.read.schema("bank string, amount_sum double, amount_count long").parquet(
+                f"{root}/totals/{batch_id - 1}")
+        rows, totals = bank_amount_batch(batch, before, block_size)
+        totals.write.mode("overwrite").parquet(f"{root}/totals/{batch_id}")
+        return rows
+
+    return drain(spark, decisions, "st9", BANK_OUT, per_batch=per_batch, path=root)[0].drop("batch_id")
 
 
-INCIDENT_STATE = T.StructType([
-    T.StructField("ticks", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType())),
-    T.StructField("k", T.ArrayType(T.LongType())), T.StructField("last_flagged", T.LongType()),
-    T.StructField("next_eval", T.LongType()),
-])
+# ------------------------------------------------------------- incident state
 INCIDENT_OUT = T.StructType([T.StructField("route_id", T.StringType()), T.StructField("tick", T.LongType()),
                              T.StructField("route_success_rate_5m", T.DoubleType()),
                              T.StructField("route_flagged_down", T.DoubleType()),
                              T.StructField("time_since_last_failure", T.DoubleType())])
 
 
-def _incident_fn(tick_seconds: int, w: int, threshold: float, sentinel: float):
-    def fn(key, pdfs, state):
-        if state.exists:
-            ticks, n, k, last_flagged, next_eval = state.get
-            counts = {int(t): [int(a), int(b)] for t, a, b in zip(ticks, n, k)}
-        else:
-            counts, last_flagged, next_eval = {}, None, None
-        for pdf in pdfs:
-            if len(pdf) == 0:
-                continue
-            # vectorised: a hot route's batch collapses to one row per tick
-            g = pdf.groupby("tick")["success"].agg(["size", "sum"])
-            for t, (a, b) in zip(g.index.to_numpy(), g.to_numpy()):
-                c = counts.setdefault(int(t), [0, 0])
-                c[0] += int(a)
-                c[1] += int(b)
-        if next_eval is None and counts:
-            next_eval = min(counts)
-        wm = state.getCurrentWatermarkMs()
-        closed_until = (wm // 1000 - EPOCH_2024) // tick_seconds if wm > 0 else None   # ticks < this are complete
-        rows = []
-        if next_eval is not None and closed_until is not None:
-            t = next_eval
-            last_active = max(counts) if counts else t
-            while t < closed_until and t <= last_active + w:
-                nn = sum(counts.get(u, (0, 0))[0] for u in range(t - w, t))
-                kk = sum(counts.get(u, (0, 0))[1] for u in range(t - w, t))
-                rate = kk / nn if nn > 0 else None
-                since = float(t - last_flagged) if last_flagged is not None else sentinel
-                flagged = rate is not None and rate < threshold
-                rows.append((key[0], t, rate, 1.0 if flagged else 0.0, since))
-                if flagged:
-                    last_flagged = t
-                t += 1
-            next_eval = t
-            counts = {u: v for u, v in counts.items() if u >= next_eval - w}
-        keep = sorted(counts)
-        state.update((keep, [counts[u][0] for u in keep], [counts[u][1] for u in keep], last_flagged, next_eval))
-        if wm > 0:
-            state.setTimeoutTimestamp(max(wm, EPOCH_2024 * 1000) + tick_seconds * 1000)
-        if rows:
-            yield pd.DataFrame(rows, columns=["route_id", "tick", "route_success_rate_5m", "route_flagged_down",
-                                              "time_since_last_failure"])
-    return fn
-
-
-def incident_state(outcomes: DataFrame, tick_seconds: int, delay_ticks: int = 2) -> DataFrame:
-    """ST4: per-route incident state advanced once per closed tick (custom stateful operator).
-
-    A tick is evaluated when the watermark has passed it, so its counts and
-    the 5 before it are complete; the flag raised at m affects m+1 onward.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    o = dedup_outcomes(outcomes, f"{delay_ticks * tick_seconds} seconds", "attempt_ts")
-    fn = _incident_fn(tick_seconds, C.WINDOW_5, C.FLAG_DOWN_THRESHOLD, C.NO_EVENT_SENTINEL)
-    return (o.select("route_id", "tick", "success", "attempt_ts").groupBy("route_id")
-            .applyInPandasWithState(fn, INCIDENT_OUT, INCIDENT_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+def closed_cells(outcomes: DataFrame, tick_seconds: int, delay: int = CALLBACK_TTL) -> DataFrame:
+    """Counts per (route, tick), each once, when the watermark has passed the tick (append mode)."""
+    g = (dedup_outcomes(outcomes, delay, "attempt_ts")
+         .groupBy("route_id", F.window("attempt_ts", f"{tick_seconds} seconds"))
+         .agg(F.count(F.lit(1)).alias("n"), F.sum("success").cast("long").alias("k")))
+    return g.select("route_id", tick_of(F.col("window.start"), tick_seconds).alias("tick"), "n", "k")
+
 
+def incident_batch(cells: DataFrame, before: DataFrame | None, w: int = C.WINDOW_5) -> tuple[DataFrame, DataFrame]:
+    """ST4, one micro-batch of closed cells: (one row per route and tick, state after it).
 
-def _ship_by_value() -> None:
-    import sys
-    try:
-        from pyspark import cloudpickle
-        cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    except Exception:  # pragma: no cover
-        pass
+    The state has per route its next tick, its last flagged tick and the counts of its last ``w`` ticks.
+    The flag raised at m affects m+1 onward.
+    """
+    new = cells.groupBy("route_id").agg(F.min("tick").alias("lo"), F.max("tick").alias("hi"),
+                                        F.collect_list(F.struct("tick", "n", "k")).alias("cells"))
+    none = F.array().cast("array<struct<tick:bigint,n:bigint,k:bigint>>")
+    if before is None:
+        routes = new.select("route_id", "lo", "hi", "cells", F.lit(None).cast("long").alias("last_flagged"))
+    else:
+        old = before.select("route_id", F.col("next_tick").alias("o_next"), F.col("last_flagged").alias("o_flagged"),
+                            F.col("cells").alias("o_cells"))
+        routes = new.join(old, "route_id", "full").select(
+            "route_id", F.coalesce("o_next", "lo").alias("lo"), F.coalesce(F.col("hi"), F.col("o_next") - 1).alias("hi"),
+            F.concat(F.coalesce("cells", none), F.coalesce("o_cells", none)).alias("cells"),
+            F.col("o_flagged").alias("last_flagged"))
+    # one row per route and tick: the ticks to evaluate, and the w before them
+    spine = routes.select("route_id", "lo", "last_flagged", F.map_from_entries(F.transform(
+        "cells", lambda x: F.struct(x["tick"], F.struct(x["n"], x["k"])))).alias("at"),
+        F.explode(F.sequence(F.col("lo") - w, F.greatest("hi", F.col("lo") - 1))).alias("tick"))
+    own = F.col("at")[F.col("tick")]
+    spine = spine.select("route_id", "tick", "lo", "last_flagged", F.coalesce(own["n"], F.lit(0)).alias("n"),
+                         F.coalesce(own["k"], F.lit(0)).alias("k"))
+    prior = Window.partitionBy("route_id").orderBy("tick").rowsBetween(-w, -1)
+    earlier = Window.partitionBy("route_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("n").over(prior)
+    x = spine.withColumn("rate", F.when(F.col("tick") >= F.col("lo"), F.when(n > 0, F.sum("k").over(prior) / n)))
+    x = x.withColumn("flagged", F.coalesce(F.col("rate") < C.FLAG_DOWN_THRESHOLD, F.lit(False)))
+    x = x.withColumn("since", F.coalesce(F.max(F.when(F.col("flagged"), F.col("tick"))).over(earlier), F.col("last_flagged")))
+    rows = x.where(F.col("tick") >= F.col("lo")).select(
+        "route_id", "tick", F.col("rate").alias("route_success_rate_5m"), F.col("flagged").cast("double").alias("route_flagged_down"),
+        F.coalesce((F.col("tick") - F.col("since")).cast("double"), F.lit(C.NO_EVENT_SENTINEL)).alias("time_since_last_failure"))
+    last = F.max("tick").over(Window.partitionBy("route_id"))
+    state = (x.withColumn("end", last).groupBy("route_id").agg(
+        (F.max("tick") + 1).alias("next_tick"),
+        F.greatest(F.max(F.when(F.col("flagged"), F.col("tick"))), F.max("last_flagged")).alias("last_flagged"),
+        F.filter(F.collect_list(F.when((F.col("tick") > F.col("end") - w) & (F.col("n") > 0), F.struct("tick", "n", "k"))),
+                 lambda c: c.isNotNull()).alias("cells")))
+    return rows, state
+
+
+def run_incident_state(spark: SparkSession, outcomes: DataFrame, tick_seconds: int, path: str | None = None) -> DataFrame:
+    """ST4: per-route incident state advanced over closed ticks, from a route's first to its last active tick.
+
+    Rows are counted per (route, tick) over all tasks first; only these counts, one per route and tick,
+    meet in a route's task.  Each micro-batch writes the state after it in a folder named by its id.
+    """
+    root = path or shared_path(spark, "st4")
+    state = "route_id string, next_tick long, last_flagged long, cells array<struct<tick:long,n:long,k:long>>"
 
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        before = spark.read.schema(state).parquet(f"{root}/state/{batch_id - 1}") if batch_id else None
+        rows, after = incident_batch(batch, before)
+        after.write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
+        return rows
 
-_ship_by_value()
+    return drain(spark, closed_cells(outcomes, tick_seconds), "st4", INCIDENT_OUT, per_batch=per_batch,
+                 path=root)[0].drop("batch_id")

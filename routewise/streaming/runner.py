@@ -1,45 +1,59 @@
-"""Run a streaming query to completion (availableNow) into the shared folder."""
+"""Run a streaming query until its input is drained, into the shared folder."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routewise.sources.sinks import shared_path
 
 
-def run_available_now(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "update",
-                      keys: Sequence[str] | None = None) -> tuple[DataFrame, list[dict]]:
-    """Drain all available input in micro-batches; return (result, progress list).
+def drain(spark: SparkSession, stream: DataFrame, name: str, schema: T.StructType, output_mode: str = "append",
+          per_batch: Callable[[DataFrame, int, str], DataFrame] | None = None,
+          path: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Drain all available input; (result with ``batch_id``, progress of every micro-batch).
 
-    Each micro-batch is appended (with its batch id) to a parquet folder in
-    the shared checkpoint area; the streaming checkpoint lives there too, so
-    a restarted driver resumes exactly-once.  In update mode the result is
-    the latest version of each key.
+    Each micro-batch overwrites a folder of its own, named by its id, so a batch that runs again after a
+    failure replaces its first try.  Result and checkpoint lie under ``path``: called again with the same
+    path, a query goes on where it ended.  ``per_batch`` maps a batch, its id and the result folder to
+    the rows to keep.
     """
-    out = shared_path(spark, name)
-    ckpt = shared_path(spark, f"{name}-checkpoint")
-    cols = stream.columns
+    root = path or shared_path(spark, name)
+    out = f"{root}/result"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        rows = per_batch(batch, batch_id, out) if per_batch else batch
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = [p for p in q.recentProgress]
+         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    progress: dict[int, dict] = {}
+    ended = False
+    while not ended:   # the query itself keeps only the latest reports
+        ended = q.awaitTermination(0.5)
+        progress |= {p["batchId"]: p for p in q.recentProgress}
     try:
-        res = spark.read.parquet(out)
-    except Exception:  # no batch produced output
-        res = spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0).cast("long"))
-    if keys:
-        others = [c for c in cols if c not in keys]
-        res = (res.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_v"))
-               .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others]))
-    else:
-        res = res.drop("_batch")
+        res = spark.read.schema(T.StructType([*schema, T.StructField("batch_id", T.LongType())])).parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        res = spark.createDataFrame([], T.StructType([*schema, T.StructField("batch_id", T.LongType())]))
+    return res, [progress[k] for k in sorted(progress)]
+
+
+def run_available_now(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "update",
+                      keys: Sequence[str] | None = None, path: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """:func:`drain`, and in update mode the latest version of each key."""
+    res, progress = drain(spark, stream, name, stream.schema, output_mode, path=path)
+    if not keys:
+        return res.drop("batch_id"), progress
+    others = [c for c in stream.columns if c not in keys]
+    res = (res.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_v"))
+           .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others]))
     return res, progress
 
 

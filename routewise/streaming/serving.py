@@ -1,9 +1,8 @@
 """ST11/ST12: per micro-batch feature snapshot and routing decision.
 
 Each micro-batch of requests is expanded to its eligible routes (broadcast
-equi-join), joined with the latest feature snapshot (size-checked state
-tables keyed by (route, tick), (bank, route, tick), (bank, tick) and
-(network, tick), all as of the start of the request tick), the engineered
+equi-join), joined with the feature state keyed by (bank, route, network,
+tick), as of the start of the request tick, the engineered
 columns are derived, candidates are scored, and the argmax route is
 emitted with the full candidate array.
 """
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routewise import constants as C
-from routewise.operators.features import FeatureState, add_engineered, route_fee, ROUTE_LIVE
+from routewise.operators.features import ROUTE_LIVE, WIDE_KEYS, FeatureState, add_engineered, route_fee
 from routewise.operators.policy import policy_argmax
 
 
@@ -27,23 +26,20 @@ def bank_amount_asof(state: FeatureState) -> DataFrame:
 
 
 def feature_snapshot(requests: DataFrame, state: FeatureState, eligibility: DataFrame,
-                     bank_avg: DataFrame) -> DataFrame:
+                     bank_avg: DataFrame, tick_seconds: int = 3600) -> DataFrame:
     """ST11: the 26 numeric + 7 categorical inputs for every (request x eligible route)."""
     from routewise.functions.exprs import day_in_week, hour_of_day
     r = requests.select("txn_id", "tick", "amount", "bank", "network", "payment_method", "merchant", "device",
                         "risk", F.col("route_id").alias("actual_route_id"))
+    live = state.wide.select(*WIDE_KEYS, *ROUTE_LIVE, "route_failure_rate_1m", "bank_route_success_rate_15m",
+                             "bank_failure_rate_5m", "network_failure_rate_5m",
+                             F.col("asof_time_since_last_bank_route_success").alias("time_since_last_bank_route_success"))
     x = (r.join(F.broadcast(eligibility), ["payment_method", "network"])
-         .join(state.route.select("route_id", "tick", *ROUTE_LIVE, "route_failure_rate_1m"), ["route_id", "tick"], "left")
-         .join(state.bank_route.select("bank", "route_id", "tick", "bank_route_success_rate_15m",
-                                       F.col("asof_time_since_last_bank_route_success")
-                                       .alias("time_since_last_bank_route_success")),
-               ["bank", "route_id", "tick"], "left")
-         .join(state.bank_rate, ["bank", "tick"], "left")
-         .join(state.network_rate, ["network", "tick"], "left")
+         .join(live, list(WIDE_KEYS), "left")
          .join(bank_avg, ["bank", "tick"], "left")
          .join(F.broadcast(state.baselines), "route_id", "left"))
-    x = x.select("*", day_in_week(F.col("tick"), 3600).alias("day_in_week"),
-                 hour_of_day(F.col("tick"), 3600).alias("hour_of_day"),
+    x = x.select("*", day_in_week(F.col("tick"), tick_seconds).alias("day_in_week"),
+                 hour_of_day(F.col("tick"), tick_seconds).alias("hour_of_day"),
                  route_fee(F.col("route_id")).alias("route_cost_percent"),
                  F.when(F.col("bank_avg_amount") > 0, F.col("amount") / F.col("bank_avg_amount"))
                  .alias("amount_to_bank_avg_ratio"))

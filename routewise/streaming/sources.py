@@ -1,17 +1,14 @@
 """Decision and outcome event streams derived from the attempts table.
 
-decision_ts = attempt ts; outcome_ts = ts + latency_ms minutes (so callbacks
-with latency > 60 fall outside the 1 h pending window); every txn_id % 10 = 0
-outcome is delivered twice (retries); outcomes of txn_id % 50 = 0 never
-arrive (expired decisions); decisions of txn_id % 50 = 1 are missing
-(orphan outcomes).  The derived tables are written in time order, one file
-per time range, to the shared folder and replayed with a file stream source.
+decision_ts = attempt ts; outcome_ts = ts + latency_ms minutes (so callbacks with latency > 60 fall
+outside the 1 h pending window); every txn_id % 10 = 0 outcome is delivered twice (retries).  With
+``gaps`` (only where lost events are the subject) outcomes of txn_id % 50 = 0 never arrive (expired
+decisions) and decisions of txn_id % 50 = 1 are missing (orphan outcomes).  The derived tables are
+written in time order to the shared folder and replayed with a file stream source.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,52 +32,63 @@ OUTCOME_SCHEMA = T.StructType([
 ])
 
 
-def decisions(attempts_ts: DataFrame) -> DataFrame:
-    return attempts_ts.where(F.col("txn_id") % 50 != 1).select(
-        "txn_id", F.col("ts").alias("decision_ts"), "tick", "amount", "bank", "network", "payment_method",
-        "merchant", "device", "risk", "route_id")
+def decisions(attempts_ts: DataFrame, gaps: bool = False) -> DataFrame:
+    kept = attempts_ts.where(F.col("txn_id") % 50 != 1) if gaps else attempts_ts
+    return kept.select("txn_id", F.col("ts").alias("decision_ts"), "tick", "amount", "bank", "network",
+                       "payment_method", "merchant", "device", "risk", "route_id")
 
 
-def outcomes(attempts_ts: DataFrame) -> DataFrame:
-    base = attempts_ts.where(F.col("txn_id") % 50 != 0).select(
+def outcomes(attempts_ts: DataFrame, gaps: bool = False) -> DataFrame:
+    base = attempts_ts.where(F.col("txn_id") % 50 != 0) if gaps else attempts_ts
+    base = base.select(
         "txn_id", F.col("ts").alias("attempt_ts"),
         (F.col("ts") + F.make_dt_interval(mins=F.col("latency_ms").cast("int"))).alias("outcome_ts"),
         "tick", "bank", "network", "route_id", "success", "latency_ms")
     return base.unionByName(base.where(F.col("txn_id") % 10 == 0))
 
 
-def write_time_ordered(df: DataFrame, path: str, ts_col: str, files: int = 4) -> str:
-    """Write ``files`` parquet files, each one consecutive time range, oldest first.
+def write_time_ordered(df: DataFrame, path: str, ts_col: str, batches: int = 4, files: int = 8,
+                       close_after: int = 0) -> str:
+    """Write a replay source: ``batches * files`` files in time order, in one pass over many tasks.
 
-    This is a replay source for tests and benchmarks (a live deployment reads
-    the event bus instead).  The range index comes from the min/max event
-    time (two scalars), so there is no global sort; each range is written as
-    one file, one range after another, so file modification times follow
-    event time and the file source replays one range per micro-batch.
+    A live deployment reads the event bus instead.  The rows are range-partitioned by event time; the
+    file source takes files by modification time, so these are set in the order of the ranges (one call
+    per file).  Rows that only move the clock (``txn_id`` null) follow in a last file, ``close_after``
+    seconds beyond the last event: a stream that ends would otherwise never pass its last ticks.
     """
-    secs = F.unix_micros(F.col(ts_col))
-    lo, hi = df.agg(F.min(secs), F.max(secs)).first()
-    if lo is None:
-        df.write.mode("append").parquet(path)
-        return path
-    span = float(hi - lo + 1)
-    part = F.least(F.floor((secs - F.lit(lo)) / F.lit(span) * files), F.lit(files - 1))
-    tagged = df.withColumn("_part", part)
-    for i in range(files):
-        tagged.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names() -> list[str]:
+        return sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-"))
+
+    df.repartitionByRange(batches * files, ts_col).write.mode("overwrite").parquet(path)
+    ordered = names()
+    if close_after:
+        stamps = [c for c, t in df.dtypes if t == "timestamp"]
+        last = df.agg(F.max(ts_col).alias("last")).where(F.col("last").isNotNull())
+        beat = last.select(*[(F.col("last") + F.make_dt_interval(secs=F.lit(close_after))).alias(c) if c in stamps
+                             else F.lit(None).cast(t).alias(c) for c, t in df.dtypes])
+        beat.coalesce(1).write.mode("append").parquet(path)   # one row
+        ordered += [n for n in names() if n not in set(ordered)]
+    start = fs.getFileStatus(folder).getModificationTime()
+    for i, n in enumerate(ordered):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, n), start - 1000 * (len(ordered) - i), -1)
     return path
 
 
-def materialise_streams(spark: SparkSession, attempts_ts: DataFrame, files: int = 4) -> tuple[str, str]:
+def materialise_streams(spark: SparkSession, attempts_ts: DataFrame, gaps: bool = False, batches: int = 4,
+                        files: int = 8, close_after: int = 10 * 86400) -> tuple[str, str]:
     root = shared_path(spark, "streams")
-    d = write_time_ordered(decisions(attempts_ts), os.path.join(root, "decisions"), "decision_ts", files)
-    o = write_time_ordered(outcomes(attempts_ts), os.path.join(root, "outcomes"), "outcome_ts", files)
+    d = write_time_ordered(decisions(attempts_ts, gaps), f"{root}/decisions", "decision_ts", batches, files, close_after)
+    o = write_time_ordered(outcomes(attempts_ts, gaps), f"{root}/outcomes", "outcome_ts", batches, files, close_after)
     return d, o
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(DECISION_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+def read_decisions(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
+    return spark.readStream.schema(DECISION_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(OUTCOME_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+def read_outcomes(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
+    return spark.readStream.schema(OUTCOME_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)

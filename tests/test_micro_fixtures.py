@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from routewise import constants as C
-from routewise.functions.exprs import day_in_week, hour_of_day, load_latency_multiplier, load_success_multiplier
+from routewise.functions.exprs import day_in_week, hour_of_day
 from routewise.operators.timeline import prior_rolling_sum
 
 
@@ -119,8 +119,8 @@ def test_w15_round_robin(spark):
     elig = {r[0]: set(r[6]) for r in C.ROUTES}
     rows = [(i, rid, order[rid]) for i, n in enumerate(nets) for rid in C.ROUTE_IDS if n in elig[rid]]
     cands = spark.createDataFrame(rows, "txn_id long, route_id string, route_order int")
-    for bs in (1 << 20, 2, 4):
-        got = {r.txn_id: r.route_id for r in policy_round_robin(spark, cands, block_size=bs).collect()}
+    for bs, group in ((1 << 20, 1 << 12), (2, 2), (1, 2), (4, 1)):
+        got = {r.txn_id: r.route_id for r in policy_round_robin(cands, bs, group).collect()}
         assert [got[i] for i in range(6)] == ["R1", "R2", "R3", "R4", "R1", "R3"]
 
 
@@ -141,14 +141,10 @@ def test_g11_calibration_bins(spark, parity, bins):
     assert sorted(r.bin for r in calibration_bins(df, parity=parity).collect()) == bins
 
 
-def test_p14_load_curves(spark):
-    us = [.7, .85, 1.0, 1.2, 1.4, 2.0]
-    df = spark.createDataFrame([(u,) for u in us], "u double")
-    s = [r[0] for r in df.select(load_success_multiplier(F.col("u"))).collect()]
-    assert all(approx(a, b) for a, b in zip(s, [1, .875, .75, .425, .10, .10]))
-    lat = [r[0] for r in spark.createDataFrame([(u,) for u in [.7, .85, 1.0, 1.5, 2.0]], "u double")
-           .select(load_latency_multiplier(F.col("u"))).collect()]
-    assert all(approx(a, b) for a, b in zip(lat, [1, 1.625, 3.5, 6.5, 9.5]))
+def test_p13_amount_bands(spark):
+    from routewise.functions.exprs import amount_band
+    df = spark.createDataFrame([(a,) for a in (10.0, 99.99, 100.0, 1000.0, 9999.0, 10000.0)], "a double")
+    assert [r[0] for r in df.select(amount_band(F.col("a"))).collect()] == [0, 0, 1, 2, 2, 3]
 
 
 def test_p1_time_features(spark):

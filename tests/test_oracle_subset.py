@@ -14,7 +14,8 @@ KEYS = ["read_attempts", "minute_table", "route_success_rate_5m", "time_since_la
         "candidate_feature_lookup", "policy_round_robin", "weighted_split", "policy_report",
         "cost_sweep", "pr_curve", "roc_auc", "average_precision", "calibration_bins", "classification_report",
         "incident_episodes", "order_features", "validate_attempts", "null_profile", "impute_median",
-        "decision_outcome_join", "orphan_outcomes"]
+        "decision_outcome_join", "orphan_outcomes", "amount_bands", "load_response", "evaluate", "policy_rows",
+        "one_hot", "feature_table_minute", "quarantine_orders", "stream_bank_amount", "stream_last_flagged"]
 
 
 @pytest.fixture(scope="module")

@@ -71,7 +71,7 @@ def test_ordered_prefix_and_position(spark):
     rng = np.random.default_rng(3)
     s = np.round(rng.random(500), 3)
     df = spark.createDataFrame([(float(x), int(i % 2)) for i, x in enumerate(s)], "s double, y int")
-    cum = {r.s: r.cum_y for r in ordered_prefix(df, "s", ["y"], buckets=16).collect()}
+    cum = {r.s: r.cum_y for r in ordered_prefix(df, "s", ["y"], ranges=16).collect()}
     ys = np.array([i % 2 for i in range(500)])
     for v, c in cum.items():
         assert c == ys[s <= v].sum()

@@ -24,48 +24,93 @@ def test_dedup_outcomes(spark):
     from routewise.plans.catalog import QUERIES
     rows = QUERIES["stream_dedup_outcomes"](spark, SF_TINY).collect()
     ids = [r.txn_id for r in rows]
-    assert len(ids) == len(set(ids))
-    assert all(i % 50 != 0 for i in ids)
+    assert len(ids) == len(set(ids)) == Ctx(spark, SF_TINY).attempts.count()
 
 
-def test_rolling_rates_equal_batch(spark):
-    from routewise.operators.timeline import minute_table, prior_rolling_sum
-    from routewise.plans.catalog import QUERIES
+@pytest.fixture(scope="module")
+def minutes(spark):
+    """60 hours of attempts at minute ticks, replayed in batches shorter than a callback may take."""
     from routewise.sources import read_attempts
-    s = {(r.route_id, r.tick): r.route_success_rate_5m for r in QUERIES["stream_rolling_rates"](spark, SF_TINY).collect()}
-    a = read_attempts(spark, SF_TINY).where(F.col("txn_id") % 50 != 0)
-    cells = minute_table(a, ["route_id"])
-    from routewise.functions.exprs import ratio
-    b = cells.select("route_id", "tick", ratio(prior_rolling_sum("success_count", ["route_id"], 5),
-                                               prior_rolling_sum("request_count", ["route_id"], 5)).alias("r"))
-    checked = 0
-    for r in b.collect():
-        if r.r is not None and (r.route_id, r.tick) in s:
-            assert abs(s[(r.route_id, r.tick)] - r.r) < 1e-6
-            checked += 1
-    assert checked > 0
-
-
-def test_bank_amount_state_equals_batch(spark):
+    from routewise.streaming import sources as SS
+    a = read_attempts(spark, SF_TINY, 60, with_ts=True).where("tick < 3600")
+    return a, SS.materialise_streams(spark, a, batches=40, files=1)
+
+
+def test_short_batches_lose_no_late_outcome(spark, minutes):
+    from routewise.operators.timeline import minute_table
+    from routewise.streaming import features as SF
+    from routewise.streaming import sources as SS
+    from routewise.streaming.runner import dropped_by_watermark, run_available_now
+    a, (_, path) = minutes
+    res, progress = run_available_now(spark, SF.rolling_rates(SS.read_outcomes(spark, path, 1), 60), "t", keys=["route_id", "tick"])
+    assert len(progress) >= 40 and dropped_by_watermark(progress) == 0
+    cells = {(r.route_id, r.tick): (r.request_count, r.success_count) for r in minute_table(a, ["route_id"]).collect()}
+    want = {}
+    for (route, tick), (n, k) in cells.items():
+        for off in range(1, 16):
+            x = want.setdefault((route, tick + off), [0, 0, 0, 0])
+            x[0] += n
+            x[1] += k
+            if off <= 5:
+                x[2] += n
+                x[3] += k
+    got = {(r.route_id, r.tick): r for r in res.collect()}
+    assert set(got) == set(want)
+    for key, (n15, k15, n5, k5) in want.items():
+        r = got[key]
+        assert abs(r.route_success_rate_15m - k15 / n15) < 1e-9
+        assert (r.route_success_rate_5m is None) == (n5 == 0)
+        assert not n5 or abs(r.route_success_rate_5m - k5 / n5) < 1e-9
+
+
+def test_stopped_and_restarted_run_equals_an_unbroken_one(spark, minutes, tmp_path):
+    """The path is stable: a second call goes on, and a micro-batch run again replaces its first try."""
+    import shutil
+    from routewise.streaming import features as SF
+    from routewise.streaming import sources as SS
+    from routewise.streaming.runner import drain
+    _, (path, _) = minutes
+    stream = SF.watermarked(SS.read_decisions(spark, path, 4), "decision_ts").select("txn_id", "amount")
+    state = {"fail": True}
+
+    def per_batch(batch, batch_id, out):
+        if batch_id == 3 and state["fail"]:
+            state["fail"] = False
+            batch.write.parquet(f"{out}/batch_id={batch_id}")   # written, then the driver is lost
+            raise RuntimeError("lost")
+        return batch
+
+    with pytest.raises(Exception):
+        drain(spark, stream, "x", stream.schema, per_batch=per_batch, path=str(tmp_path / "s"))
+    res, _ = drain(spark, stream, "x", stream.schema, per_batch=per_batch, path=str(tmp_path / "s"))
+    whole, _ = drain(spark, stream, "x", stream.schema, path=str(tmp_path / "w"))
+    assert sorted(res.select("txn_id").collect()) == sorted(whole.select("txn_id").collect())
+    again, progress = drain(spark, stream, "x", stream.schema, path=str(tmp_path / "w"))
+    assert again.count() == whole.count()
+    shutil.rmtree(tmp_path)
+
+
+def test_bank_amounts_over_many_batches_equal_batch(spark, minutes):
     from routewise.operators.features import scope_cells, txn_order_features
-    from routewise.plans.catalog import QUERIES
-    from routewise.sources import read_attempts
-    s = {r.txn_id: r.amount_to_bank_avg_ratio for r in QUERIES["stream_bank_amount"](spark, SF_TINY).collect()}
-    d = read_attempts(spark, SF_TINY).where(F.col("txn_id") % 50 != 1)
-    b = {r.txn_id: r.amount_to_bank_avg_ratio for r in txn_order_features(d, scope_cells(d)).collect()}
-    assert set(s) == set(b)
-    for k, v in b.items():
-        assert (v is None and s[k] is None) or abs(v - s[k]) < 1e-6
+    from routewise.streaming import features as SF
+    from routewise.streaming import sources as SS
+    a, (path, _) = minutes
+    got = {r.txn_id: r.amount_to_bank_avg_ratio for r in
+           SF.run_bank_amount(spark, SS.read_decisions(spark, path, 8), 16).collect()}
+    want = {r.txn_id: r.amount_to_bank_avg_ratio for r in txn_order_features(a.drop("ts"), scope_cells(a)).collect()}
+    assert set(got) == set(want)
+    assert all((v is None and got[k] is None) or abs(v - got[k]) < 1e-6 for k, v in want.items())
 
 
-def test_incident_state_equals_batch_on_closed_ticks(spark):
+def test_incidents_over_many_batches_equal_batch(spark, minutes):
     from routewise.operators.features import build_state
-    from routewise.plans.catalog import QUERIES
-    from routewise.sources import read_attempts, route_dim
-    s = {(r.route_id, r.tick): r.time_since_last_failure for r in QUERIES["stream_last_flagged"](spark, SF_TINY).collect()}
-    o = read_attempts(spark, SF_TINY).where(F.col("txn_id") % 50 != 0)
-    st = build_state(o, route_dim(spark))
-    b = {(r.route_id, r.tick): r.time_since_last_failure for r in st.route.where("is_active").collect()}
-    common = set(s) & set(b)
-    assert len(common) > 0.5 * len(b)
-    assert all(s[k] == b[k] for k in common)
+    from routewise.sources import route_dim
+    from routewise.streaming import features as SF
+    from routewise.streaming import sources as SS
+    a, (_, path) = minutes
+    got = {(r.route_id, r.tick): (r.route_flagged_down, r.time_since_last_failure) for r in
+           SF.run_incident_state(spark, SS.read_outcomes(spark, path, 8), 60).collect()}
+    st = build_state(a.drop("ts"), route_dim(spark), 60)
+    want = {(r.route_id, r.tick): (r.route_flagged_down, r.time_since_last_failure)
+            for r in st.route.where("is_active").collect()}
+    assert set(want) <= set(got) and all(got[k] == v for k, v in want.items())
