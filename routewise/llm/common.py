@@ -81,12 +81,18 @@ def _running(key: str):
     return Window.partitionBy(key).orderBy("order_", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def worker_kept(name: str, key, make: Callable):
-    """What ``make`` gives, kept for later tasks of the same Python worker as long as they ask by the same key."""
+def worker_kept(key: tuple, make: Callable):
+    """What ``make`` gives, kept for later tasks of the same Python worker.
+
+    A worker keeps one thing at a time: asked by another key it lets go of the old one, so that the
+    stages of a pipeline do not pile up their tables in it.
+    """
     kept = sys.modules.setdefault("_llm_kept_by_worker", types.ModuleType("_llm_kept_by_worker"))
-    if getattr(kept, name, (None,))[0] != (key,):
-        setattr(kept, name, ((key,), make()))
-    return getattr(kept, name)[1]
+    if getattr(kept, "key", None) != key:
+        kept.key = kept.value = None
+        kept.value = make()
+        kept.key = key
+    return kept.value
 
 
 class _Ids(dict):

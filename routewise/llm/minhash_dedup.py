@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewise.llm.common import WordTable, chunks, text_bytes, written
+from routewise.llm.common import WordTable, chunks, text_bytes, worker_kept, written
 from routewise.llm.components import components
 from routewise.sources.tables import read_table
 
@@ -115,7 +115,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, circulant = Shingler(), Circulant()
+        shingler, circulant = worker_kept(("shingler",), lambda: (Shingler(), Circulant()))
         for batch in batches:
             for part, texts in chunks(batch):
                 sets = shingler.sets(texts)
@@ -133,7 +133,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 def shingle_sets(documents: DataFrame) -> DataFrame:
     """node and its set, as sorted little-endian 64-bit hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler, _ = worker_kept(("shingler",), lambda: (Shingler(), Circulant()))
         for batch in batches:
             for part, texts in chunks(batch):
                 yield pa.RecordBatch.from_arrays(
@@ -222,7 +222,7 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
     open_ = (rows.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
              .groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("largest"))
              .where("comps > 1").select("bucket", F.col("largest.comp").alias("major"), F.col("largest.k").alias("n_major")))
-    rows = written(rows.join(open_, "bucket"), "open")
+    rows = written(rows.join(written(open_, "buckets"), "bucket"), "open")  # written, so that a hot bucket can be split
 
     small = rows.where(F.col("n") <= SMALL)
     other = small.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))

@@ -33,7 +33,7 @@ END = 1
 GROUP = 8192
 TOKENIZER = "word_bpe_49k.json"
 #: Units of words whose ids a worker remembers.
-UNIT_CAP, WORD_CAP = 800_000, 1_200_000
+UNIT_CAP, WORD_CAP = 500_000, 800_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -132,7 +132,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
     rows = documents.select("doc_id", text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_kept("encoder", path, lambda: Encoder(path))
+        encoder = worker_kept(("encoder", path), lambda: Encoder(path))
         for batch in batches:
             for part, texts in chunks(batch):
                 at, cut, payload = [], [], []

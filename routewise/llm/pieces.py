@@ -34,7 +34,7 @@ from routewise.sources.tables import read_table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()
-UNIT_CAP = 1_000_000
+UNIT_CAP = 600_000
 #: Suffixes are ordered by so many bytes; the rest of a longer piece is compared at each place found.
 DEPTH = 16
 #: Units of more signs are relaxed one by one with a heap.
@@ -299,7 +299,7 @@ def encoded(documents: DataFrame, path: str | None = None) -> DataFrame:
     rows = documents.select("doc_id", text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_kept("codec", path, lambda: Codec(path))
+        codec = worker_kept(("codec", path), lambda: Codec(path))
         for batch in batches:
             for part, texts in chunks(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(
@@ -314,7 +314,7 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     rows = tokens.select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_kept("codec", path, lambda: Codec(path))
+        codec = worker_kept(("codec", path), lambda: Codec(path))
         for batch in batches:
             for part, ids in chunks(batch, "ids"):
                 texts = [codec.decode(np.frombuffer(i, "<u4")).decode("utf-8", "replace") for i in ids]

@@ -14,9 +14,11 @@ text gets the share of label 1 (1.0 without any labels); extra columns are never
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routewise.llm.common import WordTable, chunks, label_rows, per_text_sum, text_bytes, training_texts
+from routewise.llm.common import WordTable, chunks, label_rows, per_text_sum, text_bytes, training_texts, worker_kept
 from routewise.sources.tables import read_table
 
 BUCKETS = 1 << 18
@@ -40,6 +42,8 @@ FOLDS, HELD_OUT = 4, 2
 KEEP_FROM = 0.7
 #: Longer words give n-grams of their first and last characters only; the word's own bucket covers the rest.
 EDGE = 16
+#: New words looked at together.
+STEP = 8192
 
 
 def buckets(word: bytes) -> list[int]:
@@ -134,11 +138,14 @@ def scorer(model: Model):
 
     def derive(words: list[bytes]) -> None:
         nonlocal total, number
-        found = [buckets(w) for w in words]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((b for f in found for b in f), np.int64, int(n.sum()))
-        total = np.concatenate([total, per_text_sum(model.weight[flat].astype(np.float64), n)])
-        number = np.concatenate([number, n])
+        totals, numbers = [total], [number]
+        for at in range(0, len(words), STEP):  # lists of buckets take room
+            found = [buckets(w) for w in words[at:at + STEP]]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
+            totals.append(per_text_sum(model.weight[flat].astype(np.float64), n))
+            numbers.append(n)
+        total, number = np.concatenate(totals), np.concatenate(numbers)
 
     def reset() -> None:
         nonlocal total, number
@@ -163,10 +170,11 @@ def scorer(model: Model):
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """The score of a text column, as a column to select or filter by."""
     shared = spark.sparkContext.broadcast((model.weight, model.bias))  # one number per bucket, 1 MB
+    key = ("scorer", uuid.uuid4().hex)
 
     @F.arrow_udf("double")
     def quality(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        score = scorer(Model(*shared.value))
+        score = worker_kept(key, lambda: scorer(Model(*shared.value)))
         for part in parts:
             batch = pa.RecordBatch.from_arrays([part], ["text"])
             found = [score(texts) for _, texts in chunks(batch)]
