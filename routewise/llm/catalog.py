@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from routewise.llm.embedding_dedup import op10_embedding_dedup
+from routewise.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
 from routewise.llm.line_dedup import OP6_SQL, op6_line_dedup
-from routewise.llm.minhash_dedup import op2_minhash_dedup
+from routewise.llm.minhash_dedup import OP2_SQL, op2_minhash_dedup
 from routewise.llm.packing import op7_packing
 from routewise.llm.pieces import op8_sentencepiece
 from routewise.llm.pii import op3_pii
@@ -18,4 +18,4 @@ QUERIES = {q.__name__: q for q in (
     op8_sentencepiece, op9_toxicity, op10_embedding_dedup,
 )}
 
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_embedding_dedup": OP10_SQL}

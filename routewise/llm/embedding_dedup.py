@@ -146,3 +146,21 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every vector."""
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = """
+with recursive good as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0 and len(list_filter(embedding, lambda v: v <> 0)) > 0),
+link as materialized (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id
+    and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (
+  select vec_id, vec_id as other from embeddings
+  union select r.vec_id, l.b from reach r join link l on r.other = l.a),
+comp as (select vec_id, min(other) as component_id from reach group by vec_id),
+n as (select a, count(*) as n from link group by a)
+select e.vec_id, coalesce(n.n, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join comp c on e.vec_id = c.vec_id left join n on e.vec_id = n.a
+"""

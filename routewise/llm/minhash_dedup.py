@@ -271,3 +271,25 @@ def keep_one(documents: DataFrame) -> DataFrame:
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and verdict of every document."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: Exact similarity over all pairs that share a shingle, and components by a recursive search.
+OP2_SQL = r"""
+with recursive word as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+doc as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from word),
+shingle as (select doc_id, len(s) as n, unnest(s) as x from doc),
+shared as (
+  select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as k
+  from shingle a join shingle b on a.x = b.x and a.doc_id <> b.doc_id and 100 * a.n >= 85 * b.n and 100 * b.n >= 85 * a.n
+  group by all),
+link as materialized (select a, b from shared where 100 * k >= 85 * (na + nb - k)),
+reach as (
+  select doc_id, doc_id as other from doc
+  union select r.doc_id, l.b from reach r join link l on r.other = l.a)
+select d.doc_id, cast(len(any_value(d.s)) as bigint) as n_shingles, min(r.other) as component_id, d.doc_id = min(r.other) as kept
+from doc d join reach r on d.doc_id = r.doc_id group by d.doc_id
+"""
