@@ -8,6 +8,7 @@ runs over whole tables.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,7 +46,12 @@ def oracle_sql_rounded() -> dict[str, str]:
 
 def queries_rounded() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries as the correctness check compares them: doubles rounded to 6 dp, as in the oracle."""
-    return {k: lambda spark, sf_dir, q=q: rounded(q(spark, sf_dir)) for k, q in QUERIES.items()}
+    def of(query):
+        @functools.wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return rounded(query(spark, sf_dir))
+        return run
+    return {k: of(q) for k, q in QUERIES.items()}
 
 
 def register(key: str, sql: str | None = None):
@@ -767,7 +773,7 @@ SELECT sum(pos * tps / (tps + fps)) / sum(pos) AS average_precision FROM (
  (SELECT p, count_if(success = 1) AS pos, count_if(success = 0) AS neg FROM tst GROUP BY p)
  WINDOW w AS (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def q_average_precision(c: Ctx) -> DataFrame:
-    """Step-wise average precision (README's PR-AUC)."""
+    """Step-wise average precision of the success class."""
     return EV.average_precision(_part(c, "test"))
 
 
