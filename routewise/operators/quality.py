@@ -28,6 +28,14 @@ def validate_attempts(attempts: DataFrame, routes: DataFrame, horizon_ticks: int
                              " AS (rule, violations)"))
 
 
+def require_valid(attempts: DataFrame, routes: DataFrame, horizon_ticks: int) -> DataFrame:
+    """Q1, raising form: the attempts as they are, or ValueError naming every violated rule and its count."""
+    broken = {r["rule"]: r["violations"] for r in validate_attempts(attempts, routes, horizon_ticks).collect() if r["violations"]}
+    if broken:
+        raise ValueError("invalid attempts: " + ", ".join(f"{k}: {v}" for k, v in sorted(broken.items())))
+    return attempts
+
+
 def quarantine(attempts: DataFrame, routes: DataFrame) -> DataFrame:
     """Rows whose route is not in the dimension (left anti-join, broadcast side)."""
     return attempts.join(F.broadcast(routes.select("route_id")), "route_id", "left_anti")

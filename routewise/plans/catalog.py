@@ -602,9 +602,13 @@ def q_train_validation_cut(c: Ctx) -> DataFrame:
 @register_e("read_features", """
 SELECT split3, count(*) AS n, min(tick) AS min_tick, max(tick) AS max_tick FROM split GROUP BY split3""")
 def q_read_features(c: Ctx) -> DataFrame:
-    """SRC3: feature table read and split in three (train / validation / test)."""
-    return scored(c).groupBy("split3").agg(F.count(F.lit(1)).alias("n"), F.min("tick").alias("min_tick"),
-                                           F.max("tick").alias("max_tick"))
+    """SRC3: the written feature table read again and split in three (train / validation / test)."""
+    from routewise.sources.sinks import read_features, shared_path, write_features
+    path = shared_path(c.spark, "features")
+    write_features(c.features(False), path)
+    f = EV.split_three(read_features(c.spark, path).select("txn_id", "tick", "dataset_split"), c.block_size)
+    return f.groupBy("split3").agg(F.count(F.lit(1)).alias("n"), F.min("tick").alias("min_tick"),
+                                   F.max("tick").alias("max_tick"))
 
 
 @register_e("class_balance", """

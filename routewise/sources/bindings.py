@@ -126,3 +126,21 @@ def read_attempts(spark: SparkSession, sf_dir: str, tick_seconds: int = 3600,
     df = attempts_from_events(read_table(spark, sf_dir, "events"), tick_seconds)
     cols = (("ts",) if with_ts else ()) + ATTEMPT_COLUMNS
     return df.select(*cols)
+
+
+ATTEMPTS_SCHEMA = T.StructType([
+    T.StructField("txn_id", T.LongType()), T.StructField("tick", T.LongType()), T.StructField("amount", T.DoubleType()),
+    *[T.StructField(c, T.StringType()) for c in ("bank", "network", "payment_method", "merchant", "device", "risk", "route_id")],
+    T.StructField("success", T.IntegerType()), T.StructField("latency_ms", T.DoubleType()),
+])
+
+
+def read_attempts_file(spark: SparkSession, path: str) -> DataFrame:
+    """SRC1 from a file of attempts: its columns and types are checked against ATTEMPTS_SCHEMA, further columns ignored."""
+    df = spark.read.parquet(path)
+    have = {f.name: f.dataType for f in df.schema}
+    wrong = [f"{f.name}: {have[f.name].simpleString() if f.name in have else 'missing'} instead of {f.dataType.simpleString()}"
+             for f in ATTEMPTS_SCHEMA if have.get(f.name) != f.dataType]
+    if wrong:
+        raise ValueError(f"{path} holds no attempts: " + "; ".join(wrong))
+    return df.select(*ATTEMPTS_SCHEMA.names)
