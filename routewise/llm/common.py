@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routewise.session import ensure_checkpoint_dir
+from routewise.sources.sinks import shared_path
 
 #: Text handled at a time inside a task; a longer single text is handled alone, never cut.
 CHUNK_BYTES = 4 << 20
@@ -24,15 +23,9 @@ WORD_CAP = 300_000
 NO_ID = -(1 << 63)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the folder that the cluster names in ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder and read it back."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
