@@ -37,6 +37,8 @@ MARK = "▁".encode()
 UNIT_CAP = 600_000
 #: Suffixes are ordered by so many bytes; the rest of a longer piece is compared at each place found.
 DEPTH = 16
+#: New units are indexed together by about so many bytes (a longer unit alone), which bounds the edges held.
+INDEXED = 256 << 10
 #: Units of more signs are relaxed one by one with a heap.
 LONG = 64
 
@@ -222,6 +224,12 @@ class Codec:
         self.units = _Rows()
 
     def derive(self, units: list[bytes]) -> None:
+        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units))) // INDEXED
+        for at in np.split(np.arange(len(units)), np.flatnonzero(np.diff(ends)) + 1):
+            self.encode_units([units[i] for i in at.tolist()])
+
+    def encode_units(self, units: list[bytes]) -> None:
+        """Index some units together, match all pieces, relax, and keep the ids."""
         size = np.fromiter(map(len, units), np.int64, len(units))
         data = np.frombuffer(b"\0".join(units) + b"\0", np.uint8)
         edges = Edges(data, self.vocabulary)
