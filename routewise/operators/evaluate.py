@@ -274,13 +274,13 @@ def metric_bundle(df: DataFrame, threshold: float, p: str = "p") -> DataFrame:
     x = df.select(F.col(p).alias("s"), (F.col("success") == 1).cast("long").alias("pos"),
                   (F.col("success") == 0).cast("long").alias("neg"))
     cum = checkpointed(ordered_prefix(x, "s", ["pos", "neg"]), "score_ranks")
-    total = cum.agg(F.sum("pos").alias("tp_all"), F.sum("neg").alias("tn_all"))   # one row
-    above_pos = F.col("tp_all") - F.col("cum_pos") + F.col("pos")
-    above_neg = F.col("tn_all") - F.col("cum_neg") + F.col("neg")
-    ranks = cum.join(F.broadcast(total)).agg(
+    tp_all, tn_all = (cum.agg(F.sum(x)).scalar() for x in ("pos", "neg"))
+    above_pos = tp_all - F.col("cum_pos") + F.col("pos")
+    above_neg = tn_all - F.col("cum_neg") + F.col("neg")
+    ranks = checkpointed(cum.agg(
         (F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg")))
-         / F.max(F.col("tp_all").cast("double") * F.col("tn_all"))).alias("roc_auc"),
-        (F.sum(F.col("pos") * above_pos / (above_pos + above_neg)) / F.max("tp_all")).alias("average_precision"))
+         / F.max(tp_all.cast("double") * tn_all)).alias("roc_auc"),
+        (F.sum(F.col("pos") * above_pos / (above_pos + above_neg)) / F.max(tp_all)).alias("average_precision")), "ranks")
     pred = failure_prob(p) >= F.lit(threshold)
     fail = F.col("success") == 0
     one = df.agg(*_proper(threshold, p), F.count_if(fail & pred).alias("tp"), F.count_if(~fail & pred).alias("fp"),
@@ -288,8 +288,8 @@ def metric_bundle(df: DataFrame, threshold: float, p: str = "p") -> DataFrame:
     prec, rec, f1 = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
     one = one.select("log_loss", "brier", "accuracy", prec.alias("failure_precision"), rec.alias("failure_recall"),
                      f1.alias("failure_f1"))
-    both = ranks.join(F.broadcast(one))   # one row each
-    names = [*ranks.columns, *one.columns]
+    both = one.select(*(ranks.select(c).scalar().alias(c) for c in ranks.columns), "*")
+    names = both.columns
     return both.select(F.expr("stack({}, {}) as (metric, value)".format(
         len(names), ", ".join(f"'{n}', cast({n} as double)" for n in names))))
 
