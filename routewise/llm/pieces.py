@@ -34,7 +34,7 @@ from routewise.sources.tables import read_table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()
-UNIT_CAP = 600_000
+UNIT_CAP = 300_000
 #: Suffixes are ordered by so many bytes; the rest of a longer piece is compared at each place found.
 DEPTH = 16
 #: New units are indexed together by about so many bytes (a longer unit alone), which bounds the edges held.
