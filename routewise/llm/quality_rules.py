@@ -129,12 +129,13 @@ def limits(measured: DataFrame) -> DataFrame:
         return df.drop(*METRICS).withColumnRenamed("n", f"{mark}n")
 
     by_lang = cut(own.groupBy("lang").agg(*merged), "l_").withColumnRenamed("lang", "l_lang")
-    overall = cut(own.agg(*merged), "a_")  # one row
-    out = cut(own, "").join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(overall))
+    overall = cut(own.agg(*merged), "a_").first()  # one row of limits
+    out = cut(own, "").join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
     for m in METRICS:
         for end in ("max", "min"):
             out = out.withColumn(f"{m}_{end}", F.when(F.col("n") >= MIN_GROUP, F.col(f"{m}_{end}"))
-                                 .when(F.col("l_n") >= MIN_GROUP, F.col(f"{m}_l_{end}")).otherwise(F.col(f"{m}_a_{end}")))
+                                 .when(F.col("l_n") >= MIN_GROUP, F.col(f"{m}_l_{end}"))
+                                 .otherwise(F.lit(overall[f"{m}_a_{end}"]).cast("double")))
     ends = [f"{m}_max" for m in METRICS] + [f"{m}_min" for m in TWO_SIDED]
     return written(out.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *ends), "limits")
 
