@@ -110,17 +110,17 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, per_band: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty) and bucket keys of each document."""
     rows = documents.select("doc_id", text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, circulant = worker_kept(("shingler",), lambda: (Shingler(), Circulant()))
+        shingler, circulant = worker_kept(("shingler", per_band * bands), lambda: (Shingler(), Circulant(per_band * bands)))
         for batch in batches:
             for part, texts in chunks(batch):
                 sets = shingler.sets(texts)
                 full = [s for s in sets if len(s)]
-                keys = iter(band_keys(np.stack([circulant.signature(s) for s in full])).tolist() if full else [])
+                keys = iter(band_keys(np.stack([circulant.signature(s) for s in full]), per_band).tolist() if full else [])
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
@@ -143,37 +143,41 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
     return documents.mapInArrow(run, "node long, set binary")
 
 
-def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * inter >= PERCENT * (a + b - inter)
+def _linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * inter >= percent * (a + b - inter)
 
 
-def is_link(a: pa.Array, b: pa.Array) -> pa.Array:
+def is_link(a: pa.Array, b: pa.Array, percent: int) -> pa.Array:
     """Whether two full sets are as similar as asked."""
     out = []
     for x, y in zip(a.to_pylist(), b.to_pylist()):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         if len(x) > len(y):
             x, y = y, x
-        if not len(x) or 100 * len(x) < PERCENT * len(y):
+        if not len(x) or 100 * len(x) < percent * len(y):
             out.append(False)
             continue
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        out.append(bool(_linked(int((y[at] == x).sum()), len(x), len(y))))
+        out.append(bool(_linked(int((y[at] == x).sum()), len(x), len(y), percent)))
     return pa.array(out, pa.bool_())
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are links."""
     one = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     size = F.octet_length
-    near = (100 * size("set_a") >= PERCENT * size("set_b")) & (100 * size("set_b") >= PERCENT * size("set_a"))
-    linked = F.arrow_udf(is_link, "boolean")
+    near = (100 * size("set_a") >= percent * size("set_b")) & (100 * size("set_b") >= percent * size("set_a"))
+
+    @F.arrow_udf("boolean")
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+        return is_link(a, b, percent)
+
     return (pairs.join(one, "a").join(two, "b").where(near)
             .where(linked("set_a", "set_b")).select("a", "b"))
 
 
-def block_links(rows: pd.DataFrame) -> pd.DataFrame:
+def block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between members in one component and members in another, one per pair of components at most."""
     sets = [np.frombuffer(s, np.uint64) for s in rows["set"]]
     size = np.array([len(s) for s in sets], np.int64)
@@ -190,7 +194,7 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
         held[row[lo:hi], column[lo:hi] - start] = 1
         inter += held[outside] @ held[inside].T
     comp, node = rows["comp"].to_numpy(), rows["node"].to_numpy()
-    a, b = np.nonzero(_linked(inter, size[outside][:, None], size[inside][None, :])
+    a, b = np.nonzero(_linked(inter, size[outside][:, None], size[inside][None, :], percent)
                       & (comp[outside][:, None] != comp[inside][None, :]))
     a, b = outside[a], inside[b]
     found = pd.DataFrame({"a": node[a], "b": node[b], "x": np.minimum(comp[a], comp[b]), "y": np.maximum(comp[a], comp[b])})
@@ -201,7 +205,7 @@ def _block(col: str, n: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(col, F.lit(seed)), F.greatest(F.lit(1), F.ceil(n / BLOCK))).cast("int")
 
 
-def links(documents: DataFrame, members: DataFrame) -> DataFrame:
+def links(documents: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all linked nodes, from the written memberships (bucket, node)."""
     order = F.struct(F.xxhash64("bucket", "node"), "node")
     shared = (members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(order)["node"].alias("centre"))
@@ -214,7 +218,7 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
 
     star = members.where("node <> centre").select(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    first = written(confirmed(star, sets), "links")
+    first = written(confirmed(star, sets, percent), "links")
 
     comps = components(first)
     rows = (members.where("n > 2").join(comps, "node", "left")
@@ -228,7 +232,7 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
     other = small.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     pairs = (small.select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "centre").join(other, "bucket")
              .where("a < b and comp_a <> comp_b and a <> centre and b <> centre").select("a", "b").distinct())
-    second = confirmed(pairs, sets)
+    second = confirmed(pairs, sets, percent)
 
     large = rows.where(F.col("n") > SMALL)
     n_out = F.col("n") - F.col("n_major")
@@ -240,28 +244,31 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
               .withColumn("outside", F.lit(False)))
     cols = ["bucket", "i", "j", "node", "comp", "outside"]
     third = (outside.select(*cols).unionByName(inside.select(*cols)).join(sets, "node")
-             .groupBy("bucket", "i", "j").applyInPandas(block_links, "a long, b long"))
+             .groupBy("bucket", "i", "j").applyInPandas(lambda rows: block_links(rows, percent), "a long, b long"))
     return first.unionByName(second).unionByName(third)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each document."""
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, per_band: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each document; links have a similarity of ``percent`` / 100 at least.
+
+    Two texts of similarity s miss each other in all bands with a chance of about (1 - s ** per_band) ** bands.
+    """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = written(fingerprints(documents), "fingerprints")
+    prints = written(fingerprints(documents, per_band, bands), "fingerprints")
     named = prints.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     firsts = named.select("digest", F.col("doc_id").alias("node"), "buckets").join(classes, ["digest", "node"])
     members = written(firsts.select(F.explode("buckets").alias("bucket"), "node").distinct(), "buckets")
-    comps = components(links(documents, members))
+    comps = components(links(documents, members, percent))
     found = classes.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
     out = prints.join(found, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, percent: int = PERCENT, per_band: int = ROWS, bands: int = BANDS) -> DataFrame:
     """The documents without those that near-duplicate one with a smaller id; repeated ids stay once."""
-    verdict = near_duplicates(documents)
+    verdict = near_duplicates(documents, percent, per_band, bands)
     gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id_")).distinct()
     rows = documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id_"], "left_anti")
     unnamed = rows.where(F.col("doc_id").isNull())
