@@ -19,6 +19,8 @@ from routewise.sources.sinks import shared_path
 CHUNK_BYTES = 4 << 20
 #: Distinct words that a worker remembers between chunks.
 WORD_CAP = 300_000
+#: A labelled text beyond this part of a class's bytes enters the training sample only after all shorter ones.
+LONG_PART = 32
 #: Stands for a null id where an id is a join or grouping key.
 NO_ID = -(1 << 63)
 
@@ -51,7 +53,9 @@ def training_texts(documents: DataFrame, rows: DataFrame, per_class: int, max_by
     """Labelled whole texts in a fixed pseudo-random order, and the count of labelled rows per class.
 
     At most ``per_class`` documents of each class, and of those whole texts up to ``max_bytes`` per
-    class, reach the driver.  The chosen ids number 2 * per_class at most, which bounds the broadcast.
+    class, reach the driver.  Texts over a ``LONG_PART`` of these bytes come last, the shortest first, and
+    take only room that the others leave, so no long text keeps another out.  The chosen ids number
+    2 * per_class at most, which bounds the broadcast.
     """
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -64,14 +68,16 @@ def training_texts(documents: DataFrame, rows: DataFrame, per_class: int, max_by
              .withColumn("order_", order)
              .groupBy("doc_id", "order_", "label").agg(F.min("text").alias("text")))
     # running size within a class, over the bounded sample only
-    size = F.sum(F.octet_length("text")).over(_running("label"))
+    bytes_ = F.octet_length("text")
+    texts = texts.withColumn("long_", F.when(bytes_ > max_bytes // LONG_PART, bytes_).otherwise(0))
+    size = F.sum(bytes_).over(_running("label"))
     out = texts.withColumn("size_", size).where(F.col("size_") <= max_bytes).orderBy("label", "order_")
     return [(r["label"], r["text"]) for r in out.select("label", "text").collect()], counts
 
 
 def _running(key: str):
     from pyspark.sql import Window
-    return Window.partitionBy(key).orderBy("order_", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy(key).orderBy("long_", "order_", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def worker_kept(key: tuple, make: Callable):
