@@ -40,25 +40,44 @@ EPOCHS, RATE, BATCH = 6, 40.0, 32
 LEAST_STEPS = 900
 FOLDS, HELD_OUT = 4, 2
 KEEP_FROM = 0.7
-#: Longer words give n-grams of their first and last characters only; the word's own bucket covers the rest.
-EDGE = 16
+#: Words of more bytes are hashed by numpy, this many characters at a time.
+LONG, BLOCK = 128, 1 << 17
+#: CRC-32's table: the checksum of a byte alone, without the inversions before and after.
+TABLE = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
 #: New words looked at together.
 STEP = 8192
 
 
 def buckets(word: bytes) -> list[int]:
     """Buckets of a word: itself, and the n-grams of its characters between boundary marks."""
-    text = word.decode("utf-8", "replace")
-    parts = [f"<{text}>"] if len(text) <= 2 * EDGE else [f"<{text[:EDGE]}", f"{text[-EDGE:]}>"]
+    if len(word) > LONG:
+        return np.concatenate(list(long_buckets(word))).tolist()
+    text = f"<{word.decode('utf-8', 'replace')}>"
     crc = zlib.crc32
     out = [1 + crc(word) % (BUCKETS - 1)]
-    for part in parts:
-        for n in NGRAMS:
-            out += [1 + crc(part[i:i + n].encode("utf-8", "replace"), n) % (BUCKETS - 1)
-                    for i in range(len(part) - n + 1)]
+    for n in NGRAMS:
+        out += [1 + crc(text[i:i + n].encode("utf-8", "replace"), n) % (BUCKETS - 1) for i in range(len(text) - n + 1)]
     return out
 
 
+def long_buckets(word: bytes) -> Iterator[np.ndarray]:
+    """The same buckets in another order, in arrays of bounded size."""
+    yield np.array([1 + zlib.crc32(word) % (BUCKETS - 1)], np.int64)
+    text = f"<{word.decode('utf-8', 'replace')}>"
+    for at in range(0, len(text), BLOCK):
+        part = text[at:at + BLOCK + max(NGRAMS) - 1]
+        data = np.frombuffer(part.encode("utf-8", "replace"), np.uint8)
+        starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        for n in NGRAMS:
+            first = starts[:-n][:BLOCK]
+            size = starts[n:][:BLOCK] - first
+            crc = np.full(len(first), n ^ 0xFFFFFFFF, np.uint32)
+            for k in range(int(size.max(initial=0))):
+                step = TABLE[(crc ^ data[np.minimum(first + k, len(data) - 1)]) & 0xFF] ^ (crc >> np.uint32(8))
+                crc = np.where(k < size, step, crc)
+            yield 1 + (~crc).astype(np.int64) % (BUCKETS - 1)
+
+
 @dataclass(frozen=True)
 class Model:
     """One weight per bucket, and the output bias, of log odds of label 1."""
@@ -71,16 +90,26 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     flat: list[int] = []
     cache: dict[bytes, list[int]] = {}
+    of_long = None
     last = None
     for w in words:
-        if w not in cache:
-            cache[w] = buckets(w)
-        flat += cache[w]
+        if len(w) > LONG:
+            of_long = np.zeros(BUCKETS, np.int64) if of_long is None else of_long
+            for part in long_buckets(w):
+                np.add.at(of_long, part, 1)
+        else:
+            if w not in cache:
+                cache[w] = buckets(w)
+            flat += cache[w]
         if w == last:
             flat.append(ECHO)
         last = w
     ids, n = np.unique(np.asarray(flat, np.int64), return_counts=True)
-    return ids, (n / max(1, len(flat))).astype(np.float32)
+    if of_long is not None:
+        of_long[ids] += n
+        ids = np.flatnonzero(of_long)
+        n = of_long[ids]
+    return ids, (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(samples: list[tuple[int, str]], share: float, seed: int = 7) -> Model:
@@ -140,10 +169,17 @@ def scorer(model: Model):
         nonlocal total, number
         totals, numbers = [total], [number]
         for at in range(0, len(words), STEP):  # lists of buckets take room
-            found = [buckets(w) for w in words[at:at + STEP]]
+            part = words[at:at + STEP]
+            found = [buckets(w) if len(w) <= LONG else [] for w in part]
             n = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter(chain.from_iterable(found), np.int64, int(n.sum()))
-            totals.append(per_text_sum(model.weight[flat].astype(np.float64), n))
+            sums = per_text_sum(model.weight[flat].astype(np.float64), n)
+            for i, w in enumerate(part):
+                if len(w) > LONG:
+                    for ids in long_buckets(w):
+                        sums[i] += model.weight[ids].sum(dtype=np.float64)
+                        n[i] += len(ids)
+            totals.append(sums)
             numbers.append(n)
         total, number = np.concatenate(totals), np.concatenate(numbers)
 
