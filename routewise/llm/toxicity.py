@@ -40,7 +40,6 @@ LOOKS = ("авсеніјкморѕтухαεικνορτυχıԁԛԝ",
          "abcehijkmopstyxaeikvoptuxidqw")
 DIGITS = (("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"), ("7", "t"), ("8", "b"))
 SIGNS = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])|(?<!\S)[@$](?=[^\W\d_])")
-ODD = re.compile(r"[^\x00-ɏ -⁯]")
 #: Bound of the training sample: documents and bytes of whole text per class.
 PER_CLASS, CLASS_BYTES = 4000, 16 << 20
 FOLDS, HELD_OUT = 5, 0
@@ -66,6 +65,8 @@ class _Fold(dict):
 FOLD = _Fold({ord(a): b for a, b in zip(*LOOKS)})
 for _a, _b in zip(*LOOKS):
     FOLD.setdefault(ord(_a.upper()), _b)
+#: Finds a character that folding may change; of Latin letters and punctuation, those that it leaves alone are passed over.
+ODD = re.compile("[^\x00-\x7f%s]" % "".join(c for c in map(chr, (*range(0x80, 0x250), *range(0x2000, 0x2070))) if FOLD[ord(c)] == c))
 
 
 def fold(text: str) -> str:
