@@ -7,7 +7,7 @@ ends one) and holds a letter of the original text.  A hit inside an exception ph
 The weighted hits are normalised by length, and a logistic curve turns that into a score.
 
 Terms and weights are learned from labelled rows: a term must stand in several toxic documents behind
-different words and be rare in the other documents; of terms that begin alike the one found in most
+different words, more often than chance gives, and be rare in the other documents; of terms that begin alike the one found in most
 toxic documents is taken, and its weight is the log odds of its document counts.  Two-word phrases in which a term stands in documents
 that are not toxic become exceptions.
 
@@ -44,9 +44,9 @@ SIGNS = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])|(?<!\S)[@$](?=[^\W\d_])")
 PER_CLASS, CLASS_BYTES = 4000, 16 << 20
 FOLDS, HELD_OUT = 5, 0
 FLAG_FROM = 0.5
-#: A term needs so many toxic documents, such a part of them, and so many different words before it (copies of one text have one),
-#: and at most so large a share in other documents for its share in toxic ones.
-MIN_DOCS, MIN_PART, MIN_CONTEXTS, MAX_SHARE, MAX_TERMS = 5, 0.012, 5, 0.04, 400
+#: A term needs so many toxic documents, and so many different words before it (copies of one text have one), at most so large a
+#: share in other documents for its share in toxic ones, and chance must give it so many toxic ones with this probability at most.
+MIN_DOCS, MIN_CONTEXTS, MAX_SHARE, MAX_CHANCE = 5, 5, 0.04, 1e-4
 STEMS = (4, 5, 6, 7)
 #: Benign phrases known beforehand; learned ones come on top.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum")
@@ -138,6 +138,16 @@ def measure(matcher: Matcher, text: str) -> tuple[float, float]:
     return (math.log1p(total), 100 * total / max(1, len(text.split()))) if total else (0.0, 0.0)
 
 
+def chance(toxic: int, clean: int, part: float) -> float:
+    """Probability of ``toxic`` or more toxic ones among so many documents, where ``part`` of all documents are toxic."""
+    n = toxic + clean
+    if part >= 1:
+        return 0.0  # nothing to compare with
+    at = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(part) + (n - k) * math.log1p(-part)
+          for k in range(toxic, n + 1)]
+    return min(1.0, sum(map(math.exp, at)))
+
+
 def learn(samples: list[tuple[int, str]], exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Terms, exceptions and curve from labelled texts; equal texts count once."""
     texts = [(y, fold(t)) for t, y in {t: y for y, t in samples}.items()]
@@ -165,18 +175,23 @@ def learn(samples: list[tuple[int, str]], exceptions: tuple[str, ...] = EXCEPTIO
             in_toxic[x] += 1
             if len(before.setdefault(x, set())) < MIN_CONTEXTS:
                 before[x] |= words
-    least = max(MIN_DOCS, MIN_PART * len(toxic))
-    usable = {x for x, n in in_toxic.items() if n >= least and len(before[x]) >= MIN_CONTEXTS}
+    usable = {x for x, n in in_toxic.items() if n >= MIN_DOCS and len(before[x]) >= MIN_CONTEXTS}
     in_clean: Counter = Counter()
     for t in clean:
         in_clean.update(x for x in terms(t) if x in usable)
     share = {x: (in_clean[x] / max(1, len(clean))) / (in_toxic[x] / len(toxic)) for x in usable}
-    usable = {x for x in usable if share[x] <= MAX_SHARE}
+    part = len(toxic) / len(texts)
+    usable = {x for x in usable if share[x] <= MAX_SHARE and chance(in_toxic[x], in_clean[x], part) <= MAX_CHANCE}
     chosen: list = []
+    taken: set = set()  # the terms chosen; begun: all they begin with
+    begun: set = set()
     # most toxic documents first, less those that chance explains; then the longer, the whole word
     for x in sorted(usable, key=lambda x: (-in_toxic[x] * (1 - share[x] / MAX_SHARE), -len(x[0]), not x[1], x[0])):
-        if len(chosen) < MAX_TERMS and not any(x[0].startswith(c) or c.startswith(x[0]) for c, _ in chosen):
+        starts = [x[0][:n] for n in range(1, len(x[0]) + 1)]
+        if x[0] not in begun and taken.isdisjoint(starts):
             chosen.append(x)
+            taken.add(x[0])
+            begun.update(starts)
     lift = {x: (in_toxic[x] / len(toxic)) / ((in_clean[x] + 0.5) / (len(clean) + 1)) for x in chosen}
     weighted = tuple((*x, math.log(lift[x])) for x in chosen if lift[x] > 1)
     heads = {x[0] for x in chosen}
