@@ -34,6 +34,6 @@ def nothing(spark, odd):
 def tiny():
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "conversations"):
         con.execute(f"create view {t} as from '/root/testdata/sf0.001/{t}.parquet'")
     return con
