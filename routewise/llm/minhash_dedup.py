@@ -267,12 +267,30 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, per_band: int
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT, per_band: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """The documents without those that near-duplicate one with a smaller id; repeated ids stay once."""
-    verdict = near_duplicates(documents, percent, per_band, bands)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id_")).distinct()
-    rows = documents.join(gone, documents["doc_id"].cast("long") == gone["gone_id_"], "left_anti")
-    unnamed = rows.where(F.col("doc_id").isNull())
-    return rows.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(unnamed)
+    """The documents without those that near-duplicate one before them; equal rows stay once.
+
+    Documents are told apart by id and text and come in that order, so of different texts under one id each is judged
+    by itself.  Those without an id stay.
+    """
+    id_, h1, h2 = documents["doc_id"].cast("long").alias("id_"), F.xxhash64("text").alias("h1_"), F.xxhash64(F.lit(1), "text").alias("h2_")
+    named = documents.where(F.col("doc_id").isNotNull())
+    keys = named.select(id_, h1, h2)
+    clash = keys.groupBy("id_").agg(F.min(F.struct("h1_", "h2_")).alias("a"), F.max(F.struct("h1_", "h2_")).alias("b")).where("a <> b")
+    if clash.isEmpty():
+        verdict = near_duplicates(documents, percent, per_band, bands)
+        gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id_")).distinct()
+        rows = named.join(gone, documents["doc_id"].cast("long") == gone["gone_id_"], "left_anti").dropDuplicates(["doc_id"])
+        return rows.unionByName(documents.where(F.col("doc_id").isNull()))
+    # numbers in the order of id and text stand for the ids
+    key = ["id_", "h1_", "h2_"]
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys.distinct().repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    keys = written(keys.withColumn("node_", F.monotonically_increasing_id()), "keys")
+    texts = named.select(id_, h1, h2, "text").join(keys, key).select(F.col("node_").alias("doc_id"), "text")
+    stay = near_duplicates(texts, percent, per_band, bands).where("kept").select(F.col("doc_id").alias("node_")).distinct()
+    stay = keys.join(stay, "node_", "left_semi").drop("node_")
+    rows = named.select(F.struct(*documents.columns).alias("doc_"), id_, h1, h2).join(stay, key, "left_semi").dropDuplicates(key)
+    return rows.select("doc_.*").select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from routewise.llm import minhash_dedup
 from tests.llm.test_brute_force import components
@@ -40,3 +42,14 @@ def test_percent_is_a_parameter_and_85_stays_the_default(spark, monkeypatch):
         found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, percent).collect()}
         assert found == comp and len(set(comp.values())) == (1 if percent == 80 else 6)
     assert {r["component_id"] for r in minhash_dedup.near_duplicates(df).collect()} == set(texts)
+
+
+def test_different_texts_under_one_id_are_judged_apart(spark):
+    """Of two texts under one id one repeats an earlier document, the other is like nothing else."""
+    first, second, third = (" ".join(f"{c}{i}" for i in range(200)) for c in "xyz")
+    rows = [(1, first), (2, first + " end"), (2, second), (2, second), (3, third), (3, None), (4, third), (None, first), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1_", F.lit("extra"))
+    kept = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, first), (2, second), (3, third), (3, None), (0, first), (5, "")], key=repr)

@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark, tiny, tmp_path):
-    from tests.llm.test_brute_force import jaccard_components, plain_spans
+    from tests.llm.test_brute_force import plain_spans
+    from tests.llm.test_near_stage import plain_components
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = [{r["doc_id"]: r["text"] or "" for r in docs.collect()}]
     columns = docs.columns
@@ -39,7 +40,7 @@ def test_stages(spark, tiny, tmp_path):
         if not gone or text.strip(" \t\n\x0b\x0c\r"):
             want[d] = text
     assert lines == want
-    _, comp = jaccard_components(lines)
+    comp = plain_components(lines, corpus_pipeline.NEAR_PERCENT)
     assert single == {d: t for d, t in lines.items() if comp[d] == d}
     assert set(private) == set(single)
     for d, t in single.items():
