@@ -1070,7 +1070,7 @@ def q_save_pipeline(c: Ctx) -> DataFrame:
 # ----------------------------------------------------------------- streaming
 from routewise.streaming import features as SF  # noqa: E402
 from routewise.streaming import sources as SS  # noqa: E402
-from routewise.streaming.runner import drain, dropped_by_watermark, run_available_now, state_rows  # noqa: E402
+from routewise.streaming.runner import dropped_by_watermark, run_available_now  # noqa: E402
 
 TICK = 3600
 
@@ -1185,14 +1185,6 @@ def q_stream_minute_buckets(c: Ctx) -> DataFrame:
     return res
 
 
-@register("stream_bucket_ttl")
-def q_stream_bucket_ttl(c: Ctx) -> DataFrame:
-    """ST2: bucket state size and evictions per micro-batch (watermark = expiry)."""
-    d, o = _streams(c)
-    _, prog = run_available_now(c.spark, SF.minute_buckets(d, o, c.tick_seconds), "st2")
-    return c.spark.createDataFrame(state_rows(prog), "batch_id long, state_rows long, rows_removed long")
-
-
 @register_s("stream_rolling_rates", """
 SELECT route_id, m AS tick, sum(CASE WHEN off <= 5 THEN k END) / sum(CASE WHEN off <= 5 THEN n END) AS route_success_rate_5m,
   sum(k) / sum(n) AS route_success_rate_15m,
@@ -1274,39 +1266,148 @@ def q_stream_bank_amount(c: Ctx) -> DataFrame:
 
 @register_s("stream_system_tps", "SELECT tick + 1 AS tick, count(*) / 3600.0 AS system_tps FROM dec GROUP BY tick")
 def q_stream_system_tps(c: Ctx) -> DataFrame:
-    """ST10: requests in the previous tick / tick length."""
+    """ST10, coarse form: requests in the previous tick / tick length."""
     d, _ = _streams(c)
     res, _ = run_available_now(c.spark, SF.system_tps(d, c.tick_seconds), "st10", keys=["tick"])
     return res
 
 
-def _serve(c: Ctx, decide: bool) -> DataFrame:
-    from routewise.streaming import serving as SV
-    c.probes = True
-    st = c.state
-    bank_avg = SV.bank_amount_asof(st)
+@register_s("stream_ingress_meter", """
+SELECT d.txn_id, count(o.txn_id) / 60.0 AS system_tps FROM dec d LEFT JOIN dec o
+  ON floor(epoch(o.decision_ts)) >= floor(epoch(d.decision_ts)) - 60 AND floor(epoch(o.decision_ts)) < floor(epoch(d.decision_ts))
+GROUP BY d.txn_id""")
+def q_stream_ingress_meter(c: Ctx) -> DataFrame:
+    """ST10: requests per second over the 60 completed seconds before each request, not counting itself."""
     d, _ = _streams(c)
+    return SF.run_ingress_meter(c.spark, d)
+
+
+@register_s("stream_close", """
+, hit AS (SELECT d.txn_id, d.route_id FROM dec d JOIN outc o ON o.txn_id = d.txn_id
+  AND o.outcome_ts >= d.decision_ts AND o.outcome_ts <= d.decision_ts + INTERVAL 1 HOUR)
+SELECT txn_id, 'matched' AS closed, route_id FROM hit
+UNION ALL SELECT txn_id, 'expired', route_id FROM dec WHERE txn_id NOT IN (SELECT txn_id FROM hit)
+UNION ALL SELECT txn_id, 'orphan', route_id FROM outc WHERE txn_id NOT IN (SELECT txn_id FROM hit)""", gaps=True)
+def q_stream_close(c: Ctx) -> DataFrame:
+    """ST6 with J14: every decision and outcome closed as matched, expired or orphan by one stateful operator."""
+    d, o = _streams(c, gaps=True)
+    res, _ = run_available_now(c.spark, SF.close_decisions(d, o), "st6c", output_mode="append")
+    return res.select("txn_id", "closed", "route_id")
+
+
+#: Seconds of arrivals per micro-batch of the serving queries: 12 of them in the events' 30 days.
+SLICE = 60 * 3600
+
+_ARRIVALS_SQL = f"""
+, came AS (SELECT 'outcome' AS kind, txn_id, tick, bank, network, route_id, success, latency_ms, ts + to_minutes(CAST(latency_ms AS INT)) AS came_at FROM attempts
+  UNION ALL SELECT 'request', txn_id, tick, bank, network, route_id, NULL, NULL, ts FROM attempts),
+arr AS (SELECT *, CAST(floor((epoch(came_at) - 1704067200) / 3600) AS BIGINT) AS arrived, CAST(floor((epoch(came_at) - 1704067200) / {SLICE}) AS BIGINT) AS slice FROM came),
+slices AS (SELECT slice, row_number() OVER (ORDER BY slice) - 1 AS batch_id, max(high) OVER (ORDER BY slice) AS high
+  FROM (SELECT slice, max(arrived) AS high FROM (SELECT slice, arrived FROM arr UNION ALL
+    SELECT CAST(floor((epoch(came_at) + 1800 - 1704067200) / {SLICE}) AS BIGINT), NULL FROM arr WHERE kind = 'outcome' AND txn_id % 10 = 0) GROUP BY slice))
+"""
+
+_TTL_SQL = _ARRIVALS_SQL + """
+, bucket AS (SELECT 'route' AS scope, route_id AS k1, NULL AS k2, tick, arrived FROM arr WHERE kind = 'outcome'
+  UNION ALL SELECT 'bank', bank, NULL, tick, arrived FROM arr WHERE kind = 'outcome'
+  UNION ALL SELECT 'network', network, NULL, tick, arrived FROM arr WHERE kind = 'outcome'
+  UNION ALL SELECT 'bank_route', bank, route_id, tick, arrived FROM arr WHERE kind = 'outcome'
+  UNION ALL SELECT 'global', NULL, NULL, tick, arrived FROM arr WHERE kind = 'request')
+SELECT scope, k1, k2, tick, min(batch_id) AS batch_id
+FROM (SELECT scope, k1, k2, tick, max(arrived) AS last FROM bucket GROUP BY scope, k1, k2, tick) b JOIN slices s ON s.high >= b.last + 30
+GROUP BY scope, k1, k2, tick"""
+
+_SNAPSHOT_SQL = _ARRIVALS_SQL + """
+, cell AS (SELECT bank, network, route_id, tick, arrived, count(*) AS n, sum(success) AS k, sum(latency_ms) AS lat
+  FROM arr WHERE kind = 'outcome' GROUP BY ALL),
+m AS (SELECT unnest(range(total_ticks)) AS tick FROM bounds),
+rate AS (SELECT r.route_id, m.tick, sum(n) AS n15, sum(k) AS k15, sum(n) FILTER (c.tick >= m.tick - 5) AS n5,
+    sum(k) FILTER (c.tick >= m.tick - 5) AS k5, sum(lat) FILTER (c.tick >= m.tick - 5) AS l5
+  FROM routes r CROSS JOIN m LEFT JOIN cell c ON c.route_id = r.route_id AND c.tick BETWEEN m.tick - 15 AND m.tick - 1 AND c.arrived < m.tick
+  GROUP BY r.route_id, m.tick),
+live AS (SELECT route_id, tick, k5 / n5 AS route_success_rate_5m, k15 / n15 AS route_success_rate_15m, l5 / n5 AS route_avg_latency_5m,
+    CAST(coalesce(k5 / n5 < 0.7, false) AS DOUBLE) AS route_flagged_down,
+    coalesce(CAST(tick - max(CASE WHEN k5 / n5 < 0.7 THEN tick END) OVER (PARTITION BY route_id ORDER BY tick
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 9999.0) AS time_since_last_failure FROM rate),
+seen AS (SELECT 'route' AS scope, route_id AS key, m.tick AS m, c.tick, sum(n) AS n, sum(k) AS k FROM cell c JOIN m ON c.arrived < m.tick GROUP BY ALL
+  UNION ALL SELECT 'bank', bank, m.tick, c.tick, sum(n), sum(k) FROM cell c JOIN m ON c.arrived < m.tick GROUP BY ALL
+  UNION ALL SELECT 'network', network, m.tick, c.tick, sum(n), sum(k) FROM cell c JOIN m ON c.arrived < m.tick GROUP BY ALL),
+active AS (SELECT scope, key, m AS tick, 1 - sum(k) / sum(n) AS failure_rate FROM (
+  SELECT *, row_number() OVER (PARTITION BY scope, key, m ORDER BY tick DESC) AS nth FROM seen)
+  WHERE nth <= CASE WHEN scope = 'route' THEN 1 ELSE 5 END GROUP BY scope, key, m),
+pair AS (SELECT c.bank, c.route_id, m.tick, sum(n) FILTER (c.tick >= m.tick - 15) AS n, sum(k) FILTER (c.tick >= m.tick - 15) AS k,
+    max(c.tick) FILTER (c.k > 0) AS last FROM cell c JOIN m ON c.arrived < m.tick GROUP BY ALL),
+mean AS (SELECT a.bank, m.tick, avg(a.amount) AS amount FROM attempts a JOIN m ON a.tick < m.tick GROUP BY ALL),
+shot AS (SELECT a.txn_id, a.tick, e.route_order, (a.tick*60 // 1440) % 7 AS day_in_week, (a.tick*60 % 1440) // 60 AS hour_of_day, a.amount,
+  b.route_base_success_rate, b.route_base_latency_ms, r.route_cost_percent, l.route_success_rate_5m, l.route_success_rate_15m,
+  l.route_avg_latency_5m, coalesce(g.n, 0) / 3600.0 * r.route_weight / r.base_capacity_tps AS route_utilization, coalesce(g.n, 0) / 3600.0 AS system_tps,
+  l.time_since_last_failure, l.route_flagged_down,
+  (coalesce(p.k, 0) + 10 * coalesce(b.route_base_success_rate, o.prior)) / (coalesce(p.n, 0) + 10) AS bank_route_success_rate_15m,
+  bf.failure_rate AS bank_failure_rate_5m, nf.failure_rate AS network_failure_rate_5m, rf.failure_rate AS route_failure_rate_1m,
+  coalesce(CAST(a.tick - p.last AS DOUBLE), 9999.0) AS time_since_last_bank_route_success,
+  CASE WHEN mean.amount > 0 THEN a.amount / mean.amount END AS amount_to_bank_avg_ratio,
+  a.bank, a.network, a.payment_method, a.merchant, a.device, a.risk, e.route_id
+  FROM attempts a JOIN elig e USING (payment_method, network) JOIN routes r ON r.route_id = e.route_id CROSS JOIN overall o
+  LEFT JOIN live l ON l.route_id = e.route_id AND l.tick = a.tick LEFT JOIN base b ON b.route_id = e.route_id
+  LEFT JOIN gtot g ON g.tick = a.tick - 1 LEFT JOIN pair p ON p.bank = a.bank AND p.route_id = e.route_id AND p.tick = a.tick
+  LEFT JOIN active bf ON bf.scope = 'bank' AND bf.key = a.bank AND bf.tick = a.tick
+  LEFT JOIN active nf ON nf.scope = 'network' AND nf.key = a.network AND nf.tick = a.tick
+  LEFT JOIN active rf ON rf.scope = 'route' AND rf.key = e.route_id AND rf.tick = a.tick
+  LEFT JOIN mean ON mean.bank = a.bank AND mean.tick = a.tick)
+SELECT *, 1.0 - route_success_rate_5m AS route_failure_rate_5m, 1.0 - route_success_rate_15m AS route_failure_rate_15m,
+  route_base_success_rate - route_success_rate_5m AS route_success_drop_5m, route_base_success_rate - route_success_rate_15m AS route_success_drop_15m,
+  route_avg_latency_5m / (route_base_latency_ms + 1e-6) AS route_latency_ratio, bank_route_success_rate_15m - route_success_rate_15m AS bank_route_gap,
+  route_utilization * (1.0 - route_success_rate_15m) AS route_stress
+FROM shot"""
+
+
+def _frozen(c: Ctx) -> tuple[DataFrame, float | None]:
+    """What a deployment starts with: the training baselines (one row per route of the dimension) and their mean."""
+    _, train = FT.bounds(c.attempts)
+    rows = FT.training_baselines(c.attempts, train, c.routes).collect()
+    rates = [r["route_base_success_rate"] for r in rows]
+    base = c.spark.createDataFrame([tuple(r) for r in rows], "route_id string, route_base_success_rate double, route_base_latency_ms double")
+    return base, sum(rates) / len(rates) if rates else None
+
+
+def serving(c: Ctx, answer=None, path: str | None = None, slice_seconds: int = SLICE) -> DataFrame:
+    """The answers to all requests, replayed as a stream of arrivals, one slice per micro-batch."""
+    from routewise.sources.bindings import read_attempts
+    from routewise.sources.sinks import shared_path
+    from routewise.streaming import serving as SV
+    path = path or shared_path(c.spark, "serve")
+    a = read_attempts(c.spark, c.sf_dir, c.tick_seconds, with_ts=True)
+    source = SS.write_slices(SS.arrivals(a, c.tick_seconds, slice_seconds), shared_path(c.spark, "arrivals"))
+    base, prior = _frozen(c)
+    return SV.serve(c.spark, SS.read_arrivals(c.spark, source), c.eligibility, base, prior, c.tick_seconds, path, answer)
 
-    def serve(requests: DataFrame) -> DataFrame:
-        snap = SV.feature_snapshot(requests.where(F.col("txn_id").isNotNull()), st, c.eligibility, bank_avg,
-                                   c.tick_seconds)
-        return SV.route_decisions(snap) if decide else snap
 
-    schema = serve(c.spark.createDataFrame([], d.schema)).schema
-    return drain(c.spark, d, "serve", schema, per_batch=lambda batch, *_: serve(batch))[0].drop("batch_id")
+@register("stream_bucket_ttl", _TTL_SQL)
+def q_stream_bucket_ttl(c: Ctx) -> DataFrame:
+    """ST2: the buckets that leave the state, with the micro-batch in which they do (30 ticks after their last arrival)."""
+    return serving(c, lambda requests, now, shot: now.evicted)
 
 
-@register("stream_feature_snapshot")
+@register("stream_feature_snapshot", _SNAPSHOT_SQL)
 def q_stream_feature_snapshot(c: Ctx) -> DataFrame:
-    """ST11: full 33-column vector per (request x eligible route), per micro-batch."""
-    return _serve(c, decide=False)
+    """ST11: full 33-column vector per (request x eligible route) from the streams' own state, as of the request's tick."""
+    return serving(c).drop("batch_id")
+
+
+def _saved_pipeline(c: Ctx):
+    from routewise.sources.sinks import shared_path
+    path = shared_path(c.spark, "pipeline")
+    LN.save_pipeline(_model(c), _calibrated(c), path, EVAL_THRESHOLD)
+    return LN.load_pipeline(c.spark, path)
 
 
 @register("stream_route")
 def q_stream_route(c: Ctx) -> DataFrame:
-    """ST12: score candidates, argmax, emit decision + candidate array."""
-    r = _serve(c, decide=True)
-    return r.select("txn_id", "chosen_route_id", "chosen_p", F.size("candidates").alias("n_candidates"))
+    """ST12: candidates scored by the saved pipeline inside the micro-batch, argmax, one pending decision per request."""
+    from routewise.streaming import serving as SV
+    model, calibrator, _ = _saved_pipeline(c)
+    r = serving(c, SV.decide(model, calibrator))
+    return r.select("txn_id", F.col("route_id").alias("chosen_route_id"), "chosen_p", F.size("candidates").alias("n_candidates"))
 
 
 # ------------------------------------------- G19 split keys, second binding

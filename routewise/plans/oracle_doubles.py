@@ -5,6 +5,7 @@ DOUBLE_COLUMNS = {
     'amount_bands': ['mean_amount'],
     'amount_to_bank_avg_ratio': ['amount_to_bank_avg_ratio'],
     'asof_group_state': ['route_failure_rate_1m', 'time_since_last_bank_route_success'],
+    'assemble': [],
     'attach_bank_route': ['bank_route_success_rate_15m'],
     'attach_baselines': ['route_base_success_rate', 'route_base_latency_ms'],
     'attach_route_features': ['route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps'],
@@ -38,6 +39,7 @@ DOUBLE_COLUMNS = {
     'expand_candidates': [],
     'feature_projection': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m'],
     'feature_table': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m', 'route_failure_rate_5m', 'route_failure_rate_15m', 'route_success_drop_5m', 'route_success_drop_15m', 'route_latency_ratio', 'bank_route_gap', 'route_stress', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
+    'feature_table_minute': ['route_success_rate_5m', 'route_success_rate_15m', 'bank_route_success_rate_15m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
     'impute_median': ['median'],
     'impute_mode': [],
     'incident_episodes': [],
@@ -51,7 +53,9 @@ DOUBLE_COLUMNS = {
     'network_failure_rate_5m': ['network_failure_rate_5m'],
     'network_minute': [],
     'no_eligible_route': [],
+    'no_eligible_route_orders': [],
     'null_profile': [],
+    'one_hot': [],
     'order_features': [],
     'orders_route_rates': ['route_success_rate_5m', 'route_success_rate_15m'],
     'orders_txn_order_features': ['time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
@@ -66,6 +70,7 @@ DOUBLE_COLUMNS = {
     'pr_curve': ['threshold', 'precision', 'recall'],
     'predict_failure': [],
     'prior_rolling_sum': ['latency_5m'],
+    'quarantine_orders': [],
     'ranked_thresholds': ['threshold', 'cost_per_txn', 'total_cost'],
     'read_attempts': ['amount', 'latency_ms'],
     'read_features': [],
@@ -85,14 +90,19 @@ DOUBLE_COLUMNS = {
     'route_success_rate_5m': ['route_success_rate_5m', 'route_success_rate_15m'],
     'spine_fill': [],
     'split_counts': [],
+    'stream_bank_amount': ['amount_to_bank_avg_ratio'],
+    'stream_bucket_ttl': [],
+    'stream_close': [],
     'stream_decision_outcome': [],
     'stream_dedup_outcomes': [],
+    'stream_expired_decisions': [],
+    'stream_feature_snapshot': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_utilization', 'system_tps', 'time_since_last_failure', 'route_flagged_down', 'bank_route_success_rate_15m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio', 'route_failure_rate_5m', 'route_failure_rate_15m', 'route_success_drop_5m', 'route_success_drop_15m', 'route_latency_ratio', 'bank_route_gap', 'route_stress'],
+    'stream_ingress_meter': ['system_tps'],
+    'stream_last_flagged': ['route_success_rate_5m', 'route_flagged_down', 'time_since_last_failure'],
     'stream_last_success': [],
+    'stream_late_credit': [],
     'stream_minute_buckets': ['latency_sum'],
     'stream_rolling_rates': ['route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_requests_1m'],
-    'stream_last_flagged': ['route_success_rate_5m', 'route_flagged_down', 'time_since_last_failure'],
-    'feature_table_minute': ['route_success_rate_5m', 'route_success_rate_15m', 'bank_route_success_rate_15m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
-    'stream_bank_amount': ['amount_to_bank_avg_ratio'],
     'stream_system_tps': ['system_tps'],
     'target_recall_threshold': ['threshold', 'precision', 'recall'],
     'threshold_metrics': ['threshold', 'failure_precision', 'failure_recall', 'failure_f1', 'accuracy'],
@@ -104,6 +114,7 @@ DOUBLE_COLUMNS = {
     'train_validation_cut': [],
     'training_baselines': ['route_base_success_rate', 'route_base_latency_ms'],
     'validate_attempts': [],
+    'validate_orders': [],
     'weighted_split': [],
     'write_features': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m'],
 }
@@ -120,4 +131,5 @@ WIDE_COLUMNS = {
     'route_minute': ['failure_count'],
     'threshold_metrics': ['predicted_failures'],
     'validate_attempts': ['violations'],
+    'validate_orders': ['violations'],
 }

@@ -110,20 +110,36 @@ def last_success(outcomes: DataFrame) -> DataFrame:
             .agg(F.max("tick").alias("last_success_tick")))
 
 
+def _pending_join(decisions: DataFrame, outcomes: DataFrame, ttl: int, how: str) -> DataFrame:
+    d = watermarked(decisions, "decision_ts", ttl).alias("d")
+    o = dedup_outcomes(outcomes, ttl, "outcome_ts").alias("o")
+    cond = ((F.col("d.txn_id") == F.col("o.txn_id")) & (F.col("o.outcome_ts") >= F.col("d.decision_ts"))
+            & (F.col("o.outcome_ts") <= F.col("d.decision_ts") + F.expr(f"INTERVAL {ttl} SECONDS")))
+    return d.join(o, cond, how)
+
+
 def decision_outcome_join(decisions: DataFrame, outcomes: DataFrame, ttl: int = C.PENDING_TTL_SECONDS,
                           how: str = "inner") -> DataFrame:
     """ST6: pending decision matched with its outcome within the TTL (stream-stream join).
 
     ``left_outer`` also gives the expired decisions, once the watermarks say that no outcome can come.
     """
-    d = watermarked(decisions, "decision_ts", ttl).alias("d")
-    o = dedup_outcomes(outcomes, ttl, "outcome_ts").alias("o")
-    cond = ((F.col("d.txn_id") == F.col("o.txn_id")) & (F.col("o.outcome_ts") >= F.col("d.decision_ts"))
-            & (F.col("o.outcome_ts") <= F.col("d.decision_ts") + F.expr(f"INTERVAL {ttl} SECONDS")))
-    return d.join(o, cond, how).select(F.col("d.txn_id").alias("txn_id"), F.col("d.route_id").alias("route_id"),
+    return _pending_join(decisions, outcomes, ttl, how).select(F.col("d.txn_id").alias("txn_id"), F.col("d.route_id").alias("route_id"),
                                        "d.decision_ts", "o.outcome_ts", "o.success")
 
 
+def close_decisions(decisions: DataFrame, outcomes: DataFrame, ttl: int = C.PENDING_TTL_SECONDS) -> DataFrame:
+    """ST6 with J14: every decision and outcome closed once, as matched, expired or orphan.
+
+    One full outer stream-stream join: a decision without an outcome within the TTL expires, an outcome without a
+    pending decision (none ever made, or one that has expired) is an orphan.
+    """
+    j = _pending_join(decisions, outcomes, ttl, "full_outer")
+    kind = F.when(F.col("o.txn_id").isNull(), "expired").when(F.col("d.txn_id").isNull(), "orphan").otherwise("matched")
+    return j.select(F.coalesce("d.txn_id", "o.txn_id").alias("txn_id"), kind.alias("closed"),
+                    F.coalesce("d.route_id", "o.route_id").alias("route_id"), "d.decision_ts", "o.outcome_ts", "o.success")
+
+
 def late_credit(outcomes: DataFrame, tick_seconds: int, delay: int = CALLBACK_TTL) -> DataFrame:
     """ST8: outcomes credited to their attempt tick; rows later than the watermark are dropped (and counted)."""
     g = (dedup_outcomes(outcomes, delay, "attempt_ts")
@@ -140,6 +156,49 @@ def system_tps(decisions: DataFrame, tick_seconds: int, delay: int = CALLBACK_TT
                     (F.col("n") / F.lit(float(tick_seconds))).alias("system_tps"))
 
 
+METER_SECONDS = 60
+METER_OUT = T.StructType([T.StructField("txn_id", T.LongType()), T.StructField("system_tps", T.DoubleType())])
+METER_STATE = "second long, n long"
+
+
+def meter_batch(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ST10, one micro-batch: (requests per second over the 60 completed seconds before each request, cells after it).
+
+    Requests are counted per second first; the sums come from an equi-join of the seconds asked for with the
+    60 seconds before them, so no window runs over the whole clock.
+    """
+    asked = batch.where(F.col("txn_id").isNotNull()).select("txn_id", F.unix_seconds("decision_ts").alias("second"))
+    cells = (asked.groupBy("second").agg(F.count(F.lit(1)).alias("n")).unionByName(before)
+             .groupBy("second").agg(F.sum("n").alias("n")))
+    ahead = cells.select("n", F.explode(F.sequence(F.col("second") + 1, F.col("second") + METER_SECONDS)).alias("second"))
+    sums = ahead.join(asked.select("second").distinct(), "second", "left_semi").groupBy("second").agg(F.sum("n").alias("n"))
+    rows = asked.join(sums, "second", "left").select(
+        "txn_id", (F.coalesce("n", F.lit(0)) / F.lit(float(METER_SECONDS))).alias("system_tps"))
+    last = cells.agg(F.max("second")).scalar()
+    return rows, cells.where(F.col("second") > last - METER_SECONDS)
+
+
+def run_ingress_meter(spark: SparkSession, decisions: DataFrame, path: str | None = None) -> DataFrame:
+    """ST10: the ingress rate as of each request, read before the request is counted; redelivered requests count once.
+
+    Between micro-batches the counts of the last 60 seconds are kept, at most one row per second.
+    """
+    root = path or shared_path(spark, "st10")
+
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        before = spark.read.schema(METER_STATE).parquet(f"{root}/state/{batch_id - 1}") if batch_id else spark.createDataFrame([], METER_STATE)
+        rows, after = meter_batch(batch, before)
+        after.write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
+        return rows
+
+    return drain(spark, dedup_decisions(decisions), "st10", METER_OUT, per_batch=per_batch, path=root)[0].drop("batch_id")
+
+
+def dedup_decisions(decisions: DataFrame, delay: int = CALLBACK_TTL) -> DataFrame:
+    """Requests without those delivered again within the watermark, in the same micro-batch or a later one."""
+    return watermarked(decisions, "decision_ts", delay).dropDuplicatesWithinWatermark(["txn_id"])
+
+
 # ------------------------------------------------------------- running amounts
 BANK_OUT = T.StructType([T.StructField("txn_id", T.LongType()), T.StructField("bank", T.StringType()),
                          T.StructField("amount_to_bank_avg_ratio", T.DoubleType())])
@@ -152,7 +211,7 @@ def bank_amount_batch(batch: DataFrame, before: DataFrame | None, block_size: in
     (bank, block of transactions) and running sums inside a block replace a running sum over a whole bank,
     so a bank with most of the traffic is spread over its blocks.
     """
-    a = (batch.where(F.col("txn_id").isNotNull()).select("txn_id", "bank", "amount").dropDuplicates(["txn_id"])
+    a = (batch.where(F.col("txn_id").isNotNull()).select("txn_id", "bank", "amount")
          .withColumn("block", block_of("txn_id", block_size)))
     blocks = a.groupBy("bank", "block").agg(F.sum("amount").alias("amount_sum"), F.count(F.lit(1)).alias("amount_count"))
     prefix = block_prefix(blocks, ["bank"], sums=["amount_sum", "amount_count"])
@@ -175,7 +234,7 @@ def run_bank_amount(spark: SparkSession, decisions: DataFrame, block_size: int,
     """ST9: per bank, the ratio of each amount to the mean of all earlier ones, read before it is added.
 
     Transactions count in the order of micro-batches, and by id inside one (the reference contract: the
-    accumulator is updated after the prediction).  Each micro-batch writes the totals after it beside its
+    accumulator is updated after the prediction).  A decision delivered again counts once.  Each micro-batch writes the totals after it beside its
     result, in a folder named by its id, and starts from those of the micro-batch before.
     """
     root = path or shared_path(spark, "st9")
@@ -189,7 +248,7 @@ def run_bank_amount(spark: SparkSession, decisions: DataFrame, block_size: int,
         totals.write.mode("overwrite").parquet(f"{root}/totals/{batch_id}")
         return rows
 
-    return drain(spark, decisions, "st9", BANK_OUT, per_batch=per_batch, path=root)[0].drop("batch_id")
+    return drain(spark, dedup_decisions(decisions), "st9", BANK_OUT, per_batch=per_batch, path=root)[0].drop("batch_id")
 
 
 # ------------------------------------------------------------- incident state
@@ -213,25 +272,20 @@ def incident_batch(cells: DataFrame, before: DataFrame | None, w: int = C.WINDOW
     The state has per route its next tick, its last flagged tick and the counts of its last ``w`` ticks.
     The flag raised at m affects m+1 onward.
     """
-    new = cells.groupBy("route_id").agg(F.min("tick").alias("lo"), F.max("tick").alias("hi"),
-                                        F.collect_list(F.struct("tick", "n", "k")).alias("cells"))
-    none = F.array().cast("array<struct<tick:bigint,n:bigint,k:bigint>>")
+    new = cells.groupBy("route_id").agg(F.min("tick").alias("lo"), F.max("tick").alias("hi"))
     if before is None:
-        routes = new.select("route_id", "lo", "hi", "cells", F.lit(None).cast("long").alias("last_flagged"))
+        routes = new.withColumn("last_flagged", F.lit(None).cast("long"))
     else:
-        old = before.select("route_id", F.col("next_tick").alias("o_next"), F.col("last_flagged").alias("o_flagged"),
-                            F.col("cells").alias("o_cells"))
+        old = before.select("route_id", F.col("next_tick").alias("o_next"), "last_flagged")
         routes = new.join(old, "route_id", "full").select(
-            "route_id", F.coalesce("o_next", "lo").alias("lo"), F.coalesce(F.col("hi"), F.col("o_next") - 1).alias("hi"),
-            F.concat(F.coalesce("cells", none), F.coalesce("o_cells", none)).alias("cells"),
-            F.col("o_flagged").alias("last_flagged"))
+            "route_id", F.coalesce("o_next", "lo").alias("lo"), F.coalesce(F.col("hi"), F.col("o_next") - 1).alias("hi"), "last_flagged")
+        cells = cells.select("route_id", "tick", "n", "k").unionByName(
+            before.select("route_id", F.explode("cells").alias("c")).select("route_id", "c.tick", "c.n", "c.k"))
     # one row per route and tick: the ticks to evaluate, and the w before them
-    spine = routes.select("route_id", "lo", "last_flagged", F.map_from_entries(F.transform(
-        "cells", lambda x: F.struct(x["tick"], F.struct(x["n"], x["k"])))).alias("at"),
-        F.explode(F.sequence(F.col("lo") - w, F.greatest("hi", F.col("lo") - 1))).alias("tick"))
-    own = F.col("at")[F.col("tick")]
-    spine = spine.select("route_id", "tick", "lo", "last_flagged", F.coalesce(own["n"], F.lit(0)).alias("n"),
-                         F.coalesce(own["k"], F.lit(0)).alias("k"))
+    spine = routes.select("route_id", "lo", "last_flagged", F.explode(
+        F.sequence(F.col("lo") - w, F.greatest("hi", F.col("lo") - 1))).alias("tick"))
+    spine = spine.join(cells.select("route_id", "tick", "n", "k"), ["route_id", "tick"], "left")
+    spine = spine.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "k")})
     prior = Window.partitionBy("route_id").orderBy("tick").rowsBetween(-w, -1)
     earlier = Window.partitionBy("route_id").orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
     n = F.sum("n").over(prior)

@@ -26,8 +26,12 @@ def drain(spark: SparkSession, stream: DataFrame, name: str, schema: T.StructTyp
     out = f"{root}/result"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if per_batch:   # it may read the batch more than once
+            batch = batch.persist()
         rows = per_batch(batch, batch_id, out) if per_batch else batch
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if per_batch:
+            batch.unpersist()
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())

@@ -1,56 +1,147 @@
-"""ST11/ST12: per micro-batch feature snapshot and routing decision.
+"""ST11/ST12: features from the streams' own state, routing decision by the saved model.
 
-Each micro-batch of requests is expanded to its eligible routes (broadcast
-equi-join), joined with the feature state keyed by (bank, route, network,
-tick), as of the start of the request tick, the engineered
-columns are derived, candidates are scored, and the argmax route is
-emitted with the full candidate array.
+Each micro-batch of arrivals is joined with the state of the micro-batch before it
+(:mod:`routewise.streaming.state`).  A request of tick m is expanded to its eligible routes and reads what
+had arrived before tick m; only then its own arrival counts.  The candidates are scored by a saved pipeline, the best
+one is written as a pending decision in a folder named by the micro-batch, and that table is itself a
+stream that outcomes close.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routewise import constants as C
-from routewise.operators.features import ROUTE_LIVE, WIDE_KEYS, FeatureState, add_engineered, route_fee
+from routewise.functions.exprs import day_in_week, flagged_down, hour_of_day
+from routewise.operators.features import add_engineered, route_capacity, route_fee, route_share
 from routewise.operators.policy import policy_argmax
+from routewise.streaming import state as ST
+from routewise.streaming.features import CALLBACK_TTL
+from routewise.streaming.runner import drain
+
+SNAPSHOT = ("txn_id", "tick", "route_order", *C.NUMERIC_FEATURES, *C.CATEGORICAL_FEATURES)
+
+
+def snapshot(requests: DataFrame, now: ST.Step, eligibility: DataFrame, baselines: DataFrame, prior: float | None,
+             late: int, tick_seconds: int) -> DataFrame:
+    """ST11: the 26 numeric + 7 categorical inputs for every (request x eligible route).
+
+    ``baselines`` are the frozen values that a deployment starts with, at most one row per route.
+    """
+    r = requests.select("txn_id", "tick", "amount", "bank", "network", "payment_method", "merchant", "device", "risk")
+    x = r.join(F.broadcast(eligibility), ["payment_method", "network"])
+    ticks = r.select("tick").distinct()
+    probes = r.select("tick", "bank", "network").distinct()
+    pairs = x.select(F.col("bank").alias("k1"), F.col("route_id").alias("k2"), "tick").distinct()
+    route_ticks = ticks.select(F.explode(F.array(*[F.lit(i) for i in C.ROUTE_IDS])).alias("k1"), "tick")
+    asked = (probes.select(F.lit("bank").alias("scope"), F.col("bank").alias("k1"), "tick")
+             .unionByName(probes.select(F.lit("network").alias("scope"), F.col("network").alias("k1"), "tick"))
+             .unionByName(route_ticks.select(F.lit("route").alias("scope"), "k1", "tick")).distinct())
+    active = ST.active_rates(now.cells, asked, late)
+
+    def rate(scope: str, key: str, name: str) -> DataFrame:
+        return active.where(F.col("scope") == scope).select(F.col("k1").alias(key), "tick", F.col("failure_rate").alias(name))
+
+    route = ST.clock_sums(now.cells, "route", now.low, now.high)
+    route = route.select(F.col("k1").alias("route_id"), "tick", F.when(F.col("n5") > 0, F.col("k5") / F.col("n5")).alias("route_success_rate_5m"),
+                         (F.col("k15") / F.col("n15")).alias("route_success_rate_15m"),
+                         F.when(F.col("n5") > 0, F.col("latency5") / F.col("n5")).alias("route_avg_latency_5m"))
+    down = ST.asof_max(now.flags.select("k1", "tick", F.col("tick").alias("value")), route_ticks, ["k1"], 1)
+    down = down.select(F.col("k1").alias("route_id"), "tick", F.col("last").alias("last_flagged"))
+    seen = now.cells.where("part = 'cell' and scope = 'bank_route' and k > 0").select(
+        "k1", "k2", (F.col("arrived") + 1).alias("tick"), F.col("tick").alias("value"))
+    seen = seen.unionByName(now.success.select("k1", "k2", "tick", F.col("tick").alias("value")))
+    success = ST.asof_max(seen, pairs, ["k1", "k2"], 0).select(
+        F.col("k1").alias("bank"), F.col("k2").alias("route_id"), "tick", F.col("last").alias("last_success"))
+    pair = ST.clock_sums(now.cells, "bank_route", now.low, now.high).select(
+        F.col("k1").alias("bank"), F.col("k2").alias("route_id"), "tick", F.col("n15").alias("bn"), F.col("k15").alias("bk"))
+    load = now.cells.where("part = 'cell' and scope = 'global'").groupBy((F.col("tick") + 1).alias("tick")).agg(F.sum("n").alias("load"))
+
+    x = (x.join(route, ["route_id", "tick"], "left").join(down, ["route_id", "tick"], "left")
+         .join(rate("route", "route_id", "route_failure_rate_1m"), ["route_id", "tick"], "left")
+         .join(rate("bank", "bank", "bank_failure_rate_5m"), ["bank", "tick"], "left")
+         .join(rate("network", "network", "network_failure_rate_5m"), ["network", "tick"], "left")
+         .join(pair, ["bank", "route_id", "tick"], "left").join(success, ["bank", "route_id", "tick"], "left")
+         .join(ST.amounts_before(now.cells, probes.select(F.col("bank").alias("k1"), "tick").distinct()), ["bank", "tick"], "left")
+         .join(load, "tick", "left").join(F.broadcast(baselines), "route_id", "left"))
+    since = lambda c: F.coalesce((F.col("tick") - F.col(c)).cast("double"), F.lit(C.NO_EVENT_SENTINEL))
+    base = F.coalesce("route_base_success_rate", F.lit(prior).cast("double"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    x = x.withColumns({
+        "day_in_week": day_in_week(F.col("tick"), tick_seconds), "hour_of_day": hour_of_day(F.col("tick"), tick_seconds),
+        "route_cost_percent": route_fee(F.col("route_id")), "route_flagged_down": flagged_down(F.col("route_success_rate_5m")),
+        "time_since_last_failure": since("last_flagged"), "time_since_last_bank_route_success": since("last_success"),
+        "system_tps": count("load") / F.lit(float(tick_seconds)),
+        "bank_route_success_rate_15m": (count("bk") + C.BANK_ROUTE_SHRINK_K * base) / (count("bn") + C.BANK_ROUTE_SHRINK_K),
+        "amount_to_bank_avg_ratio": F.when(F.col("bank_avg_amount") > 0, F.col("amount") / F.col("bank_avg_amount"))})
+    x = x.withColumn("route_utilization", F.col("system_tps") * route_share(F.col("route_id")) / route_capacity(F.col("route_id")))
+    return add_engineered(x).select(*SNAPSHOT)
+
+
+def serve(spark: SparkSession, arrivals: DataFrame, eligibility: DataFrame, baselines: DataFrame, prior: float | None,
+          tick_seconds: int, path: str, answer: Callable[[DataFrame, ST.Step, DataFrame], DataFrame] | None = None,
+          ttl_ticks: int = ST.BUCKET_TTL_TICKS, delay: int = CALLBACK_TTL) -> DataFrame:
+    """Answer every micro-batch of arrivals from the state before it; the rows of all answers with ``batch_id``.
+
+    ``answer`` makes a micro-batch's rows of its requests, the state and their snapshot (the snapshot itself by
+    default).  Under ``path`` lie result and state, one folder per micro-batch, and the checkpoint: called again with
+    the same path, serving goes on where it ended.  Redelivered events are removed by the stream within ``delay``.
+    """
+    late = ST.late_ticks(delay, tick_seconds)
+    events = arrivals.withWatermark("arrival_ts", f"{delay} seconds").dropDuplicatesWithinWatermark(["kind", "txn_id"])
+    held: list[DataFrame] = []
+
+    def rows_of(batch: DataFrame, now: ST.Step) -> DataFrame:
+        requests = batch.where("kind = 'request'")
+        shot = snapshot(requests, now, eligibility, baselines, prior, late, tick_seconds)
+        return answer(requests, now, shot) if answer else shot
+
+    nothing = spark.createDataFrame([], events.schema)
+    none = ST.read_state(spark, path, 0)
+    schema = rows_of(nothing, ST.step(none, nothing, 0, 0, None, late, ttl_ticks)).schema
+
+    def per_batch(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+        while held:    # of the micro-batch before
+            held.pop().unpersist()
+        before = ST.read_state(spark, path, batch_id)
+        low, high = batch.agg(F.min(F.when(F.col("kind") == "request", F.col("tick"))), F.max("arrived")).first()
+        clock = before.where("part = 'clock'").agg(F.max("tick")).first()[0]
+        if high is None:    # nothing arrived: the state stays as it is
+            before.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+            return spark.createDataFrame([], schema)
+        high = max(high, clock) if clock is not None else high
+        now = ST.step(before, batch, low if low is not None else high, high, clock, late, ttl_ticks)
+        now.cells.persist()
+        held.append(now.cells)
+        now.after.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+        ST.drop_state(spark, path, batch_id - 2)
+        return rows_of(batch, now)
+
+    return drain(spark, events, "serve", schema, per_batch=per_batch, path=path)[0]
+
+
+def decide(model, calibrator) -> Callable[[DataFrame, ST.Step, DataFrame], DataFrame]:
+    """ST12: the pending decision of every request, by the calibrated score (ties: raw score, then route order)."""
+    from routewise.operators.learn import score
+
+    def answer(requests: DataFrame, now: ST.Step, shot: DataFrame) -> DataFrame:
+        scored = score(model, calibrator, shot)
+        best = policy_argmax(scored, "p", "raw_p")
+        listed = scored.groupBy("txn_id").agg(F.sort_array(F.collect_list(F.struct(
+            "route_id", F.col("p").alias("predicted_success_probability")))).alias("candidates"))
+        asked = requests.select("txn_id", F.col("arrival_ts").alias("decision_ts"), "bank", "network")
+        return asked.join(best, "txn_id").join(listed, "txn_id").select(
+            "txn_id", "decision_ts", "bank", "network", "route_id", F.col("p").alias("chosen_p"), "candidates")
+
+    return answer
+
+
+PENDING = "txn_id long, decision_ts timestamp, bank string, network string, route_id string, chosen_p double"
 
 
-def bank_amount_asof(state: FeatureState) -> DataFrame:
-    """(bank, tick) -> mean amount of the bank's requests at earlier ticks (as of the tick start)."""
-    b = state.cells.where(F.col("scope") == "bank").select("bank", "tick", "amount_sum", "request_count")
-    w = Window.partitionBy("bank").orderBy("tick").rangeBetween(Window.unboundedPreceding, -1)
-    s, n = F.sum("amount_sum").over(w), F.sum("request_count").over(w)
-    return b.select("bank", "tick", F.when(n > 0, s / n).alias("bank_avg_amount"))
-
-
-def feature_snapshot(requests: DataFrame, state: FeatureState, eligibility: DataFrame,
-                     bank_avg: DataFrame, tick_seconds: int = 3600) -> DataFrame:
-    """ST11: the 26 numeric + 7 categorical inputs for every (request x eligible route)."""
-    from routewise.functions.exprs import day_in_week, hour_of_day
-    r = requests.select("txn_id", "tick", "amount", "bank", "network", "payment_method", "merchant", "device",
-                        "risk", F.col("route_id").alias("actual_route_id"))
-    live = state.wide.select(*WIDE_KEYS, *ROUTE_LIVE, "route_failure_rate_1m", "bank_route_success_rate_15m",
-                             "bank_failure_rate_5m", "network_failure_rate_5m",
-                             F.col("asof_time_since_last_bank_route_success").alias("time_since_last_bank_route_success"))
-    x = (r.join(F.broadcast(eligibility), ["payment_method", "network"])
-         .join(live, list(WIDE_KEYS), "left")
-         .join(bank_avg, ["bank", "tick"], "left")
-         .join(F.broadcast(state.baselines), "route_id", "left"))
-    x = x.select("*", day_in_week(F.col("tick"), tick_seconds).alias("day_in_week"),
-                 hour_of_day(F.col("tick"), tick_seconds).alias("hour_of_day"),
-                 route_fee(F.col("route_id")).alias("route_cost_percent"),
-                 F.when(F.col("bank_avg_amount") > 0, F.col("amount") / F.col("bank_avg_amount"))
-                 .alias("amount_to_bank_avg_ratio"))
-    return add_engineered(x).select("txn_id", "tick", "route_order", *C.NUMERIC_FEATURES, *C.CATEGORICAL_FEATURES)
-
-
-def route_decisions(snapshot: DataFrame, score: str = "bank_route_success_rate_15m") -> DataFrame:
-    """ST12: chosen route per request plus the scored candidate array (sorted by route)."""
-    c = snapshot.withColumn("p", F.col(score))
-    best = policy_argmax(c)
-    arr = c.groupBy("txn_id").agg(F.sort_array(F.collect_list(F.struct(
-        "route_id", F.col("p").alias("predicted_success_probability")))).alias("candidates"))
-    return best.join(arr, "txn_id").select("txn_id", F.col("route_id").alias("chosen_route_id"),
-                                           F.col("p").alias("chosen_p"), "candidates")
+def read_pending(spark: SparkSession, path: str) -> DataFrame:
+    """The pending decisions under a serving path as a stream, in the order of the micro-batches."""
+    return spark.readStream.schema(PENDING).parquet(f"{path}/result/batch_id=*")

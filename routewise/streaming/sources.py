@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from routewise.sources.bindings import EPOCH_2024
 from routewise.sources.sinks import shared_path
 
 DECISION_SCHEMA = T.StructType([
@@ -30,6 +31,14 @@ OUTCOME_SCHEMA = T.StructType([
     T.StructField("route_id", T.StringType()), T.StructField("success", T.IntegerType()),
     T.StructField("latency_ms", T.DoubleType()),
 ])
+#: Requests and outcomes as one stream, in the order of delivery (``slice``).
+ARRIVAL_SCHEMA = T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("arrival_ts", T.TimestampType()), T.StructField("arrived", T.LongType()),
+    *[f for f in DECISION_SCHEMA if f.name != "decision_ts"],
+    T.StructField("success", T.IntegerType()), T.StructField("latency_ms", T.DoubleType()), T.StructField("slice", T.LongType()),
+])
+#: Seconds after which the callbacks that are delivered twice come again.
+REDELIVERY = 1800
 
 
 def decisions(attempts_ts: DataFrame, gaps: bool = False) -> DataFrame:
@@ -92,3 +101,43 @@ def read_decisions(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
 
 def read_outcomes(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     return spark.readStream.schema(OUTCOME_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def arrivals(attempts_ts: DataFrame, tick_seconds: int, slice_seconds: int) -> DataFrame:
+    """Requests and outcomes with the tick of their arrival; every txn_id % 10 = 0 outcome comes again later."""
+    since = lambda ts: F.unix_seconds(ts) - F.lit(EPOCH_2024)
+    common = [f.name for f in DECISION_SCHEMA if f.name != "decision_ts"]
+    request = attempts_ts.select(F.lit("request").alias("kind"), F.col("ts").alias("arrival_ts"), *common,
+                                 F.lit(None).cast("int").alias("success"), F.lit(None).cast("double").alias("latency_ms"),
+                                 F.lit(0).alias("again"))
+    done = F.col("ts") + F.make_dt_interval(mins=F.col("latency_ms").cast("int"))
+    times = F.when(F.col("txn_id") % 10 == 0, F.array(F.lit(0), F.lit(REDELIVERY))).otherwise(F.array(F.lit(0)))
+    outcome = attempts_ts.select(F.lit("outcome").alias("kind"), done.alias("arrival_ts"), *common, "success", "latency_ms",
+                                 F.explode(times).alias("again"))
+    x = request.unionByName(outcome)
+    return x.select("kind", "arrival_ts", F.floor(since(F.col("arrival_ts")) / tick_seconds).cast("long").alias("arrived"), *common,
+                    "success", "latency_ms", F.floor((since(F.col("arrival_ts")) + F.col("again")) / slice_seconds).cast("long").alias("slice"))
+
+
+def write_slices(df: DataFrame, path: str) -> str:
+    """Write a replay source with one file per ``slice``, taken in the order of the slices.
+
+    A live deployment reads the event bus instead.  The file source takes files by modification time, so
+    these are set in that order (one call per file).
+    """
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(path)
+    parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("slice=")]
+    parts.sort(key=lambda p: int(p.getName().split("=")[1]))
+    start = fs.getFileStatus(folder).getModificationTime()
+    for i, part in enumerate(parts):
+        for f in fs.listStatus(part):
+            fs.setTimes(f.getPath(), start - 1000 * (len(parts) - i), -1)
+    return path
+
+
+def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """One slice per micro-batch."""
+    return spark.readStream.schema(ARRIVAL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
