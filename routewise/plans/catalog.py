@@ -1295,8 +1295,8 @@ def q_stream_close(c: Ctx) -> DataFrame:
     return res.select("txn_id", "closed", "route_id")
 
 
-#: Seconds of arrivals per micro-batch of the serving queries: 12 of them in the events' 30 days.
-SLICE = 60 * 3600
+#: Seconds of arrivals per micro-batch of the serving queries: 6 or 7 of them in the events' 30 days.
+SLICE = 120 * 3600
 
 _ARRIVALS_SQL = f"""
 , came AS (SELECT 'outcome' AS kind, txn_id, tick, bank, network, route_id, success, latency_ms, ts + to_minutes(CAST(latency_ms AS INT)) AS came_at FROM attempts
@@ -1385,7 +1385,7 @@ def serving(c: Ctx, answer=None, path: str | None = None, slice_seconds: int = S
 @register("stream_bucket_ttl", _TTL_SQL)
 def q_stream_bucket_ttl(c: Ctx) -> DataFrame:
     """ST2: the buckets that leave the state, with the micro-batch in which they do (30 ticks after their last arrival)."""
-    return serving(c, lambda requests, now, shot: now.evicted)
+    return serving(c, lambda requests, state, shot: state.where("part = 'evicted'").select("scope", "k1", "k2", "tick"))
 
 
 @register("stream_feature_snapshot", _SNAPSHOT_SQL)

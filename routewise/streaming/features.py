@@ -175,13 +175,13 @@ def meter_batch(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFra
     rows = asked.join(sums, "second", "left").select(
         "txn_id", (F.coalesce("n", F.lit(0)) / F.lit(float(METER_SECONDS))).alias("system_tps"))
     last = cells.agg(F.max("second")).scalar()
-    return rows, cells.where(F.col("second") > last - METER_SECONDS)
+    return rows, cells.where(F.col("second") >= last - METER_SECONDS)   # a later request may fall into the last second
 
 
 def run_ingress_meter(spark: SparkSession, decisions: DataFrame, path: str | None = None) -> DataFrame:
     """ST10: the ingress rate as of each request, read before the request is counted; redelivered requests count once.
 
-    Between micro-batches the counts of the last 60 seconds are kept, at most one row per second.
+    Between micro-batches the counts of the last 61 seconds are kept, one row per second.
     """
     root = path or shared_path(spark, "st10")
 

@@ -25,109 +25,88 @@ from routewise.streaming.runner import drain
 SNAPSHOT = ("txn_id", "tick", "route_order", *C.NUMERIC_FEATURES, *C.CATEGORICAL_FEATURES)
 
 
-def snapshot(requests: DataFrame, now: ST.Step, eligibility: DataFrame, baselines: DataFrame, prior: float | None,
-             late: int, tick_seconds: int) -> DataFrame:
+def snapshot(requests: DataFrame, state: DataFrame, eligibility: DataFrame, baselines: DataFrame, prior: float | None,
+             tick_seconds: int) -> DataFrame:
     """ST11: the 26 numeric + 7 categorical inputs for every (request x eligible route).
 
-    ``baselines`` are the frozen values that a deployment starts with, at most one row per route.
+    ``state`` holds the answers to the requests' probes.  ``baselines`` are the frozen values that a deployment
+    starts with, at most one row per route.
     """
-    r = requests.select("txn_id", "tick", "amount", "bank", "network", "payment_method", "merchant", "device", "risk")
-    x = r.join(F.broadcast(eligibility), ["payment_method", "network"])
-    ticks = r.select("tick").distinct()
-    probes = r.select("tick", "bank", "network").distinct()
-    pairs = x.select(F.col("bank").alias("k1"), F.col("route_id").alias("k2"), "tick").distinct()
-    route_ticks = ticks.select(F.explode(F.array(*[F.lit(i) for i in C.ROUTE_IDS])).alias("k1"), "tick")
-    asked = (probes.select(F.lit("bank").alias("scope"), F.col("bank").alias("k1"), "tick")
-             .unionByName(probes.select(F.lit("network").alias("scope"), F.col("network").alias("k1"), "tick"))
-             .unionByName(route_ticks.select(F.lit("route").alias("scope"), "k1", "tick")).distinct())
-    active = ST.active_rates(now.cells, asked, late)
-
-    def rate(scope: str, key: str, name: str) -> DataFrame:
-        return active.where(F.col("scope") == scope).select(F.col("k1").alias(key), "tick", F.col("failure_rate").alias(name))
-
-    route = ST.clock_sums(now.cells, "route", now.low, now.high)
-    route = route.select(F.col("k1").alias("route_id"), "tick", F.when(F.col("n5") > 0, F.col("k5") / F.col("n5")).alias("route_success_rate_5m"),
-                         (F.col("k15") / F.col("n15")).alias("route_success_rate_15m"),
-                         F.when(F.col("n5") > 0, F.col("latency5") / F.col("n5")).alias("route_avg_latency_5m"))
-    down = ST.asof_max(now.flags.select("k1", "tick", F.col("tick").alias("value")), route_ticks, ["k1"], 1)
-    down = down.select(F.col("k1").alias("route_id"), "tick", F.col("last").alias("last_flagged"))
-    seen = now.cells.where("part = 'cell' and scope = 'bank_route' and k > 0").select(
-        "k1", "k2", (F.col("arrived") + 1).alias("tick"), F.col("tick").alias("value"))
-    seen = seen.unionByName(now.success.select("k1", "k2", "tick", F.col("tick").alias("value")))
-    success = ST.asof_max(seen, pairs, ["k1", "k2"], 0).select(
-        F.col("k1").alias("bank"), F.col("k2").alias("route_id"), "tick", F.col("last").alias("last_success"))
-    pair = ST.clock_sums(now.cells, "bank_route", now.low, now.high).select(
-        F.col("k1").alias("bank"), F.col("k2").alias("route_id"), "tick", F.col("n15").alias("bn"), F.col("k15").alias("bk"))
-    load = now.cells.where("part = 'cell' and scope = 'global'").groupBy((F.col("tick") + 1).alias("tick")).agg(F.sum("n").alias("load"))
-
-    x = (x.join(route, ["route_id", "tick"], "left").join(down, ["route_id", "tick"], "left")
-         .join(rate("route", "route_id", "route_failure_rate_1m"), ["route_id", "tick"], "left")
-         .join(rate("bank", "bank", "bank_failure_rate_5m"), ["bank", "tick"], "left")
-         .join(rate("network", "network", "network_failure_rate_5m"), ["network", "tick"], "left")
-         .join(pair, ["bank", "route_id", "tick"], "left").join(success, ["bank", "route_id", "tick"], "left")
-         .join(ST.amounts_before(now.cells, probes.select(F.col("bank").alias("k1"), "tick").distinct()), ["bank", "tick"], "left")
-         .join(load, "tick", "left").join(F.broadcast(baselines), "route_id", "left"))
-    since = lambda c: F.coalesce((F.col("tick") - F.col(c)).cast("double"), F.lit(C.NO_EVENT_SENTINEL))
-    base = F.coalesce("route_base_success_rate", F.lit(prior).cast("double"))
-    count = lambda c: F.coalesce(F.col(c), F.lit(0))
+    def answers(scope: str, keys: dict[str, str], **columns: str) -> DataFrame:
+        return state.where((F.col("part") == "answer") & (F.col("scope") == scope)).select(
+            *[F.col(k).alias(name) for k, name in keys.items()], "tick", *[F.col(c).alias(name) for name, c in columns.items()])
+
+    x = requests.select("txn_id", "tick", "amount", "bank", "network", "payment_method", "merchant", "device", "risk")
+    x = x.join(F.broadcast(eligibility), ["payment_method", "network"])
+    x = x.join(answers("route", {"k1": "route_id"}, n5="n5", k5="k5", l5="latency5", n15="n15", k15="k15", flagged="last",
+                       route_failure_rate_1m="active_rate"), ["route_id", "tick"], "left")
+    x = x.join(answers("bank", {"k1": "bank"}, bank_failure_rate_5m="active_rate", mean="mean"), ["bank", "tick"], "left")
+    x = x.join(answers("network", {"k1": "network"}, network_failure_rate_5m="active_rate"), ["network", "tick"], "left")
+    x = x.join(answers("bank_route", {"k1": "bank", "k2": "route_id"}, bn="n15", bk="k15", success_tick="last"),
+               ["bank", "route_id", "tick"], "left")
+    x = x.join(answers("global", {}, load="n5"), "tick", "left").join(F.broadcast(baselines), "route_id", "left")
+    c = F.col
+    rate = lambda k, n: F.when(c(n) > 0, c(k) / c(n))
+    since = lambda at: F.coalesce(c("tick") - c(at), F.lit(C.NO_EVENT_SENTINEL))
+    count = lambda n: F.coalesce(c(n), F.lit(0.0))
+    base, tps = F.coalesce("route_base_success_rate", F.lit(prior).cast("double")), count("load") / F.lit(float(tick_seconds))
     x = x.withColumns({
-        "day_in_week": day_in_week(F.col("tick"), tick_seconds), "hour_of_day": hour_of_day(F.col("tick"), tick_seconds),
-        "route_cost_percent": route_fee(F.col("route_id")), "route_flagged_down": flagged_down(F.col("route_success_rate_5m")),
-        "time_since_last_failure": since("last_flagged"), "time_since_last_bank_route_success": since("last_success"),
-        "system_tps": count("load") / F.lit(float(tick_seconds)),
+        "day_in_week": day_in_week(c("tick"), tick_seconds), "hour_of_day": hour_of_day(c("tick"), tick_seconds),
+        "route_cost_percent": route_fee(c("route_id")), "route_success_rate_5m": rate("k5", "n5"),
+        "route_success_rate_15m": rate("k15", "n15"), "route_avg_latency_5m": rate("l5", "n5"), "route_flagged_down": flagged_down(rate("k5", "n5")),
+        "time_since_last_failure": since("flagged"), "time_since_last_bank_route_success": since("success_tick"), "system_tps": tps,
+        "route_utilization": tps * route_share(c("route_id")) / route_capacity(c("route_id")),
         "bank_route_success_rate_15m": (count("bk") + C.BANK_ROUTE_SHRINK_K * base) / (count("bn") + C.BANK_ROUTE_SHRINK_K),
-        "amount_to_bank_avg_ratio": F.when(F.col("bank_avg_amount") > 0, F.col("amount") / F.col("bank_avg_amount"))})
-    x = x.withColumn("route_utilization", F.col("system_tps") * route_share(F.col("route_id")) / route_capacity(F.col("route_id")))
+        "amount_to_bank_avg_ratio": F.when(c("mean") > 0, c("amount") / c("mean"))})
     return add_engineered(x).select(*SNAPSHOT)
 
 
+Answer = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
 def serve(spark: SparkSession, arrivals: DataFrame, eligibility: DataFrame, baselines: DataFrame, prior: float | None,
-          tick_seconds: int, path: str, answer: Callable[[DataFrame, ST.Step, DataFrame], DataFrame] | None = None,
-          ttl_ticks: int = ST.BUCKET_TTL_TICKS, delay: int = CALLBACK_TTL) -> DataFrame:
+          tick_seconds: int, path: str, answer: Answer | None = None, ttl_ticks: int = ST.BUCKET_TTL_TICKS,
+          delay: int = CALLBACK_TTL) -> DataFrame:
     """Answer every micro-batch of arrivals from the state before it; the rows of all answers with ``batch_id``.
 
-    ``answer`` makes a micro-batch's rows of its requests, the state and their snapshot (the snapshot itself by
+    ``answer`` makes a micro-batch's rows of its requests, the state table and their snapshot (the snapshot itself by
     default).  Under ``path`` lie result and state, one folder per micro-batch, and the checkpoint: called again with
     the same path, serving goes on where it ended.  Redelivered events are removed by the stream within ``delay``.
     """
     late = ST.late_ticks(delay, tick_seconds)
     events = arrivals.withWatermark("arrival_ts", f"{delay} seconds").dropDuplicatesWithinWatermark(["kind", "txn_id"])
-    held: list[DataFrame] = []
+    routes = list(C.ROUTE_IDS)
 
-    def rows_of(batch: DataFrame, now: ST.Step) -> DataFrame:
+    def rows_of(batch: DataFrame, state: DataFrame) -> DataFrame:
         requests = batch.where("kind = 'request'")
-        shot = snapshot(requests, now, eligibility, baselines, prior, late, tick_seconds)
-        return answer(requests, now, shot) if answer else shot
+        shot = snapshot(requests, state, eligibility, baselines, prior, tick_seconds)
+        return answer(requests, state, shot) if answer else shot
 
-    nothing = spark.createDataFrame([], events.schema)
-    none = ST.read_state(spark, path, 0)
-    schema = rows_of(nothing, ST.step(none, nothing, 0, 0, None, late, ttl_ticks)).schema
+    schema = rows_of(spark.createDataFrame([], events.schema), ST.read_state(spark, path, -1)).schema
 
     def per_batch(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
-        while held:    # of the micro-batch before
-            held.pop().unpersist()
-        before = ST.read_state(spark, path, batch_id)
-        low, high = batch.agg(F.min(F.when(F.col("kind") == "request", F.col("tick"))), F.max("arrived")).first()
-        clock = before.where("part = 'clock'").agg(F.max("tick")).first()[0]
+        own = batch.sparkSession
+        before = ST.read_state(own, path, batch_id - 1)
+        clock = before.where("part = 'clock'").select("tick").first()
+        clock = clock["tick"] if clock else None
+        high = batch.agg(F.max("arrived")).first()[0]
         if high is None:    # nothing arrived: the state stays as it is
-            before.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+            before.where("part not in ('answer', 'evicted')").write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
             return spark.createDataFrame([], schema)
         high = max(high, clock) if clock is not None else high
-        now = ST.step(before, batch, low if low is not None else high, high, clock, late, ttl_ticks)
-        now.cells.persist()
-        held.append(now.cells)
-        now.after.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
+        after = ST.advanced(before if clock is not None else None, clock, batch, routes, high, late, ttl_ticks)
+        after.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
         ST.drop_state(spark, path, batch_id - 2)
-        return rows_of(batch, now)
+        return rows_of(batch, ST.read_state(own, path, batch_id))
 
     return drain(spark, events, "serve", schema, per_batch=per_batch, path=path)[0]
 
 
-def decide(model, calibrator) -> Callable[[DataFrame, ST.Step, DataFrame], DataFrame]:
+def decide(model, calibrator) -> Answer:
     """ST12: the pending decision of every request, by the calibrated score (ties: raw score, then route order)."""
     from routewise.operators.learn import score
 
-    def answer(requests: DataFrame, now: ST.Step, shot: DataFrame) -> DataFrame:
+    def answer(requests: DataFrame, state: DataFrame, shot: DataFrame) -> DataFrame:
         scored = score(model, calibrator, shot)
         best = policy_argmax(scored, "p", "raw_p")
         listed = scored.groupBy("txn_id").agg(F.sort_array(F.collect_list(F.struct(
