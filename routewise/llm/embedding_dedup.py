@@ -1,11 +1,14 @@
 """Near-duplicate embeddings: a navigable small-world graph per shard, every shard queried.
 
 Equal vectors of a label are one class with a count.  The classes of a label (and vector length) are
-dealt by a hash into shards of about ``SHARD``, each indexed by a graph that is written to the shared
-folder.  Every class queries every shard of its label, in blocks of about ``QUERIES``.  A query keeps all
-it meets of at least the asked similarity, however many.  In each task an audit compares queries with
-brute force over the shard; until its recall reaches ``AUDIT_RECALL``, beams and starting points double
-and all queries of the task run again (once every vector is a starting point, a beam misses nothing).
+dealt by a hash into shards, each indexed by a graph that is written to the shared folder.  Shards grow with
+the label up to what a task's memory holds, so their number, and with it the work, hardly does.  Every class
+queries every shard of its label, in blocks.  A query keeps all it meets of at least the asked similarity, however
+many.  In each task an audit draws queries at random, without looking at what they found, and compares them with
+brute force over the shard until AUDIT of them have a true link to another vector, or all are drawn.  The mean
+share of a query's links that was found must reach ``AUDIT_RECALL``, so that queries with one link count as much as
+those with thousands; until then beams and starting points grow and all queries of the task run again (once
+every vector is a starting point, a beam misses nothing).
 Found pairs are verified in double precision.  A task gives, per query, the number of vectors linked and
 its root in a local union of the found links, so pairs inside a group are never listed; components of
 those rows follow.
@@ -29,9 +32,13 @@ from routewise.llm.hnsw import Hnsw
 from routewise.sources.tables import read_table
 
 COSINE = 0.93
-SHARD, QUERIES = 8192, 2048
-BEAM = 32
-AUDIT, AUDIT_RECALL = 128, 0.99
+#: A label has one shard up to SHARD vectors, then at most SHARDS, until a shard's vectors fill SHARD_BYTES.
+SHARD, SHARDS, SHARD_BYTES = 8192, 16, 1 << 26
+#: Blocks of queries have at least QUERIES vectors, and a quarter of a shard's.
+QUERIES = 2048
+BEAM = 24
+#: Queries with links that an audit compares at least, the recall it asks for, and the queries it compares at a time.
+AUDIT, AUDIT_RECALL, AUDIT_STEP = 128, 0.99, 256
 #: Below the limit by which single precision may misjudge a pair; verified in double precision afterwards.
 SLACK = 1e-4
 
@@ -53,21 +60,32 @@ def build_shard(rows: pd.DataFrame) -> pd.DataFrame:
         "counts": [rows["copies"].to_numpy(np.int64).tobytes()], "vectors": [x.tobytes()]})
 
 
-def audited(graph: Hnsw, x: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[list[np.ndarray], int]:
-    """Members of at least ``cosine`` for each query, and the beam's width that passed the audit."""
+def recall(found: list[np.ndarray], own: np.ndarray, x: np.ndarray, queries: np.ndarray, cosine: float) -> float:
+    """Mean share of its links that a query found, over random queries with links; ``own`` is a query's place in x, or -1."""
+    order = np.random.default_rng(1).permutation(len(queries))
+    shares: list[float] = []
+    for at in range(0, len(order), AUDIT_STEP):
+        sample = order[at:at + AUDIT_STEP]
+        true = queries[sample] @ x.T >= cosine
+        inside = np.flatnonzero(own[sample] >= 0)
+        true[inside, own[sample][inside]] = False
+        for row, i in zip(true, sample.tolist()):
+            if n := np.count_nonzero(row):
+                shares.append(np.count_nonzero(row[found[i]]) / n)
+        if len(shares) >= AUDIT:
+            break
+    return float(np.mean(shares)) if shares else 1.0
+
+
+def audited(graph: Hnsw, x: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float) -> tuple[list[np.ndarray], int]:
+    """Members other than itself of at least ``cosine`` for each query, and the beam's width that passed the audit."""
     width, starts, n = BEAM, 1, len(x)
-    rng = np.random.default_rng(1)
-    singles = queries.astype(np.float32)
     while True:
         found = []
-        for q, exact in zip(singles, queries):
-            ids = graph.search(q, width, cosine - SLACK, starts)
+        for i, (ids, exact) in enumerate(zip(graph.search(queries, width, cosine - SLACK, starts), queries)):
+            ids = ids[ids != own[i]]
             found.append(ids[x[ids] @ exact >= cosine])
-        linked = np.flatnonzero([len(f) > 1 for f in found])
-        sample = np.unique(np.concatenate([rng.permutation(len(queries))[:AUDIT // 2], rng.permutation(linked)[:AUDIT // 2]])).astype(int)
-        true = (queries[sample] @ x.T >= cosine).sum()
-        got = sum(len(found[i]) for i in sample)
-        if got >= AUDIT_RECALL * true or starts >= n:
+        if starts >= n or recall(found, own, x, queries, cosine) >= AUDIT_RECALL:
             return found, width
         width, starts = min(2 * width, n), min(8 * starts, n)
 
@@ -81,8 +99,9 @@ def query_block(key, graphs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     members, counts = np.frombuffer(g["nodes"], np.int64), np.frombuffer(g["counts"], np.int64)
     x = np.frombuffer(g["vectors"], np.float64).reshape(len(members), -1)
     nodes = rows["node"].to_numpy(np.int64)
-    found, _ = audited(Hnsw.from_bytes(g["graph"]), x, unit(rows["embedding"]), COSINE)
-    found = [f[members[f] != node] for f, node in zip(found, nodes)]
+    place = np.minimum(np.searchsorted(members, nodes), len(members) - 1)
+    own = np.where(members[place] == nodes, place, -1)
+    found, _ = audited(Hnsw.from_bytes(g["graph"]), x, unit(rows["embedding"]), own, COSINE)
     everyone = np.unique(np.concatenate([members, nodes]))
     of_member, of_query = np.searchsorted(everyone, members), np.searchsorted(everyone, nodes)
     root, changed = np.arange(len(everyone)), True
@@ -117,8 +136,10 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     classes = written(firsts.select("label", "key", "dim", F.col("first.vec_id").alias("node"),
                                     F.col("first.embedding").alias("embedding"), "copies"), "classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sizes = sizes.select("label", "dim", F.ceil(F.col("n") / SHARD).cast("int").alias("n_shards"),
-                         F.ceil(F.col("n") / QUERIES).cast("int").alias("n_blocks"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim"))))
+    shard = F.least(F.greatest(F.lit(SHARD), F.ceil(F.col("n") / SHARDS)), most)
+    sizes = sizes.select("label", "dim", F.ceil(F.col("n") / shard).cast("int").alias("n_shards"),
+                         F.ceil(F.col("n") / F.greatest(F.lit(QUERIES), F.floor(shard / 4))).cast("int").alias("n_blocks"))
     dealt = classes.join(sizes, ["label", "dim"]).withColumns({
         "shard": F.pmod(F.xxhash64("node", F.lit(1)), "n_shards").cast("int"),
         "block": F.pmod(F.xxhash64("node", F.lit(2)), "n_blocks").cast("int")})

@@ -1,4 +1,9 @@
-"""A hierarchical navigable small-world graph over the vectors of one shard."""
+"""A hierarchical navigable small-world graph over the vectors of one shard.
+
+Beams of many queries advance together: a round expands the new members of all beams, so its cost is a few
+array operations however many queries take part.  Vectors are inserted in batches in the same way; the members
+of a batch see the graph before them and each other.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,14 @@ import io
 
 import numpy as np
 
-M = 16
-BUILD_BEAM = 48
+M = 8
+BUILD_BEAM = 24
 #: Links per node on the lowest level and above it; lists are pruned back to these when they are full.
-ROOM, KEPT = (48, 24), (32, 16)
+ROOM, KEPT = (24, 16), (16, 8)
+#: Queries whose beams advance together, and vectors inserted together.
+TOGETHER = 256
+#: Nearest vectors of its own batch that an inserted one considers.
+PEERS = 16
 
 
 class Hnsw:
@@ -18,11 +27,10 @@ class Hnsw:
     def __init__(self, vectors: np.ndarray, links: list[np.ndarray] | None = None, entry: int = 0):
         self.x = np.ascontiguousarray(vectors, np.float32)
         self.links, self.entry = links if links is not None else [], entry
-        self.seen, self.turn = np.zeros(len(self.x), np.int64), 0
 
     @classmethod
     def build(cls, vectors: np.ndarray, seed: int = 5) -> Hnsw:
-        """Insert the vectors one after another, in a fixed shuffled order, so that runs of copies do not come first."""
+        """Insert the vectors in a fixed shuffled order, so that runs of copies do not come first, in batches no larger than the graph."""
         graph = cls(vectors)
         n = len(graph.x)
         rng = np.random.default_rng(seed)
@@ -30,36 +38,59 @@ class Hnsw:
         order = rng.permutation(n)
         graph.links = [np.full((n, ROOM[min(1, k)]), -1, np.int32) for k in range(int(level.max(initial=0)) + 1)]
         graph.used = [np.zeros(n, np.int32) for _ in graph.links]
-        top = -1
-        for i in order.tolist():
-            graph._insert(i, int(level[i]), top)
-            if level[i] > top:
-                graph.entry, top = i, int(level[i])
+        at, top = 0, -1
+        while at < n:
+            batch = order[at:at + max(16, min(TOGETHER, at))]
+            graph._insert(batch, level[batch], top)
+            best = batch[np.argmax(level[batch])]
+            if level[best] > top:
+                graph.entry, top = int(best), int(level[best])
+            at += len(batch)
         return graph
 
-    def _insert(self, i: int, level: int, top: int) -> None:
-        if top < 0:
+    def _insert(self, batch: np.ndarray, level: np.ndarray, top: int) -> None:
+        q, n = self.x[batch], len(batch)
+        among = q @ q.T
+        np.fill_diagonal(among, -2.0)
+        owner, ids = np.arange(n), np.full(n, self.entry)
+        for k in range(max(top, int(level.max())), -1, -1):
+            stays = level >= k
+            found = None
+            if k <= top:
+                width = np.where(stays, BUILD_BEAM, 1)
+                owner, ids, sims = self.beams(q, owner, ids, width, k)
+                found = np.searchsorted(owner, np.arange(n + 1))
+            members = np.flatnonzero(stays)
+            chosen = []
+            for i in members.tolist():
+                peers = members[np.argpartition(-among[i, members], min(PEERS, len(members)) - 1)[:PEERS]]
+                peers = peers[among[i, peers] > -2.0]
+                near, to = batch[peers], among[i, peers]
+                if found is not None:
+                    near = np.concatenate([ids[found[i]:found[i + 1]], near])
+                    to = np.concatenate([sims[found[i]:found[i + 1]], to])
+                chosen.append(self._diverse(q[i], near[np.argsort(-to, kind="stable")], M))
+            for i, near in zip(members.tolist(), chosen):
+                self._link(int(batch[i]), near, k)
+            for i, near in zip(members.tolist(), chosen):
+                for j in near.tolist():
+                    self._link(j, np.array([batch[i]]), k)
+
+    def _link(self, j: int, new: np.ndarray, level: int) -> None:
+        """Add links to a node; a full list is pruned to diverse ones."""
+        links, used = self.links[level], self.used[level]
+        old = links[j, :used[j]]
+        new = new[~(new[:, None] == old).any(1)]
+        total = used[j] + len(new)
+        if total <= links.shape[1]:
+            links[j, used[j]:total] = new
+            used[j] = total
             return
-        q, at = self.x[i], np.array([self.entry])
-        for k in range(top, level, -1):
-            at = self.beam(q, at, 1, k)[0]
-        for k in range(min(level, top), -1, -1):
-            found, _ = self.beam(q, at, BUILD_BEAM, k)
-            near = self._diverse(q, found, M)
-            self.links[k][i, :len(near)] = near
-            self.used[k][i] = len(near)
-            for j in near.tolist():
-                n = self.used[k][j]
-                if n == self.links[k].shape[1]:
-                    old = np.append(self.links[k][j], np.int32(i))
-                    old = self._diverse(self.x[j], old[np.argsort(-(self.x[old] @ self.x[j]), kind="stable")], KEPT[min(1, k)])
-                    self.links[k][j] = -1
-                    self.links[k][j, :len(old)] = old
-                    self.used[k][j] = len(old)
-                else:
-                    self.links[k][j, n] = i
-                    self.used[k][j] = n + 1
-            at = found
+        every = np.concatenate([old, new])
+        every = self._diverse(self.x[j], every[np.argsort(-(self.x[every] @ self.x[j]), kind="stable")], KEPT[min(1, level)])
+        links[j] = -1
+        links[j, :len(every)] = every
+        used[j] = len(every)
 
     def _diverse(self, q: np.ndarray, found: np.ndarray, room: int) -> np.ndarray:
         """Of nodes by falling similarity, those nearer to q than to any taken before; then the nearest others."""
@@ -79,39 +110,56 @@ class Hnsw:
             taken += [k for k in range(len(found)) if k not in chosen][:room - len(taken)]
         return found[taken]
 
-    def beam(self, q: np.ndarray, start: np.ndarray, width: int, level: int, keep: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes and similarities, best first: the best ``width``, and all others of at least ``keep``.
+    def beams(self, q: np.ndarray, owner: np.ndarray, start: np.ndarray, width: np.ndarray | int, level: int,
+              keep: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, node and similarity of all beams, by query and best first.
 
-        Each round looks at the neighbours of all beam members not looked at before.
+        A beam holds a query's best ``width`` nodes and all others of at least ``keep``.  Each round looks at the
+        neighbours of all members not looked at before.
         """
-        self.turn += 1
-        start = np.unique(start)
-        self.seen[start] = self.turn
-        ids, sims, fresh = start, self.x[start] @ q, np.ones(len(start), bool)
-        while fresh.any():
-            near = self.links[level][ids[fresh]].ravel()
-            near = near[near >= 0]
-            near = np.unique(near[self.seen[near] != self.turn])
-            self.seen[near] = self.turn
-            ids = np.concatenate([ids, near])
-            sims = np.concatenate([sims, self.x[near] @ q])
-            fresh = np.concatenate([np.zeros(len(fresh), bool), np.ones(len(near), bool)])
-            if len(ids) > width:
-                order = np.argsort(-sims, kind="stable")
-                order = order[:max(width, int((sims >= keep).sum()))]
-                ids, sims, fresh = ids[order], sims[order], fresh[order]
-        order = np.argsort(-sims, kind="stable")
-        return ids[order], sims[order]
-
-    def search(self, q: np.ndarray, width: int, keep: float, starts: int = 1) -> np.ndarray:
-        """Nodes of at least ``keep``; ``starts`` spreads further starting points over the lowest level."""
-        at = np.array([self.entry])
-        for level in range(len(self.links) - 1, 0, -1):
-            at = self.beam(q, at, 1, level)[0]
-        if starts > 1:
-            at = np.concatenate([at, np.linspace(0, len(self.x) - 1, starts).astype(np.int64)])
-        ids, sims = self.beam(q, at, width, 0, keep)
-        return ids[sims >= keep]
+        n, links = len(self.x), self.links[level]
+        width = np.broadcast_to(width, len(q))
+        seen = np.zeros(len(q) * n, bool)
+        code = np.unique(owner.astype(np.int64) * n + start)
+        seen[code] = True
+        owner, ids = np.divmod(code, n)
+        sims, fresh = np.einsum("ij,ij->i", self.x[ids], q[owner]), np.ones(len(ids), bool)
+        while True:
+            near = links[ids[fresh]]
+            code = (owner[fresh][:, None] * n + near)[near >= 0]
+            code = np.unique(code[~seen[code]])
+            if not len(code):
+                break
+            seen[code] = True
+            o, i = np.divmod(code, n)
+            owner, ids = np.concatenate([owner, o]), np.concatenate([ids, i])
+            sims = np.concatenate([sims, np.einsum("ij,ij->i", self.x[i], q[o])])
+            fresh = np.concatenate([np.zeros(len(fresh), bool), np.ones(len(i), bool)])
+            order = np.lexsort((-sims, owner))
+            owner, ids, sims, fresh = owner[order], ids[order], sims[order], fresh[order]
+            rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            stays = (rank < width[owner]) | (sims >= keep)
+            owner, ids, sims, fresh = owner[stays], ids[stays], sims[stays], fresh[stays]
+        order = np.lexsort((-sims, owner))
+        return owner[order], ids[order], sims[order]
+
+    def search(self, queries: np.ndarray, width: int, keep: float, starts: int = 1) -> list[np.ndarray]:
+        """Nodes of at least ``keep`` for each query; ``starts`` spreads further starting points over the lowest level."""
+        out = []
+        more = np.linspace(0, len(self.x) - 1, starts).astype(np.int64) if starts > 1 else np.zeros(0, np.int64)
+        # all beams' marks together take at most as many bytes as those of TOGETHER queries over 65,536 nodes
+        step = max(1, min(TOGETHER, TOGETHER * 65_536 // max(1, len(self.x) + len(more))))
+        for at in range(0, len(queries), step):
+            q = np.ascontiguousarray(queries[at:at + step], np.float32)
+            owner, ids = np.arange(len(q)), np.full(len(q), self.entry)
+            for level in range(len(self.links) - 1, 0, -1):
+                owner, ids, _ = self.beams(q, owner, ids, 1, level)
+            owner = np.concatenate([owner, np.repeat(np.arange(len(q)), len(more))])
+            ids = np.concatenate([ids, np.tile(more, len(q))])
+            owner, ids, sims = self.beams(q, owner, ids, width, 0, keep)
+            owner, ids = owner[sims >= keep], ids[sims >= keep]
+            out += np.split(ids, np.searchsorted(owner, np.arange(1, len(q))))
+        return out
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
