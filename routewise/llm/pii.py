@@ -8,7 +8,8 @@ passing Luhn; 9 to 15 digits); a match that fails is dropped without another try
 ssn are added where the score, which a context word nearby raises, reaches ``KEEP_FROM``.
 
 The patterns are the plain ones with possessive repeats and look-behinds, which give the same matches but
-neither recurse nor start again inside a run, so that texts of any length take linear time.
+neither recurse nor start again inside a run; places are summed in chunks and texts are looked into by segments, so
+that a match costs the same in a text of any length.
 
 Defined cases: a null text is empty and has no spans; ties and repeated rows are treated alike; an empty
 table gives no rows; extra columns pass through ``redact`` and are never read.
@@ -74,72 +75,128 @@ def _confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _places(hits: Column, gaps: Column) -> Column:
+#: Matches are summed up in chunks of so many, and texts are looked into by segments of so many code points, so that
+#: neither a text's length nor the number of its matches enters the cost of one match.
+CHUNK, SEGMENT = 64, 1024
+#: The columns that hold what lambdas refer to are named more than once in each expression that uses them: the optimizer
+#: then keeps them as columns and does not put their expression into the lambda.
+
+
+def _segments(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{SEGMENT}}}+"), F.lit(0))
+
+
+def _cut(segments: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` (from 0) of a text given as segments."""
+    first, last = F.floor(start / SEGMENT), F.floor((start + length - 1) / SEGMENT)
+    part = F.array_join(F.slice(segments, (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), "")
+    return F.substr(part, (start - first * SEGMENT + 1).cast("int"), F.greatest(length, F.lit(0)).cast("int"))
+
+
+def _chunks(items: str) -> Column:
+    """The elements of an array column in arrays of CHUNK."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(CHUNK))
+    return F.transform(starts, lambda i: F.slice(items, i + 1, CHUNK))
+
+
+def _sums_before(chunks: str) -> Column:
+    """Code points before each chunk of (hit, gap) pairs."""
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("list"))
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, p: s + p["gap"] + F.length(p["hit"]))
+    return F.aggregate(chunks, begin, lambda a, c: F.struct(
+        (a["at"] + size(c)).alias("at"), F.concat(a["list"], F.array(a["at"])).alias("list")), lambda a: a["list"])
+
+
+def _places(chunks: str) -> Column:
     """start and end of each hit, from the lengths of hits and of the text before each."""
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
-    begin = F.struct(F.lit(0).cast("long").alias("at"),
-                     F.array().cast("array<struct<hit:string,start:bigint,end:bigint>>").alias("found"))
+    def inside(chunk: Column, before: Column) -> Column:
+        begin = F.struct(before.alias("at"), F.array().cast("array<struct<hit:string,start:bigint,end:bigint>>").alias("found"))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["gap"]
-        end = start + F.length(p["hit"])
-        return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(
-            p["hit"].alias("hit"), start.alias("start"), end.alias("end")))).alias("found"))
+        def step(a: Column, p: Column) -> Column:
+            start = a["at"] + p["gap"]
+            end = start + F.length(p["hit"])
+            return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(
+                p["hit"].alias("hit"), start.alias("start"), end.alias("end")))).alias("found"))
 
-    return F.aggregate(pairs, begin, step, lambda a: a["found"])
+        return F.aggregate(chunk, begin, step, lambda a: a["found"])
+
+    return F.flatten(F.zip_with(chunks, _sums_before(chunks), inside))
 
 
 def with_spans(df: DataFrame, text: str, out: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """Adds ``out``: array<struct<kind, start, end, score>> by kind as listed, then start."""
     mark = f"{out}__"
+    kept = [*df.columns, out]
     df = df.withColumn(f"{mark}text", F.coalesce(F.col(text), F.lit("")))
-    whole = F.col(f"{mark}text")
-    df = df.withColumns({f"{mark}{k}": F.regexp_extract_all(whole, F.lit(PATTERNS[k]), F.lit(0)) for k in kinds})
+    whole, segments = F.col(f"{mark}text"), F.col(f"{mark}segments")
+    df = df.withColumns({f"{mark}{k}": F.regexp_extract_all(whole, F.lit(PATTERNS[k]), F.lit(0)) for k in kinds}
+                        | {f"{mark}segments": _segments(whole)})
+
+    def pairs(kind: str) -> Column:
+        hits = F.col(f"{mark}{kind}")
+        gaps = F.when(F.size(hits) > 0, F.split(whole, PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>"))
+        return F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
+
+    df = df.withColumns({f"{mark}{k}_pairs": pairs(k) for k in kinds})
+    df = df.withColumns({f"{mark}{k}_chunks": _chunks(f"{mark}{k}_pairs") for k in kinds})
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
     def found(kind: str) -> Column:
-        hits = F.col(f"{mark}{kind}")
-        places = _places(hits, F.split(whole, PATTERNS[kind], -1))
-        near = lambda s: F.lower(F.concat_ws(
-            " ", F.substr(whole, F.greatest(F.lit(1).cast("long"), s["start"] + 1 - BEFORE).cast("int"),
-                          F.least(s["start"], F.lit(BEFORE).cast("long")).cast("int")),
-            F.substr(whole, (s["end"] + 1).cast("int"), F.lit(AFTER))))
-        scored = F.transform(F.filter(places, lambda s: _confirmed(kind, s["hit"])), lambda s: F.struct(
+        def near(s: Column) -> Column:
+            start = F.greatest(F.lit(0).cast("long"), s["start"] - BEFORE)
+            return F.lower(F.concat_ws(" ", _cut(segments, start, s["start"] - start), _cut(segments, s["end"], F.lit(AFTER))))
+
+        scored = F.transform(F.filter(_places(f"{mark}{kind}_chunks"), lambda s: _confirmed(kind, s["hit"])), lambda s: F.struct(
             F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
             F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(s).rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0))
             .alias("score")))
         if kind not in BASE:
             scored = F.filter(scored, lambda s: s["score"] >= KEEP_FROM)
-        return F.when(F.size(hits) > 0, scored).otherwise(none)
+        return F.when(F.size(f"{mark}{kind}") > 0, scored).otherwise(none)
 
-    df = df.withColumn(out, F.concat(*(found(k) for k in kinds)))
-    return df.drop(f"{mark}text", *(f"{mark}{k}" for k in kinds))
+    return df.withColumn(out, F.concat(*(found(k) for k in kinds))).select(*kept)
 
 
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
+def _with_redacted(df: DataFrame, text: str, spans: str) -> DataFrame:
     """The text with every span replaced by its kind in brackets; spans that overlap become one, named by the first."""
-    begin = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-
-    def merge(a: Column, s: Column) -> Column:
-        last = F.element_at(a, -1)
-        plain = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-        joined = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        over = (F.size(a) > 0) & (s["start"] < F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(-1)))
-        return F.when(over, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(joined))).otherwise(
-            F.concat(a, F.array(plain)))
-
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    merged = F.aggregate(by_start, begin, lambda a, s: merge(a, s))
-    pieces = F.transform(merged, lambda s, i: F.concat(
-        F.substr(text, (F.coalesce(F.get(merged, i - 1)["end"], F.lit(0)) + 1).cast("int"),
-                 (s["start"] - F.coalesce(F.get(merged, i - 1)["end"], F.lit(0))).cast("int")),
-        F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    rest = F.substr(text, (F.element_at(merged, -1)["end"] + 1).cast("int"))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
+    mark = f"{spans}__"
+    col = lambda name: F.col(f"{mark}{name}")
+    kept = df.columns
+    df = df.withColumn(f"{mark}sorted", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"]))))
+    df = df.withColumns({f"{mark}chunks": _chunks(f"{mark}sorted"), f"{mark}segments": _segments(F.coalesce(F.col(text), F.lit("")))})
+    # a span begins a new one where it starts at or after the furthest end so far; ends by chunk first
+    begin = F.struct(F.lit(0).cast("long").alias("top"), F.array().cast("array<bigint>").alias("list"))
+    tops = F.aggregate(f"{mark}chunks", begin, lambda a, c: F.struct(
+        F.greatest(a["top"], F.array_max(F.transform(c, lambda s: s["end"]))).alias("top"),
+        F.concat(a["list"], F.array(a["top"])).alias("list")), lambda a: a["list"])
+
+    def inside(chunk: Column, top: Column) -> Column:
+        first = F.struct(top.alias("top"), F.array().cast("array<struct<start:bigint,kind:string,top:bigint,first:boolean>>").alias("list"))
+
+        def step(a: Column, s: Column) -> Column:
+            far = F.greatest(a["top"], s["end"])
+            return F.struct(far.alias("top"), F.concat(a["list"], F.array(F.struct(
+                s["start"].alias("start"), s["kind"].alias("kind"), far.alias("top"), (s["start"] >= a["top"]).alias("first")))).alias("list"))
+
+        return F.aggregate(chunk, first, step, lambda a: a["list"])
+
+    df = df.withColumn(f"{mark}flags", F.flatten(F.zip_with(f"{mark}chunks", tops, inside)))
+    df = df.withColumn(f"{mark}at", F.filter(F.transform(f"{mark}flags", lambda s, i: F.when(s["first"], i)), lambda i: i.isNotNull()))
+    after = F.concat(F.slice(col("at"), 2, F.greatest(F.size(col("at")), F.lit(1))), F.array(F.size(col("flags"))))
+    df = df.withColumn(f"{mark}merged", F.when(F.size(spans) > 0, F.zip_with(col("at"), after, lambda i, j: F.struct(
+        F.get(col("flags"), i)["start"].alias("start"), F.get(col("flags"), i)["kind"].alias("kind"), F.get(col("flags"), j - 1)["top"].alias("end")))))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(
+        F.slice(col("merged"), 1, F.greatest(F.size(col("merged")) - 1, F.lit(0))), lambda s: s["end"]))
+    pieces = F.zip_with(col("merged"), ends, lambda s, last: F.concat(
+        _cut(col("segments"), last, s["start"] - last), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    last = F.element_at(col("merged"), -1)["end"]
+    rest = _cut(col("segments"), last, F.size(col("segments")) * SEGMENT - last)
+    df = df.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text)))
+    return df.select(*kept)
 
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -147,8 +204,7 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
     spans = "spans"
     while any(c.startswith(spans) for c in documents.columns):
         spans += "_"
-    found = with_spans(documents, text, spans)
-    return found.withColumn(text, redacted(F.col(text), F.col(spans))).drop(spans)
+    return _with_redacted(with_spans(documents, text, spans), text, spans).drop(spans)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
