@@ -62,9 +62,11 @@ def dedup_lines(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     k1, k2 = _keys(documents)
     rows = documents.select(k1.alias("k1"), k2.alias("k2"), F.struct(*documents.columns).alias("doc_"))
     out = rows.join(covered(documents, width), ["k1", "k2"], "left")
-    lines = F.split("doc_.text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("doc_.text")).otherwise(F.array_join(kept, "\n"))
+    out = out.withColumn("lines", F.split("doc_.text", "\n", -1))
+    lines = F.col("lines")
+    # the places that stay, by one hashed set difference
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("doc_.text")).otherwise(F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
     return out.select(F.col("doc_").withField("text", text).alias("doc_"),
                       F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
                       F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
