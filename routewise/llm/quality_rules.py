@@ -1,11 +1,15 @@
 """Quality rules: thresholds from mergeable quantile sketches per language and source.
 
 The metrics of every whole text are written once as a narrow table.  Each (lang, source) gets one
-KLL sketch per metric; the sketches of a language, and of all documents, come from merging these, not
-from another pass.  A document is judged by the sketches of its own group, or of its language where
-the group has fewer than ``MIN_GROUP`` documents, or of all documents where the language has so few.
-A metric's upper limit is its median plus ``SPREAD`` interquartile ranges plus the metric's slack;
-the mean word length has such a lower limit as well.  The limits join the metrics on lang and source.
+KLL sketch per metric, over all its documents; the sketches of a language, and of all documents, come from
+merging these, not from another pass.  A document is judged by the sketches of its own group, or of its
+language where the group has fewer than ``MIN_GROUP`` documents, or of all documents where the language has so few.
+
+A limit comes from the group's quantiles alone: from the edge of its bulk (the 80 % quantile) it leaves ``SPREAD`` times
+the bulk's own width above the median, and ``TAIL`` of the way to its extreme (the 99.5 % quantile).  So a
+metric that is 0 for nearly all of a group, as the share of symbols is, still has a limit set by that group's
+outliers and by no constant, and the bulk is never cut.  The mean word length has such a lower limit as well.
+The limits join the metrics on lang and source.
 
 Defined cases: a null or empty text has no words and fails the base rules; null lang or source is a
 group of its own; repeated rows and ties are judged alike; an empty table gives no rows; only doc_id,
@@ -28,11 +32,13 @@ from routewise.sources.tables import read_table
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Metrics with the slack that a limit leaves above (below) the spread of its group.
-METRICS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.3, "repeat_ratio": 0.35, "word_length": 1.0}
+METRICS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
 TWO_SIDED = ("word_length",)
-SPREAD, MIN_GROUP, SKETCH_K = 6.0, 200, 800
-QUARTILES = (0.25, 0.5, 0.75)
+#: Groups with fewer documents are judged by their language's sketches.
+MIN_GROUP, SKETCH_K = 200, 800
+#: Quantiles of the median, the bulk's upper edge and the extreme (mirrored for lower limits), and what a limit leaves beyond the edge.
+MEDIAN, EDGE, EXTREME = 0.5, 0.8, 0.995
+SPREAD, TAIL = 3.0, 0.33
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -114,18 +120,19 @@ def base_failed() -> Column:
 
 def limits(measured: DataFrame) -> DataFrame:
     """One row per (lang, source) with the limits that hold there; written, as sketches draw at random."""
-    rows = _ratios(measured).where(~base_failed())
+    rows = _ratios(measured)
     own = rows.groupBy("lang", "source").agg(
         F.count("*").alias("n"), *(F.kll_sketch_agg_double(m, SKETCH_K).alias(m) for m in METRICS))
     own = written(own, "sketches")
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m, SKETCH_K).alias(m) for m in METRICS)]
 
     def cut(df: DataFrame, mark: str) -> DataFrame:
-        for m, slack in METRICS.items():
+        for m in METRICS:
             some = F.kll_sketch_get_n_double(F.col(m)) > 0  # an empty sketch has no quantile
-            q = [F.when(some, F.kll_sketch_get_quantile_double(F.col(m), F.lit(r))) for r in QUARTILES]
-            wide = SPREAD * (q[2] - q[0]) + slack
-            df = df.withColumns({f"{m}_{mark}max": q[1] + wide, f"{m}_{mark}min": q[1] - wide})
+            at = lambda r: F.when(some, F.kll_sketch_get_quantile_double(F.col(m), F.lit(r)))  # noqa: E731, B023
+            limit = lambda mid, edge, far: edge + SPREAD * (edge - mid) + TAIL * (far - edge)
+            df = df.withColumns({f"{m}_{mark}max": limit(at(MEDIAN), at(EDGE), at(EXTREME)),
+                                 f"{m}_{mark}min": limit(at(MEDIAN), at(1 - EDGE), at(1 - EXTREME))})
         return df.drop(*METRICS).withColumnRenamed("n", f"{mark}n")
 
     by_lang = cut(own.groupBy("lang").agg(*merged), "l_").withColumnRenamed("lang", "l_lang")
