@@ -77,6 +77,15 @@ NUMERIC_FEATURES = (
     "bank_failure_rate_5m", "network_failure_rate_5m", "route_failure_rate_1m",
     "time_since_last_bank_route_success", "amount_to_bank_avg_ratio",
 )
+# Numeric inputs of the baseline model, which has no weights and no derived inputs.
+BASELINE_NUMERIC_FEATURES = (
+    "tick", "day_in_week", "hour_of_day", "amount",
+    "route_base_success_rate", "route_base_latency_ms", "route_cost_percent",
+    "route_success_rate_5m", "route_success_rate_15m", "route_avg_latency_5m",
+    "route_current_load", "route_requests_1m",
+    "time_since_last_failure", "route_flagged_down",
+    "bank_route_success_rate_15m",
+)
 CATEGORICAL_FEATURES = ("bank", "network", "payment_method", "merchant", "device", "risk", "route_id")
 
 # Feature table (v2): 28 columns in output order.

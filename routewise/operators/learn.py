@@ -40,6 +40,8 @@ SEARCH_SPACE = {
 BASE_PARAMS = {"maxDepth": 5, "stepSize": 0.1, "maxIter": 500, "minInstancesPerNode": 20,
                "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInfoGain": 0.0,
                "class_weight_multiplier": 1.0}
+#: The baseline: published rounds and rates, mapped in the same way; unweighted, with 15 + 7 inputs.
+BASELINE_PARAMS = dict(BASE_PARAMS, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8")
 
 
 # ----------------------------------------------------------------- impute
@@ -126,16 +128,17 @@ class Prepared:
 
     def __init__(self, scored_split: DataFrame):
         keep = ["txn_id", "tick", "split3", "success", "amount", "route_cost_percent",
-                *C.NUMERIC_FEATURES, *[c for c in C.CATEGORICAL_FEATURES if c not in C.NUMERIC_FEATURES]]
+                *C.NUMERIC_FEATURES, *C.BASELINE_NUMERIC_FEATURES, *C.CATEGORICAL_FEATURES]
         # The model matrix is read by every fit stage and boosting round:
         # materialise it once (reliable checkpoint) so nothing replays the
         # feature plan; statistics and fits all read the checkpoint.
         base = checkpointed(scored_split.select(*dict.fromkeys(keep))
                             .withColumn("label", F.col("success").cast("double")))
         train = base.where(F.col("split3") == "train")
-        self.medians = exact_median(train, C.NUMERIC_FEATURES)
+        numeric = [c for c in dict.fromkeys([*C.NUMERIC_FEATURES, *C.BASELINE_NUMERIC_FEATURES]) if c != "tick"]   # never null
+        self.medians = exact_median(train, numeric)
         self.modes = mode_values(train, C.CATEGORICAL_FEATURES)
-        x = apply_fill(base, self.medians, "median", C.NUMERIC_FEATURES)
+        x = apply_fill(base, self.medians, "median", numeric)
         x = apply_fill(x, self.modes, "mode", C.CATEGORICAL_FEATURES)
         self.all = x
         self.train = x.where(F.col("split3") == "train")
@@ -143,18 +146,24 @@ class Prepared:
         self.test = x.where(F.col("split3") == "test")
 
 
-def fit(prep: Prepared, params: dict | None = None, early_stop: bool = True) -> PipelineModel:
-    """M5/M6/M7: weighted boosted trees; validation rows drive early stopping."""
+def fit(prep: Prepared, params: dict | None = None, early_stop: bool = True, weighted: bool = True,
+        numeric: Sequence[str] = C.NUMERIC_FEATURES) -> PipelineModel:
+    """M6/M7: boosted trees, class-weighted unless told otherwise; validation rows drive early stopping."""
     p = dict(BASE_PARAMS, **(params or {}))
-    train = EV.class_weights(prep.train, float(p["class_weight_multiplier"]))
+    train = EV.class_weights(prep.train, float(p["class_weight_multiplier"])) if weighted else prep.train
     data = train.withColumn("is_val", F.lit(False))
     if early_stop:
-        val = prep.validation.withColumn("weight", F.lit(1.0)).withColumn("is_val", F.lit(True))
-        data = data.unionByName(val)
-    pipe = build_pipeline(params=p, validation_col="is_val" if early_stop else None)
+        val = prep.validation.withColumn("is_val", F.lit(True))
+        data = data.unionByName(val.withColumn("weight", F.lit(1.0)) if weighted else val)
+    pipe = build_pipeline(numeric, params=p, weight_col="weight" if weighted else None, validation_col="is_val" if early_stop else None)
     return pipe.fit(data)
 
 
+def fit_baseline(prep: Prepared, params: dict | None = None) -> PipelineModel:
+    """M5: the baseline as published: unweighted, 22 inputs, fixed rounds without early stopping."""
+    return fit(prep, dict(BASELINE_PARAMS, **(params or {})), early_stop=False, weighted=False, numeric=C.BASELINE_NUMERIC_FEATURES)
+
+
 def raw_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
     """P(success) from the model as column raw_p."""
     out = model.transform(df)
@@ -208,6 +217,16 @@ def feature_importance(spark: SparkSession, model: PipelineModel, df: DataFrame)
     return spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature string, importance double")
 
 
+def class_difference(df: DataFrame, cols: Sequence[str], label: str = "success") -> DataFrame:
+    """(feature, importance) without a model: distance of the two classes' means in standard deviations, one aggregate."""
+    def distance(c: str):
+        means = [F.avg(F.when(F.col(label) == v, F.col(c))) for v in (1, 0)]
+        return F.coalesce(F.abs(means[0] - means[1]) / F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(0.0))
+
+    one = df.agg(*[distance(c).alias(c) for c in cols])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("importance")) for c in cols])).alias("x")).select("x.*")
+
+
 def importance_share(imp: DataFrame) -> DataFrame:
     """Summed importance per feature and percent of the total."""
     g = imp.groupBy("feature").agg(F.sum("importance").alias("importance"))
@@ -223,8 +242,12 @@ def top_importance(imp: DataFrame, k: int = 30) -> DataFrame:
 # -------------------------------------------------------------- calibration
 def calibrate(model: PipelineModel, prep: Prepared):
     """Isotonic regression of the label on validation raw scores (clips outside)."""
-    v = raw_scores(model, prep.validation)
-    return IsotonicRegression(featuresCol="raw_p", labelCol="label", predictionCol="p").fit(v)
+    return isotonic(raw_scores(model, prep.validation), "raw_p", "label")
+
+
+def isotonic(df: DataFrame, score: str, label: str):
+    """M10 on any score column."""
+    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="p").fit(df)
 
 
 def score(model: PipelineModel, calibrator, df: DataFrame) -> DataFrame:

@@ -461,6 +461,14 @@ def q_no_eligible_route(c: Ctx) -> DataFrame:
     return CD.no_eligible_route(c.attempts, c.eligibility).select("txn_id", "payment_method", "network")
 
 
+@register("no_eligible_route_outage", """
+SELECT txn_id, payment_method, network FROM attempts a WHERE NOT EXISTS (
+  SELECT 1 FROM elig e WHERE e.payment_method = a.payment_method AND e.network = a.network AND e.route_id = 'R1')""")
+def q_no_eligible_route_outage(c: Ctx) -> DataFrame:
+    """J8 with one route in service: some networks' transactions have no route, the others do."""
+    return CD.no_eligible_route(c.attempts, c.eligibility.where(F.col("route_id") == "R1")).select("txn_id", "payment_method", "network")
+
+
 CAND_FEATURE_COLS = ("txn_id", "route_id", *C.NUMERIC_FEATURES)
 
 
@@ -888,6 +896,8 @@ def q_write_features(c: Ctx) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Spark ML
+from pyspark.ml import Pipeline  # noqa: E402
+
 from routewise.operators import learn as LN  # noqa: E402
 
 
@@ -967,8 +977,8 @@ def q_assemble(c: Ctx) -> DataFrame:
 
 @register("train_baseline")
 def q_train_baseline(c: Ctx) -> DataFrame:
-    """M5: fixed-parameter boosted trees; P(success) for every test row."""
-    m = LN.fit(_prep(c), LN.QUERY_ROUNDS, early_stop=False)
+    """M5: the unweighted baseline on its 15 + 7 inputs, without early stopping; P(success) for every test row."""
+    m = LN.fit_baseline(_prep(c), LN.QUERY_ROUNDS)
     return LN.raw_scores(m, _prep(c).test).select("txn_id", "raw_p")
 
 
@@ -1024,6 +1034,80 @@ def q_calibration_gain(c: Ctx) -> DataFrame:
                  F.avg(F.pow(F.col("p") - y, 2)).alias("brier_after"))
 
 
+_ISOTONIC_SQL = """
+, xs AS (SELECT p AS x, count(*) AS n, sum(success) AS k, row_number() OVER (ORDER BY p) AS i FROM val GROUP BY p),
+cs AS (SELECT i, x, sum(n) OVER (ORDER BY i) AS cn, sum(k) OVER (ORDER BY i) AS ck, n, k FROM xs),
+least_mean AS (SELECT a.i AS a, b.i AS b, min((b.ck - a.ck + a.k) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m
+  FROM cs a JOIN cs b ON b.i >= a.i),
+fitted AS (SELECT x, f FROM cs JOIN (SELECT b, max(m) AS f FROM least_mean GROUP BY b) ON b = i),
+low AS (SELECT t.txn_id, t.p, t.success, f.x AS x0, f.f AS f0 FROM tst t ASOF LEFT JOIN fitted f ON f.x <= t.p),
+ends AS (SELECT l.*, f.x AS x1, f.f AS f1 FROM low l ASOF LEFT JOIN fitted f ON f.x >= l.p),
+cal AS (SELECT txn_id, p AS raw_p, success, CASE WHEN x0 IS NULL THEN f1 WHEN x1 IS NULL OR x1 = x0 THEN f0
+  ELSE f0 + (f1 - f0) * (p - x0) / (x1 - x0) END AS p FROM ends)
+"""
+
+
+def _calibrated_score(c: Ctx) -> DataFrame:
+    fitted = LN.isotonic(_part(c, "validation").withColumn("label", F.col("success").cast("double")).withColumnRenamed("p", "raw_p"), "raw_p", "label")
+    return fitted.transform(_part(c, "test").withColumnRenamed("p", "raw_p")).select("txn_id", "raw_p", "p", "success")
+
+
+@register_e("calibrate_isotonic_score", _ISOTONIC_SQL + "SELECT txn_id, raw_p, p, success FROM cal")
+def q_calibrate_isotonic_score(c: Ctx) -> DataFrame:
+    """M10 on the SQL-expressible score: isotonic fit on validation, applied to test (interpolated, clipped at the ends)."""
+    return _calibrated_score(c)
+
+
+@register_e("calibration_gain_score", _ISOTONIC_SQL + "SELECT avg((raw_p - success) ** 2) AS brier_before, avg((p - success) ** 2) AS brier_after FROM cal")
+def q_calibration_gain_score(c: Ctx) -> DataFrame:
+    """M14 on the SQL-expressible score: Brier before and after calibration, one aggregate."""
+    return _calibrated_score(c).agg(F.avg(F.pow(F.col("raw_p") - F.col("success"), 2)).alias("brier_before"),
+                                    F.avg(F.pow(F.col("p") - F.col("success"), 2)).alias("brier_after"))
+
+
+_DIFFERENCE_SQL = ("SELECT feature, importance FROM (SELECT " + ", ".join(
+    f"coalesce(abs(avg({x}) FILTER (success = 1) - avg({x}) FILTER (success = 0)) / nullif(stddev_pop({x}), 0), 0) AS {x}" for x in C.NUMERIC_FEATURES)
+    + " FROM trn) UNPIVOT (importance FOR feature IN (" + ", ".join(C.NUMERIC_FEATURES) + "))")
+_SHARE_SQL = f"SELECT feature, importance, importance / sum(importance) OVER () * 100.0 AS importance_pct FROM ({_DIFFERENCE_SQL})"
+
+
+def _difference(c: Ctx) -> DataFrame:
+    return LN.class_difference(scored(c, engineered=True).where(F.col("split3") == "train"), C.NUMERIC_FEATURES)
+
+
+@register_e("importance_share_difference", _SHARE_SQL)
+def q_importance_share_difference(c: Ctx) -> DataFrame:
+    """G18 on importances without a model (distance of the classes' means): percent of the total."""
+    return LN.importance_share(_difference(c))
+
+
+@register_e("top_importance_difference", f"SELECT * FROM ({_SHARE_SQL}) ORDER BY importance DESC, feature LIMIT 10")
+def q_top_importance_difference(c: Ctx) -> DataFrame:
+    """K2 on importances without a model: the top 10 inputs."""
+    return LN.top_importance(_difference(c), 10)
+
+
+@register_e("write_importance_difference", _SHARE_SQL)
+def q_write_importance_difference(c: Ctx) -> DataFrame:
+    """SNK2 on importances without a model: written as CSV (header) and read back."""
+    from routewise.sources.sinks import shared_path, write_csv
+    path = shared_path(c.spark, "importance")
+    write_csv(LN.importance_share(_difference(c)), path)
+    return c.spark.read.option("header", True).schema("feature string, importance double, importance_pct double").csv(path)
+
+
+@register_e("feature_slots", "SELECT row_number() OVER (ORDER BY block, value) - 1 AS slot, feature FROM ("
+            + " UNION ALL ".join([f"SELECT {i} AS block, NULL AS value, '{x}' AS feature" for i, x in enumerate(C.NUMERIC_FEATURES)]
+                                 + [f"SELECT DISTINCT {100 + i}, {x}, '{x}_' || {x} FROM trn UNION ALL SELECT {100 + i}, '~', '{x}___unknown'"
+                                    for i, x in enumerate(C.CATEGORICAL_FEATURES)]) + ")")
+def q_feature_slots(c: Ctx) -> DataFrame:
+    """M9, the names of the assembled vector's slots: numeric inputs, then every input's categories in order and one for unknown ones."""
+    prep = _prep(c)
+    assembled = LN.build_pipeline(params=LN.BASE_PARAMS).getStages()[:-1]
+    names = LN.encoded_names(Pipeline(stages=assembled).fit(prep.train), prep.train)
+    return c.spark.createDataFrame(list(enumerate(names)), "slot long, feature string")
+
+
 @register("model_evaluate")
 def q_model_evaluate(c: Ctx) -> DataFrame:
     """M13 with the trained, calibrated model: AUC, AP, log loss, Brier, accuracy, failure P/R/F1."""

@@ -17,7 +17,9 @@ DOUBLE_COLUMNS = {
     'bank_route_success_rate_15m': ['bank_route_success_rate_15m'],
     'best_f1_threshold': ['threshold', 'precision', 'recall', 'f1'],
     'brier': ['brier', 'log_loss', 'accuracy'],
+    'calibrate_isotonic_score': ['raw_p', 'p'],
     'calibration_bins': ['mean_predicted_prob', 'actual_success_rate', 'gap'],
+    'calibration_gain_score': ['brier_before', 'brier_after'],
     'candidate_feature_lookup': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_utilization', 'system_tps', 'time_since_last_failure', 'route_flagged_down', 'bank_route_success_rate_15m', 'route_failure_rate_5m', 'route_failure_rate_15m', 'route_success_drop_5m', 'route_success_drop_15m', 'route_latency_ratio', 'bank_route_gap', 'route_stress', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
     'class_balance': ['failure_ratio', 'base_weight'],
     'class_weights': ['weight'],
@@ -38,8 +40,10 @@ DOUBLE_COLUMNS = {
     'evaluate': ['value'],
     'expand_candidates': [],
     'feature_projection': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m'],
+    'feature_slots': [],
     'feature_table': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m', 'route_failure_rate_5m', 'route_failure_rate_15m', 'route_success_drop_5m', 'route_success_drop_15m', 'route_latency_ratio', 'bank_route_gap', 'route_stress', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
     'feature_table_minute': ['route_success_rate_5m', 'route_success_rate_15m', 'bank_route_success_rate_15m', 'bank_failure_rate_5m', 'network_failure_rate_5m', 'route_failure_rate_1m', 'time_since_last_bank_route_success', 'amount_to_bank_avg_ratio'],
+    'importance_share_difference': ['importance', 'importance_pct'],
     'impute_median': ['median'],
     'impute_mode': [],
     'incident_episodes': [],
@@ -54,6 +58,7 @@ DOUBLE_COLUMNS = {
     'network_minute': [],
     'no_eligible_route': [],
     'no_eligible_route_orders': [],
+    'no_eligible_route_outage': [],
     'null_profile': [],
     'one_hot': [],
     'order_features': [],
@@ -111,12 +116,14 @@ DOUBLE_COLUMNS = {
     'time_since_last_bank_route_success': ['time_since_last_bank_route_success'],
     'time_since_last_failure': ['time_since_last_failure'],
     'timeline_bounds': [],
+    'top_importance_difference': ['importance', 'importance_pct'],
     'train_validation_cut': [],
     'training_baselines': ['route_base_success_rate', 'route_base_latency_ms'],
     'validate_attempts': [],
     'validate_orders': [],
     'weighted_split': [],
     'write_features': ['amount', 'route_base_success_rate', 'route_base_latency_ms', 'route_cost_percent', 'route_success_rate_5m', 'route_success_rate_15m', 'route_avg_latency_5m', 'route_current_load', 'route_requests_1m', 'time_since_last_failure', 'route_flagged_down', 'route_utilization', 'route_effective_capacity_tps', 'system_tps', 'bank_route_success_rate_15m'],
+    'write_importance_difference': ['importance', 'importance_pct'],
 }
 
 # integer-valued columns DuckDB widens (HUGEINT) or makes DECIMAL: cast to BIGINT / DOUBLE
