@@ -2,18 +2,17 @@
 
 A record's key is (64-bit hash of its text, doc_id), so equal texts lie together and no source or
 length decides a place.  A size-weighted sample of first keys gives quantile boundaries, which cut the
-records into many ranges, a fixed number per shard and one per ``RANGE_ROWS`` records at least.  The
-true size of every range is counted; a range of more than ``OVERFULL`` times the mean, as a large group
-of copies makes it, is subdivided by splitters over a hash of the doc_id.  Then exact prefix sums over
-ranges, and a running sum inside each (a bounded number of records), give every record its place in the
-global key order, and a record's shard is the equal part of all bytes in which it starts.
+records into ranges, a fixed number per shard.  The true size of every range is counted; a range of more than
+``OVERFULL`` times the mean, as a large group of copies makes it, and one of more than ``RANGE_ROWS`` records
+is subdivided by splitters over a hash of the id and a salt that tells fully equal rows apart.  The ranges in a row
+make the shards; exact prefix sums over pieces, and a running sum inside each (a bounded number of records),
+move the borders between shards to where equal parts of all bytes begin.
 
 Law ``bytes``: sizes of shards differ by less than two records.  Groups (equal texts) stay together
 unless a boundary falls inside one.
 
 Defined cases: a null text has size 8 and the checksum of no bytes; ties and repeated rows lie side by
-side in any order, each with a slot of its own; fully equal rows cannot be told apart by a key and share
-a range; a null doc_id is the smallest key; an empty table gives no rows; only doc_id and text are read.
+side in any order, each with a slot of its own, however many they are; a null doc_id is the smallest key; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -61,46 +60,39 @@ def splitters(records: DataFrame, key: str, n: int, total: float, seed: int) ->
 
 
 def place(records: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """Adds shard and slot to a written table with the columns key, id (64-bit integers) and size.
+    """Adds shard and slot to a written table with the columns key, id (64-bit integers), salt (unique) and size.
 
-    The driver sees a sample of SAMPLES keys per range and one row of counts per range; there is a range
-    per RANGE_ROWS records at least.
+    The driver sees a sample of SAMPLES keys per range and one row of counts per range; the number of ranges is fixed.
+    What lies inside a range, its pieces and their sums, stays in Spark.
     """
     total, rows = records.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    n = max(n_shards * RANGES_PER_SHARD, -(-rows // RANGE_ROWS))
-    bounds = splitters(records, "key", n, total, 1)
-    ranged = records.withColumn("part", _bisect(bounds, "key")).withColumn("sub_key", F.xxhash64("id", F.lit(5)))
-    sizes = {r["part"]: r["size"] for r in ranged.groupBy("part").agg(F.sum("size").alias("size")).collect()}
-    mean = total / max(1, n)
-    overfull = sorted(p for p, size in sizes.items() if size > OVERFULL * mean)
-    ranged = ranged.withColumn("sub", F.lit(0))
-    if overfull:
-        # hashes of ids are spread evenly, so equal steps over them are their quantiles
-        pieces = {p: int(-(-sizes[p] // mean)) for p in overfull}
-        count = F.create_map(*[F.lit(x) for p, k in pieces.items() for x in (p, k)])[F.col("part")] if len(pieces) < 1000 else None
-        if count is None:
-            spark = records.sparkSession
-            table = spark.createDataFrame(list(pieces.items()), "part int, pieces int")
-            ranged = ranged.join(F.broadcast(table), "part", "left")  # at most n / OVERFULL rows
-            count = F.col("pieces")
-        spread = F.shiftrightunsigned("sub_key", 11) / F.lit(_UNIT)
-        ranged = ranged.withColumn("sub", F.coalesce(F.floor(spread * count).cast("int"), F.lit(0))).drop("pieces")
-    counted = (ranged.groupBy("part", "sub").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
-               .orderBy("part", "sub").toPandas())
-    counted["bytes_before"] = counted["sum"].cumsum() - counted["sum"]
-    counted["rows_before"] = counted["n"].cumsum() - counted["n"]
+    n = n_shards * RANGES_PER_SHARD
+    ranged = records.withColumn("part", _bisect(splitters(records, "key", n, total, 1), "key"))
+    found = {r["part"]: r for r in ranged.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    mean, pieces, bytes_at, rows_at = total / n, [], [0], [0]
+    for p in range(n):
+        size, count = (found[p]["size"], found[p]["n"]) if p in found else (0, 0)
+        overfull = -(-size // max(1.0, mean)) if size > OVERFULL * mean else 1
+        pieces.append(int(max(1, overfull, -(-count // RANGE_ROWS))))
+        bytes_at.append(bytes_at[-1] + size)
+        rows_at.append(rows_at[-1] + count)
+    of_part = lambda values: F.array(*[F.lit(v).cast("long") for v in values[:n]])[F.col("part")]
+    # hashes of ids and salts are spread evenly, so equal steps over them are their quantiles
+    spread = F.shiftrightunsigned(F.xxhash64("id", "salt", F.lit(5)), 11) / F.lit(_UNIT)
+    ranged = ranged.withColumn("sub", F.floor(spread * of_part(pieces)))
+    counted = ranged.groupBy("part", "sub").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("part").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, at: of_part(at) + F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    base = counted.select("part", "sub", before("sum", bytes_at).alias("bytes_before"), before("n", rows_at).alias("rows_before"))
     first = np.full(n_shards + 1, rows, np.int64)  # global row at which a shard starts
-    base = records.sparkSession.createDataFrame(
-        counted[["part", "sub", "bytes_before", "rows_before"]].astype("int64"),
-        "part int, sub int, bytes_before long, rows_before long")
-    inside = Window.partitionBy("part", "sub").orderBy("key", "id", "crc", "size")
+    inside = Window.partitionBy("part", "sub").orderBy("key", "id", "crc", "size", "salt")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     placed = (ranged.withColumn("bytes_upto", F.sum("size").over(upto)).withColumn("nth", F.row_number().over(inside))
-              .join(F.broadcast(base), ["part", "sub"])  # one row per range, bounded as above
+              .join(base, ["part", "sub"])
               .withColumn("start", F.col("bytes_before") + F.col("bytes_upto") - F.col("size"))
               .withColumn("row", F.col("rows_before") + F.col("nth") - 1)
               .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(F.col("start") * n_shards / max(1, total)).cast("int"))))
-    placed = written(placed.drop("part", "sub", "sub_key", "bytes_upto", "nth", "start", "bytes_before", "rows_before"), "placed")
+    placed = written(placed.drop("part", "sub", "salt", "bytes_upto", "nth", "start", "bytes_before", "rows_before"), "placed")
     for r in placed.groupBy("shard").agg(F.min("row").alias("row")).collect():
         first[r["shard"]] = r["row"]
     starts = F.array(*[F.lit(int(x)) for x in first[:n_shards]])
@@ -113,7 +105,7 @@ def shard_documents(documents: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     records = documents.select(
         "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"), F.xxhash64("text").alias("key"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.monotonically_increasing_id().alias("salt"))
     return (place(written(records, "records"), n_shards)
             .select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot"))
 
