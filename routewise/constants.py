@@ -38,13 +38,13 @@ COST_SWEEP_COUNT = 27
 # Weighted-random router weights (also the traffic share of each route).
 ROUTE_WEIGHTS = {"R1": 0.35, "R2": 0.25, "R3": 0.25, "R4": 0.15}
 
-# Static route dimension: id, name, base success rate, base latency ms,
+# Static route dimension: id, base success rate, base latency ms,
 # fee percent, payment methods, networks, base capacity tps.
 ROUTES = (
-    ("R1", "Gateway Alpha", 0.986, 145, 2.10, ("CARD", "UPI"), ("Visa", "Mastercard", "UPI"), 120000),
-    ("R2", "Gateway Beta", 0.981, 85, 1.45, ("CARD", "UPI"), ("Visa", "Rupay", "UPI"), 150000),
-    ("R3", "Gateway Gamma", 0.979, 110, 1.10, ("CARD", "UPI"), ("Visa", "Mastercard", "Rupay", "UPI"), 100000),
-    ("R4", "Gateway Delta", 0.983, 175, 1.75, ("CARD", "UPI"), ("Visa", "Mastercard", "Rupay", "UPI"), 75000),
+    ("R1", 0.986, 145, 2.10, ("CARD", "UPI"), ("Visa", "Mastercard", "UPI"), 120000),
+    ("R2", 0.981, 85, 1.45, ("CARD", "UPI"), ("Visa", "Rupay", "UPI"), 150000),
+    ("R3", 0.979, 110, 1.10, ("CARD", "UPI"), ("Visa", "Mastercard", "Rupay", "UPI"), 100000),
+    ("R4", 0.983, 175, 1.75, ("CARD", "UPI"), ("Visa", "Mastercard", "Rupay", "UPI"), 75000),
 )
 ROUTE_IDS = tuple(r[0] for r in ROUTES)
 

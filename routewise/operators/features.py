@@ -42,11 +42,11 @@ def route_share(route_id: Column) -> Column:
 
 
 def route_capacity(route_id: Column) -> Column:
-    return _const_map((r[0], float(r[7])) for r in C.ROUTES)[route_id]
+    return _const_map((r[0], float(r[6])) for r in C.ROUTES)[route_id]
 
 
 def route_fee(route_id: Column) -> Column:
-    return _const_map((r[0], r[4]) for r in C.ROUTES)[route_id]
+    return _const_map((r[0], r[3]) for r in C.ROUTES)[route_id]
 
 COUNTS = ("request_count", "success_count", "failure_count", "latency_sum")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from routewise import constants as C
 from routewise.operators import evaluate as EV
-from routewise.operators.prefix import RANGES
+from routewise.operators.prefix import ranges_of
 from routewise.plans.materialize import checkpointed
 
 # The random-search space, mapped onto GBT parameters, and the published number of rounds.
@@ -50,14 +50,14 @@ def _long(df: DataFrame, cols: Sequence[str], cast: str) -> DataFrame:
     return df.select(F.explode(arr).alias("x")).select("x.*").where(F.col("value").isNotNull())
 
 
-def exact_median(df: DataFrame, cols: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def exact_median(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> DataFrame:
     """M1 statistics: (feature, median) -- exact, interpolated for even counts.
 
     Distinct values are written in ranges of (feature, value) cut at sampled quantiles; ranks follow from
     the ranges' counts and a window inside each range.  Runs a Spark job (the write).
     """
     counts = _long(df, cols, "double").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    counts = checkpointed(counts.repartitionByRange(ranges, "feature", "value")
+    counts = checkpointed(counts.repartitionByRange(ranges or ranges_of(df), "feature", "value")
                           .withColumn("b", F.spark_partition_id().cast("long")), "median_ranges")
     stats = counts.groupBy("feature").agg(F.sum("n").alias("total_n"))
     x = counts.join(F.broadcast(stats), "feature")   # one row per feature asked for

@@ -47,11 +47,16 @@ def in_block_window(keys: Sequence[str], order_col: str = "txn_id") -> Window:
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
+#: Ranges at least; a session with more shuffle partitions, as a larger cluster has, gets as many.
 RANGES = 256
 
 
+def ranges_of(df: DataFrame) -> int:
+    return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def ordered_prefix(df: DataFrame, score: str, sums: Sequence[str], descending: bool = False,
-                   ranges: int = RANGES) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """Inclusive running sums over distinct values of ``score`` in a global order.
 
     Global order without one task: rows are aggregated per distinct score
@@ -64,7 +69,7 @@ def ordered_prefix(df: DataFrame, score: str, sums: Sequence[str], descending: b
     s = F.col(score)
     order = s.desc() if descending else s.asc()
     g = df.groupBy(score).agg(*[F.sum(c).alias(c) for c in sums])
-    g = checkpointed(g.repartitionByRange(ranges, order).withColumn("_b", F.spark_partition_id()), "ranges")
+    g = checkpointed(g.repartitionByRange(ranges or ranges_of(df), order).withColumn("_b", F.spark_partition_id()), "ranges")
     tot = g.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_p_{c}") for c in sums])

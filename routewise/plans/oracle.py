@@ -11,11 +11,11 @@ from __future__ import annotations
 from routewise import constants as C
 
 ROUTES_VALUES = ", ".join(
-    f"('{r[0]}', {r[2]}::DOUBLE, {r[3]}, {r[4]}::DOUBLE, {float(r[7])}::DOUBLE, {C.ROUTE_WEIGHTS[r[0]]}::DOUBLE)"
+    f"('{r[0]}', {r[1]}::DOUBLE, {r[2]}, {r[3]}::DOUBLE, {float(r[6])}::DOUBLE, {C.ROUTE_WEIGHTS[r[0]]}::DOUBLE)"
     for r in C.ROUTES)
 
 ELIG_VALUES = ", ".join(
-    f"('{pm}', '{net}', '{r[0]}', {i})" for i, r in enumerate(C.ROUTES) for pm in r[5] for net in r[6])
+    f"('{pm}', '{net}', '{r[0]}', {i})" for i, r in enumerate(C.ROUTES) for pm in r[4] for net in r[5])
 
 BASE_CTES = f"""
 e AS (SELECT event_id txn_id, ts, CAST(floor((epoch(ts)-1704067200)/3600) AS BIGINT) tick,

@@ -9,7 +9,6 @@ from routewise import constants as C
 
 ROUTE_SCHEMA = T.StructType([
     T.StructField("route_id", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
     T.StructField("base_success_rate", T.DoubleType(), False),
     T.StructField("base_latency_ms", T.IntegerType(), False),
     T.StructField("route_cost_percent", T.DoubleType(), False),
@@ -22,8 +21,8 @@ ROUTE_SCHEMA = T.StructType([
 
 def route_dim(spark: SparkSession) -> DataFrame:
     """Route dimension; a fixed 4-row table, safe to broadcast anywhere."""
-    rows = [(rid, name, sr, lat, fee, list(pms), list(nets), cap, C.ROUTE_WEIGHTS[rid])
-            for rid, name, sr, lat, fee, pms, nets, cap in C.ROUTES]
+    rows = [(rid, sr, lat, fee, list(pms), list(nets), cap, C.ROUTE_WEIGHTS[rid])
+            for rid, sr, lat, fee, pms, nets, cap in C.ROUTES]
     return spark.createDataFrame(rows, ROUTE_SCHEMA)
 
 
@@ -36,7 +35,7 @@ def eligibility_dim(spark: SparkSession) -> DataFrame:
     routes x methods x networks (28 rows).
     """
     rows = [(pm, net, rid, idx)
-            for idx, (rid, _n, _s, _l, _f, pms, nets, _c) in enumerate(C.ROUTES)
+            for idx, (rid, _s, _l, _f, pms, nets, _c) in enumerate(C.ROUTES)
             for pm in pms for net in nets]
     return spark.createDataFrame(
         rows, "payment_method string, network string, route_id string, route_order int")

@@ -116,7 +116,7 @@ def test_w15_round_robin(spark):
     from routewise.operators.policy import policy_round_robin
     nets = ["Mastercard", "Visa", "Mastercard", "Rupay", "Visa", "Mastercard"]
     order = {"R1": 0, "R2": 1, "R3": 2, "R4": 3}
-    elig = {r[0]: set(r[6]) for r in C.ROUTES}
+    elig = {r[0]: set(r[5]) for r in C.ROUTES}
     rows = [(i, rid, order[rid]) for i, n in enumerate(nets) for rid in C.ROUTE_IDS if n in elig[rid]]
     cands = spark.createDataFrame(rows, "txn_id long, route_id string, route_order int")
     for bs, group in ((1 << 20, 1 << 12), (2, 2), (1, 2), (4, 1)):
