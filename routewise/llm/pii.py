@@ -129,16 +129,18 @@ def with_spans(df: DataFrame, text: str, out: str, kinds: tuple[str, ...] = tupl
     kept = [*df.columns, out]
     df = df.withColumn(f"{mark}text", F.coalesce(F.col(text), F.lit("")))
     whole, segments = F.col(f"{mark}text"), F.col(f"{mark}segments")
-    df = df.withColumns({f"{mark}{k}": F.regexp_extract_all(whole, F.lit(PATTERNS[k]), F.lit(0)) for k in kinds}
-                        | {f"{mark}segments": _segments(whole)})
+    df = df.withColumns({f"{mark}{k}": F.regexp_extract_all(whole, F.lit(PATTERNS[k]), F.lit(0)) for k in kinds})
+    # most texts hold nothing: only the others are cut into segments
+    some = F.greatest(*(F.size(f"{mark}{k}") for k in kinds), F.lit(0)) > 0
+    df = df.withColumn(f"{mark}segments", F.when(some, _segments(whole)))
 
     def pairs(kind: str) -> Column:
         hits = F.col(f"{mark}{kind}")
         gaps = F.when(F.size(hits) > 0, F.split(whole, PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>"))
         return F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
 
-    df = df.withColumns({f"{mark}{k}_pairs": pairs(k) for k in kinds})
-    df = df.withColumns({f"{mark}{k}_chunks": _chunks(f"{mark}{k}_pairs") for k in kinds})
+    df = df.withColumns({f"{mark}{k}_pairs": F.when(F.size(f"{mark}{k}") > 0, pairs(k)) for k in kinds})
+    df = df.withColumns({f"{mark}{k}_chunks": F.when(F.size(f"{mark}{k}") > 0, _chunks(f"{mark}{k}_pairs")) for k in kinds})
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
     def found(kind: str) -> Column:
@@ -166,8 +168,9 @@ def _with_redacted(df: DataFrame, text: str, spans: str) -> DataFrame:
     mark = f"{spans}__"
     col = lambda name: F.col(f"{mark}{name}")
     kept = df.columns
-    df = df.withColumn(f"{mark}sorted", F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"]))))
-    df = df.withColumns({f"{mark}chunks": _chunks(f"{mark}sorted"), f"{mark}segments": _segments(F.coalesce(F.col(text), F.lit("")))})
+    df = df.withColumn(f"{mark}sorted", F.when(F.size(spans) > 0, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))))
+    some = F.size(f"{mark}sorted") > 0
+    df = df.withColumns({f"{mark}chunks": F.when(some, _chunks(f"{mark}sorted")), f"{mark}segments": F.when(some, _segments(F.col(text)))})
     # a span begins a new one where it starts at or after the furthest end so far; ends by chunk first
     begin = F.struct(F.lit(0).cast("long").alias("top"), F.array().cast("array<bigint>").alias("list"))
     tops = F.aggregate(f"{mark}chunks", begin, lambda a, c: F.struct(
