@@ -48,3 +48,16 @@ def test_saved_pipeline_scores_as_in_memory(spark, tmp_path):
     a = {r.txn_id: (r.raw_p, r.p) for r in LN.score(model, calibrated, prep.test).collect()}
     b = {r.txn_id: (r.raw_p, r.p) for r in LN.score(again, calibrated_again, prep.test).collect()}
     assert a and a == b
+
+
+def test_baseline_is_unweighted_with_its_own_inputs(spark):
+    from routewise import constants as C
+    from routewise.operators import learn as LN
+    from routewise.plans.catalog import scored
+    prep = LN.Prepared(scored(Ctx(spark, SF_TINY), engineered=True))
+    model = LN.fit_baseline(prep, {"maxIter": 2})
+    names = LN.encoded_names(model, prep.train)
+    assert names[:15] == list(C.BASELINE_NUMERIC_FEATURES) and len(C.BASELINE_NUMERIC_FEATURES) + len(C.CATEGORICAL_FEATURES) == 22
+    trees = model.stages[-1]
+    assert not trees.isSet("weightCol") and trees.getOrDefault("stepSize") == 0.05 and LN.BASELINE_PARAMS["maxIter"] == 500
+    assert LN.raw_scores(model, prep.test).where("raw_p is null").count() == 0
