@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from routewise import constants as C
 from routewise.functions.exprs import day_in_week, flagged_down, hour_of_day
 from routewise.operators.features import add_engineered, route_capacity, route_fee, route_share
-from routewise.operators.policy import policy_argmax
+from routewise.operators.policy import argmax_route
 from routewise.streaming import state as ST
 from routewise.streaming.features import CALLBACK_TTL
 from routewise.streaming.runner import drain
@@ -108,12 +108,13 @@ def decide(model, calibrator) -> Answer:
 
     def answer(requests: DataFrame, state: DataFrame, shot: DataFrame) -> DataFrame:
         scored = score(model, calibrator, shot)
-        best = policy_argmax(scored, "p", "raw_p")
-        listed = scored.groupBy("txn_id").agg(F.sort_array(F.collect_list(F.struct(
-            "route_id", F.col("p").alias("predicted_success_probability")))).alias("candidates"))
+        # one aggregate for choice and list: every candidate is scored once
+        made = scored.where(F.col("txn_id").isNotNull()).groupBy("txn_id").agg(
+            argmax_route("p", "raw_p").alias("best"),
+            F.sort_array(F.collect_list(F.struct("route_id", F.col("p").alias("predicted_success_probability")))).alias("candidates"))
         asked = requests.select("txn_id", F.col("arrival_ts").alias("decision_ts"), "bank", "network")
-        return asked.join(best, "txn_id").join(listed, "txn_id").select(
-            "txn_id", "decision_ts", "bank", "network", "route_id", F.col("p").alias("chosen_p"), "candidates")
+        return asked.join(made, "txn_id").select(
+            "txn_id", "decision_ts", "bank", "network", "best.route_id", F.col("best.score").alias("chosen_p"), "candidates")
 
     return answer
 

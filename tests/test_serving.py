@@ -206,3 +206,27 @@ def test_incidents_over_many_ticks_in_one_batch(spark):
         want[t] = (float(down), float(t - last) if last is not None else 9999.0)
         last = t if down else last
     assert got == want and state.first().next_tick == 40_000
+
+
+def test_candidates_of_a_decision_are_scored_once(spark, fixed):
+    """Choice and list of candidates come from one aggregate of the scored snapshot."""
+    import contextlib
+    import io
+
+    class Model:
+        def transform(self, df):
+            from pyspark.ml.functions import array_to_vector
+            return df.withColumn("probability", array_to_vector(F.array(F.lit(0.5), F.lit(0.5))))
+
+    class Calibrator:
+        def transform(self, df):
+            return df.withColumn("p", F.col("raw_p") + F.lit(0.125))
+
+    rows = [(1, 0, "R1"), (1, 1, "R2"), (None, 0, "R1")]
+    shot = spark.createDataFrame(rows, "txn_id long, route_order int, route_id string")
+    requests = spark.createDataFrame([(1, "HDFC", "Visa"), (None, "SBI", "UPI")], "txn_id long, bank string, network string").withColumn("arrival_ts", F.current_timestamp())
+    made, plan = SV.decide(Model(), Calibrator())(requests, None, shot), io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        made.explain()
+    assert [(r.txn_id, r.route_id, r.chosen_p, len(r.candidates)) for r in made.collect()] == [(1, "R1", 0.625, 2)]
+    assert plan.getvalue().count("0.125") == 1
