@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routewise.sources.sinks import shared_path
+from routewise.sources.sinks import drop_folder, shared_path
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str, schema: T.StructType, output_mode: str = "append",
@@ -20,18 +20,20 @@ def drain(spark: SparkSession, stream: DataFrame, name: str, schema: T.StructTyp
     Each micro-batch overwrites a folder of its own, named by its id, so a batch that runs again after a
     failure replaces its first try.  Result and checkpoint lie under ``path``: called again with the same
     path, a query goes on where it ended.  ``per_batch`` maps a batch, its id and the result folder to
-    the rows to keep.
+    the rows to keep; it may read the batch many times, so the batch is written first and read back in the
+    caller's session (a stream's own session plans every shuffle with all its partitions).
     """
     root = path or shared_path(spark, name)
     out = f"{root}/result"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if per_batch:   # it may read the batch more than once
-            batch = batch.persist()
-        rows = per_batch(batch, batch_id, out) if per_batch else batch
+        rows, events = batch, f"{root}/events/{batch_id}"
+        if per_batch:
+            batch.write.mode("overwrite").parquet(events)
+            rows = per_batch(spark.read.schema(batch.schema).parquet(events), batch_id, out)
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         if per_batch:
-            batch.unpersist()
+            drop_folder(spark, events)
 
     q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())

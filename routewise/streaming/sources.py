@@ -119,16 +119,21 @@ def arrivals(attempts_ts: DataFrame, tick_seconds: int, slice_seconds: int) -> D
                     "success", "latency_ms", F.floor((since(F.col("arrival_ts")) + F.col("again")) / slice_seconds).cast("long").alias("slice"))
 
 
-def write_slices(df: DataFrame, path: str) -> str:
-    """Write a replay source with one file per ``slice``, taken in the order of the slices.
+def write_slices(df: DataFrame, path: str, files: int = 1) -> str:
+    """Write a replay source with ``files`` files per ``slice``, taken in the order of the slices.
 
     A live deployment reads the event bus instead.  The file source takes files by modification time, so
-    these are set in that order (one call per file).
+    these are set in that order (one call per file).  Rows of a slice are dealt by a hash, so that as many tasks
+    write and read it; a slice that got fewer files is filled up with empty ones.
     """
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, conf = hadoop.Path(path), spark._jsc.hadoopConfiguration()
+    fs = folder.getFileSystem(conf)
+    df.repartition("slice", F.pmod(F.xxhash64("txn_id"), F.lit(files))).write.mode("overwrite").partitionBy("slice").parquet(path)
+    empty = f"{path}-empty"
+    spark.createDataFrame([], df.drop("slice").schema).coalesce(1).write.mode("overwrite").parquet(empty)
+    blank = next(f.getPath() for f in fs.listStatus(hadoop.Path(empty)) if f.getPath().getName().startswith("part-"))
     parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("slice=")]
     parts.sort(key=lambda p: int(p.getName().split("=")[1]))
     start = fs.getFileStatus(folder).getModificationTime()
@@ -139,5 +144,11 @@ def write_slices(df: DataFrame, path: str) -> str:
 
 
 def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
-    """One slice per micro-batch."""
-    return spark.readStream.schema(ARRIVAL_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    """One slice per micro-batch: all slices have the same number of files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("slice=")]
+    files = max(1, len(fs.listStatus(parts[0]))) if parts else 1
+    return spark.readStream.schema(ARRIVAL_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+        for k in range(len(fs.listStatus(part)), files):
+            hadoop.FileUtil.copy(fs, blank, fs, hadoop.Path(part, f"part-none-{k}.parquet"), False, conf)

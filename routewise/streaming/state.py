@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routewise import constants as C
+from routewise.sources.sinks import drop_folder
 
 #: Ticks after its last arrival at which a bucket expires.
 BUCKET_TTL_TICKS = 30
@@ -195,8 +196,10 @@ def advanced(before: DataFrame | None, evaluated: int | None, batch: DataFrame,
         whole = [c for c, k in kinds.items() if k == "long"]
         return out.astype({c: "Int64" for c in whole} | {c: "float64" for c, k in kinds.items() if k == "double"})
 
-    clock = batch.sparkSession.range(1).select(F.lit("clock").alias("part"), F.lit(high).cast("long").alias("tick"))
-    out = rows.groupBy(*KEY).applyInPandas(run, STATE)
+    spark = batch.sparkSession
+    clock = spark.range(1, numPartitions=1).select(F.lit("clock").alias("part"), F.lit(high).cast("long").alias("tick"))
+    # few rows, but work for every core: small partitions are not put together again
+    out = rows.repartition(spark.sparkContext.defaultParallelism, *KEY).groupBy(*KEY).applyInPandas(run, STATE)
     # pandas has no number for a missing double but nan
     out = out.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if kinds[c] == "double" else F.col(c) for c in kinds])
     return out.unionByName(clock, allowMissingColumns=True)
@@ -212,5 +215,4 @@ def read_state(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
 def drop_state(spark: SparkSession, root: str, batch_id: int) -> None:
     """Delete a table that no micro-batch can take up any more."""
     if batch_id >= 0:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state/{batch_id}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(spark, f"{root}/state/{batch_id}")

@@ -208,6 +208,20 @@ def test_incidents_over_many_ticks_in_one_batch(spark):
     assert got == want and state.first().next_tick == 40_000
 
 
+def test_a_slice_of_many_files_is_one_micro_batch(spark, tmp_path):
+    """Every slice has as many files as asked for, empty ones included, and its micro-batch takes them all."""
+    import os
+    from routewise.streaming.runner import drain
+    df = spark.range(400).select(F.lit("request").alias("kind"), F.col("id").alias("txn_id"), F.expr("if(id < 399, id div 200, 7)").alias("slice"))
+    path = SS.write_slices(df, str(tmp_path / "a"), 4)
+    for n in (0, 1, 7):
+        assert sum(f.endswith(".parquet") for f in os.listdir(f"{path}/slice={n}")) == 4
+    assert sum(f.startswith("part-none") for f in os.listdir(f"{path}/slice=7")) == 3   # one row
+    got, progress = drain(spark, SS.read_arrivals(spark, path), "arrivals", SS.ARRIVAL_SCHEMA, path=str(tmp_path / "s"))
+    seen = {(r.batch_id, r.slice): r["count"] for r in got.groupBy("batch_id", "slice").count().collect()}
+    assert seen == {(0, 0): 200, (1, 1): 199, (2, 7): 1} and got.select("txn_id").distinct().count() == 400
+
+
 def test_candidates_of_a_decision_are_scored_once(spark, fixed):
     """Choice and list of candidates come from one aggregate of the scored snapshot."""
     import contextlib
