@@ -159,19 +159,24 @@ def system_tps(decisions: DataFrame, tick_seconds: int, delay: int = CALLBACK_TT
 METER_SECONDS = 60
 METER_OUT = T.StructType([T.StructField("txn_id", T.LongType()), T.StructField("system_tps", T.DoubleType())])
 METER_STATE = "second long, n long"
+#: Seconds of one window of the meter; each also holds the METER_SECONDS before it.
+METER_BLOCK = 600
 
 
 def meter_batch(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
     """ST10, one micro-batch: (requests per second over the 60 completed seconds before each request, cells after it).
 
-    Requests are counted per second first; the sums come from an equi-join of the seconds asked for with the
-    60 seconds before them, so no window runs over the whole clock.
+    Requests are counted per second first; the sums are windows over blocks of ``METER_BLOCK`` seconds, to which
+    the last 60 seconds of the block before are copied, so no window runs over the whole clock.
     """
     asked = batch.where(F.col("txn_id").isNotNull()).select("txn_id", F.unix_seconds("decision_ts").alias("second"))
     cells = (asked.groupBy("second").agg(F.count(F.lit(1)).alias("n")).unionByName(before)
              .groupBy("second").agg(F.sum("n").alias("n")))
-    ahead = cells.select("n", F.explode(F.sequence(F.col("second") + 1, F.col("second") + METER_SECONDS)).alias("second"))
-    sums = ahead.join(asked.select("second").distinct(), "second", "left_semi").groupBy("second").agg(F.sum("n").alias("n"))
+    second = F.col("second")
+    own, near = F.floor(second / METER_BLOCK), F.floor((second + METER_SECONDS) / METER_BLOCK)
+    blocks = cells.select("second", "n", F.explode(F.array_distinct(F.array(own, near))).alias("block"))
+    prior = Window.partitionBy("block").orderBy("second").rangeBetween(-METER_SECONDS, -1)
+    sums = blocks.withColumn("n", F.sum("n").over(prior)).where(F.col("block") == own).select("second", "n")
     rows = asked.join(sums, "second", "left").select(
         "txn_id", (F.coalesce("n", F.lit(0)) / F.lit(float(METER_SECONDS))).alias("system_tps"))
     last = cells.agg(F.max("second")).scalar()

@@ -87,12 +87,22 @@ def write_time_ordered(df: DataFrame, path: str, ts_col: str, batches: int = 4,
     return path
 
 
+def materialise_decisions(spark: SparkSession, attempts_ts: DataFrame, gaps: bool = False, batches: int = 4,
+                          files: int = 8, close_after: int = 10 * 86400) -> str:
+    path = f"{shared_path(spark, 'streams')}/decisions"
+    return write_time_ordered(decisions(attempts_ts, gaps), path, "decision_ts", batches, files, close_after)
+
+
+def materialise_outcomes(spark: SparkSession, attempts_ts: DataFrame, gaps: bool = False, batches: int = 4,
+                         files: int = 8, close_after: int = 10 * 86400) -> str:
+    path = f"{shared_path(spark, 'streams')}/outcomes"
+    return write_time_ordered(outcomes(attempts_ts, gaps), path, "outcome_ts", batches, files, close_after)
+
+
 def materialise_streams(spark: SparkSession, attempts_ts: DataFrame, gaps: bool = False, batches: int = 4,
                         files: int = 8, close_after: int = 10 * 86400) -> tuple[str, str]:
-    root = shared_path(spark, "streams")
-    d = write_time_ordered(decisions(attempts_ts, gaps), f"{root}/decisions", "decision_ts", batches, files, close_after)
-    o = write_time_ordered(outcomes(attempts_ts, gaps), f"{root}/outcomes", "outcome_ts", batches, files, close_after)
-    return d, o
+    return (materialise_decisions(spark, attempts_ts, gaps, batches, files, close_after),
+            materialise_outcomes(spark, attempts_ts, gaps, batches, files, close_after))
 
 
 def read_decisions(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
@@ -138,6 +148,8 @@ def write_slices(df: DataFrame, path: str, files: int = 1) -> str:
     parts.sort(key=lambda p: int(p.getName().split("=")[1]))
     start = fs.getFileStatus(folder).getModificationTime()
     for i, part in enumerate(parts):
+        for k in range(len(fs.listStatus(part)), files):
+            hadoop.FileUtil.copy(fs, blank, fs, hadoop.Path(part, f"part-none-{k}.parquet"), False, conf)
         for f in fs.listStatus(part):
             fs.setTimes(f.getPath(), start - 1000 * (len(parts) - i), -1)
     return path
@@ -150,5 +162,3 @@ def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
     parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("slice=")]
     files = max(1, len(fs.listStatus(parts[0]))) if parts else 1
     return spark.readStream.schema(ARRIVAL_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
-        for k in range(len(fs.listStatus(part)), files):
-            hadoop.FileUtil.copy(fs, blank, fs, hadoop.Path(part, f"part-none-{k}.parquet"), False, conf)

@@ -244,3 +244,30 @@ def test_candidates_of_a_decision_are_scored_once(spark, fixed):
         made.explain()
     assert [(r.txn_id, r.route_id, r.chosen_p, len(r.candidates)) for r in made.collect()] == [(1, "R1", 0.625, 2)]
     assert plan.getvalue().count("0.125") == 1
+
+
+def test_meter_windows_reach_over_block_borders_without_sixtyfold_rows(spark):
+    """Counts of the 60 seconds before, across the borders of the meter's blocks, against plain loops."""
+    seconds = [s for s in range(500, 1900, 7) for _ in range(1 + s % 3)] + [1199, 1200, 1259, 1260, 1261]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "txn_id long, s long").select(
+        "txn_id", F.timestamp_seconds("s").alias("decision_ts"))
+    out, after = SF.meter_batch(df, spark.createDataFrame([(480, 4), (460, 1)], SF.METER_STATE))
+    every = seconds + [480] * 4 + [460]
+    want = {i: sum(s - 60 <= x < s for x in every) for i, s in enumerate(seconds)}
+    assert {r.txn_id: round(r.system_tps * 60) for r in out.collect()} == want
+    assert {r.second: r.n for r in after.collect()} == {s: every.count(s) for s in set(every) if s >= max(every) - 60}
+    assert "sequence(" not in out._jdf.queryExecution().toString()
+
+
+def test_the_meter_writes_no_stream_of_outcomes(spark, monkeypatch):
+    """A query that reads one of the two streams does not derive and write the other."""
+    from routewise.plans.catalog import QUERIES
+    written = []
+    monkeypatch.setattr(SS, "write_time_ordered", lambda df, path, *a: written.append(path) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        QUERIES["stream_ingress_meter"](spark, SF_TINY)
+    assert len(written) == 1 and written[0].endswith("/decisions")
+    monkeypatch.setattr(SS, "write_time_ordered", lambda df, path, *a: written.append(path) or path)
+    from routewise.plans import catalog
+    catalog._decisions(Ctx(spark, SF_TINY))
+    assert [p.rsplit("/", 1)[1] for p in written] == ["decisions", "decisions"]
