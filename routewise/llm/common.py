@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -83,17 +85,27 @@ def _running(key: str):
 def worker_kept(key: tuple, make: Callable):
     """What ``make`` gives, kept for later tasks of the same Python worker.
 
-    A worker keeps one thing at a time: asked by another key it lets go of the old one, so that the
-    stages of a pipeline do not pile up their tables in it.
+    A worker keeps one thing at a time: asked by another key it lets go of the old one and of the memory
+    freed with it, so that the stages of a pipeline do not pile up their tables in it.
     """
     kept = sys.modules.setdefault("_llm_kept_by_worker", types.ModuleType("_llm_kept_by_worker"))
     if getattr(kept, "key", None) != key:
         kept.key = kept.value = None
+        release_memory()
         kept.value = make()
         kept.key = key
     return kept.value
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; the allocators of C and Arrow would keep it for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -140,13 +152,13 @@ class WordTable:
         return ids, counts
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch with about CHUNK_BYTES of text each, and their texts."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with about ``size`` bytes of text each, and their texts."""
     col = batch.column(column)
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False))
     at, total = 0, 0
     for i, n in enumerate(sizes):
-        if i > at and total + n > CHUNK_BYTES:
+        if i > at and total + n > size:
             part = batch.slice(at, i - at)
             yield part, [x or b"" for x in part.column(column).to_pylist()]
             at, total = i, 0

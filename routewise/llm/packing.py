@@ -32,8 +32,10 @@ LENGTH = 4096
 END = 1
 GROUP = 8192
 TOKENIZER = "word_bpe_49k.json"
-#: Units of words whose ids a worker remembers.
-UNIT_CAP, WORD_CAP = 500_000, 800_000
+#: Units and words whose ids a worker remembers, and new words learnt together: the ids of a call take room.
+UNIT_CAP, WORD_CAP, STEP = 150_000, 300_000, 8192
+#: Text encoded at a time; all its words and ids are in memory together.
+ENCODE_BYTES = 1 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,15 +43,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _extended(kept: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """``kept`` with ``new`` behind its first ``used`` values, in a buffer that doubles."""
+    if used + len(new) > len(kept):
+        kept = np.concatenate([kept[:used], np.empty(used + len(new), kept.dtype)])
+    kept[used:used + len(new)] = new
+    return kept
+
+
 class _Rows:
     """Arrays of token ids, one after another."""
 
     def __init__(self):
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.rows = self.size = 0
 
     def add(self, flat: np.ndarray, length: np.ndarray) -> None:
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-        self.flat, self.length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
+        self.start = _extended(self.start, self.rows, self.size + np.cumsum(length) - length)
+        self.length = _extended(self.length, self.rows, length)
+        self.flat = _extended(self.flat, self.size, flat)
+        self.rows, self.size = self.rows + len(length), self.size + len(flat)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the given rows, and how many each has."""
@@ -101,6 +114,10 @@ class Encoder:
         self.unit |= {u: len(self.unit) + i for i, u in enumerate(order)}
 
     def derive(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), STEP):
+            self._derive(words[at:at + STEP])
+
+    def _derive(self, words: list[bytes]) -> None:
         if len(self.unit) > UNIT_CAP:
             self.reset_units()
         parts: list[bytes] = []
@@ -134,7 +151,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_kept(("encoder", path), lambda: Encoder(path))
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, size=ENCODE_BYTES):
                 at, cut, payload = [], [], []
                 for i, ids in enumerate(encoder.encode(texts)):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")
