@@ -33,9 +33,7 @@ END = 1
 GROUP = 8192
 TOKENIZER = "word_bpe_49k.json"
 #: Units and words whose ids a worker remembers, and new words learnt together: the ids of a call take room.
-UNIT_CAP, WORD_CAP, STEP = 150_000, 300_000, 8192
-#: Text encoded at a time; all its words and ids are in memory together.
-ENCODE_BYTES = 1 << 20
+UNIT_CAP, WORD_CAP, STEP = 150_000, 300_000, 65_536
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -151,7 +149,7 @@ def pieces(documents: DataFrame, path: str | None = None, length: int = LENGTH,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_kept(("encoder", path), lambda: Encoder(path))
         for batch in batches:
-            for part, texts in chunks(batch, size=ENCODE_BYTES):
+            for part, texts in chunks(batch):
                 at, cut, payload = [], [], []
                 for i, ids in enumerate(encoder.encode(texts)):
                     ids = np.append(ids, np.uint32(END)).astype("<u4")

@@ -42,7 +42,7 @@ def test_encoder_learns_in_steps():
 
     from routewise.llm import packing
 
-    words = ["".join(w) + end for w, end in zip(islice(product(ascii_lowercase, repeat=4), 20_000), [".", "", ",", "7"] * 5000)]
+    words = ["".join(w) + end for w, end in zip(islice(product(ascii_lowercase, repeat=4), 80_000), [".", "", ",", "7"] * 20_000)]
     texts = [" ".join(words), "", " ".join(words[::-1]), words[-1]]
     encoder = packing.Encoder(packing.tokenizer_path())
     model = Tokenizer.from_file(packing.tokenizer_path())
