@@ -61,3 +61,39 @@ def test_baseline_is_unweighted_with_its_own_inputs(spark):
     trees = model.stages[-1]
     assert not trees.isSet("weightCol") and trees.getOrDefault("stepSize") == 0.05 and LN.BASELINE_PARAMS["maxIter"] == 500
     assert LN.raw_scores(model, prep.test).where("raw_p is null").count() == 0
+
+
+def test_tuning_reads_rows_that_were_encoded_once(spark, monkeypatch):
+    from routewise.operators import learn as LN
+    from routewise.plans.catalog import scored
+    prep = LN.Prepared(scored(Ctx(spark, SF_TINY), engineered=True))
+    indexed, plans = [], []
+    fit_index, fit_trees = LN.StringIndexer.fit, LN.GBTClassifier.fit
+    monkeypatch.setattr(LN.StringIndexer, "fit", lambda self, df: indexed.append(df) or fit_index(self, df))
+    monkeypatch.setattr(LN.GBTClassifier, "fit", lambda self, df: plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()) or fit_trees(self, df))
+    rows = LN.tune(prep, n_iter=3, params={"maxIter": 2})
+    assert len(rows) == 3 and len(indexed) == 1
+    assert len(plans) == 3 and all("InMemoryRelation" in x and "scalar-subquery" not in x for x in plans)
+    for r in rows:
+        draw = {k: r[k] for k in LN.SEARCH_SPACE}
+        alone = LN.validation_cost(LN.fit(prep, dict(draw, maxIter=2)), prep)
+        assert abs(alone - r["validation_cost"]) < 1e-9
+
+
+def test_a_model_scores_a_row_once_for_all_thresholds(spark):
+    from pyspark.sql import functions as F
+    from routewise.operators import evaluate as EV
+    rows = [(1, 1.0, 2.0, p) for p in (0.99, 0.9, 0.98, 0.46, 0.0, None, float("nan"))]
+    df = spark.createDataFrame(rows, "success int, amount double, route_cost_percent double, raw double")
+    df = df.withColumn("p", F.expr("aggregate(array(raw), 0D, (a, v) -> a + v)"))   # stands for a model's score
+    ts = EV.cost_sweep_thresholds()
+    want: dict[int, int] = {}
+    for *_, p in rows:   # a score that is missing reaches no threshold, one that is not a number all of them
+        b = 0 if p is None else sum(1 for t in ts if p != p or 1.0 - p >= t)
+        want[b] = want.get(b, 0) + 1
+    buckets = EV.threshold_buckets(df, ts)
+    assert {r.b: r.n for r in buckets.collect()} == want
+    plan = buckets._jdf.queryExecution().optimizedPlan().toString()
+    scores = [line for line in plan.splitlines() if "aggregate(" in line]
+    assert len(scores) == 1 and "filter(" not in scores[0]
